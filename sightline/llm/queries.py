@@ -12,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_tokenizer import digests
+
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_of
+
+    return language_of(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -32,6 +44,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_tokens": op1_piece_tokens,
+    "op2_language": op2_language,
     "op4_line_dedup": op4_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op10_near_duplicates": op10_near_duplicates,
