@@ -37,6 +37,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -47,6 +53,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
     "op2_language": op2_language,
     "op4_line_dedup": op4_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op10_near_duplicates": op10_near_duplicates,
 }

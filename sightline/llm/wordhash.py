@@ -69,6 +69,11 @@ class Words:
     hash: np.ndarray
     row: np.ndarray  # from lo
     first: np.ndarray  # index of each row's first word, and the number of words at the end
+    total: np.ndarray  # running sums of which the hash of any stretch of bytes is made
+
+    def stretch(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes a..b-1."""
+        return mix((self.total[b] - self.total[a]) * _powers[1][a] + (b - a).astype(np.uint64))
 
     def text(self, a: int, b: int) -> bytes:
         """Words a..b-1, joined by a space."""
@@ -95,7 +100,7 @@ def words_of(column: pa.Array, chunk: int = CHUNK) -> Iterator[Words]:
         h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
         first = np.searchsorted(start, off, side="left")
         row = np.repeat(np.arange(hi - lo), np.diff(first))
-        yield Words(lo, hi, a, start, end, h, row, first)
+        yield Words(lo, hi, a, start, end, h, row, first, total)
 
 
 def joined(h: np.ndarray, size: int) -> np.ndarray:
