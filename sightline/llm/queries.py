@@ -24,6 +24,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -52,6 +58,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
     "op2_language": op2_language,
+    "op3_main_text": op3_main_text,
     "op4_line_dedup": op4_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
@@ -99,4 +106,15 @@ items AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS names
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op3_main_text": r"""
+WITH plain AS (
+  SELECT row_number() OVER () AS r, page_id, url,
+         regexp_extract(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'), '(?is)<article\b[^>]*>(.*?)</article>', 1) AS a FROM pages),
+blocks AS (SELECT r, unnest(regexp_split_to_array(a, '(?i)</?(?:p|h[1-6]|div|ul|ol|li|blockquote)\b[^>]*>')) AS b,
+                  generate_subscripts(regexp_split_to_array(a, '(?i)</?(?:p|h[1-6]|div|ul|ol|li|blockquote)\b[^>]*>'), 1) AS i FROM plain),
+texts AS (SELECT r, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+            regexp_replace(regexp_replace(b, '(?i)<br\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'),
+            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM blocks),
+whole AS (SELECT r, string_agg(t, chr(10) ORDER BY i) AS text FROM texts WHERE t <> '' GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM plain LEFT JOIN whole USING (r)""",
 }
