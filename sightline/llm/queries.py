@@ -49,6 +49,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import reply_ordered
+
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -66,6 +72,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_main_text": op3_main_text,
     "op4_line_dedup": op4_line_dedup,
+    "op5_reply_order": op5_reply_order,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op9_secrets": op9_secrets,
@@ -124,4 +131,30 @@ texts AS (SELECT r, i, trim(regexp_replace(replace(replace(replace(replace(repla
             '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM blocks),
 whole AS (SELECT r, string_agg(t, chr(10) ORDER BY i) AS text FROM texts WHERE t <> '' GROUP BY r)
 SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM plain LEFT JOIN whole USING (r)""",
+    "op5_reply_order": r"""
+WITH RECURSIVE lines AS (
+  SELECT m, conv_id, turn, role, i, line, length(regexp_replace(regexp_extract(line, '^\s*((?:>\s?)+)', 1), '[^>]', '', 'g')) AS level,
+         regexp_replace(line, '^\s*((?:>\s?)+)', '') AS bare
+  FROM (SELECT m, conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+        FROM (SELECT row_number() OVER () AS m, * FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)))),
+rows_ AS (SELECT m, any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_value(role) AS role,
+                 trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), ''), ' ') AS body FROM lines GROUP BY m),
+cut AS (SELECT *, CASE WHEN level = 0 OR trim(bare) = '' THEN 0 ELSE level END AS l FROM lines),
+begun AS (SELECT *, l > 0 AND l IS DISTINCT FROM lag(l) OVER (PARTITION BY m ORDER BY i) AS starts FROM cut),
+numbered AS (SELECT *, sum(starts::INT) OVER (PARTITION BY m ORDER BY i) - 1 AS pos FROM begun),
+passages AS (SELECT m, conv_id, turn, pos, any_value(l) AS level, string_agg(bare, chr(10) ORDER BY i) AS text FROM numbered WHERE l > 0 GROUP BY ALL),
+norm_passages AS (SELECT *, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM passages),
+asked AS (SELECT * FROM norm_passages WHERE len(list_filter(string_split(n, ' '), lambda x: x <> '')) >= 3 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+units AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')) AS n
+          FROM (SELECT conv_id, turn, unnest([body] || regexp_split_to_array(body, '\n\s*\n') || string_split(body, chr(10))) AS u FROM rows_)),
+links AS (SELECT a.conv_id, a.turn, a.level, a.pos, max(u.turn) AS source FROM asked a JOIN units u ON a.conv_id = u.conv_id AND a.n = u.n AND u.turn < a.turn GROUP BY ALL),
+first AS (SELECT conv_id, turn, arg_min(source, level * 1000000 + pos) AS source, count(*) AS n_linked FROM links GROUP BY ALL),
+turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM (SELECT DISTINCT conv_id, turn FROM rows_ WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+nodes AS (SELECT conv_id, turn, coalesce(source, earlier) AS parent, coalesce(n_linked, 0) AS n_linked FROM turns LEFT JOIN first USING (conv_id, turn)),
+placed AS (SELECT conv_id, turn, turn AS root_turn, 0::BIGINT AS depth FROM nodes WHERE parent IS NULL
+           UNION ALL SELECT n.conv_id, n.turn, p.root_turn, p.depth + 1 FROM nodes n JOIN placed p ON n.conv_id = p.conv_id AND n.parent = p.turn)
+SELECT r.conv_id, r.turn, r.role, r.body, coalesce(q.n, 0) AS n_quotes, coalesce(n.n_linked, 0) AS n_linked, n.parent AS parent_turn, p.root_turn, p.depth
+FROM rows_ r LEFT JOIN nodes n USING (conv_id, turn) LEFT JOIN placed p USING (conv_id, turn)
+LEFT JOIN (SELECT m, count(*) AS n FROM passages GROUP BY m) q USING (m)""",
 }
