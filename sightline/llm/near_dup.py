@@ -8,8 +8,9 @@ equal to the weighted Jaccard similarity.
 
 Steps: (1) documents with equal word sequences become one class at once; (2) class representatives meet in bands; in
 each bucket all are compared with the smallest; (3) links of similarity >= threshold, checked on whole shingle sets,
-make components; (4) in a bucket that still holds several components, members are compared across components, so that
-no link between documents which share a bucket is lost and none is compared within a component.
+make components; (4) in a bucket that still holds several components, those outside the smallest's are compared with
+LEADERS more members, and what is then still outside with all members of other components, in blocks of bounded size
+that write out links only. So no component that links between documents of a bucket would join stays apart.
 
 Shingles are five words, the similarity is the Jaccard similarity of the shingle sets (weights="binary"), or of
 multisets (weights="count"). With 25 bands of 5 rows a pair at 0.8 shares a bucket with probability 0.99995.
@@ -32,6 +33,10 @@ from .common import durable, only
 from .wordhash import mix, shingles_of, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
+#: Further members of a bucket that those not like its smallest are compared with before all the others are.
+LEADERS = 8
+#: Members of a bucket that are compared within one group, at most about so many by as many.
+BLOCK = 512
 
 
 def weighted_set(h: np.ndarray, row: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray]:
@@ -166,28 +171,86 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def unsettled(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rep, n, component, main) of the buckets with several components; main is that of the smallest member."""
+    of = labels.withColumnRenamed("id", "rep")
+    named = held.hint("merge").join(of.hint("merge"), "rep", "left").select("key", "rep", "n", "least", F.coalesce("component", "rep").alias("component"))
+    named = durable(named)
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("rep") == F.col("least"), F.col("component"))).alias("main")).where("low < high")
+    return durable(named.hint("merge").join(mixed.select("key", "main").hint("merge"), "key").select("key", "rep", "n", "component", "main"))
+
+
+def across(rest: DataFrame, docs: DataFrame, size: int, threshold: float, weights: str) -> DataFrame:
+    """Links (a, b) between members outside the main component of a bucket and all others of other components.
+
+    Both sides are cut into blocks of about BLOCK members, so that no task holds a whole bucket and no pair is written
+    out but for the links found.
+    """
+    odd = rest.where("component <> main")
+    cut = odd.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("chunks"))
+    rows = rest.hint("merge").join(cut.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int"))
+    one = rows.select("key", F.pmod(F.xxhash64(F.lit(1), "rep"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("rep").alias("id"), "component", F.lit(False).alias("odd"))
+    two = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(2), "rep"), "chunks").cast("int").alias("chunk"), F.col("rep").alias("id"), "component", F.lit(True).alias("odd"))
+    text = only(docs, "doc_id", "text")
+    ids = rest.select(F.col("rep").alias("id")).distinct()
+    sets = durable(shingle_sets(text.join(ids.hint("shuffle_hash"), text["doc_id"] == ids["id"], "left_semi"), size, weights).dropDuplicates(["id"]))
+    both = one.unionByName(two).hint("merge").join(sets.hint("merge"), "id")
+
+    def compare(pdf):
+        import pandas as pd
+
+        odd = pdf["odd"].to_numpy()
+        ids, component = pdf["id"].to_numpy(), pdf["component"].to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        left, right = np.flatnonzero(~odd), np.flatnonzero(odd)
+        a, b = [], []
+        if len(left) and len(right):
+            every = np.concatenate([own[i] for i in left])
+            whose = np.repeat(np.arange(len(left)), [len(own[i]) for i in left])
+            sizes = np.array([len(own[i]) for i in left])
+            order = np.argsort(every, kind="stable")
+            every, whose = every[order], whose[order]
+            for j in right.tolist():
+                lo, hi = np.searchsorted(every, own[j], "left"), np.searchsorted(every, own[j], "right")
+                n = hi - lo
+                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                common = np.bincount(whose[at], minlength=len(left))
+                near = np.flatnonzero((common > 0) & (common >= threshold * (sizes + len(own[j]) - common)) & (component[left] != component[j]))
+                # one link to each component is enough to join it
+                _, once = np.unique(component[left][near], return_index=True)
+                for i in left[near[once]].tolist():
+                    a.append(max(ids[i], ids[j]))
+                    b.append(min(ids[i], ids[j]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return both.groupBy("key", "block", "chunk").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, weights: str = "binary", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, n_words): one row a document row. class_id is the smallest doc_id of its near-duplicates."""
     sig = durable(signed(docs, size, weights, bands, rows))
     same = sig.where("doc_id is not null and n_words > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     same = durable(same)
     member = same.select("rep", F.explode("keys").alias("key"))
-    bucket = durable(member.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"))
-    held = durable(member.hint("merge").join(bucket.hint("merge"), "key"))  # key, rep, least
+    leaders = [F.min_by("rep", F.xxhash64(F.lit(i), "rep")).alias(f"l{i}") for i in range(LEADERS)]
+    bucket = durable(member.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), *leaders).where("n > 1"))
+    held = durable(member.hint("merge").join(bucket.select("key", "least", "n").hint("merge"), "key"))
     pairs = durable(held.where("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct())
     links = durable(similar(pairs, docs, size, threshold, weights))
     labels = components(links)
-    # buckets that still hold several components: compare across them
-    named = held.hint("merge").join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    named = durable(named)
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = durable(named.hint("merge").join(mixed.hint("merge"), "key"))
-    one = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    two = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    across = one.hint("merge").join(two.hint("merge"), "key").where("ca > cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    across = durable(across.distinct().hint("merge").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        labels = components(links.union(similar(across, docs, size, threshold, weights)))
+
+    # Buckets that still hold several components: those outside the smallest's component meet more leaders, ...
+    odd = unsettled(held, labels).where("component <> main")
+    if not odd.isEmpty():
+        tried = odd.select("key", "rep").hint("merge").join(bucket.select("key", F.array(*[f"l{i}" for i in range(LEADERS)]).alias("l")).hint("merge"), "key")
+        tried = tried.select("rep", F.explode(F.array_distinct("l")).alias("other")).where("rep <> other").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"))
+        more = durable(tried.distinct().hint("merge").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+        links = durable(links.union(similar(more, docs, size, threshold, weights)))
+        labels = components(links)
+        # ... and what is still outside meets all others of its buckets, in blocks.
+        rest = unsettled(held, labels)
+        if not rest.isEmpty():
+            labels = components(links.union(across(rest, docs, size, threshold, weights)))
     classes = same.select("c1", "c2", "rep").hint("merge").join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
     classes = classes.select("c1", "c2", F.coalesce("component", "rep").alias("class_id"))
     out = sig.select("doc_id", "c1", "c2", "n_words").hint("merge").join(classes.hint("merge"), ["c1", "c2"], "left")
