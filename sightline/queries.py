@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import sightline.operators.checks  # noqa: F401
 import sightline.operators.extract  # noqa: F401
 import sightline.operators.regions  # noqa: F401
+import sightline.operators.scoring  # noqa: F401
 import sightline.sources.corpus  # noqa: F401
 from sightline.plans.relations import BASE, build, duckdb_sql
 
