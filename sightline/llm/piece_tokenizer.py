@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from .common import only
 
 MARK = "▁"
-#: Words remembered by each Python worker, and the length up to which one is; together a bound on its memory.
-CACHE_WORDS, CACHE_CHARS = 150_000, 32
+#: Twice so many words are remembered by each Python worker, of so many characters at most, and so many token pairs: a bound on its memory.
+CACHE_WORDS, CACHE_CHARS, PAIRS = 300_000, 32, 400_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -67,11 +67,12 @@ class PieceModel:
         self.marked = [i < n and lib.id_to_piece(i).startswith(MARK) for i in range(n)]
         self.automaton = ahocorasick.Automaton()
         for piece in self.id:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (len(piece), self.id[piece]))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.words: dict[str, tuple[str, int]] = {}
+        self.piece = {i: piece for piece, i in self.id.items()}
+        self.pairs: dict[int, bool] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: the best-scoring neighbours first, the leftmost of equals."""
@@ -94,91 +95,82 @@ class PieceModel:
                 heappush(heap, (-score[q], left[i], q))
         return [p for p in parts if p is not None]
 
-    def compatible(self, a: str | None, b: str) -> bool:
-        """Whether b may follow a; a is None at the start and after a character without a piece."""
-        if a is None:
-            if b not in self.whole:
-                self.whole[b] = self.merged(b) == [b]
-            return self.whole[b]
-        known = self.pairs.get((a, b))
-        if known is None:
-            known = self.merged(a + b) == [a, b]
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-            self.pairs[a, b] = known
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether token b may follow a; a is -1 at the start and after a character without a piece."""
+        pair = self.piece[b] if a < 0 else self.piece[a] + self.piece[b]
+        known = self.merged(pair) == ([pair] if a < 0 else [self.piece[a], self.piece[b]])
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        self.pairs[a << 16 | b] = known
         return known
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of a text without a line feed; a character without a piece is itself, to become bytes."""
-        n = len(text)
-        at: list[list[str]] = [[] for _ in range(n)]
-        for last, piece in self.automaton.iter(text):
-            at[last + 1 - len(piece)].append(piece)  # shorter ones come first
-        failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        tried: list[int] = []  # for each token of out, which of the candidates it is
-        place, choice = 0, -1
+    def ids_of(self, text: str) -> list[int]:
+        """The ids of a text without a line feed; characters without a piece become bytes."""
+        n, pairs = len(text), self.pairs
+        at: list[list[tuple[int, int]] | None] = [None] * n  # (length, id) of the tokens that start at a place, shorter ones first
+        for last, token in self.automaton.iter(text):
+            start = last + 1 - token[0]
+            if at[start] is None:
+                at[start] = [token]
+            else:
+                at[start].append(token)
+        failed, any_failed = bytearray(n // 8 + 1), False
+        out: list[int] = []
+        trail: list[tuple[int, int]] = []  # of each step: its place, and which of the candidates it took (-1: bytes)
+        place, k, before = 0, -1, -1
         while place < n:
             options = at[place]
-            if not options:
-                out.append(text[place])
-                tried.append(-1)
-                place, choice = place + 1, -1
+            if options is None:
+                out.append(-1 - ord(text[place]))
+                trail.append((place, -1))
+                place, k, before = place + 1, -1, -1
                 continue
-            k = len(options) - 1 if choice < 0 else choice - 1
-            before = out[-1] if out and tried[-1] >= 0 else None
+            k = len(options) - 1 if k < 0 else k - 1
             while k >= 0:
-                piece = options[k]
-                after = place + len(piece)
-                if not failed[after >> 3] >> (after & 7) & 1 and self.compatible(before, piece):
-                    break
+                size, token = options[k]
+                if not any_failed or not failed[place + size >> 3] >> (place + size & 7) & 1:
+                    fits = pairs.get(before << 16 | token)
+                    if fits if fits is not None else self.compatible(before, token):
+                        break
                 k -= 1
             if k >= 0:
-                out.append(piece)
-                tried.append(k)
-                place, choice = after, -1
+                out.append(token)
+                trail.append((place, k))
+                place, k, before = place + size, -1, token
             else:
                 failed[place >> 3] |= 1 << (place & 7)
-                if not out:
-                    raise AssertionError("every text has an encoding")
-                place -= len(out.pop())
-                choice = tried.pop()
-        return out
-
-    def ids_of(self, word: str) -> list[int]:
-        ids = []
-        for p in self.pieces(word):
-            i = self.id.get(p)
-            ids += [i] if i is not None else [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
-        return ids
+                any_failed = True
+                out.pop()
+                place, k = trail.pop()
+                before = out[-1] if out and out[-1] >= 0 else -1
+        if min(out, default=0) >= 0:
+            return out
+        return [i for x in out for i in ((x,) if x >= 0 else [self.byte[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")])]
 
     def encode(self, text: str | None) -> list[int]:
         """All ids of a whole text, with the end id."""
-        return [*self._parts(text or "", self._remembered), self.end]
-
-    def _remembered(self, word: str) -> tuple[int, ...]:
-        got = self.words.get(word)
-        if got is None:
-            got = tuple(self.ids_of(word))
-            if len(word) <= CACHE_CHARS:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[word] = got
-        return got
-
-    def _parts(self, text: str, ids) -> list[int]:
-        if not text:
-            return []
         out: list[int] = []
-        newline = self.byte[10]
-        text = MARK + text.replace(" ", MARK)
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out.append(newline)
-            for word in SPLIT(line):
-                out += ids(word)
+        if text:
+            for n, line in enumerate((MARK + text.replace(" ", MARK)).split("\n")):
+                if n:
+                    out.append(self.byte[10])
+                for word in SPLIT(line):
+                    ids = self.young.get(word)
+                    out += ids if ids is not None else self._missing(word)
+        out.append(self.end)
         return out
 
+    def _missing(self, word: str) -> tuple[int, ...]:
+        """Ids of a word that is not among the young ones; words asked for again move from the old ones."""
+        ids = self.old.get(word)
+        if ids is None:
+            ids = tuple(self.ids_of(word))
+        if len(word) <= CACHE_CHARS:
+            if len(self.young) >= CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids): a leading space that the model added is taken off again."""
         raw = b"".join(map(self.surface.__getitem__, ids))
