@@ -208,8 +208,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         more = rows.where("size(items) > 0")
         for b in blocks[1:]:
             more = more.unionByName(b.where("size(items) > 0"))
-        merged = more.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        found = rows.select(*key).join(merged, [rows[c].eqNullSafe(merged[c]) for c in key], "left").select(*[rows[c] for c in key], F.coalesce(merged["places"], F.array().cast("array<long>")).alias("places"), F.coalesce(merged["items"], F.array().cast("array<string>")).alias("items"))
+        merged = more.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("_places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+        found = rows.select(*key).join(merged, same, "left")
+        found = found.select(*key, F.coalesce("_places", F.array().cast("array<long>")).alias("places"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated"),
