@@ -69,7 +69,7 @@ def cleaned_input(raw: str) -> str:
 def resolved(href: str, base: str) -> str:
     """`href` against `base`, without fragment, path at least `/`, spaces as %20, dot segments taken out; NULL if not http(s).
 
-    Two dots are folded four levels deep, as links of real pages need.
+    As in RFC 3986, only relative links are folded; two dots up to four levels deep, as links of real pages need.
     """
     h = rf"regexp_replace(regexp_replace(trim({href}), r'[\x00-\x1F\x7F]', '', /*all*/ 1), r'#.*$', '')"
     origin = rf"regexp_extract({base}, r'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
@@ -78,8 +78,11 @@ def resolved(href: str, base: str) -> str:
     whole = rf"""CASE WHEN regexp_like({h}, r'^[A-Za-z][A-Za-z0-9+.-]*:') THEN {h} WHEN startswith({h}, '//') THEN {scheme} || {h} WHEN startswith({h}, '/') THEN {origin} || {h}
       WHEN {h} = '' THEN regexp_replace({base}, r'#.*$', '') WHEN startswith({h}, '?') THEN regexp_replace({base}, r'[?#].*$', '') || {h}
       WHEN {folder} = {origin} THEN {origin} || '/' || {h} ELSE {folder} || {h} END"""
-    dots = rf"regexp_replace(replace(replace({whole}, ' ', '%20'), '/./', '/'), r'/\.$', '/')"
+    plain = rf"replace({whole}, ' ', '%20')"
+    dots = rf"regexp_replace(replace({plain}, '/./', '/'), r'/\.$', '/')"
     for _ in range(4):
         dots = rf"regexp_replace({dots}, r'(://[^/]+(?:/[^/?]+)*?)/[^/?.][^/?]*/\.\.(?:/|$)', r'$back1$/')"
+    dots = rf"regexp_replace({dots}, r'^([a-z]+://[^/]+)(?:/\.\.)+(?:/|$)', r'$back1$/')"  # none stand above the root
+    dots = rf"CASE WHEN regexp_like({h}, r'^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)') THEN {plain} ELSE {dots} END"
     slash = rf"regexp_replace({dots}, r'^(https?://[^/?]+)(\?|$)', r'$back1$/$back2$')"
     return rf"CASE WHEN regexp_like({whole}, r'^https?://') THEN {slash} END"

@@ -193,8 +193,8 @@ relation("exported_findings", r"""
 SELECT f.site, f.id, m.priority, f.title, f.severity, f.dimension, f.category, f.confidence, f.impact, m.effort_label, m.quadrant, m.points_at_stake, f.scope, f.reason AS why, f.example, f.n_affected, f.affected AS affected_pages FROM {findings} f JOIN {matrix} m ON f.site = m.site AND f.id = m.id
 """)
 relation("report_violations", r"""
-SELECT site, id, CASE WHEN title IS NULL OR title = '' THEN 'title missing' WHEN severity NOT IN ('critical', 'high', 'medium', 'low', 'info') THEN 'unknown severity' WHEN n < 1 THEN 'no evidence' ELSE 'reason missing' END AS problem FROM {findings}
-WHERE title IS NULL OR title = '' OR severity NOT IN ('critical', 'high', 'medium', 'low', 'info') OR n < 1 OR reason IS NULL
+SELECT site, id, CASE WHEN title IS NULL OR title = '' THEN 'title missing' WHEN severity NOT IN ('critical', 'high', 'medium', 'low', 'info') THEN 'unknown severity' WHEN n IS NULL THEN 'no evidence' ELSE 'reason missing' END AS problem FROM {findings}
+WHERE title IS NULL OR title = '' OR severity NOT IN ('critical', 'high', 'medium', 'low', 'info') OR n IS NULL OR reason IS NULL
 """)
 relation("scoring_model", r"""
 SELECT 'severity' AS part, severity AS key, cast(points AS double) AS value FROM {severities} UNION ALL SELECT 'confidence', confidence, cast(factor AS double) FROM {confidences} UNION ALL SELECT 'weight', dimension, CASE dimension WHEN 'discoverability' THEN 0.6 ELSE 0.4 END FROM (SELECT DISTINCT dimension FROM {findings})
