@@ -25,18 +25,17 @@ from pyspark.sql import functions as F
 
 #: (kind, what finds a candidate, what must be in a text to look for any, least characters of the counted group).
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS, HEX = r"(AKIA[A-Z0-9]+)", r"([0-9a-f]+)"
-ACCESS_ENOUGH, HEX_ENOUGH = r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}"
-KINDS = [("assign", ASSIGN, ASSIGN, 6), ("access", ACCESS, ACCESS_ENOUGH, 20), ("hex", HEX, HEX_ENOUGH, 24)]
+#: Runs that are too short can be left out of the pattern: what follows their beginning is shorter still. Not so for assignments.
+ACCESS, HEX = r"(AKIA[A-Z0-9]{16,})", r"([0-9a-f]{24,})"
+KINDS = [("assign", ASSIGN, ASSIGN, 6), ("access", ACCESS, ACCESS, 20), ("hex", HEX, HEX, 24)]
 TOKEN_CHARS, LIMIT = 20, 0.35
-TOKEN = r"([A-Za-z0-9+/_=-]+)"
-TOKEN_ENOUGH = r"[A-Za-z0-9+/_=-]{20}"
+TOKEN = r"([A-Za-z0-9+/_=-]{20,})"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def matches(text: Column, kind: int, pattern: str, enough: str, least: int) -> Column:
     """array<struct(start, kind, end, value)> of the leftmost non-overlapping matches whose group 1 is long enough."""
-    whole = rf"(?s)(.*?)({pattern})"
+    whole = rf"(?s)(.*?)(?:({pattern})|\z)"  # the end of the text matches too, so that the rest is read once
     before = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
     found = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
     value = F.regexp_extract_all(text, F.lit(whole), F.lit(3))
@@ -106,7 +105,7 @@ def scanned(docs: DataFrame, model: list[float] | None = None, limit: float = LI
     if model is None:
         return rows.select("doc_id", "base", F.array().cast(SPAN).alias("added"))
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    tokens = matches(F.col("text"), len(KINDS), TOKEN, TOKEN_ENOUGH, TOKEN_CHARS)
+    tokens = matches(F.col("text"), len(KINDS), TOKEN, TOKEN, TOKEN_CHARS)
     free = F.filter(tokens, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     added = F.filter(free, lambda t: (score(t["value"], table) >= limit) & t["value"].rlike("[0-9]"))
     return rows.select("doc_id", "base", added.alias("added"))
