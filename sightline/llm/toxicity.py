@@ -33,6 +33,10 @@ SAMPLE, BAG = 1_200, 40
 BITS, HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 17, 8, 8, 6, 128, 0.01
 PREFIXES, SUFFIXES, RUN = (3, 4, 5, 6), (3, 4, 5), 5
 INPUTS = 5
+#: Pseudo-count of the log-odds.
+PRIOR = 1.0
+#: Gradient steps at least; small samples are read more often.
+UPDATES = 300
 ROWS_AT_ONCE = 4_096
 
 
@@ -191,16 +195,20 @@ def gathered(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def log_odds(bags: list[Words], labels: list[int]) -> np.ndarray:
-    """Smoothed log-odds of each slot, from the share of toxic and of other documents that hold it."""
+    """Smoothed log-odds of each slot, from the number of toxic and of other documents that hold it.
+
+    Counts are held against those expected if the slot had nothing to do with the label, so an unseen slot is at zero.
+    """
     count = np.zeros((2, 1 << BITS))
     for w, y in zip(bags, labels):
         word, chars, _ = features(w)
         seen = np.zeros(1 << BITS, bool)
         seen[word] = seen[chars] = True
         count[y] += seen
-    n = np.bincount(labels, minlength=2)
-    prior = 2.0
-    return (np.log((count[1] + prior) / (n[1] + 2 * prior)) - np.log((count[0] + prior) / (n[0] + 2 * prior))).astype(np.float32)
+    share = np.bincount(labels, minlength=2) / len(labels)
+    expected = count.sum(0) * share[:, None]
+    odds = np.log((count + PRIOR) / (expected + PRIOR))
+    return (odds[1] - odds[0]).astype(np.float32)
 
 
 def adam(network: Network, batches, rate: float, state: dict) -> None:
@@ -235,7 +243,8 @@ def fit(bags: list[tuple[int, list[str]]]) -> ToxicityModel | None:
         masks.append(np.pad(m, ((0, 0), (0, pad))))
     network, state = Network(rng), {}
     learn = np.flatnonzero(~held)
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-UPDATES * BATCH // (len(learn) * 4)))
+    for epoch in range(epochs):
         x, m, t = [], [], []
         for d in learn.tolist():
             if y[d]:  # the likeliest window; at first, the one with the largest log-odds
@@ -251,7 +260,7 @@ def fit(bags: list[tuple[int, list[str]]]) -> ToxicityModel | None:
         x, m, t = np.concatenate(x), np.concatenate(m), np.array(t, np.float64)
         weight = np.where(t > 0, (t == 0).sum() / max(1, (t > 0).sum()), 1.0) ** 0.5
         order = rng.permutation(len(x))
-        adam(network, ((x[i], m[i], t[i], weight[i]) for i in np.array_split(order, max(1, len(x) // BATCH))), RATE * (0.5 if epoch >= EPOCHS - 2 else 1), state)
+        adam(network, ((x[i], m[i], t[i], weight[i]) for i in np.array_split(order, max(1, len(x) // BATCH))), RATE * (0.5 if epoch >= epochs - 2 else 1), state)
     z = np.array([network.forward(xs[d], masks[d]).max() for d in np.flatnonzero(held)])
     a, b = platt(z, y[held])
     return ToxicityModel(table, network.to_float32(), a, b)
