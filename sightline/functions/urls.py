@@ -26,14 +26,17 @@ def bare_host(url: str) -> str:
     return rf"regexp_replace(regexp_replace({netloc(url)}, r':.*$', ''), r'^www\.', '')"
 
 
-def domain(url: str) -> str:
-    """The registrable domain: the last two labels, or three below a suffix of two."""
-    h = bare_host(url)
+def domain_of(h: str) -> str:
+    """The registrable domain of a bare host: the last two labels, or three below a suffix of two."""
     two = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
     last = lambda n: rf"regexp_extract({h}, r'([^.]+{r'\.[^.]+' * (n - 1)})$', 1)"
     return f"CASE WHEN {last(2)} = '' THEN {h} WHEN {last(2)} IN ({two}) AND {last(3)} <> '' THEN {last(3)} ELSE {last(2)} END"
 
 
+def domain(url: str) -> str:
+    return domain_of(bare_host(url))
+
+
 def path(url: str) -> str:
     return rf"regexp_extract({url}, r'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
@@ -66,23 +69,26 @@ def cleaned_input(raw: str) -> str:
     return rf"CASE WHEN {bare} = '' THEN '' WHEN regexp_like({bare}, r'^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN {bare} ELSE 'https://' || regexp_replace({bare}, r'^/+', '') END"
 
 
-def resolved(href: str, base: str) -> str:
-    """`href` against `base`, without fragment, path at least `/`, spaces as %20, dot segments taken out; NULL if not http(s).
+def clean_href(href: str) -> str:
+    """First step of resolving a link: without control characters and fragment."""
+    return rf"regexp_replace(regexp_replace(trim({href}), r'[\x00-\x1F\x7F]', '', /*all*/ 1), r'#.*$', '')"
 
-    As in RFC 3986, only relative links are folded; two dots up to four levels deep, as links of real pages need.
-    """
-    h = rf"regexp_replace(regexp_replace(trim({href}), r'[\x00-\x1F\x7F]', '', /*all*/ 1), r'#.*$', '')"
+
+def joined(h: str, base: str) -> str:
+    """Second step: a clean link put behind the part of `base` that it leaves out."""
     origin = rf"regexp_extract({base}, r'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
     scheme = rf"regexp_extract({base}, r'^([A-Za-z][A-Za-z0-9+.-]*:)', 1)"
     folder = rf"regexp_extract({base}, r'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)', 1)"
-    whole = rf"""CASE WHEN regexp_like({h}, r'^[A-Za-z][A-Za-z0-9+.-]*:') THEN {h} WHEN startswith({h}, '//') THEN {scheme} || {h} WHEN startswith({h}, '/') THEN {origin} || {h}
+    return rf"""replace(CASE WHEN regexp_like({h}, r'^[A-Za-z][A-Za-z0-9+.-]*:') THEN {h} WHEN startswith({h}, '//') THEN {scheme} || {h} WHEN startswith({h}, '/') THEN {origin} || {h}
       WHEN {h} = '' THEN regexp_replace({base}, r'#.*$', '') WHEN startswith({h}, '?') THEN regexp_replace({base}, r'[?#].*$', '') || {h}
-      WHEN {folder} = {origin} THEN {origin} || '/' || {h} ELSE {folder} || {h} END"""
-    plain = rf"replace({whole}, ' ', '%20')"
-    dots = rf"regexp_replace(replace({plain}, '/./', '/'), r'/\.$', '/')"
+      WHEN {folder} = {origin} THEN {origin} || '/' || {h} ELSE {folder} || {h} END, ' ', '%20')"""
+
+
+def folded(whole: str, h: str) -> str:
+    """Last step: dot segments of relative links folded (RFC 3986; two dots up to four levels deep), path at least `/`; NULL if not http(s)."""
+    dots = rf"regexp_replace(replace({whole}, '/./', '/'), r'/\.$', '/')"
     for _ in range(4):
         dots = rf"regexp_replace({dots}, r'(://[^/]+(?:/[^/?]+)*?)/[^/?.][^/?]*/\.\.(?:/|$)', r'$back1$/')"
     dots = rf"regexp_replace({dots}, r'^([a-z]+://[^/]+)(?:/\.\.)+(?:/|$)', r'$back1$/')"  # none stand above the root
-    dots = rf"CASE WHEN regexp_like({h}, r'^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)') THEN {plain} ELSE {dots} END"
-    slash = rf"regexp_replace({dots}, r'^(https?://[^/?]+)(\?|$)', r'$back1$/$back2$')"
-    return rf"CASE WHEN regexp_like({whole}, r'^https?://') THEN {slash} END"
+    dots = rf"CASE WHEN regexp_like({h}, r'^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)') THEN {whole} ELSE {dots} END"
+    return rf"CASE WHEN regexp_like({whole}, r'^https?://') THEN regexp_replace({dots}, r'^(https?://[^/?]+)(\?|$)', r'$back1$/$back2$') END"

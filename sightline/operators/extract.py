@@ -102,11 +102,12 @@ FROM {page_tags}
 """, stored=True)
 
 relation("page_links", r"""
-SELECT site, page_ord, url, is_home, pos, href, rel, text, """ + urls.resolved("href", "url") + r""" AS target,
-       startswith(href, '/') OR startswith(href, '#') OR """ + urls.domain("href") + " = " + urls.domain("url") + r""" AS is_internal
-FROM (SELECT site, page_ord, url, is_home, pos, """ + decoded(attribute("tag", "href")) + r""" AS href, """ + attribute("tag", "rel") + r""" AS rel, """ + inline_text("body") + r""" AS text
-      FROM (SELECT site, page_ord, url, is_home, pos, regexp_extract(a, r'(?is)^(<a\b[^>]*>)', 1) AS tag, a AS body FROM (SELECT site, page_ord, url, is_home, posexplode(anchors) AS (pos, a) FROM {page_tags}))
-      WHERE """ + has_attribute("tag", "href") + r""")
+SELECT site, page_ord, url, is_home, pos, href, rel, text, """ + urls.folded("whole", "h") + r""" AS target, startswith(href, '/') OR startswith(href, '#') OR """ + urls.domain_of("there") + " = " + urls.domain_of("here") + r""" AS is_internal
+FROM (SELECT site, page_ord, url, is_home, pos, href, rel, text, h, """ + urls.joined("h", "url") + r""" AS whole, """ + urls.bare_host("href") + r""" AS there, """ + urls.bare_host("url") + r""" AS here
+      FROM (SELECT site, page_ord, url, is_home, pos, href, rel, text, """ + urls.clean_href("href") + r""" AS h
+            FROM (SELECT site, page_ord, url, is_home, pos, """ + decoded(attribute("tag", "href")) + r""" AS href, """ + attribute("tag", "rel") + r""" AS rel, """ + inline_text("body") + r""" AS text
+                  FROM (SELECT site, page_ord, url, is_home, pos, regexp_extract(a, r'(?is)^(<a\b[^>]*>)', 1) AS tag, a AS body FROM (SELECT site, page_ord, url, is_home, posexplode(anchors) AS (pos, a) FROM {page_tags}))
+                  WHERE """ + has_attribute("tag", "href") + r""")))
 """, stored=True)
 
 relation("page_headings", r"""
@@ -120,10 +121,12 @@ FROM (SELECT site, page_ord, url, posexplode(image_tags) AS (pos, i) FROM {page_
 """)
 
 relation("page_hreflang", r"""
-SELECT site, page_ord, url, pos, trim(regexp_extract(t, r'(?i)hreflang=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1)) AS code, trim(regexp_extract(t, r'(?i)\shref=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1)) AS href,
-       """ + urls.resolved(r"trim(regexp_extract(t, r'(?i)\shref=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1))", "url") + r""" AS target
-FROM (SELECT site, page_ord, url, posexplode(link_tags) AS (pos, t) FROM {page_tags})
-WHERE regexp_like(t, r'(?i)\brel=[\x22\x27]?alternate[\x22\x27]?') AND regexp_like(t, r'(?i)hreflang=[\x22\x27][^\x22\x27]+[\x22\x27]') AND regexp_like(t, r'(?i)\shref=[\x22\x27][^\x22\x27]+[\x22\x27]')
+SELECT site, page_ord, url, pos, code, href, """ + urls.folded("whole", "h") + r""" AS target
+FROM (SELECT site, page_ord, url, pos, code, href, h, """ + urls.joined("h", "url") + r""" AS whole
+      FROM (SELECT site, page_ord, url, pos, code, href, """ + urls.clean_href("href") + r""" AS h
+            FROM (SELECT site, page_ord, url, pos, trim(regexp_extract(t, r'(?i)hreflang=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1)) AS code, trim(regexp_extract(t, r'(?i)\shref=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1)) AS href
+                  FROM (SELECT site, page_ord, url, posexplode(link_tags) AS (pos, t) FROM {page_tags})
+                  WHERE regexp_like(t, r'(?i)\brel=[\x22\x27]?alternate[\x22\x27]?') AND regexp_like(t, r'(?i)hreflang=[\x22\x27][^\x22\x27]+[\x22\x27]') AND regexp_like(t, r'(?i)\shref=[\x22\x27][^\x22\x27]+[\x22\x27]'))))
 """)
 
 relation("jsonld_blocks", r"""
