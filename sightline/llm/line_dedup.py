@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import durable, only
+from .common import durable, only, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -132,7 +132,7 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, doc_id): each key of each document row once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, ids = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = {k for k in line_keys(text.as_py(), min_chars)[1] if k is not None}
@@ -261,7 +261,7 @@ def rewritten(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) ->
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, gone in zip(batch.column(at), batch.column(batch.num_columns - 1)):
                 text, gone = text.as_py(), gone.as_py()

@@ -28,7 +28,7 @@ from .common import only
 
 MARK = "▁"
 #: Twice so many words are remembered by each Python worker, of so many characters at most, and so many token pairs: a bound on its memory.
-CACHE_WORDS, CACHE_CHARS, PAIRS = 300_000, 32, 400_000
+CACHE_WORDS, CACHE_CHARS, PAIRS = 120_000, 32, 200_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

@@ -16,7 +16,7 @@ from .common import spans_of, text_buffer
 
 SEPARATOR = 0
 #: Bytes handled at once; bounds the memory of the arrays below at about 60 bytes for each.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def _table() -> np.ndarray:
