@@ -31,15 +31,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the smallest id stays; rows that repeat it go. Rows without an id all stay."""
-    classes = near_dup.near_duplicates(docs)
-    stays = classes.where("class_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.hint("merge").join(stays.hint("merge"), docs["doc_id"] == stays["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each class one row stays: that with the smallest id (no id comes last), of these the smallest hash of its text.
+
+    Classes are made of rows, not of ids: rows that share an id or have none are told apart by a number of their own.
+    Rows without words are like no others, but exact copies of one (id and text) go.
+    """
+    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256)))
+    classes = near_dup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id", "n_words")
+    placed = rows.select("_row", "doc_id", "_sha").hint("merge").join(classes.hint("merge"), "_row")
+    wordless = F.col("n_words") == 0
+    group = [F.when(~wordless, F.col("class_id")).alias("_class"), F.when(wordless, F.col("doc_id")).alias("_id"), F.when(wordless, F.col("_sha")).alias("_text"), wordless.alias("_wordless")]
+    first = placed.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_sha", "_row")).alias("first"))
+    stays = first.select(F.col("first._row").alias("_stays"))
+    return rows.hint("merge").join(stays.hint("merge"), F.col("_row") == F.col("_stays"), "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

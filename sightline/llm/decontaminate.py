@@ -218,7 +218,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
 
 
+def free_of(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """The rows, all columns, whose text holds no window of the items. Rows pass through as they are, so no key tells them apart."""
+    spark = docs.sparkSession
+    win = windows_of([(r["item_id"], r["text"]) for r in items.toLocalIterator()], window, shingle)
+    kinds = shingle_kinds(win, shingle)
+    prefix = prefixes(win, kinds, rarities(docs, spark.sparkContext.broadcast(kinds)) if kinds else {}, shingle)
+    sent = spark.sparkContext.broadcast((prefix, window_hashes(win), win))
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            free = np.ones(batch.num_rows, bool)
+            for w in words_of(batch.column(text)):
+                first, _ = occurring(w, *sent.value)
+                free[w.lo + w.row[first]] = False
+            yield batch.filter(pa.array(free))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows, all columns, in which no window of any item occurs. Each is judged by its own text, whatever its id."""
+    blocks = item_blocks(benchmark)
+    for b in blocks[:-1]:
+        docs = durable(free_of(docs, b, window, shingle))
+    return free_of(docs, blocks[-1], window, shingle)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The documents, all columns, in which no window of any item occurs."""
+    """The documents, all columns, without the ids of which a row holds a window of an item. Rows without an id all stay.
+
+    By id: rows that share one go together. `clean_rows` judges each row by itself.
+    """
     hit = contamination(docs, benchmark, window, shingle).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
     return docs.hint("merge").join(hit.hint("merge"), docs["doc_id"] == hit["_hit"], "left_anti")

@@ -27,3 +27,33 @@ def test_stages_against_brute_force(spark, sf):
 def test_run_has_a_row_for_each_document_kept(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() <= 200
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_judged_each(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) >= 12").first().text
+    words = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    kept = lambda df: sorted([(r.doc_id, r.text) for r in df.collect()], key=str)
+
+    rows = [(None, f"before {bench} after"), (None, "clean without an id"), (7, f"before {bench} after"), (7, "clean with a shared id"), (8, None)]
+    assert kept(corpus_pipeline.drop_contaminated(spark, frame(rows), sf)) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+    rows = [
+        (5, words("a")), (5, words("b")), (5, words("b")), (None, words("c")), (None, words("c")), (None, words("d")), (None, words("a")), (9, words("e")),
+        (2, words("e") + " more"), (None, "..."), (None, "..."), (3, "..."), (3, "..."), (3, "!"), (4, "..."), (None, None), (None, None),
+    ]
+    want = [(5, words("a")), (5, words("b")), (None, words("c")), (None, words("d")), (2, words("e") + " more"), (None, "..."), (3, "..."), (3, "!"), (4, "..."), (None, None)]
+    assert kept(corpus_pipeline.drop_near_duplicates(spark, frame(rows), sf)) == sorted(want, key=str)
+
+
+def test_clean_rows_in_several_blocks_of_items(spark, monkeypatch):
+    import sightline.llm.decontaminate as module
+    from tests.llm.test_decontaminate import data
+
+    monkeypatch.setattr(module, "BLOCK_BYTES", 400)
+    docs, items = data()
+    d = spark.createDataFrame([(a, b, 0) for a, b in docs], "doc_id long, text string, n_words int")
+    got = module.clean_rows(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert got.columns == d.columns
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted([x for x in docs if not hits([x], items)[0][5]], key=str)
