@@ -12,11 +12,11 @@ relation("region_variants", r"""
 SELECT v.site, v.variant, v.code, v.via, v.region, coalesce(s.status, 0) AS status, coalesce(s.status IN (404, 410) OR s.status >= 500 AND s.status < 600, false) AS is_dead,
        CASE WHEN v.code = 'x-default' THEN 'Global' WHEN c.name IS NOT NULL THEN c.name ELSE v.code END AS label, p.url IS NOT NULL AS in_sample
 FROM (SELECT site, variant, code, via, CASE WHEN code = 'x-default' THEN '' ELSE regexp_extract(code, r'[-_]([a-z]{2})$', 1) END AS region FROM (
-        SELECT site, code, via, variant, row_number() OVER (PARTITION BY site ORDER BY code) AS k FROM (
+        SELECT site, code, via, variant, row_number() OVER (PARTITION BY site, via ORDER BY code) AS k FROM (
           SELECT site, lower(code) AS code, 'hreflang' AS via, min(target) AS variant FROM {page_hreflang} WHERE target IS NOT NULL GROUP BY site, lower(code)
           UNION ALL
           SELECT l.site, l.code, 'path', min_by(l.target, l.page_ord * 10000 + l.pos) FROM (SELECT site, page_ord, pos, target, """ + locale("target") + r""" AS code FROM {page_links} WHERE is_internal AND target IS NOT NULL) l
-          LEFT JOIN (SELECT DISTINCT site FROM {page_hreflang}) h ON l.site = h.site WHERE h.site IS NULL AND l.code <> '' GROUP BY l.site, l.code)) WHERE k <= 40) v
+          LEFT JOIN (SELECT DISTINCT site FROM {page_hreflang}) h ON l.site = h.site WHERE h.site IS NULL AND l.code <> '' GROUP BY l.site, l.code)) WHERE via = 'hreflang' OR k <= 40) v
 LEFT JOIN {link_status} s ON v.variant = s.url LEFT JOIN {countries} c ON v.region = c.code LEFT JOIN {site_pages} p ON v.variant = p.url
 """)
 relation("region_summary", r"""

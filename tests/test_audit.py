@@ -171,3 +171,16 @@ def test_library_does_not_need_the_optional_folder():
     for f in (pathlib.Path(__file__).parents[1] / "sightline").rglob("*.py"):
         if "llm" not in f.parts:
             assert "sightline.llm" not in f.read_text(), f
+
+
+def test_every_hreflang_code_is_a_variant_and_paths_alone_are_capped(spark):
+    codes = [f"{a}-{b}" for a in ("en", "fr", "zu") for b in ("us gb in fr de es it jp cn br ca au mx nl se kr sg ae za nz".split())]
+    links = "".join(f'<link rel="alternate" hreflang="{c}" href="https://many.example/{c}/">' for c in codes)
+    paths = "".join(f'<a href="/{c}/">{c}</a>' for c in codes)
+    pages = spark.createDataFrame([(0, "https://many.example/", page("Many", WORDS, links)), (1, "https://paths.example/", page("Paths", WORDS + paths))], "page_id long, url string, html string")
+    run = audit(pages, link_status=spark.createDataFrame([("https://many.example/zu-za", 404), ("https://many.example/zu-za/", 404)], "url string, status int"), as_of="2025-06-01")
+    got = run.table("region_variants").where("site = 'many.example'").collect()
+    assert {r.code for r in got} == set(codes) and len(got) == 60
+    summary = {r.site: r for r in run.table("region_summary").collect()}
+    assert (summary["many.example"].n_variants, summary["many.example"].n_dead) == (60, 1)
+    assert summary["paths.example"].n_variants == 40
