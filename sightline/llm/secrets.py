@@ -4,8 +4,8 @@ Base spans come from three patterns (an assignment to a secret-like name, an acc
 method adds spans of its own: tokens of TOKEN_CHARS characters or more from `[A-Za-z0-9+/_=-]` whose log-likelihood
 ratio per transition, random against ordinary, is at least LIMIT. Both models are first-order Markov chains over
 characters, with add-one smoothing, counted over the whole corpus from labelled samples: the values of base spans
-are the random strings, all other words of ASCII letters, digits and `_` of 4 characters or more are the ordinary
-identifiers. A model is at most 128 x 128 transitions, so it goes into the plan as a literal.
+are the random strings, all other words of ASCII letters, digits and `_` of 4 characters or more, of any length and as
+written and in capitals, are the ordinary identifiers. The ratio alone decides; a token needs no digit. A model is at most 128 x 128 transitions, so it goes into the plan as a literal.
 
 All of it is DataFrame functions. A span is (kind, start, end) in code points, end exclusive. Positions come from
 matches that take in what stands before them, so that lengths add up to places; only texts that hold a match at all are
@@ -86,8 +86,12 @@ def train(docs: DataFrame) -> list[float] | None:
     random = counted(values.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")))
     if not random:
         return None
-    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z][A-Za-z0-9_]{3,18})(?![A-Za-z0-9_])"), F.lit(1))).alias("word"))
+    free = text
+    for _, pattern, enough, least in KINDS:  # values of base spans are no ordinary words
+        free = F.when(text.rlike(enough), F.regexp_replace(free, pattern, " ")).otherwise(free)
+    words = docs.select(F.explode(F.regexp_extract_all(free, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z][A-Za-z0-9_]{3,})(?![A-Za-z0-9_])"), F.lit(1))).alias("word"))
     words = words.groupBy("word").agg(F.count("*").alias("n"))
+    words = words.select("n", F.explode(F.array_distinct(F.array("word", F.upper("word")))).alias("word"))
     pairs = words.select("n", F.explode(transitions(F.array("word"))).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
     return log_ratio(random, {r["pair"]: r["n"] for r in pairs.collect()})
 
@@ -107,7 +111,7 @@ def scanned(docs: DataFrame, model: list[float] | None = None, limit: float = LI
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
     tokens = matches(F.col("text"), len(KINDS), TOKEN, TOKEN, TOKEN_CHARS)
     free = F.filter(tokens, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    added = F.filter(free, lambda t: (score(t["value"], table) >= limit) & t["value"].rlike("[0-9]"))
+    added = F.filter(free, lambda t: score(t["value"], table) >= limit)
     return rows.select("doc_id", "base", added.alias("added"))
 
 

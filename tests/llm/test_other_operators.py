@@ -143,3 +143,18 @@ def test_neighbours_recall_order_and_ties(spark, sf_small):
     assert found >= 0.9 * 10 * len(got)
     assert [h[1] for h in got[100]] == list(range(5000, 5010))
     assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_keys_of_letters_alone_are_random_and_long_identifiers_are_not(spark, sf_small):
+    import random
+    import string
+
+    rng = random.Random(2)
+    key = lambda n, of=string.ascii_letters: "".join(rng.choice(of) for _ in range(n))
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    extra = [(10**6 + i, f"the token={key(40, string.ascii_letters + string.digits)} is used there") for i in range(60)]
+    model = train(docs.union(spark.createDataFrame(extra, "doc_id long, text string")))
+    names = ["internationalisation_of_everything", "internationalisationOfEverythingHere", "INTERNATIONAL_CONNECTION_SETTINGS", "path/to/the/other/documents/there", "--------------------------------", "________________________"]
+    probe = spark.createDataFrame([(i, f"and then {key(n)} was seen") for i, n in enumerate([20, 24, 32, 40] * 5)] + [(100 + i, f"the {n} is") for i, n in enumerate(names)], "doc_id long, text string")
+    rows = {r.doc_id: len(r.added) for r in scanned(probe, model).collect()}
+    assert [i for i in range(20) if rows[i] != 1] == [] and [n for i, n in enumerate(names) if rows[100 + i]] == []
