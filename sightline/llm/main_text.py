@@ -4,7 +4,8 @@ Three steps. (1) Each page is read into blocks, and each of its containers (elem
 the length of its own text blocks, how little of that is link text, and its sentences. (2) Containers vote in Spark:
 their generalised tag-class paths (class names with digits folded, no ids, no positions) are summed per host, and the
 path with the most score wins, so that a host's odd page follows the layout of the others. (3) The page is read again
-and the blocks under the winning path are its text; a page without the path uses its own best container.
+and the blocks under the winning path are its text, from the outermost article around it on, or the outermost main
+where no article is; elsewhere from the outermost container that has sentences of its own beside it. A page without the path uses its own best container.
 
 Only (host, path) sums are shuffled, after partial sums in each task; the page itself is never moved. The winning paths
 are one row a host; they go to the pages by a broadcast join if there are at most WINNERS of them, else by a shuffle.
@@ -187,6 +188,16 @@ def under(blocks: list[Block], path: tuple[str, ...]) -> str:
     return "\n".join(b.text for b in blocks if b.path[: len(path)] == path)
 
 
+def outermost(blocks: list[Block], path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path that the article begins at: a container in it may outweigh it, which has less of what lies deeper."""
+    for name in ("article", "main"):
+        for depth, step in enumerate(path, 1):
+            if step.split(".")[0] == name:
+                return path[:depth]
+    own = {len(b.path) for b in blocks if len(b.path) < len(path) and b.path == path[: len(b.path)] and not b.heading and 2 * b.link_chars <= len(b.text) and SENTENCE.search(b.text)}
+    return path[: min(own)] if own else path
+
+
 def host() -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -223,10 +234,11 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = []
             for page, path in zip(batch.column(2), batch.column(3).to_pylist()):
                 blocks = blocks_of(page.as_py())
-                text = under(blocks, tuple((path or "").split())) if path else ""
+                path = tuple((path or "").split())
+                text = under(blocks, outermost(blocks, path)) if path and any(b.path[: len(path)] == path for b in blocks) else ""
                 if not text and blocks:  # the host's path is not in this page
                     scores = container_scores(blocks)
-                    text = under(blocks, max(scores, key=lambda p: (scores[p], p)) if scores else ())
+                    text = under(blocks, outermost(blocks, max(scores, key=lambda p: (scores[p], p))) if scores else ())
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

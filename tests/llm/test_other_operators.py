@@ -158,3 +158,12 @@ def test_keys_of_letters_alone_are_random_and_long_identifiers_are_not(spark, sf
     probe = spark.createDataFrame([(i, f"and then {key(n)} was seen") for i, n in enumerate([20, 24, 32, 40] * 5)] + [(100 + i, f"the {n} is") for i, n in enumerate(names)], "doc_id long, text string")
     rows = {r.doc_id: len(r.added) for r in scanned(probe, model).collect()}
     assert [i for i in range(20) if rows[i] != 1] == [] and [n for i, n in enumerate(names) if rows[100 + i]] == []
+
+
+def test_text_beside_nested_containers_stays(spark):
+    long = "A long sentence of the part, which goes on and on. " * 12
+    inner = [f"<section><p>{long}</p></section><section><p>{long}</p></section>", f"<div class=part><p>{long}</p></div>", f"<table><tr><td><p>{long}</p></td></tr></table>"]
+    for tag in ("article", "main", "div class=post"):
+        pages = [f"<body><nav>Menu. Here.</nav><{tag}><h1>Title</h1><p>The intro is short.</p>{x}<p>The end is short.</p></{tag.split()[0]}><footer>Foot. Line.</footer></body>" for x in inner]
+        for i, text in enumerate(page_text(spark, [(f"http://n{i}.org/x", p) for i, p in enumerate(pages)])):
+            assert text.split("\n") == ["Title", "The intro is short.", *[long.strip()] * (2 if i == 0 else 1), "The end is short."], (tag, i)
