@@ -14,8 +14,9 @@ The share is high because nothing is assumed about the data: of evenly spread di
 thousand are hardly nearer than the rest, and a smaller share loses recall (see README).
 
 Defined cases: rows whose id or vector is null, whose vector is zero or empty or holds null or non-finite components
-take no part; vectors of other lengths than the query's are no candidates; rows that repeat an id are never a
-neighbour of themselves; a query without candidates has no row; an empty table gives an empty result; columns beyond
+take no part; vectors of other lengths than the query's are no candidates; rows that repeat an id and a vector count
+once; an id with several vectors is one neighbour, as far as the nearest of them, and never a neighbour of itself; a
+query id with several vectors has the nearest of all of them; a query without candidates has no row; an empty table gives an empty result; columns beyond
 vec_id and embedding play no part.
 """
 
@@ -55,7 +56,7 @@ def hashes_of(x: np.ndarray, trees: int) -> np.ndarray:
 
 def index(vectors: DataFrame, trees: int = TREES) -> DataFrame:
     """The forest as a table, one row a shard: ids, vectors, and each tree's sorted hashes with their places."""
-    rows = usable(vectors)
+    rows = durable(usable(vectors).distinct())
     shards = rows.groupBy("dim").agg(F.ceil(F.count("*") / float(SHARD_ROWS)).cast("int").alias("shards"))
     dealt = rows.join(F.broadcast(shards), "dim") if shards.count() <= 10_000 else rows.join(shards.hint("merge"), "dim")
 
@@ -120,11 +121,18 @@ def search(forest: DataFrame, queries: DataFrame, k: int, trees: int = TREES) ->
                 ids, x, h, places = (np.frombuffer(b.as_buffer(), t) for b, t in zip(raw, (np.int64, np.float64, np.uint64, np.int32)))
                 x, h, places = x.reshape(len(ids), dim.as_py()), h.reshape(trees, -1), places.reshape(trees, -1)
                 q = np.array([a["v"] for a in asked], np.float64)
+                repeated = len(np.unique(ids)) < len(ids)
                 enough = min(len(ids), max(LEAST, int(np.ceil(SHARE * len(ids)))))
                 rows = []
                 for a, v, c in zip(asked, q, candidates(h, places, hashes_of(q, trees), enough)):
                     c = c[ids[c] != a["query_id"]]
+                    if repeated and len(np.unique(ids[c])) < k:  # a few ids fill the candidates
+                        c = np.flatnonzero(ids != a["query_id"])
                     d = np.sqrt(((x[c] - v) ** 2).sum(1))
+                    if repeated:  # the nearest row of each id
+                        order = np.lexsort((d, ids[c]))
+                        order = order[np.unique(ids[c][order], return_index=True)[1]]
+                        c, d = c[order], d[order]
                     if len(c) > k:  # all that tie with the k-th stay
                         near = d <= np.partition(d, k - 1)[k - 1]
                         c, d = c[near], d[near]
@@ -133,7 +141,7 @@ def search(forest: DataFrame, queries: DataFrame, k: int, trees: int = TREES) ->
                 cols = list(zip(*rows)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = both.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
+    found = both.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

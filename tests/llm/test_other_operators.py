@@ -167,3 +167,13 @@ def test_text_beside_nested_containers_stays(spark):
         pages = [f"<body><nav>Menu. Here.</nav><{tag}><h1>Title</h1><p>The intro is short.</p>{x}<p>The end is short.</p></{tag.split()[0]}><footer>Foot. Line.</footer></body>" for x in inner]
         for i, text in enumerate(page_text(spark, [(f"http://n{i}.org/x", p) for i, p in enumerate(pages)])):
             assert text.split("\n") == ["Title", "The intro is short.", *[long.strip()] * (2 if i == 0 else 1), "The end is short."], (tag, i)
+
+
+def test_repeated_rows_leave_the_other_neighbours(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(12) for _ in range(10)] + [(3, [300.0 + j, 1.0]) for j in range(15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in nearest(df, df.where("vec_id = 0")).collect())
+    assert got == [(i, i, float(i)) for i in range(1, 11)]
+    far = spark.createDataFrame(rows + [(50, [301.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in nearest(far, far.where("vec_id = 50")).collect())
+    assert got[0] == (1, 3, 0.0) and [g[1] for g in got] == [3, 11, 10, 9, 8, 7, 6, 5, 4, 2]
