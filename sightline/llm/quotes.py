@@ -3,7 +3,8 @@
 A line that begins with `>` marks is quoted, as deep as it has marks (`> > x` and `>> x` are level 2). A passage is a run of
 quoted lines of one level; blank quoted lines end it. Passages and messages are normalised (lower case, letters and
 digits only, one space between) and hashed; a passage of MIN_WORDS words or more links to the latest earlier turn of the
-same conversation whose whole body, or one of whose paragraphs or lines, has the same hash. The parent of a turn is
+same conversation whose whole body, or one of whose paragraphs, lines or runs of as many lines as the passage has, has
+the same hash; a shorter passage links to whole bodies alone. Lines without words don't count in a run. The parent of a turn is
 the source of its shallowest linked passage, the first of equals; without one, it is the next smaller turn. Depth
 and root follow from the parents by doubling joins.
 
@@ -43,6 +44,11 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(normal(text), " "), lambda w: w != ""))
 
 
+def worded(text: Column) -> Column:
+    """The normalised lines of a text that have words."""
+    return F.filter(F.transform(F.split(text, "\n"), normal), lambda x: x != "")
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """The messages with `body` (text without quoted lines) and `passages` (array of level, text in order)."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -73,13 +79,22 @@ def parsed(messages: DataFrame) -> DataFrame:
 def linked(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, level, pos, source): each quoted passage with the turn that it comes from."""
     quotes = rows.where("size(passages) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("passages").alias("pos", "p"))
-    quotes = quotes.where(words(F.col("p.text")) >= MIN_WORDS).select("conv_id", "turn", "pos", "p.level", hashed(F.col("p.text")).alias("hash"))
-    asked = durable(quotes)
-    units = F.array_distinct(F.concat(F.array("body"), F.split("body", r"\n\s*\n"), F.split("body", "\n")))
-    here = rows.hint("merge").join(asked.select("conv_id").distinct().hint("merge"), "conv_id", "left_semi")
-    sources = here.select("conv_id", F.col("turn").alias("at"), F.explode(F.array_distinct(F.transform(units, hashed))).alias("hash")).distinct()
-    found = asked.hint("merge").join(sources.hint("merge"), ["conv_id", "hash"]).where("at < turn")
-    return found.groupBy("conv_id", "turn", "level", "pos").agg(F.max("at").alias("source"))
+    quotes = quotes.select("conv_id", "turn", "pos", "p.level", hashed(F.col("p.text")).alias("hash"), words(F.col("p.text")).alias("n_words"), F.size(worded(F.col("p.text"))).alias("n_lines"))
+    asked = durable(quotes.where("n_words > 0"))
+    lengths = asked.where(F.col("n_words") >= MIN_WORDS).groupBy("conv_id").agg(F.collect_set("n_lines").alias("lengths"))
+    lengths = asked.select("conv_id").distinct().hint("merge").join(lengths.hint("merge"), "conv_id", "left")
+    here = rows.hint("merge").join(lengths.hint("merge"), "conv_id").withColumn("lines", worded(F.col("body")))
+    fit = F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.size("lines"))
+    runs = F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.size("lines") - n + 1), lambda i: F.array_join(F.slice("lines", i, n), "\n"))))
+    units = F.array_distinct(F.concat(F.split("body", r"\n\s*\n"), F.split("body", "\n"), runs))
+    whole = hashed(F.col("body"))
+    parts = here.where("turn is not null").select("conv_id", F.col("turn").alias("at"), whole.alias("whole"), F.explode(F.array_distinct(F.concat(F.array(whole), F.transform(units, hashed)))).alias("hash"))
+    sources = parts.select("conv_id", F.col("at").alias("turn"), "hash", "at", F.when(F.col("hash") == F.col("whole"), F.col("at")).alias("whole_at"))
+    # Each passage looks back over the sources of its hash, so that a common one makes no pairs.
+    earlier = W.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    both = asked.select("conv_id", "turn", "hash", "level", "pos", "n_words").unionByName(sources, allowMissingColumns=True)
+    both = both.withColumn("source", F.when(F.col("n_words") >= MIN_WORDS, F.max("at").over(earlier)).otherwise(F.max("whole_at").over(earlier)))
+    return both.where("pos is not null and source is not null").groupBy("conv_id", "turn", "level", "pos").agg(F.max("source").alias("source"))
 
 
 def previous(turns: DataFrame) -> DataFrame:

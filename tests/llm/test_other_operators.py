@@ -177,3 +177,13 @@ def test_repeated_rows_leave_the_other_neighbours(spark):
     far = spark.createDataFrame(rows + [(50, [301.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r["rank"], r.vec_id, r.score) for r in nearest(far, far.where("vec_id = 50")).collect())
     assert got[0] == (1, 3, 0.0) and [g[1] for g in got] == [3, 11, 10, 9, 8, 7, 6, 5, 4, 2]
+
+
+def test_parts_of_paragraphs_and_short_messages_link(spark):
+    rows = [
+        (1, 0, "Line one of it.\nLine two of it.\nLine three of it.\nLine four of it."), (1, 1, "Fine by me.\n\nSecond part here.\n\nThird part here."), (1, 2, "Yes!"), (1, 3, "Other."),
+        (1, 4, "> Line two of it.\n> Line three of it.\nHow so?"), (1, 5, "> Second part here.\n> Third part here.\nGood."), (1, 6, "> yes\nSure?"), (1, 7, "> Line one of it.\n> Line three of it.\nNot in a row."), (1, 8, "> me\nNo whole message."),
+    ]
+    df = spark.createDataFrame([(a, b, "user", c) for a, b, c in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.parent_turn for r in reply_ordered(df).collect()}
+    assert got == {0: None, 1: 0, 2: 1, 3: 2, 4: 0, 5: 1, 6: 2, 7: 6, 8: 7}
