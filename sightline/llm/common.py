@@ -13,24 +13,57 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local one if Spark runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
     return sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
     """`df` written once to the shared folder and read back.
 
-    Later steps neither recompute it nor depend on an executor that may be lost, and Spark knows its true size.
+    Later steps neither recompute it nor depend on an executor that may be lost, and Spark knows its true size. The
+    tables of an application lie in one folder until `drop_tables` or the cluster's clean-up.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes all that `durable` has written in this application. DataFrames made from it can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end, Arrow's spare memory goes back to the system, as Spark keeps its Python workers."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Each group of rows with equal first `keys` (integer) columns, of batches that are sorted by these."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-2], cuts[1:-1]):
+            yield batch.slice(lo, hi - lo)
+        rest = batch.slice(cuts[-2])
+    if rest is not None:
+        yield rest
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns of any name stay out of joins."""
     return df.select(*[F.col(c) for c in columns])

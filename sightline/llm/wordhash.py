@@ -16,7 +16,7 @@ from .common import spans_of, text_buffer
 
 SEPARATOR = 0
 #: Bytes handled at once; bounds the memory of the arrays below at about 60 bytes for each.
-CHUNK = 1_000_000
+CHUNK = 400_000
 
 
 def _table() -> np.ndarray:
@@ -49,12 +49,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            _powers[i] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
+    """At least n powers of the base and of its inverse; those that a text beyond a chunk needs are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    out = []
+    for base in (_BASE, _INVERSE):
+        x = np.full(max(n, CHUNK + 1), base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    if n <= CHUNK + 1:
+        _powers[:] = out
+    return out[0], out[1]
 
 
 @dataclass
@@ -70,10 +75,11 @@ class Words:
     row: np.ndarray  # from lo
     first: np.ndarray  # index of each row's first word, and the number of words at the end
     total: np.ndarray  # running sums of which the hash of any stretch of bytes is made
+    inverse: np.ndarray  # powers that move a stretch to the beginning
 
     def stretch(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hashes of the bytes a..b-1."""
-        return mix((self.total[b] - self.total[a]) * _powers[1][a] + (b - a).astype(np.uint64))
+        return mix((self.total[b] - self.total[a]) * self.inverse[a] + (b - a).astype(np.uint64))
 
     def text(self, a: int, b: int) -> bytes:
         """Words a..b-1, joined by a space."""
@@ -100,7 +106,7 @@ def words_of(column: pa.Array, chunk: int = CHUNK) -> Iterator[Words]:
         h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
         first = np.searchsorted(start, off, side="left")
         row = np.repeat(np.arange(hi - lo), np.diff(first))
-        yield Words(lo, hi, a, start, end, h, row, first, total)
+        yield Words(lo, hi, a, start, end, h, row, first, total, inverse)
 
 
 def joined(h: np.ndarray, size: int) -> np.ndarray:
