@@ -1,23 +1,25 @@
 """Reversible line deduplication: sharded cuckoo filters backed by exact reference-count tables.
 
-State is two tables that Spark keeps sharded by line key:
+A `LineStore` is three tables:
 
-* references `(shard, k1, k2, doc_id)`: one row for each document that holds a line key (exact; 128-bit keys).
+* references `(k1, k2, doc_id)`: one row for each document that holds a line key (exact; 128-bit keys).
+* counts `(shard, k1, k2, n, smallest)`: how many documents hold each key, and the smallest of them.
 * filters `(shard, n_keys, data)`: for each shard a cuckoo filter of the keys that two or more documents hold.
 
-`insert` adds documents, `delete` takes documents out again; both touch only the shards of the keys concerned, and
-deleting what was inserted gives the state from before. `duplicates` asks the filters first and lets the exact table
-decide, so a false positive of a filter never drops a line.
+`insert` adds documents, `delete` takes documents out again; counts and filters change only for the keys concerned, and
+deleting what was inserted gives the state from before. `duplicates` asks the filters first and lets the exact counts
+decide, so a false positive of a filter never drops a line. Keys go to the filter of their shard in a shuffle, whatever
+the number and size of the filters; a store that grows is dealt to more shards.
 
 Defined cases: a null or empty text is one empty line; keys under `min_chars` code points are never dropped; a null
 doc_id holds no key and loses no line; rows that repeat a doc_id count as one document; an empty table gives an empty
-result; columns beyond doc_id and text play no part.
+result; columns beyond doc_id and text are kept as they are, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import durable, only, slices
+from .common import durable, freed, groups, only, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
-#: Keys of a shard, about; the number of shards follows the number of keys.
+#: References of a shard, about; a store with more than twice so many is dealt to more shards.
 SHARD_KEYS = 50_000
-#: Bytes of filters that may be sent to every executor; beyond, all occurrences go to the exact join.
-FILTER_BYTES = 32_000_000
+#: Parts that the references may consist of before they are written anew as one.
+PARTS = 8
 
 
 def line_keys(text: str | None, min_chars: int = MIN_CHARS) -> tuple[list[bytes], list[bytes | None]]:
@@ -132,7 +134,7 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, doc_id): each key of each document row once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(freed(batches)):
             keys, ids = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = {k for k in line_keys(text.as_py(), min_chars)[1] if k is not None}
@@ -144,49 +146,103 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return only(docs.where(F.col("doc_id").isNotNull()), "doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long")
 
 
-def counted(references: DataFrame) -> DataFrame:
-    """(k1, k2, smallest, largest) of each key; more than one document holds it just if the two differ.
+def shard_of(shards: int) -> F.Column:
+    return F.pmod(F.shiftrightunsigned("k1", 8), F.lit(shards)).cast("int")
+
+
+def counted(references: DataFrame, shards: int) -> DataFrame:
+    """(shard, k1, k2, n, smallest) of each key. Partial aggregates reduce a line in a third of all documents before the shuffle."""
+    return references.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("smallest")).select(shard_of(shards).alias("shard"), "k1", "k2", "n", "smallest")
+
+
+def filters_of(counts: DataFrame) -> DataFrame:
+    """(shard, n_keys, data): a cuckoo filter of each shard's shared keys; shards hold about as many keys each, at any size of the input."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in groups(freed(batches), 1):
+            k1, k2 = (np.ascontiguousarray(own.column(i).to_numpy()) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([own.column(0).slice(0, 1), pa.array([len(k1)], pa.int64()), pa.array([built(k1, k2).to_bytes()], pa.binary())], ["shard", "n_keys", "data"])
+
+    shared = counts.where("n > 1").select("shard", "k1", "k2")
+    return shared.repartition("shard").sortWithinPartitions("shard", "k1", "k2").mapInArrow(build, "shard int, n_keys long, data binary")
 
-    Both are partial aggregates, so a line in a third of all documents is reduced before the shuffle.
-    """
-    return references.groupBy("k1", "k2").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"))
+
+def screened(keys: DataFrame, filters: DataFrame) -> DataFrame:
+    """Those of `keys` (shard, k1, k2) that the filter of their shard knows. Within a shard, the filter comes first."""
+    none = F.lit(None).cast("long")
+    first = filters.select("shard", F.lit(0).alias("turn"), none.alias("k1"), none.alias("k2"), "data")
+    both = first.unionByName(keys.select("shard", F.lit(1).alias("turn"), "k1", "k2", F.lit(None).cast("binary").alias("data")))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for batch in freed(batches):
+            shard, turn = (batch.column(i).to_numpy() for i in (0, 1))
+            keep = np.zeros(len(shard), bool)
+            for lo, hi in zip(*runs(shard * 2 + turn)):
+                if turn[lo] == 0:
+                    at, own = shard[lo], CuckooFilter.from_bytes(batch.column(4)[lo].as_py())
+                elif shard[lo] == at:
+                    keep[lo:hi] = own.contains(*(np.ascontiguousarray(batch.column(i).slice(lo, hi - lo).to_numpy()) for i in (2, 3)))
+            yield batch.select([2, 3]).filter(pa.array(keep))
+
+    return both.repartition("shard").sortWithinPartitions("shard", "turn").mapInArrow(probe, "k1 long, k2 long")
+
+
+def runs(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of equal values."""
+    cuts = (np.flatnonzero(np.diff(x)) + 1).tolist()
+    return [0, *cuts][: len(x)], [*cuts, len(x)][: max(1, len(cuts) + 1)]
 
 
 @dataclass
 class LineStore:
-    """References and filters of the documents inserted so far."""
+    """References, counts and filters of the documents inserted so far."""
 
-    references: DataFrame  # shard, k1, k2, doc_id
+    references: DataFrame  # k1, k2, doc_id
+    counts: DataFrame  # shard, k1, k2, n, smallest
     filters: DataFrame  # shard, n_keys, data
     shards: int
+    size: int  # references
     min_chars: int = MIN_CHARS
+    parts: int = 1  # that the references consist of
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineStore:
-        keys = occurrences(docs, min_chars).distinct()
-        references = durable(keys)
-        shards = max(1, -(-references.count() // SHARD_KEYS))
-        references = references.withColumn("shard", shard_of(shards))
-        return cls(references, durable(filters_of(shared_keys(references, shards))), shards, min_chars)
+        return cls.of(durable(occurrences(docs, min_chars).distinct()), min_chars)
+
+    @classmethod
+    def of(cls, references: DataFrame, min_chars: int) -> LineStore:
+        """A store of references that are written already."""
+        size = references.count()
+        shards = max(1, -(-size // SHARD_KEYS))
+        counts = durable(counted(references, shards))
+        return cls(references, counts, durable(filters_of(counts)), shards, size, min_chars)
 
     def insert(self, docs: DataFrame) -> LineStore:
-        new = occurrences(docs, self.min_chars).distinct().withColumn("shard", shard_of(self.shards))
-        new = durable(new.join(self.references, ["shard", "k1", "k2", "doc_id"], "left_anti"))
-        return self._changed(self.references.unionByName(new), new)
+        found = durable(occurrences(docs, self.min_chars).distinct())
+        new = durable(found.hint("merge").join(self.references.hint("merge"), ["k1", "k2", "doc_id"], "left_anti"))
+        return self._changed(self.references.unionByName(new), new, self.size + new.count())
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
         """Takes the documents with the ids in `doc_ids.doc_id` out again."""
-        gone = only(doc_ids, "doc_id").distinct()
-        rest = self.references.join(gone, "doc_id", "left_anti").select(*self.references.columns)
-        return self._changed(rest, self.references.join(gone, "doc_id", "left_semi").select(*self.references.columns))
-
-    def _changed(self, references: DataFrame, touched: DataFrame) -> LineStore:
-        """Filters follow the keys whose count crossed two; other entries stay as they are."""
-        keys = touched.select("k1", "k2").distinct()
-        here = lambda refs: shared_keys(refs.join(keys, ["k1", "k2"], "left_semi"), self.shards)
-        references = durable(references)
-        was, now = here(self.references).withColumn("add", F.lit(-1)), here(references).withColumn("add", F.lit(1))
-        delta = was.unionByName(now).groupBy("shard", "k1", "k2").agg(F.sum("add").alias("add")).where("add <> 0")
+        ids = durable(only(doc_ids, "doc_id").where("doc_id is not null").distinct())
+        gone = durable(self.references.hint("merge").join(ids.hint("merge"), "doc_id", "left_semi").select("k1", "k2", "doc_id"))
+        rest = self.references.hint("merge").join(ids.hint("merge"), "doc_id", "left_anti").select("k1", "k2", "doc_id")
+        return self._changed(rest, gone, self.size - gone.count())
+
+    def _changed(self, references: DataFrame, touched: DataFrame, size: int) -> LineStore:
+        """Counts follow the keys that were touched, filters those of them whose count crossed two."""
+        parts = self.parts + 1
+        if parts > PARTS or size > 2 * SHARD_KEYS * self.shards:
+            references, parts = durable(references), 1
+        if size > 2 * SHARD_KEYS * self.shards:
+            return LineStore.of(references, self.min_chars)
+        keys = durable(touched.select("k1", "k2").distinct())
+        here = lambda df, how: df.hint("merge").join(keys.hint("merge"), ["k1", "k2"], how)
+        now = durable(counted(here(references, "left_semi"), self.shards))
+        was = here(self.counts, "left_semi").where("n > 1").select("shard", "k1", "k2", F.lit(-1).alias("add"))
+        delta = was.unionByName(now.where("n > 1").select("shard", "k1", "k2", F.lit(1).alias("add"))).groupBy("shard", "k1", "k2").agg(F.sum("add").alias("add")).where("add <> 0")
+        counts = durable(here(self.counts, "left_anti").select("shard", "k1", "k2", "n", "smallest").unionByName(now))
 
         def apply(key, old, changes):
             import pandas as pd
@@ -200,68 +256,31 @@ class LineStore:
 
         changed = durable(self.filters.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(apply, "shard int, n_keys long, data binary, full boolean"))
         full = changed.where("full").select("shard")
-        rebuilt = filters_of(shared_keys(references.join(full, "shard", "left_semi").select(*references.columns), self.shards))
-        return LineStore(references, durable(changed.where("not full").drop("full").unionByName(rebuilt)), self.shards, self.min_chars)
-
-    def duplicates(self, docs: DataFrame) -> DataFrame:
-        return dropped(occurrences(docs, self.min_chars), counted(self.references), self.filters, self.shards)
-
-
-def shard_of(shards: int):
-    return F.pmod(F.shiftrightunsigned("k1", 8), F.lit(shards)).cast("int")
-
-
-def shared_keys(references: DataFrame, shards: int) -> DataFrame:
-    return counted(references).where("smallest <> largest").select(shard_of(shards).alias("shard"), "k1", "k2")
-
-
-def filters_of(keys: DataFrame) -> DataFrame:
-    """A cuckoo filter for each shard; shards hold about as many keys each, at any size of the input."""
-
-    def build(pdf):
-        import pandas as pd
-
-        k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n_keys": [len(k1)], "data": [built(k1, k2).to_bytes()]})
-
-    return keys.groupBy("shard").applyInPandas(build, "shard int, n_keys long, data binary")
-
-
-def dropped(found: DataFrame, counts: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, k1, k2) of the occurrences to drop: the key is shared, and a smaller doc_id holds it."""
-    spark = found.sparkSession
-    size = filters.agg(F.sum(F.length("data"))).first()[0] or 0
-    if size <= FILTER_BYTES:
-        tables = spark.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in filters.select("shard", "data").toLocalIterator()})
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own: dict[int, CuckooFilter] = {}
-            for batch in batches:
-                k1, k2 = (np.ascontiguousarray(batch.column(i).to_numpy()) for i in (0, 1))
-                shard = ((k1.view(np.uint64) >> np.uint64(8)).astype(np.int64)) % shards
-                keep = np.zeros(len(k1), bool)
-                for s in np.unique(shard).tolist():
-                    if s in tables.value:
-                        if s not in own:
-                            own[s] = CuckooFilter.from_bytes(tables.value[s])
-                        at = np.flatnonzero(shard == s)
-                        keep[at] = own[s].contains(k1[at], k2[at])
-                yield batch.filter(pa.array(keep))
+        rebuilt = filters_of(counts.hint("merge").join(full.hint("merge"), "shard", "left_semi").select(*counts.columns))
+        filters = durable(changed.where("not full").drop("full").unionByName(rebuilt))
+        return replace(self, references=references, counts=counts, filters=filters, size=size, parts=parts)
 
-        found = found.mapInArrow(probe, found.schema)
-    shared = counts.where("smallest <> largest").select("k1", "k2", "smallest")
-    return found.hint("merge").join(shared.hint("merge"), ["k1", "k2"]).where("doc_id > smallest").select("doc_id", "k1", "k2")
+    def duplicates(self, docs: DataFrame | None = None) -> DataFrame:
+        """(doc_id, k1, k2) of the occurrences in `docs` (or all that were inserted) to drop: a smaller doc_id holds the key too."""
+        found = self.references if docs is None else durable(occurrences(docs, self.min_chars).distinct())
+        keys = self.counts if docs is None else found.select("k1", "k2").distinct().withColumn("shard", shard_of(self.shards))
+        known = screened(keys.select("shard", "k1", "k2"), self.filters)
+        shared = durable(self.counts.where("n > 1").select("k1", "k2", "smallest").hint("merge").join(known.hint("merge"), ["k1", "k2"], "left_semi"))
+        return found.hint("merge").join(shared.hint("merge"), ["k1", "k2"]).where("doc_id > smallest").select("doc_id", "k1", "k2")
 
 
 def rewritten(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Columns of `docs` with text replaced, plus n_lines and n_dropped. `drops`: (doc_id, k1, k2)."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
+    mark = "_" * (1 + max(map(len, docs.columns)))  # begins no column of docs
+    own, gone = f"{mark}id", f"{mark}keys"
     packed = F.expr("concat(lpad(hex(k1), 16, '0'), lpad(hex(k2), 16, '0'))")
-    by_doc = drops.groupBy("doc_id").agg(F.collect_set(packed).alias("_keys")).withColumnRenamed("doc_id", "_id")
-    both = docs.join(by_doc.hint("shuffle_hash"), docs["doc_id"] == by_doc["_id"], "left").drop("_id")
+    by_doc = drops.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(packed).alias(gone))
+    both = docs.join(by_doc.hint("shuffle_hash"), F.col("doc_id") == F.col(own), "left").select(*docs.columns, gone)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(freed(batches)):
             texts, n_lines, n_dropped = [], [], []
             for text, gone in zip(batch.column(at), batch.column(batch.num_columns - 1)):
                 text, gone = text.as_py(), gone.as_py()
@@ -287,10 +306,6 @@ def rewritten(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) ->
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without lines that a smaller doc_id holds too; also n_lines (before) and n_dropped.
 
-    Inserts the documents into an empty store, then asks it for their duplicates. References are needed here only as
-    counts, so they are reduced to one row a key before the shuffle.
+    The documents are inserted into an empty store, which is then asked for its duplicates.
     """
-    counts = durable(counted(occurrences(docs, min_chars)).where("smallest <> largest").select("k1", "k2", "smallest", "largest"))
-    shards = max(1, -(-counts.count() // SHARD_KEYS))
-    filters = durable(filters_of(counts.select(shard_of(shards).alias("shard"), "k1", "k2")))
-    return rewritten(docs, dropped(occurrences(docs, min_chars), counts, filters, shards), min_chars)
+    return rewritten(docs, LineStore.build(docs, min_chars).duplicates(), min_chars)

@@ -30,11 +30,15 @@ ROWS = [
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(a, b, "clash", 1) for a, b in rows], "doc_id long, text string, k1 string, n_lines int").select("doc_id", "text")
+    """With columns whose names clash with the operator's own."""
+    return spark.createDataFrame([(a, "clash", b, 1, 2, "x", 3, 4) for a, b in rows], "doc_id long, k1 string, text string, n_lines int, N_DROPPED int, _keys string, shard int, _id long")
 
 
 def test_against_brute_force(spark):
-    out = dedup_lines(frame(spark, ROWS)).collect()
+    out = dedup_lines(frame(spark, ROWS))
+    assert out.columns == ["doc_id", "k1", "text", "_keys", "shard", "_id", "n_lines", "n_dropped"]
+    out = out.collect()
+    assert {(r.k1, r._keys, r.shard, r._id) for r in out} == {("clash", "x", 3, 4)}
     got = sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in out], key=str)
     assert got == brute(ROWS)
 
@@ -52,8 +56,9 @@ def test_deleting_what_was_inserted_restores_the_store(spark):
 
     def state(store):
         refs = sorted((r.k1, r.k2, r.doc_id) for r in store.references.collect())
+        counts = sorted(tuple(r) for r in store.counts.collect())
         filters = {r.shard: r.n_keys for r in store.filters.collect() if r.n_keys}
-        return refs, filters
+        return refs, counts, filters, store.size
 
     assert state(back) == state(start)
     assert state(grown) != state(start)
@@ -63,6 +68,23 @@ def test_deleting_what_was_inserted_restores_the_store(spark):
     assert texts(rewritten(frame(spark, base), back.duplicates(frame(spark, base)))) == texts(dedup_lines(frame(spark, base)))
 
 
+def test_a_store_begun_with_one_row_grows_to_more_shards(spark, monkeypatch):
+    import sightline.llm.line_dedup as module
+
+    monkeypatch.setattr(module, "SHARD_KEYS", 20)
+    monkeypatch.setattr(module, "PARTS", 2)
+    rows = [(i, "\n".join(f"a line numbered {(i * j) % 37}" for j in range(1, 12))) for i in range(1, 25)]
+    store = LineStore.build(frame(spark, rows[:1]))
+    assert store.shards == 1
+    for lo in (1, 7, 13, 19):
+        store = store.insert(frame(spark, rows[lo : lo + 6]))
+    store = store.delete(frame(spark, rows[5:8]).select("doc_id"))
+    left = rows[:5] + rows[8:24]
+    assert store.shards > 3 and store.size == store.references.count() <= 2 * 20 * store.shards
+    got = rewritten(frame(spark, left), store.duplicates()).collect()
+    assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got], key=str) == brute(left)
+
+
 def test_cuckoo_filter_has_no_false_negative_and_few_false_positives():
     rng = np.random.default_rng(1)
     k = rng.integers(-(2**63), 2**63 - 1, (2, 20_000))
