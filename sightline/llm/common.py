@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,9 +44,11 @@ def drop_tables(spark: SparkSession) -> None:
 
 
 def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; at their end, Arrow's spare memory goes back to the system, as Spark keeps its Python workers."""
+    """The batches; at their end, spare memory goes back to the system, as Spark keeps its Python workers for later stages."""
     yield from batches
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:

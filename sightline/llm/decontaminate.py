@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, only
+from .common import durable, freed, only
 from .wordhash import joined, words_of
 
 WINDOW, SHINGLE = 10, 5
@@ -89,7 +89,7 @@ def rarities(docs: DataFrame, kinds) -> dict[tuple[int, int], int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {n: np.zeros(len(v), np.int64) for n, v in kinds.value.items()}
-        for batch in batches:
+        for batch in freed(batches):
             for w in words_of(batch.column(0)):
                 for n, v in kinds.value.items():
                     counts[n] += np.bincount(located(w, n, v)[1], minlength=len(v))
@@ -175,7 +175,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFr
     sent = spark.sparkContext.broadcast((prefix, window_hashes(win), win))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for w in words_of(batch.column(1)):
                 n = w.hi - w.lo
                 first, which = occurring(w, *sent.value)
@@ -228,7 +228,7 @@ def free_of(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> Dat
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             free = np.ones(batch.num_rows, bool)
             for w in words_of(batch.column(text)):
                 first, _ = occurring(w, *sent.value)

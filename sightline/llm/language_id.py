@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import only, slices
+from .common import freed, only, slices
 
 BITS, ORDERS = 16, (1, 2, 3)
 SAMPLE = 2_000
@@ -147,7 +147,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
-        for batch in slices(batches):
+        for batch in slices(freed(batches)):
             for _, _, code, off in chunks(batch.column(0).to_pylist()):
                 for f in row_features(code, off):
                     seen = np.zeros(1 << BITS, bool)
@@ -169,7 +169,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     last = rows.select(order).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(freed(batches)):
             at, counts = [], []
             for _, _, code, off in chunks(batch.column(1).to_pylist()):
                 for f in row_features(code, off):
@@ -199,7 +199,7 @@ def identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in slices(batches):
+        for batch in slices(freed(batches)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ok = [m is not None and LETTER(t) is not None for t in texts]
             names, score = ["und"] * len(texts), [0.0] * len(texts)

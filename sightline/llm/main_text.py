@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, only, slices
+from .common import durable, freed, only, slices
 
 #: Rows of winning paths that may be sent to every executor.
 WINNERS = 200_000
@@ -206,7 +206,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path): the tag-class path that the pages of each host vote for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(freed(batches)):
             votes: dict[tuple[str, str], float] = {}
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 scores = container_scores(blocks_of(page.as_py()))
@@ -230,7 +230,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     joined = pages.join(won, host() == F.col("_host"), "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(freed(batches)):
             texts = []
             for page, path in zip(batch.column(2), batch.column(3).to_pylist()):
                 blocks = blocks_of(page.as_py())

@@ -24,11 +24,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import freed, only, slices
 
 MARK = "▁"
 #: Twice so many words are remembered by each Python worker, of so many characters at most, and so many token pairs: a bound on its memory.
-CACHE_WORDS, CACHE_CHARS, PAIRS = 120_000, 32, 200_000
+CACHE_WORDS, CACHE_CHARS, PAIRS = 60_000, 32, 100_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -227,7 +227,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path)
-        for batch in batches:
+        for batch in freed(batches):
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 ids = [model.encode(t.as_py()) for t in part.column(1)]
@@ -243,7 +243,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path)
         decimal = [str(i) for i in range(len(model.surface))]
-        for batch in batches:
+        for batch in slices(freed(batches)):
             rows = []
             for t in batch.column(1):
                 ids = model.encode(t.as_py())
