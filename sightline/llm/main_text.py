@@ -7,23 +7,27 @@ path with the most score wins, so that a host's odd page follows the layout of t
 and the blocks under the winning path are its text, from the outermost article around it on, or the outermost main
 where no article is; elsewhere from the outermost container that has sentences of its own beside it. A page without the path uses its own best container.
 
-Only (host, path) sums are shuffled, after partial sums in each task; the page itself is never moved. The winning paths
-are one row a host; they go to the pages by a broadcast join if there are at most WINNERS of them, else by a shuffle.
+A page's containers are a tree with one node for each path; a path goes by a 64-bit hash made of its parent's and its
+own step, so time and votes grow with the page alone, however deep it nests. Only (host, path) sums are shuffled, after
+partial sums in each task; the page itself is never moved as long as there are at most WINNERS hosts: their winners, 20
+bytes each, are broadcast. Beyond, pages are joined in a shuffle.
 
 A block ends where a block element begins or ends. White space in a block becomes one space; empty blocks are dropped;
-blocks are joined by a line feed in page order.
+blocks are joined by a line feed in page order. What is in a form is dropped, unless forms hold most of the page's text, with
+sentences: those frame the page, and go by their parts.
 
 Defined cases: null or empty html gives an empty text; markup without any container uses the body; broken markup
-(unclosed tags, stray `<`) is read leniently; a null or odd url votes under the empty host; rows that repeat are
+(unclosed tags, stray `<` and quotes) is read leniently; a null or odd url votes under the empty host; rows that repeat are
 extracted each; columns beyond page_id, url and html play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,12 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import durable, freed, only, slices
 
-#: Rows of winning paths that may be sent to every executor.
+#: Hosts whose winning paths may be sent to every executor.
 WINNERS = 200_000
 #: Element names: without end tag; whose text is never shown; that are not the article; that bound a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object textarea title select canvas audio video".split())
-ASIDE = frozenset("nav header footer aside form button menu dialog head".split())
+ASIDE = frozenset("nav header footer aside button menu dialog head".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -53,8 +57,9 @@ NOISE = re.compile(
     r"cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|comments?|disqus|replies|respond|"
     r"pagination|pager|widget|toolbar|skip|hidden|copyright|legal|search)(?:$|[\s_-])"
 )
-UNSEEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({'|'.join(sorted(RAW))})\b(?:[^>]*/>|[^>]*>.*?(?:</\1\b[^>]*>|\Z))", re.S | re.I)
-TAG = re.compile(r"<(/?[a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)")
+UNSEEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<({'|'.join(sorted(RAW))})\b(?:[^>]*+(?<=/)>|[^>]*+(?:>.*?(?:</\1\b[^>]*+(?:>|\Z)|\Z)|\Z))", re.S | re.I)
+#: A tag ends at the first `>` outside a quoted value; a quote opens a value only after `=`. Possessive, so that time is linear.
+TAG = re.compile(r"<(/?[a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SENTENCE = re.compile(r"[.!?。！？…](?:\s|$)")
 DIGITS = re.compile(r"\d+")
@@ -64,15 +69,70 @@ DIGITS = re.compile(r"\d+")
 class Block:
     text: str
     link_chars: int
-    path: tuple[str, ...]  # generalised path of the containers around it
+    node: int  # the container around it
     heading: bool
+    form: bool
 
 
 @dataclass
-class Open:
-    tag: str
-    noise: bool
-    step: str
+class Page:
+    """The text blocks of a page that are not in menus and the like, and the tree of its containers; node 0 is the page."""
+
+    blocks: list[Block] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [0])
+    step: list[str] = field(default_factory=lambda: [""])
+    key: list[int] = field(default_factory=lambda: [0])  # 64-bit hash of the generalised path
+    child: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def below(self, node: int, step: str) -> int:
+        at = self.child.get((node, step))
+        if at is None:
+            at = self.child[node, step] = len(self.step)
+            self.parent.append(node)
+            self.step.append(step)
+            self.key.append(int.from_bytes(hashlib.blake2b(f"{self.key[node]} {step}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
+        return at
+
+    def way(self, node: int) -> list[int]:
+        """The nodes from the outermost container to `node`."""
+        out = []
+        while node:
+            out.append(node)
+            node = self.parent[node]
+        return out[::-1]
+
+    def scores(self) -> list[float]:
+        """Of each container: text outside links and its sentences, in full for its own blocks, a share for those below."""
+        out = [0.0] * len(self.step)
+        for b in self.blocks:
+            plain = max(0, len(b.text) - 2 * b.link_chars)
+            out[b.node] += plain if b.heading else plain + 20 * len(SENTENCE.findall(b.text))
+        for node in range(len(out) - 1, 0, -1):  # a node comes after its parent
+            out[self.parent[node]] += 0.7 * out[node]
+        out[0] = 0.0
+        return out
+
+    def best(self) -> int:
+        scores = self.scores()
+        return max(range(len(scores)), key=lambda n: (scores[n], self.key[n] if n else 0))
+
+    def under(self, top: int) -> str:
+        inside = [False] * len(self.step)
+        inside[top] = True
+        for node in range(top + 1, len(inside)):
+            inside[node] = inside[self.parent[node]]
+        return "\n".join(b.text for b in self.blocks if inside[b.node])
+
+    def outermost(self, node: int) -> int:
+        """The container that the article begins at: a container in it may outweigh it, which has less of what lies deeper."""
+        way = self.way(node)
+        for name in ("article", "main"):
+            for n in way:
+                if self.step[n].split(".")[0] == name:
+                    return n
+        around = {0, *way[:-1]}
+        own = {b.node for b in self.blocks if b.node in around and not b.heading and 2 * b.link_chars <= len(b.text) and SENTENCE.search(b.text)}
+        return 0 if 0 in own else next((n for n in way if n in own), node)
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -94,13 +154,42 @@ def general(tag: str, at: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    """The text blocks of a page that are not in menus and the like, with the path of containers that each is in."""
-    out: list[Block] = []
-    stack: list[Open] = []
-    parts: list[str] = []
-    links, noisy, in_link, heading = 0, 0, 0, False
-    path: tuple[str, ...] = ()
+class Stack:
+    """Open elements, with the places of each tag and of the tags that bound others, so that no search is needed."""
+
+    def __init__(self):
+        self.open: list[tuple[str, bool, str]] = []  # tag, noise, step
+        self.at: dict[str, list[int]] = {}
+        self.bounds: dict[str, list[int]] = {"keeps": [], "block": [], "list": []}
+
+    def kinds(self, tag: str) -> Iterator[list[int]]:
+        yield self.at.setdefault(tag, [])
+        for kind, names in (("keeps", KEEPS), ("block", BLOCK), ("list", LISTS)):
+            if tag in names:
+                yield self.bounds[kind]
+
+    def push(self, tag: str, noise: bool, step: str) -> None:
+        for places in self.kinds(tag):
+            places.append(len(self.open))
+        self.open.append((tag, noise, step))
+
+    def pop(self) -> tuple[str, bool, str]:
+        top = self.open.pop()
+        for places in self.kinds(top[0]):
+            places.pop()
+        return top
+
+    def last(self, tag: str, bound: str = "") -> int:
+        """The place of the innermost open `tag`; -1 if there is none, or one of the `bound` elements lies within it."""
+        places = self.at.get(tag)
+        if not places or bound and self.bounds[bound] and self.bounds[bound][-1] > places[-1]:
+            return -1
+        return places[-1]
+
+
+def read(html: str | None) -> Page:
+    page, stack, parts = Page(), Stack(), []
+    links, noisy, in_link, heading, forms, node = 0, 0, 0, 0, 0, 0
 
     def flush():
         nonlocal parts, links
@@ -108,28 +197,21 @@ def blocks_of(page: str | None) -> list[Block]:
             text = "".join(parts)
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Block(text, links, path, heading))
+                page.blocks.append(Block(text, links, node, heading > 0, forms > 0))
             parts, links = [], 0
 
     def close_to(depth: int):
-        nonlocal noisy, in_link, path, heading
-        while len(stack) > depth:
-            top = stack.pop()
-            noisy -= top.noise
-            in_link -= top.tag == "a"
-            heading = heading and top.tag not in HEADINGS
-            if top.step:
-                path = path[:-1]
-
-    def close_near(tag: str, within: frozenset):
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth].tag == tag:
-                close_to(depth)
-                break
-            if stack[depth].tag in within:
-                break
-
-    cut = TAG.split(UNSEEN.sub("", page or ""))  # text, tag name, attributes, text, ...
+        nonlocal noisy, in_link, heading, forms, node
+        while 0 <= depth < len(stack.open):
+            tag, noise, step = stack.pop()
+            noisy -= noise
+            in_link -= tag == "a"
+            heading -= tag in HEADINGS
+            forms -= tag == "form"
+            if step:
+                node = page.parent[node]
+
+    cut = TAG.split(UNSEEN.sub("", html or ""))  # text, tag name, attributes, text, ...
     if cut[0]:
         parts.append(cut[0])
     for k in range(1, len(cut), 3):
@@ -138,108 +220,82 @@ def blocks_of(page: str | None) -> list[Block]:
             name = name[1:]
             if name in BLOCK:
                 flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == name:
-                    close_to(depth)
-                    break
-                if stack[depth].tag in KEEPS and name not in BLOCK:
-                    break
+            close_to(stack.last(name, "" if name in BLOCK else "keeps"))
         else:
             if name in BLOCK:
                 flush()
                 if name in CLOSES_P:
-                    close_near("p", BLOCK)
+                    close_to(stack.last("p", "block"))
                 if name in ITEMS:
-                    close_near(name, LISTS)
+                    close_to(stack.last(name, "list"))
             elif name == "br" and not noisy:
                 parts.append(" ")
             if name not in VOID and raw[-1:] != "/":
                 own = attributes(raw) if raw else {}
                 step = general(name, own) if name in CONTAINER else ""
                 noise = is_noise(name, own)
-                stack.append(Open(name, noise, step))
+                stack.push(name, noise, step)
                 noisy += noise
                 in_link += name == "a"
-                heading = heading or name in HEADINGS
+                heading += name in HEADINGS
+                forms += name == "form"
                 if step:
-                    path = (*path, step)
+                    node = page.below(node, step)
         if after and not noisy:
             parts.append(after)
             if in_link:
                 links += len(after)
     flush()
-    return out
-
+    formed = [b for b in page.blocks if b.form]
+    if formed and not (2 * sum(len(b.text) for b in formed) > sum(len(b.text) for b in page.blocks) and any(SENTENCE.search(b.text) for b in formed)):
+        page.blocks = [b for b in page.blocks if not b.form]
+    return page
 
-def container_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
-    """Of each container path: text outside links and its sentences, in full for its own blocks, a share for those below."""
-    out: dict[tuple[str, ...], float] = {}
-    for b in blocks:
-        plain = max(0, len(b.text) - 2 * b.link_chars)
-        value = plain + 20 * len(SENTENCE.findall(b.text)) if not b.heading else plain
-        share = 1.0
-        for depth in range(len(b.path), 0, -1):
-            out[b.path[:depth]] = out.get(b.path[:depth], 0.0) + share * value
-            share *= 0.7
-    return out
 
-
-def under(blocks: list[Block], path: tuple[str, ...]) -> str:
-    return "\n".join(b.text for b in blocks if b.path[: len(path)] == path)
-
-
-def outermost(blocks: list[Block], path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path that the article begins at: a container in it may outweigh it, which has less of what lies deeper."""
-    for name in ("article", "main"):
-        for depth, step in enumerate(path, 1):
-            if step.split(".")[0] == name:
-                return path[:depth]
-    own = {len(b.path) for b in blocks if len(b.path) < len(path) and b.path == path[: len(b.path)] and not b.heading and 2 * b.link_chars <= len(b.text) and SENTENCE.search(b.text)}
-    return path[: min(own)] if own else path
-
-
-def host() -> F.Column:
-    return F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+def host() -> list[F.Column]:
+    """A host as two hashes, 12 bytes."""
+    name = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    return [F.xxhash64(name).alias("_h1"), F.hash(name).alias("_h2")]
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the tag-class path that the pages of each host vote for."""
+    """(_h1, _h2, path): the key of the path that the pages of each host vote for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(freed(batches)):
-            votes: dict[tuple[str, str], float] = {}
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                scores = container_scores(blocks_of(page.as_py()))
-                total = sum(scores.values())
-                for path, s in scores.items():
-                    key = name, " ".join(path)
-                    votes[key] = votes.get(key, 0.0) + round(1000 * s / total) if total else votes.get(key, 0.0)
-            keys = list(votes)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([int(votes[k]) for k in keys], pa.int64())], ["host", "path", "votes"])
+            votes: dict[tuple[int, int, int], int] = {}
+            for h1, h2, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                page = read(html.as_py())
+                scores = page.scores()
+                total = sum(scores)
+                for path, score in zip(page.key, scores):
+                    if n := round(1_000_000 * score / total) if total else 0:
+                        votes[h1, h2, path] = votes.get((h1, h2, path), 0) + n
+            h1, h2, path = zip(*votes) if votes else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int32()), pa.array(path, pa.int64()), pa.array(votes.values(), pa.int64())], ["_h1", "_h2", "path", "votes"])
+
+    votes = pages.select(*host(), "html").mapInArrow(run, "_h1 long, _h2 int, path long, votes long")
+    votes = votes.groupBy("_h1", "_h2", "path").agg(F.sum("votes").alias("votes"))
+    return votes.groupBy("_h1", "_h2").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+
 
-    votes = pages.select(host().alias("host"), "html").mapInArrow(run, "host string, path string, votes long")
-    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+def text_of(html: str | None, path: int | None) -> str:
+    """The main text of a page under the path of its host, or under its own best container if it has none such."""
+    page = read(html)
+    text = page.under(page.outermost(page.key.index(path))) if path is not None and path in page.key[1:] else ""
+    return text or page.under(page.outermost(page.best()))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each page row."""
     pages = only(pages, "page_id", "url", "html")
-    won = durable(host_paths(pages)).withColumnRenamed("host", "_host")
+    won = durable(host_paths(pages))
     won = F.broadcast(won) if won.count() <= WINNERS else won.hint("shuffle_hash")
-    joined = pages.join(won, host() == F.col("_host"), "left").select("page_id", "url", "html", "path")
+    joined = pages.select("page_id", "url", "html", *host()).join(won, ["_h1", "_h2"], "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(freed(batches)):
-            texts = []
-            for page, path in zip(batch.column(2), batch.column(3).to_pylist()):
-                blocks = blocks_of(page.as_py())
-                path = tuple((path or "").split())
-                text = under(blocks, outermost(blocks, path)) if path and any(b.path[: len(path)] == path for b in blocks) else ""
-                if not text and blocks:  # the host's path is not in this page
-                    scores = container_scores(blocks)
-                    text = under(blocks, outermost(blocks, max(scores, key=lambda p: (scores[p], p))) if scores else ())
-                texts.append(text)
+            texts = [text_of(html.as_py(), path) for html, path in zip(batch.column(2), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string")

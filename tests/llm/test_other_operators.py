@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from sightline.llm.main_text import blocks_of, container_scores, main_text, under
+from sightline.llm.main_text import main_text, read
 from sightline.llm.neighbours import nearest
 from sightline.llm.quotes import parsed, reply_ordered
 from sightline.llm.secrets import log_ratio, scanned, secret_digests, train
@@ -13,7 +13,7 @@ from sightline.llm.secrets import log_ratio, scanned, secret_digests, train
 
 def page_text(spark, pages):
     rows = [(i, u, h, "clash") for i, (u, h) in enumerate(pages)]
-    out = main_text(spark.createDataFrame(rows, "page_id long, url string, html string, path string").select("page_id", "url", "html")).collect()
+    out = main_text(spark.createDataFrame(rows, "page_id long, url string, html string, path string")).collect()
     return [r.text for r in sorted(out, key=lambda r: r.page_id)]
 
 
@@ -51,9 +51,32 @@ def test_articles_of_the_test_pages(spark, sf_small):
     for r in spark.read.parquet(f"{sf_small}/pages.parquet").collect():
         body = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
         want = "\n".join(t for x in re.split(r"</?(?:p|h1)>", body) if (t := " ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split())))
-        blocks = blocks_of(r.html)
-        scores = container_scores(blocks)
-        assert under(blocks, max(scores, key=lambda p: (scores[p], p))) == want
+        page = read(r.html)
+        assert page.under(page.best()) == want
+
+
+def test_time_grows_with_the_page_alone():
+    import time
+
+    long = "<p>" + "A sentence of the text, and more. " * 20 + "</p>"
+    pages = ["<div>" * 100_000 + long, "<a b\"c " * 150_000 + long, "<a x='" * 150_000, "<span><article>" + "<b>" * 100_000 + "</span>" * 100_000 + long, "<script <" * 100_000, "<script></script " * 60_000, "<p>" * 100_000 + "<li>" * 100_000, "<!-- <!" * 100_000, '<div class="a b">' * 50_000 + "</div>" * 50_000 + long]
+    for i, html in enumerate(pages):
+        began = time.process_time()
+        page = read(html)
+        page.under(page.outermost(page.best()))
+        page.scores()
+        assert time.process_time() - began < 2, i
+
+
+def test_a_form_around_the_page_is_no_form(spark):
+    frame = "<body><form id=aspnetForm><div class=menu>Menu. Here.</div><div class=text>{}</div><footer>Foot. Line.</footer></form></body>"
+    assert page_text(spark, [("http://f.org/1", frame.format(ARTICLE)), ("http://g.org/1", f"<body><article>{ARTICLE}<form><p>Sign up. Now.</p></form></article></body>")]) == [WANT, WANT]
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    html = f"<body><nav>Menu. Here.</nav><article>{ARTICLE}</article></body>"
+    df = spark.createDataFrame([(1, "http://a.org", html, "c", 1, 2)] * 3, "page_id long, url string, html string, path string, _h1 int, votes int")
+    assert [tuple(r) for r in main_text(df).collect()] == [(1, "http://a.org", WANT)] * 3
 
 
 def test_quotes_link_to_their_source(spark):
