@@ -1,4 +1,4 @@
-"""Benchmark decontamination by a prefix-filtered set join with exact verification.
+"""Benchmark decontamination: a prefix-filtered set join with exact verification.
 
 An item is a list of windows of `window` words (one shorter window if it has fewer words). A window is the set of its
 `shingle`-word shingles with their places. Shingles are ordered by rarity over all documents. For full containment the
@@ -7,8 +7,10 @@ window. Documents are joined with windows on prefix shingles; the shingle's plac
 must start, so a candidate must lie within the document (length and positional bounds), and each one left is verified
 word by word, as text.
 
-The windows of the benchmark are sent to all tasks in blocks of at most BLOCK_BYTES of item text: one pass over the
-documents counts shingles, one joins. More text than that makes further blocks, whose hits are merged by document.
+Windows, rarities, prefixes and candidates are tables; all joins are shuffles that Spark may split. The documents are
+read twice: to count the benchmark's shingles, and to list where prefix shingles occur, each with the words around it, so
+that no text is shuffled. In both passes a Bloom filter of BITS bits at most (64 MB) keeps out what is no shingle of the
+benchmark; a fuller filter lets more through, which the join then drops.
 
 Defined cases: null and wordless texts have no words and are never hit, null and wordless items never occur; items that
 share a window all count; rows that repeat a doc_id are judged each on its own; empty tables are fine (no items: nothing
@@ -18,7 +20,6 @@ is hit); columns beyond doc_id, text and item_id, text play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,224 +27,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, freed, only
-from .wordhash import joined, words_of
+from .wordhash import Words, joined, words_of
 
 WINDOW, SHINGLE = 10, 5
-BLOCK_BYTES = 16_000_000
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-@dataclass
-class Windows:
-    """Distinct windows of a block of items."""
-
-    texts: list[bytes]  # words joined by a space
-    size: np.ndarray  # words of each
-    items: list[list[str]]  # of each window, as strings
-    shingles: list[np.ndarray]  # of each window in order; a window shorter than a shingle has one
-
-
-def windows_of(items: list[tuple[object, str | None]], window: int, shingle: int) -> Windows:
-    at: dict[bytes, int] = {}
-    out = Windows([], np.zeros(0, np.int64), [], [])
-    sizes = []
-    for w in words_of(pa.array([text for _, text in items], pa.string())):
-        for r in range(w.lo, w.hi):
-            a, b = int(w.first[r - w.lo]), int(w.first[r - w.lo + 1])
-            for s in range(a, max(a, b - window) + 1) if b > a else ():
-                e = min(b, s + window)
-                text = w.text(s, e)
-                if text not in at:
-                    at[text] = len(out.texts)
-                    out.texts.append(text)
-                    out.items.append([])
-                    sizes.append(e - s)
-                    out.shingles.append(joined(w.hash[s:e], min(shingle, e - s)))
-                if str(items[r][0]) not in (own := out.items[at[text]]):
-                    own.append(str(items[r][0]))
-    out.size = np.array(sizes, np.int64)
-    return out
+#: Bits of a Bloom filter: so many for each entry, and no more than so many in all.
+ENTRY_BITS, BITS = 16, 1 << 29
+#: What tells document rows apart, beside doc_id.
+ROW = ["doc_id", "h1", "h2"]
 
 
-def shingle_kinds(win: Windows, shingle: int) -> dict[int, np.ndarray]:
-    """Sorted shingles by their number of words: `shingle`, or that of shorter windows."""
-    by: dict[int, list[np.ndarray]] = {}
-    for n, h in zip(win.size.tolist(), win.shingles):
-        by.setdefault(min(n, shingle), []).append(h)
-    return {n: np.unique(np.concatenate(v)) for n, v in sorted(by.items())}
+def row_key() -> list[F.Column]:
+    return [F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")]
 
 
-def located(w, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the first word, index in wanted) of each run of n words that is wanted."""
-    h = joined(w.hash, n)
-    if not len(h) or not len(wanted):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i = np.searchsorted(wanted, h)
-    i[i == len(wanted)] = 0
-    at = np.flatnonzero((wanted[i] == h) & (w.row[: len(h)] == w.row[n - 1 :]))
-    return at, i[at]
+def same_row(a: DataFrame, b: DataFrame) -> list[F.Column]:
+    return [a[c].eqNullSafe(b[f"_{c}"]) for c in ROW]
 
 
-def rarities(docs: DataFrame, kinds) -> dict[tuple[int, int], int]:
-    """How often each benchmark shingle occurs in all documents; at most one row for each leaves a task."""
+def windows_of(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(item, size, text, shingles): every window of every item. A window shorter than a shingle has one shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {n: np.zeros(len(v), np.int64) for n, v in kinds.value.items()}
         for batch in freed(batches):
-            for w in words_of(batch.column(0)):
-                for n, v in kinds.value.items():
-                    counts[n] += np.bincount(located(w, n, v)[1], minlength=len(v))
-        for n, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n)), pa.array(at), pa.array(c[at])], ["n", "i", "c"])
-
-    rows = only(docs, "text").mapInArrow(run, "n long, i long, c long").groupBy("n", "i").agg(F.sum("c").alias("c"))
-    return {(r["n"], r["i"]): r["c"] for r in rows.toLocalIterator()}  # no more rows than the block has shingles
-
-
-def prefixes(win: Windows, kinds: dict[int, np.ndarray], rarity: dict[tuple[int, int], int], shingle: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """By shingle length: sorted prefix shingles, with the windows that each stands for and its place in them."""
-    by: dict[int, list[tuple[int, int, int]]] = {}
-    for k, (n, h) in enumerate(zip(win.size.tolist(), win.shingles)):
-        n = min(n, shingle)
-        i = np.searchsorted(kinds[n], h).tolist()
-        often = [rarity.get((n, x), 0) for x in i]
-        if min(often) > 0:  # else it occurs nowhere
-            _, x, place = min(zip(often, i, range(len(i))))
-            by.setdefault(n, []).append((x, k, place))
-    out = {}
-    for n, rows in by.items():
-        rows.sort()
-        x, k, place = (np.array(c, np.int64) for c in zip(*rows))
-        heads, start = np.unique(x, return_index=True)
-        out[n] = (kinds[n][heads], np.append(start, len(x)), k, place)
+            for w in words_of(batch.column(1), 50_000):
+                items, sizes, texts, shingles = [], [], [], []
+                for r in range(w.hi - w.lo):
+                    a, b = int(w.first[r]), int(w.first[r + 1])
+                    item = batch.column(0)[w.lo + r].as_py()
+                    for s in range(a, max(a, b - window) + 1) if b > a else ():
+                        e = min(b, s + window)
+                        items.append(item)
+                        sizes.append(e - s)
+                        texts.append(w.text(s, e).decode("utf-8", "replace"))
+                        shingles.append(joined(w.hash[s:e], min(shingle, e - s)).view(np.int64).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(sizes, pa.int32()), pa.array(texts, pa.string()), pa.array(shingles, pa.list_(pa.int64()))], ["item", "size", "text", "shingles"])
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return items.mapInArrow(run, "item string, size int, text string, shingles array<long>")
+
+
+def bloom(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of column `h` as 64-bit words, their number a power of two. At most BITS bits reach the driver."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(ENTRY_BITS * max(1, hashes.count()))), 10, np.log2(BITS)))
+    place = F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1))).alias("p")
+    words = hashes.select(place).groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("w")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["i"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def occurring(w, prefix, win_hash: np.ndarray, win: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, window) of each window that occurs in the batch."""
-    starts, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for n, (heads, begin, k, place) in prefix.items():
-        at, i = located(w, n, heads)
-        reps = begin[i + 1] - begin[i]
-        at = np.repeat(at, reps)
-        j = np.repeat(begin[i], reps) + np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps)
-        first, window = at - place[j], k[j]
-        last = first + win.size[window] - 1
-        ok = (first >= 0) & (last < len(w.row))
-        first, window, last = first[ok], window[ok], last[ok]
-        ok = w.row[first] == w.row[last]
-        first, window = first[ok], window[ok]
-        for size in np.unique(win.size[window]).tolist():  # a cheap comparison first
-            ok = np.flatnonzero(win.size[window] == size)
-            f, x = first[ok], window[ok]
-            h = np.zeros(len(f), np.uint64)
-            for d in range(size):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + w.hash[f + d]
-            same = np.flatnonzero(h == win_hash[x])
-            same = same[[w.text(a, a + size) == win.texts[b] for a, b in zip(f[same].tolist(), x[same].tolist())]] if len(same) else same
-            starts.append(f[same])
-            which.append(x[same])
-    return np.concatenate(starts), np.concatenate(which)
-
-
-def window_hashes(win: Windows) -> np.ndarray:
-    out = np.zeros(len(win.texts), np.uint64)
-    for w in words_of(pa.array([t.decode("utf-8", "replace") for t in win.texts], pa.string())):
-        for r in range(w.lo, w.hi):
-            h = np.zeros(1, np.uint64)
-            for x in w.hash[w.first[r - w.lo] : w.first[r - w.lo + 1]]:
-                h = h * np.uint64(0x9E3779B97F4A7C15) + x
-            out[r] = h[0]
+def let_through(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    mask = np.uint64(64 * len(filter_) - 1)
+    one, two = h & mask, (h >> np.uint64(32)) & mask
+    out = (filter_[one >> np.uint64(6)] >> (one & np.uint64(63))) & np.uint64(1) == 1
+    at = np.flatnonzero(out)
+    two = two[at]
+    out[at] = (filter_[two >> np.uint64(6)] >> (two & np.uint64(63))) & np.uint64(1) == 1
     return out
 
 
-def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
-    """The items in parts of about BLOCK_BYTES at most."""
-    items = only(benchmark, "item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items for b in range(blocks)]
+def found(w: Words, lengths: list[int], filter_: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words of a shingle, first words, hashes) of the shingles that the filter lets through, for each length."""
+    for n in lengths:
+        h = joined(w.hash, n)
+        at = np.flatnonzero(let_through(filter_, h) & (w.row[: len(h)] == w.row[n - 1 :])) if len(h) else np.zeros(0, np.int64)
+        yield n, at, h[at]
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame:
-    """(doc_id, c1, n_words, places, items): for each row the hit words' places and the items with a window in it."""
-    spark = docs.sparkSession
-    win = windows_of([(r["item_id"], r["text"]) for r in items.toLocalIterator()], window, shingle)
-    kinds = shingle_kinds(win, shingle)
-    prefix = prefixes(win, kinds, rarities(docs, spark.sparkContext.broadcast(kinds)) if kinds else {}, shingle)
-    sent = spark.sparkContext.broadcast((prefix, window_hashes(win), win))
+def rarities(docs: DataFrame, lengths: list[int], filter_: np.ndarray) -> DataFrame:
+    """(h, n): how often each shingle that the filter lets through occurs in all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in freed(batches):
-            for w in words_of(batch.column(1)):
-                n = w.hi - w.lo
-                first, which = occurring(w, *sent.value)
-                row = w.row[first]
-                found: dict[int, tuple[set, set]] = {}
-                for r, f, x in zip(row.tolist(), first.tolist(), which.tolist()):
-                    places, own = found.setdefault(r, (set(), set()))
-                    f -= int(w.first[r])
-                    places.update(range(f, f + int(sent.value[2].size[x])))
-                    own.update(sent.value[2].items[x])
-                places = [sorted(found[r][0]) if r in found else [] for r in range(n)]
-                own = [sorted(found[r][1]) if r in found else [] for r in range(n)]
-                total = np.concatenate([[np.uint64(0)], np.cumsum(w.hash * (np.arange(len(w.hash)) - w.first[w.row] + 1).astype(np.uint64), dtype=np.uint64)])
-                key = (total[w.first[1:]] - total[w.first[:-1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.lo, n), pa.array(key), pa.array(np.diff(w.first)), pa.array(places, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.string()))],
-                    ["doc_id", "c1", "n_words", "places", "items"],
-                )
-
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, c1 long, n_words long, places array<long>, items array<string>")
+            for w in words_of(batch.column(0)):
+                for _, _, h in found(w, lengths, sent.value):
+                    h, n = np.unique(h, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
+    return only(docs, "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row for each document row."""
-    blocks = [hits(docs, b, window, shingle) for b in item_blocks(benchmark)]
-    found = blocks[0]
-    if len(blocks) > 1:
-        key = ["doc_id", "c1", "n_words"]
-        rows = durable(blocks[0])
-        more = rows.where("size(items) > 0")
-        for b in blocks[1:]:
-            more = more.unionByName(b.where("size(items) > 0"))
-        merged = more.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("_places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
-        found = rows.select(*key).join(merged, same, "left")
-        found = found.select(*key, F.coalesce("_places", F.array().cast("array<long>")).alias("places"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
-    return found.select(
-        "doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated"),
-    )
 
+def places(docs: DataFrame, lengths: list[int], filter_: np.ndarray, window: int, shingle: int) -> DataFrame:
+    """(doc_id, h1, h2, n_words, pos, h, off, around): a row for each document row (null pos) and for each place of a shingle.
 
-def free_of(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame:
-    """The rows, all columns, whose text holds no window of the items. Rows pass through as they are, so no key tells them apart."""
-    spark = docs.sparkSession
-    win = windows_of([(r["item_id"], r["text"]) for r in items.toLocalIterator()], window, shingle)
-    kinds = shingle_kinds(win, shingle)
-    prefix = prefixes(win, kinds, rarities(docs, spark.sparkContext.broadcast(kinds)) if kinds else {}, shingle)
-    sent = spark.sparkContext.broadcast((prefix, window_hashes(win), win))
-    text = docs.columns.index("text")
+    `around` has the words from number `off` on that any window with this shingle may cover.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(filter_)
+    schema = "doc_id long, h1 long, h2 int, n_words long, pos long, h long, off long, around string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in freed(batches):
-            free = np.ones(batch.num_rows, bool)
-            for w in words_of(batch.column(text)):
-                first, _ = occurring(w, *sent.value)
-                free[w.lo + w.row[first]] = False
-            yield batch.filter(pa.array(free))
+            for w in words_of(batch.column(3)):
+                n = w.hi - w.lo
+                key = [batch.column(i).slice(w.lo, n) for i in range(3)]
+                none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())]
+                yield pa.RecordBatch.from_arrays([*key, pa.array(np.diff(w.first)), *none], ["doc_id", "h1", "h2", "n_words", "pos", "h", "off", "around"])
+                for size, at, h in found(w, lengths, sent.value):
+                    if len(at):
+                        row = w.row[at]
+                        a = np.maximum(w.first[row], at - (window - size if size == shingle else 0))
+                        b = np.minimum(w.first[row + 1], at + window)
+                        around = [w.text(x, y).decode("utf-8", "replace") for x, y in zip(a.tolist(), b.tolist())]
+                        numbers = [pa.nulls(len(at), pa.int64()), pa.array(at - w.first[row]), pa.array(h.view(np.int64)), pa.array(a - w.first[row])]
+                        yield pa.RecordBatch.from_arrays([*(k.take(pa.array(row)) for k in key), *numbers, pa.array(around, pa.string())], ["doc_id", "h1", "h2", "n_words", "pos", "h", "off", "around"])
+
+    return docs.select("doc_id", *row_key(), "text").mapInArrow(run, schema)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, members): (doc_id, h1, h2, n_words) of each row, (doc_id, h1, h2, start, size, win) of each window in one, (win, item)."""
+    every = durable(windows_of(benchmark, window, shingle))
+    windows = durable(every.groupBy("size", "text").agg(F.first("shingles").alias("shingles")).select(F.monotonically_increasing_id().alias("win"), "size", "text", "shingles"))
+    members = every.select("size", "text", "item").distinct().hint("merge").join(windows.select("win", "size", "text").hint("merge"), ["size", "text"]).select("win", "item")
+    lengths = sorted({min(r["size"], shingle) for r in windows.select("size").distinct().collect()})  # `shingle` of them at most
+    shingles = durable(windows.select("win", F.posexplode("shingles").alias("place", "h")))
+    rare = durable(rarities(docs, lengths, bloom(shingles.select("h").distinct())))
+    held = shingles.hint("merge").join(rare.hint("merge"), "h", "left").select("win", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "h").alias("s"))
+    first = durable(held.groupBy("win").agg(F.min("s").alias("s")).where("s.n > 0").select("win", "s.place", "s.h"))  # else it occurs nowhere
+    prefixes = durable(first.hint("merge").join(windows.select("win", "size", F.col("text").alias("want")).hint("merge"), "win"))
+    seen = durable(places(docs, lengths, bloom(first.select("h").distinct()), window, shingle))
+    joined_ = seen.where("pos is not null").drop("n_words").hint("merge").join(prefixes.hint("merge"), "h")
+    joined_ = joined_.withColumn("start", F.col("pos") - F.col("place")).where("start >= off")
+    exact = F.array_join(F.slice(F.split("around", " "), (F.col("start") - F.col("off") + 1).cast("int"), F.col("size")), " ") == F.col("want")
+    return seen.where("pos is null").select(*ROW, "n_words"), durable(joined_.where(exact).select(*ROW, "start", "size", "win")), members
+
 
-    return docs.mapInArrow(run, docs.schema)
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row for each document row."""
+    rows, found_, members = hits(docs, benchmark, window, shingle)
+    covered = found_.select(*ROW, "start", "size").distinct().select(*ROW, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("place")).distinct()
+    covered = durable(covered.groupBy(*ROW).agg(F.count("*").alias("n_hit")))
+    named = found_.select(*ROW, "win").distinct().hint("merge").join(durable(members).hint("merge"), "win").select(*ROW, "item").distinct()
+    named = durable(named.groupBy(*ROW).agg(F.array_sort(F.collect_list("item")).alias("items")))
+    own = durable(covered.hint("merge").join(named.hint("merge").withColumnsRenamed({c: f"_{c}" for c in ROW}), [covered[c].eqNullSafe(F.col(f"_{c}")) for c in ROW]).select(*[F.col(c).alias(f"_{c}") for c in ROW], "n_hit", "items"))
+    out = rows.hint("merge").join(own.hint("merge"), same_row(rows, own), "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    )
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """The rows, all columns, in which no window of any item occurs. Each is judged by its own text, whatever its id."""
-    blocks = item_blocks(benchmark)
-    for b in blocks[:-1]:
-        docs = durable(free_of(docs, b, window, shingle))
-    return free_of(docs, blocks[-1], window, shingle)
+    bad = durable(hits(docs, benchmark, window, shingle)[1].select(*[F.col(c).alias(f"_{c}") for c in ROW]).distinct())
+    same = [docs["doc_id"].eqNullSafe(bad["_doc_id"]), F.xxhash64(docs["text"]).eqNullSafe(bad["_h1"]), F.hash(docs["text"]).eqNullSafe(bad["_h2"])]
+    return docs.join(bad.hint("shuffle_hash"), same, "left_anti")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -251,5 +181,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
 
     By id: rows that share one go together. `clean_rows` judges each row by itself.
     """
-    hit = contamination(docs, benchmark, window, shingle).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.hint("merge").join(hit.hint("merge"), docs["doc_id"] == hit["_hit"], "left_anti")
+    bad = durable(hits(docs, benchmark, window, shingle)[1].select(F.col("doc_id").alias("_hit")).distinct())
+    return docs.hint("merge").join(bad.hint("merge"), docs["doc_id"] == bad["_hit"], "left_anti")

@@ -1,18 +1,21 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-Inputs of a word are what a bounded labelled sample says of it: the smoothed log-odds of the word, and of its characters
-(prefixes, suffixes and inner runs of UTF-8 bytes: their largest, smallest and mean). The network reads overlapping windows of
-WINDOW words, each new one STRIDE words on, in both directions; attention pools the states of a window into a logit.
-A label marks a whole document, so a toxic document's windows are learned as a bag: the likeliest window of the bag
-counts as toxic, the others take no part. The score of a text is the calibrated logit of its likeliest window, over
-all windows of the whole text.
+Inputs of a word are two learned vectors, of the word and of its affixes (prefixes and suffixes of UTF-8 bytes), and what
+a bounded labelled sample says of it: the smoothed log-odds of the word, and of its characters (affixes and inner runs:
+their largest, smallest and mean). In learning, the log-odds that a document sees come from the other parts of
+the sample, never from itself. The network reads overlapping windows of WINDOW words, each new one STRIDE words on, in both
+directions; attention pools the states of a window into a logit. A label marks a whole document, so a toxic document's
+windows are learned as a bag: the likeliest window of the bag counts as toxic, the others take no part. The score of a
+text is the calibrated logit of its likeliest window, over all windows of the whole text.
 
 Learned from: rows with a label whose `crc32(doc_id as text) mod 5` is not 0, SAMPLE of each label value with the
-smallest hashes of doc_id, and up to BAG windows of each. Scores use text alone.
+smallest hashes of doc_id (and of text, for rows that share one). Tasks read all windows of their whole texts; to the
+driver go, of each row, the TOP windows with the largest log-odds and, of rows that are not toxic, PLAIN further ones chosen by a hash. Words
+are sent as numbers of fixed size. Scores use text alone.
 
 Defined cases: a text without words (null, empty) scores 0; if nothing can be learned from (no labels, or one value
-only), all score 0; a null doc_id counts as not held out and has no label; null labels are left out; rows that repeat
-get equal scores; extra columns play no part.
+only), all score 0; a null doc_id counts as not held out and has no label; null labels are left out; a doc_id with
+several labels is toxic if one says so; rows that repeat get equal scores and are learned from once; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -25,58 +28,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import durable, freed, only
 from .wordhash import Words, mix, words_of
 
-WINDOW, STRIDE = 32, 24
-SAMPLE, BAG = 1_200, 40
-BITS, HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 17, 8, 8, 6, 128, 0.01
+WINDOW, STRIDE = 32, 16
+SAMPLE, TOP, PLAIN, FOLDS = 1_200, 8, 4, 4
+BITS, LEARNED_BITS, LEARNED, HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 17, 13, 4, 8, 8, 6, 128, 0.01
 PREFIXES, SUFFIXES, RUN = (3, 4, 5, 6), (3, 4, 5), 5
-INPUTS = 5
+ODDS, AFFIXES = 5, 7
+INPUTS = ODDS + 2 * LEARNED
 #: Pseudo-count of the log-odds.
 PRIOR = 1.0
 #: Gradient steps at least; small samples are read more often.
 UPDATES = 300
-ROWS_AT_ONCE = 4_096
+ROWS_AT_ONCE = 2_048
 
 
 def slot(h: np.ndarray, salt: int) -> np.ndarray:
-    return (mix(h + np.uint64(salt * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word slots, character slots, the word of each): all inputs of a batch of words as places in the log-odds table."""
-    chars, owner = [], []
-    size, every = w.end - w.start, np.arange(len(w.start))
-    for kind, lengths in ((1, PREFIXES), (2, SUFFIXES)):
-        for n in lengths:
-            at = every[size >= n]
-            a = w.start[at] if kind == 1 else w.end[at] - n
-            chars.append(slot(w.stretch(a, a + n), kind * 100 + n))
-            owner.append(at)
-    at = every[size > RUN]
-    more = size[at] - RUN - 1  # runs that are neither the prefix nor the suffix
+    return (mix(h + np.uint64(salt * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def affixes(w: Words) -> np.ndarray:
+    """(words, 1 + AFFIXES) slots of each word and its prefixes and suffixes; -1 where the word is too short."""
+    size = w.end - w.start
+    out = np.full((len(size), 1 + AFFIXES), -1, np.int32)
+    out[:, 0] = slot(w.hash, 1)
+    for k, (kind, n) in enumerate([(1, n) for n in PREFIXES] + [(2, n) for n in SUFFIXES], 1):
+        at = np.flatnonzero(size >= n)
+        a = w.start[at] if kind == 1 else w.end[at] - n
+        out[at, k] = slot(w.stretch(a, a + n), kind * 100 + n)
+    return out
+
+
+def inner(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, the word of each) of the runs of RUN bytes that are neither the prefix nor the suffix of a word."""
+    size = w.end - w.start
+    at = np.flatnonzero(size > RUN)
+    more = size[at] - RUN - 1
     begin = np.repeat(w.start[at] + 1, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-    chars.append(slot(w.stretch(begin, begin + RUN), 300))
-    owner.append(np.repeat(at, more))
-    chars, owner = np.concatenate(chars), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return slot(w.hash, 1), chars[order], owner[order]
-
-
-def inputs(w: Words, table: np.ndarray) -> np.ndarray:
-    """(words, INPUTS) inputs of the network."""
-    word, chars, owner = features(w)
-    out = np.zeros((len(word), INPUTS), np.float32)
-    out[:, 0] = table[word]
-    if len(chars):
-        v = table[chars]
+    return slot(w.stretch(begin, begin + RUN), 300), np.repeat(at, more)
+
+
+def odds_of(w: Words, slots: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """(words, ODDS): log-odds of the word; largest, smallest and mean of its characters'; its length."""
+    out = np.zeros((len(slots), ODDS), np.float32)
+    if not len(slots):
+        return out
+    some = slots[:, 1:] >= 0
+    v = np.where(some, table[slots[:, 1:]], 0)
+    n, total = some.sum(1), v.sum(1)
+    high, low = np.where(some, v, -np.inf).max(1), np.where(some, v, np.inf).min(1)
+    runs, owner = inner(w)
+    if len(runs):
+        v = table[runs]
         head = np.flatnonzero(np.diff(owner, prepend=-1))
         whose = owner[head]
-        out[whose, 1] = np.maximum.reduceat(v, head)
-        out[whose, 2] = np.minimum.reduceat(v, head)
-        out[whose, 3] = np.add.reduceat(v, head) / np.diff(np.append(head, len(v)))
-    out[:, 4] = np.log1p(w.end - w.start) - 1.8
+        high[whose] = np.maximum(high[whose], np.maximum.reduceat(v, head))
+        low[whose] = np.minimum(low[whose], np.minimum.reduceat(v, head))
+        total[whose] += np.add.reduceat(v, head)
+        n[whose] += np.diff(np.append(head, len(v)))
+    out[:, 0] = table[slots[:, 0]]
+    out[:, 1], out[:, 2], out[:, 3] = np.where(n > 0, high, 0), np.where(n > 0, low, 0), total / np.maximum(n, 1)
+    out[:, 4] = np.minimum(np.log1p(w.end - w.start), 6) - 1.8
     return out
 
 
@@ -109,13 +122,16 @@ class Network:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         return self
 
-    def _side(self, x, mask, side, keep):
-        p, h = self.p, self.h
-        steps = range(x.shape[1]) if side == "f" else range(x.shape[1] - 1, -1, -1)
-        gates = x @ p[f"W{side}"] + p[f"c{side}"]
-        state, out, cache = np.zeros((len(x), h), x.dtype), np.zeros((*x.shape[:2], h), x.dtype), []
+    def gates(self, x, side):
+        return x @ self.p[f"W{side}"] + self.p[f"c{side}"]
+
+    def _side(self, gates, mask, side, keep):
+        h, U = self.h, self.p[f"U{side}"]
+        n, length = mask.shape
+        steps = range(length) if side == "f" else range(length - 1, -1, -1)
+        state, out, cache = np.zeros((n, h), gates.dtype), np.zeros((n, length, h), gates.dtype), []
         for t in steps:
-            u = state @ p[f"U{side}"]
+            u = state @ U
             zr = sigmoid(gates[:, t, : 2 * h] + u[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
             new = np.tanh(gates[:, t, 2 * h :] + r * u[:, 2 * h :])
@@ -127,21 +143,26 @@ class Network:
         return out, cache
 
     def forward(self, x, mask, keep=False):
-        f, cf = self._side(x, mask, "f", keep)
-        b, cb = self._side(x, mask, "b", keep)
+        """Logits of windows from their inputs."""
+        logit, cache = self.pooled(self.gates(x, "f"), self.gates(x, "b"), mask, keep)
+        return (logit, (x, *cache)) if keep else logit
+
+    def pooled(self, forth, back, mask, keep=False):
+        f, cf = self._side(forth, mask, "f", keep)
+        b, cb = self._side(back, mask, "b", keep)
         states = np.concatenate([f, b], 2)
         u = np.tanh(states @ self.p["A"] + self.p["e"])
         s = np.where(mask > 0, u @ self.p["v"], -1e9)
         e = np.exp(s - s.max(1, keepdims=True))
         alpha = e / e.sum(1, keepdims=True)
         pooled = (alpha[:, :, None] * states).sum(1)
-        logit = pooled @ self.p["o"] + self.p["q"]
-        return (logit, (x, cf, cb, states, u, alpha, pooled)) if keep else logit
+        return pooled @ self.p["o"] + self.p["q"], (cf, cb, states, u, alpha, pooled)
 
     def backward(self, cache, d_logit):
+        """Gradients of the parameters, and at "x" of the inputs."""
         x, cf, cb, states, u, alpha, pooled = cache
         p, h = self.p, self.h
-        g = {"o": pooled.T @ d_logit, "q": np.array([d_logit.sum()])}
+        g = {"o": pooled.T @ d_logit, "q": np.array([d_logit.sum()]), "x": 0.0}
         d_pooled = d_logit[:, None] * p["o"]
         d_alpha = (states * d_pooled[:, None, :]).sum(2)
         d_states = alpha[:, :, None] * d_pooled[:, None, :]
@@ -163,12 +184,45 @@ class Network:
                 gU += before.T @ d_un
                 d_state = d_state * (1 - m * (1 - z)) + d_un @ U.T
             g[f"U{side}"], g[f"W{side}"], g[f"c{side}"] = gU, np.einsum("btd,btg->dg", x, d_gates), d_gates.sum((0, 1))
+            g["x"] = g["x"] + d_gates @ p[f"W{side}"].T
         return g
 
 
+class Vectors:
+    """Learned vectors of words and of affixes, by slot. They begin at zero, so what was never seen says nothing."""
+
+    def __init__(self):
+        self.word, self.affix = (np.zeros(((1 << LEARNED_BITS) + 1, LEARNED), np.float32) for _ in range(2))
+        self.seen = [np.full(len(t), 1e-3) for t in (self.word, self.affix)]
+
+    @staticmethod
+    def rows(slots: np.ndarray) -> np.ndarray:
+        return np.where(slots >= 0, slots >> (BITS - LEARNED_BITS), 1 << LEARNED_BITS)
+
+    def of(self, slots: np.ndarray) -> np.ndarray:
+        """(..., 2 * LEARNED) inputs from the slots of `affixes`."""
+        at = self.rows(slots)
+        n = np.maximum(1, (slots[..., 1:] >= 0).sum(-1))[..., None]
+        return np.concatenate([self.word[at[..., 0]], self.affix[at[..., 1:]].sum(-2) / n.astype(np.float32)], -1)
+
+    def learn(self, slots: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        """A step of Adagrad, with one sum of squares for each vector."""
+        at = self.rows(slots)
+        some = (slots[..., 1:] >= 0)[..., None]
+        share = np.where(some, grad[..., None, LEARNED:] / np.maximum(1, some.sum(-2, keepdims=True)), 0)
+        for k, (table, i, g) in enumerate([(self.word, at[..., 0], grad[..., :LEARNED]), (self.affix, at[..., 1:], share)]):
+            rows, whose = np.unique(i, return_inverse=True)
+            total = np.zeros((len(rows), LEARNED))
+            np.add.at(total, whose.reshape(-1), g.reshape(-1, LEARNED))
+            self.seen[k][rows] += (total * total).mean(1)
+            table[rows] -= (rate * total / np.sqrt(self.seen[k][rows])[:, None]).astype(np.float32)
+            table[-1] = 0
+
+
 @dataclass
 class ToxicityModel:
     table: np.ndarray
+    vectors: Vectors
     network: Network
     slope: float
     shift: float
@@ -176,11 +230,14 @@ class ToxicityModel:
     def logits(self, w: Words) -> np.ndarray:
         """The largest window logit of each row; -inf for a row without words."""
         out = np.full(w.hi - w.lo, -np.inf)
-        x = inputs(w, self.table)
+        slots = affixes(w)
+        x = np.concatenate([odds_of(w, slots, self.table), self.vectors.of(slots)], 1)
+        forth, back = self.network.gates(x, "f"), self.network.gates(x, "b")  # of each word once, whatever windows it is in
         row, start, end = windows_of(w.first)
         for lo in range(0, len(row), ROWS_AT_ONCE):
             part = slice(lo, lo + ROWS_AT_ONCE)
-            np.maximum.at(out, row[part], self.network.forward(*gathered(x, start[part], end[part])))
+            at, mask = places(start[part], end[part], len(x))
+            np.maximum.at(out, row[part], self.network.pooled(forth[at], back[at], mask.astype(np.float32))[0])
         return out
 
     def scores(self, w: Words) -> np.ndarray:
@@ -188,82 +245,82 @@ class ToxicityModel:
         return np.where(np.isfinite(z), np.round(sigmoid(self.slope * np.where(np.isfinite(z), z, 0) + self.shift), 6), 0.0)
 
 
-def gathered(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def places(start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, mask) of windows, as wide as the widest of them."""
     at = start[:, None] + np.arange(min(WINDOW, int((end - start).max())))
-    mask = (at < end[:, None]).astype(x.dtype)
-    return x[np.minimum(at, len(x) - 1)] * mask[:, :, None], mask
+    return np.minimum(at, n - 1), at < end[:, None]
 
 
-def log_odds(bags: list[Words], labels: list[int]) -> np.ndarray:
-    """Smoothed log-odds of each slot, from the number of toxic and of other documents that hold it.
+def log_odds(count: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Smoothed log-odds of each slot, from how many of the `docs` (2) documents of each label hold it (2, slots).
 
     Counts are held against those expected if the slot had nothing to do with the label, so an unseen slot is at zero.
     """
-    count = np.zeros((2, 1 << BITS))
-    for w, y in zip(bags, labels):
-        word, chars, _ = features(w)
-        seen = np.zeros(1 << BITS, bool)
-        seen[word] = seen[chars] = True
-        count[y] += seen
-    share = np.bincount(labels, minlength=2) / len(labels)
-    expected = count.sum(0) * share[:, None]
+    expected = count.sum(0) * (docs / max(1, docs.sum()))[:, None]
     odds = np.log((count + PRIOR) / (expected + PRIOR))
     return (odds[1] - odds[0]).astype(np.float32)
 
 
-def adam(network: Network, batches, rate: float, state: dict) -> None:
-    for x, mask, y, weight in batches:
-        logit, cache = network.forward(x, mask, keep=True)
-        grads = network.backward(cache, weight * (sigmoid(logit) - y) / weight.sum())
-        state["t"] = t = state.get("t", 0) + 1
-        for k, g in grads.items():
-            m, v = state.get(k, (0.0, 0.0))
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            state[k] = m, v
-            network.p[k] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+@dataclass
+class Bag:
+    """Windows of a labelled row: log-odds inputs (windows, WINDOW, ODDS), slots and mask."""
+
+    toxic: int
+    odds: np.ndarray
+    slots: np.ndarray
+    mask: np.ndarray
 
 
-def fit(bags: list[tuple[int, list[str]]]) -> ToxicityModel | None:
-    """`bags`: (label, windows of a document). A quarter of the documents is kept back to calibrate the scores."""
-    if len({y for y, _ in bags}) < 2:
+def fit(bags: list[Bag], held: np.ndarray, table: np.ndarray) -> ToxicityModel | None:
+    """The bags that are `held` calibrate the scores; the others are learned from."""
+    y = np.array([b.toxic for b in bags])
+    if len(set(y[~held].tolist())) < 2:
         return None
     rng = np.random.default_rng(5)
-    bags = [(y, w) for y, w in bags if w]
-    held = np.arange(len(bags)) % 4 == 3
-    words = [next(words_of(pa.array(["\n".join(w)]), 1 << 40)) for _, w in bags]
-    counts = [[len(x.split(" ")) for x in w] for _, w in bags]
-    y = np.array([y for y, _ in bags])
-    table = log_odds([w for w, h in zip(words, held) if not h], y[~held].tolist())
-    xs, masks = [], []
-    for w, c in zip(words, counts):
-        end = np.cumsum(c)
-        x, m = gathered(inputs(w, table).astype(np.float64), end - c, end)
-        pad = WINDOW - x.shape[1]
-        xs.append(np.pad(x, ((0, 0), (0, pad), (0, 0))))
-        masks.append(np.pad(m, ((0, 0), (0, pad))))
-    network, state = Network(rng), {}
+    network, vectors, state = Network(rng), Vectors(), {}
     learn = np.flatnonzero(~held)
     epochs = max(EPOCHS, -(-UPDATES * BATCH // (len(learn) * 4)))
+    odds, slots, mask = (np.concatenate([getattr(b, name) for b in bags]) for name in ("odds", "slots", "mask"))  # of all windows
+    first = np.concatenate([[0], np.cumsum([len(b.mask) for b in bags])])
+
+    def inputs(at: np.ndarray) -> np.ndarray:
+        return np.concatenate([odds[at], vectors.of(slots[at])], 2) * mask[at][:, :, None]
+
+    def logits() -> np.ndarray:
+        return np.concatenate([network.forward(inputs(at), mask[at]) for at in np.array_split(np.arange(len(mask)), -(-len(mask) // ROWS_AT_ONCE))])
+
     for epoch in range(epochs):
-        x, m, t = [], [], []
+        z = logits() if epoch else (odds[:, :, :2].max(2) * mask).max(1)
+        pick, t = [], []
         for d in learn.tolist():
-            if y[d]:  # the likeliest window; at first, the one with the largest log-odds
-                z = network.forward(xs[d], masks[d]) if epoch else np.maximum(xs[d][:, :, 0], xs[d][:, :, 1]).max(1)
-                pick = [int(np.argmax(z))]
-            else:
-                pick = rng.permutation(len(xs[d]))[:6].tolist()
-                if epoch:
-                    pick = [*pick[:3], int(np.argmax(network.forward(xs[d], masks[d])))]
-            x.append(xs[d][pick])
-            m.append(masks[d][pick])
-            t += [y[d]] * len(pick)
-        x, m, t = np.concatenate(x), np.concatenate(m), np.array(t, np.float64)
+            own = np.arange(first[d], first[d + 1])
+            best = int(own[np.argmax(z[own])])  # the likeliest window; at first, the one with the largest log-odds
+            now = [best] if y[d] else [best, *(i for i in rng.permutation(own)[:4].tolist() if i != best)]
+            pick += now
+            t += [y[d]] * len(now)
+        order = rng.permutation(len(pick))
+        pick, t = np.array(pick)[order], np.array(t, np.float64)[order]
         weight = np.where(t > 0, (t == 0).sum() / max(1, (t > 0).sum()), 1.0) ** 0.5
-        order = rng.permutation(len(x))
-        adam(network, ((x[i], m[i], t[i], weight[i]) for i in np.array_split(order, max(1, len(x) // BATCH))), RATE * (0.5 if epoch >= epochs - 2 else 1), state)
-    z = np.array([network.forward(xs[d], masks[d]).max() for d in np.flatnonzero(held)])
-    a, b = platt(z, y[held])
-    return ToxicityModel(table, network.to_float32(), a, b)
+        rate = RATE * (0.5 if epoch >= epochs - 2 else 1)
+        for part in np.array_split(np.arange(len(pick)), max(1, len(pick) // BATCH)):
+            at, live = pick[part], mask[pick[part]]
+            logit, cache = network.forward(inputs(at), live, keep=True)
+            grads = network.backward(cache, weight[part] * (sigmoid(logit) - t[part]) / weight[part].sum())
+            vectors.learn(slots[at][live > 0], grads.pop("x")[live > 0][:, ODDS:], rate)
+            adam(network, grads, rate, state)
+    best = np.maximum.reduceat(logits(), first[:-1])
+    use = np.flatnonzero(held) if len(set(y[held].tolist())) == 2 else np.arange(len(bags))
+    a, b = platt(best[use], y[use])
+    return ToxicityModel(table, vectors, network.to_float32(), a, b)
+
+
+def adam(network: Network, grads: dict, rate: float, state: dict) -> None:
+    state["t"] = t = state.get("t", 0) + 1
+    for k, g in grads.items():
+        m, v = state.get(k, (0.0, 0.0))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        state[k] = m, v
+        network.p[k] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -283,30 +340,74 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(h, x, fold, toxic, text) of the rows to learn from, each once."""
+    named = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+    named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select(F.col("doc_id").alias("_id"), "toxic", F.xxhash64(F.lit(3), "doc_id").alias("h"))
+    few = durable(named.where("toxic = 0").orderBy("h").limit(sample).union(named.where("toxic = 1").orderBy("h").limit(sample)))
+    rows = only(docs, "doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id"))  # 2 * sample rows at most
+    rows = rows.select("h", F.xxhash64("text").alias("x"), F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "toxic", "text")
+    keys = rows.select("toxic", "h", "x").distinct()
+    chosen = durable(keys.where("toxic = 0").orderBy("h", "x").limit(sample).union(keys.where("toxic = 1").orderBy("h", "x").limit(sample)))
+    return durable(rows.join(F.broadcast(chosen.drop("toxic")), ["h", "x"]).dropDuplicates(["h", "x"]))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel | None:
-    named = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    picked = []
-    for value in (0, 1):
-        own = named.where(F.col("toxic") == value).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        picked.append(own.select(F.col("doc_id").alias("_id"), "toxic", F.xxhash64(F.lit(3), "doc_id").alias("h")).orderBy("h").limit(sample))
-    few = F.broadcast(picked[0].union(picked[1]))  # 2 * sample rows at most
-    rows = only(docs, "doc_id", "text").join(few, F.col("doc_id") == F.col("_id")).select("h", "toxic", "text")
+    rows, spark = sampled(docs, labels, sample), docs.sparkSession
+    n = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    if {y for _, y in n} != {0, 1}:
+        return None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags: list[list[str]] = []
-            for w in words_of(batch.column(2)):
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many documents of each fold and label hold each slot; FOLDS * 2 * 2^BITS rows at most."""
+        count = np.zeros((FOLDS, 2, 1 << BITS), np.int32)
+        for batch in freed(batches):
+            fold, toxic = (batch.column(i).to_numpy() for i in (0, 1))
+            for w in words_of(batch.column(2), 100_000):
+                slots, (runs, owner) = affixes(w), inner(w)
+                row = w.row[owner]
+                for r in range(w.hi - w.lo):
+                    a, b = np.searchsorted(row, [r, r + 1])
+                    seen = np.unique(np.concatenate([slots[w.first[r] : w.first[r + 1]].reshape(-1), runs[a:b]]))
+                    count[fold[w.lo + r], toxic[w.lo + r], seen[seen >= 0]] += 1
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count.reshape(-1)[at], pa.int64())], ["at", "n"])
+
+    found = rows.select("fold", "toxic", "text").mapInArrow(held, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    count, docs_of = np.zeros(FOLDS * 2 << BITS), np.array([[n.get((f, y), 0) for y in (0, 1)] for f in range(FOLDS)])
+    count[found["at"].to_numpy()] = found["n"].to_numpy()
+    count = count.reshape(FOLDS, 2, 1 << BITS)
+    tables = np.stack([log_odds(count.sum(0) - count[f], docs_of.sum(0) - docs_of[f]) for f in range(FOLDS)])
+    sent = spark.sparkContext.broadcast(tables)
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            fold, toxic, h = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            for w in words_of(batch.column(3), 1):  # a row at a time
                 row, start, end = windows_of(w.first)
-                own: list[list[str]] = [[] for _ in range(w.hi - w.lo)]
-                mixed = np.random.default_rng(1).permutation(len(row))
-                for i in mixed.tolist():
-                    if len(own[row[i]]) < BAG:
-                        own[row[i]].append(w.text(int(start[i]), int(end[i])).decode("utf-8", "replace"))
-                bags += own
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.string()))], ["h", "toxic", "bag"])
-
-    got = rows.mapInArrow(run, "h long, toxic int, bag array<string>").orderBy("h", "toxic", F.size("bag")).limit(2 * sample).collect()
-    return fit([(int(r["toxic"]), list(r["bag"])) for r in got])
+                if not len(row):
+                    continue
+                slots = affixes(w)
+                odds = odds_of(w, slots, sent.value[fold[w.lo]])
+                at, mask = places(start, end, len(slots))
+                worst = np.where(mask, odds[at][:, :, :2].max(2), -np.inf).max(1)
+                pick = np.argsort(-worst, kind="stable")
+                if not toxic[w.lo]:
+                    rest = pick[TOP:]
+                    pick = np.concatenate([pick[:TOP], rest[np.argsort(mix(rest.astype(np.uint64) ^ np.uint64(int(h[w.lo]) & 2**64 - 1)))[:PLAIN]]])
+                else:
+                    pick = pick[:TOP]
+                at, mask, pad = at[pick], mask[pick], ((0, 0), (0, WINDOW - at.shape[1]))
+                value = [np.pad(odds[at] * mask[:, :, None], (*pad, (0, 0))).astype(np.float32), np.pad(np.where(mask[:, :, None], slots[at], -1), (*pad, (0, 0)), constant_values=-1), np.pad(mask, pad)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(w.lo, 1) for i in range(3)), *(pa.array([v.tobytes()], pa.binary()) for v in value)], ["fold", "toxic", "h", "odds", "slots", "mask"])
+
+    got = rows.select("fold", "toxic", "h", "text").mapInArrow(bagged, "fold int, toxic int, h long, odds binary, slots binary, mask binary").toPandas()
+    if not len(got):
+        return None
+    got = got.sort_values(["h", "toxic", "slots"], kind="stable")
+    shape = lambda raw, kind, width: np.frombuffer(raw, kind).reshape(-1, WINDOW, width)
+    bags = [Bag(int(r.toxic), shape(r.odds, np.float32, ODDS), shape(r.slots, np.int32, 1 + AFFIXES), shape(r.mask, bool, 1)[:, :, 0].astype(np.float64)) for r in got.itertuples()]
+    return fit(bags, got["fold"].to_numpy() == FOLDS - 1, log_odds(count.sum(0), docs_of.sum(0)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -315,8 +416,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
-            for w in words_of(batch.column(1)):
+        for batch in freed(batches):
+            for w in words_of(batch.column(1), 100_000):
                 score = model.scores(w) if model else np.zeros(w.hi - w.lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(score)], ["doc_id", "score"])
 

@@ -53,8 +53,9 @@ def test_against_brute_force(spark):
     assert kept == sorted(str(i) for i, _ in docs if i not in hit)
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(module, "BLOCK_BYTES", 400)
+def test_a_full_bloom_filter_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(module, "BITS", 1 << 10)
+    monkeypatch.setattr(module, "ENTRY_BITS", 1)
     check(spark, *data())
 
 

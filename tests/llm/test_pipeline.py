@@ -47,13 +47,12 @@ def test_rows_without_an_id_or_with_a_shared_one_are_judged_each(spark, sf):
     assert kept(corpus_pipeline.drop_near_duplicates(spark, frame(rows), sf)) == sorted(want, key=str)
 
 
-def test_clean_rows_in_several_blocks_of_items(spark, monkeypatch):
+def test_clean_rows(spark):
     import sightline.llm.decontaminate as module
     from tests.llm.test_decontaminate import data
 
-    monkeypatch.setattr(module, "BLOCK_BYTES", 400)
     docs, items = data()
-    d = spark.createDataFrame([(a, b, 0) for a, b in docs], "doc_id long, text string, n_words int")
+    d = spark.createDataFrame([(a, b, 0, 1) for a, b in docs], "doc_id long, text string, n_words int, h1 int")
     got = module.clean_rows(d, spark.createDataFrame(items, "item_id long, text string"))
     assert got.columns == d.columns
     assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted([x for x in docs if not hits([x], items)[0][5]], key=str)
