@@ -3,13 +3,13 @@
 Features are hashed n-grams of 1 to 3 characters of the lower-cased text, weighted by term frequency (as a share of the
 text's n-grams of that length) times inverse document frequency. Document frequencies come from all rows that may be
 learned from, summed in Spark. The weights are fitted with follow-the-regularised-leader (FTRL-proximal) under an
-elastic-net penalty on a bounded sample, SAMPLE rows with the smallest hashes of doc_id, which is the same at every size
+elastic-net penalty on a bounded sample, SAMPLE rows with the smallest hashes of doc_id (then text and lang), which is the same at every size
 of the input; a fifth of it is kept back to fit the softmax temperature.
 
 Learned from: rows with text and lang whose `crc32(doc_id as text) mod 4` is not 2. Predictions use text alone.
 
 Defined cases: `und` with score 0 for a text that is null or has no letter, or if nothing can be learned from; a null
-doc_id counts as not held out; texts of any length are read whole; rows that repeat get equal results; columns beyond
+doc_id counts as not held out; texts of any length are read whole, in parts of CHUNK; rows that repeat get equal results and are learned from once; columns beyond
 doc_id, text and lang play no part.
 """
 
@@ -25,27 +25,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import freed, only, slices
+from .common import durable, freed, only, slices
 
 BITS, ORDERS = 16, (1, 2, 3)
 SAMPLE = 2_000
 EPOCHS, ALPHA, BETA, L1, L2 = 5, 0.5, 1.0, 2e-3, 1e-3
-#: Code points handled at once; a longer text is handled alone.
+#: Code points handled at once.
 CHUNK = 200_000
 SCALE = 30.0
 LETTER = re.compile(r"[^\W\d_]").search
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(lo, hi, code points, offsets) of runs of texts; each text is followed by a line feed of its own."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= CHUNK or i == len(texts) - 1:
-            lowered = [x.lower() + "\n" for x in texts[lo : i + 1]]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in lowered])])
-            yield lo, i + 1, np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32), off
-            lo, size = i + 1, 0
+@dataclass
+class Piece:
+    """Code points of several rows' texts, one after the other; of a long text, a part."""
+
+    code: np.ndarray
+    row: list[int]
+    start: np.ndarray
+    end: np.ndarray
+    more: np.ndarray  # code points that follow the row's own here, up to two; the next part begins with them
+
+    def spans(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place (exclusive) of the n-grams that belong to each row here."""
+        return self.start, np.maximum(self.start, np.minimum(self.end, self.end + self.more - n + 1))
+
+
+def pieces(texts: list[str]) -> Iterator[Piece]:
+    """All texts, lower-cased and each with a line feed at its end, in parts of about CHUNK code points."""
+    held, size = [], 0
+
+    def packed() -> Piece:
+        code = np.frombuffer("".join(t for _, t, _ in held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        off = np.concatenate([[0], np.cumsum([len(t) for _, t, _ in held])])
+        more = np.array([m for _, _, m in held])
+        return Piece(code, [r for r, _, _ in held], off[:-1], off[1:] - more, more)
+
+    for r, text in enumerate(texts):
+        text = text.lower() + "\n"
+        for lo in range(0, len(text), CHUNK):
+            part = text[lo : lo + CHUNK + 2]
+            held.append((r, part, max(0, len(part) - CHUNK)))
+            size += len(part)
+            if size >= CHUNK:
+                yield packed()
+                held, size = [], 0
+    if held:
+        yield packed()
 
 
 def grams(code: np.ndarray) -> list[np.ndarray]:
@@ -61,16 +87,20 @@ def grams(code: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def row_features(code: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
-    """All n-gram occurrences of each row, by order one after the other."""
-    all_ = grams(code)
-    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-        yield np.concatenate([g[a : max(a, b - n + 1)] for n, g in zip(ORDERS, all_)])
-
-
-def vector(f: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, count = np.unique(f, return_counts=True)
-    return at, SCALE * count / max(1, len(f)) * idf[at]
+def counts_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, counts) of each text's n-grams, in order."""
+    total = None
+    for p in pieces(texts):
+        every = [(g, *p.spans(n)) for n, g in zip(ORDERS, grams(p.code))]
+        for k, last in enumerate((p.more == 0).tolist()):
+            f = np.concatenate([g[a[k] : b[k]] for g, a, b in every])
+            if last and total is None:
+                yield np.unique(f, return_counts=True)
+                continue
+            total = np.bincount(f, minlength=1 << BITS) + (0 if total is None else total)
+            if last:
+                yield np.flatnonzero(total), total[total > 0]
+                total = None
 
 
 @dataclass
@@ -81,17 +111,15 @@ class LanguageModel:
     temperature: float
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.languages)))
-        for lo, hi, code, off in chunks(texts):
-            total, n_all = np.zeros((hi - lo, len(self.languages))), np.zeros(hi - lo)
-            for n, g in zip(ORDERS, grams(code)):
+        total, n_all = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        for p in pieces(texts):
+            for n, g in zip(ORDERS, grams(p.code)):
                 w = self.weights[g]
                 part = np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(w, axis=0, dtype=np.float64)])
-                ends = np.maximum(off[:-1], off[1:] - n + 1)
-                total += part[ends] - part[off[:-1]]
-                n_all += ends - off[:-1]
-            out[lo:hi] = total / np.maximum(1, n_all)[:, None]
-        return softmax((out + self.bias) / self.temperature)
+                a, b = p.spans(n)
+                np.add.at(total, p.row, part[b] - part[a])
+                np.add.at(n_all, p.row, b - a)
+        return softmax((total / np.maximum(1, n_all)[:, None] + self.bias) / self.temperature)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -148,12 +176,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for batch in slices(freed(batches)):
-            for _, _, code, off in chunks(batch.column(0).to_pylist()):
-                for f in row_features(code, off):
-                    seen = np.zeros(1 << BITS, bool)
-                    seen[f] = True
-                    df += seen
-                    n += 1
+            for at, _ in counts_of(batch.column(0).to_pylist()):
+                df[at] += 1
+                n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["f", "n"])
 
@@ -165,21 +190,20 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     idf = np.full(1 << BITS, np.log(1 + total))
     idf[counts["f"].to_numpy()] = np.log((1 + total) / (1 + counts["n"].to_numpy())) + 0.1  # common n-grams keep some weight
 
-    order = F.xxhash64(F.lit(17), "doc_id").alias("h")
-    last = rows.select(order).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # The rows with the smallest hashes of id, text and lang, each once: the same rows in the same order, however the table is dealt.
+    order = [F.xxhash64(F.lit(17), "doc_id").alias("h"), F.xxhash64("text").alias("x"), "lang"]
+    chosen = durable(rows.select(*order).distinct().orderBy("h", "x", "lang").limit(sample))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(freed(batches)):
             at, counts = [], []
-            for _, _, code, off in chunks(batch.column(1).to_pylist()):
-                for f in row_features(code, off):
-                    a, c = np.unique(f, return_counts=True)
-                    at.append(a.astype(np.int32).tobytes())
-                    counts.append(c.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["h", "lang", "at", "counts"])
-
-    picked = rows.select(order, "text", "lang").where(F.col("h") <= last).mapInArrow(vectors, "h long, lang string, at binary, counts binary")
-    picked = picked.orderBy("h", "lang").limit(sample).collect()
+            for a, c in counts_of(batch.column(3).to_pylist()):
+                at.append(a.astype(np.int32).tobytes())
+                counts.append(c.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["h", "x", "lang", "at", "counts"])
+
+    picked = rows.select(*order, "text").join(F.broadcast(chosen), ["h", "x", "lang"]).dropDuplicates(["h", "x", "lang"])  # `sample` rows at most
+    picked = picked.select("h", "x", "lang", "text").mapInArrow(vectors, "h long, x long, lang string, at binary, counts binary").orderBy("h", "x", "lang").collect()
     languages = sorted({r["lang"] for r in picked})
     labels = np.array([languages.index(r["lang"]) for r in picked])
     xs = []

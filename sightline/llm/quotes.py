@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import durable, only
 
 MIN_WORDS = 3
-#: Turns looked at together.
+#: Turns, or blocks of them, looked at together.
 SPAN = 1024
 MARKS = r"^\s*((?:>\s?)+)"
 
@@ -50,65 +50,69 @@ def worded(text: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """The messages with `body` (text without quoted lines) and `passages` (array of level, text in order)."""
+    """The messages with `body` (text without quoted lines) and `passages` (array of level, text in order).
+
+    Quoted messages are taken apart into rows, so that a passage of any length is put together once.
+    """
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    marked = F.transform(lines, lambda x: F.struct(level(x).cast("int").alias("level"), F.regexp_replace(x, MARKS, "").alias("line")))
-    kept = F.filter("_lines", lambda x: x["level"] == 0)
+    rows = messages.withColumn("_m", F.monotonically_increasing_id()).withColumn("body", F.trim(F.array_join(F.filter(lines, lambda x: level(x) == 0), "\n")))
+    rows = durable(rows)
+    quoted = rows.where(F.col("text").rlike("(?m)^\\s*>")).select("_m", F.posexplode(lines).alias("i", "line"))
+    bare = F.regexp_replace("line", MARKS, "")
+    quoted = quoted.select("_m", "i", bare.alias("line"), F.when(F.trim(bare) != "", level(F.col("line"))).otherwise(0).cast("int").alias("level"))
+    order = W.partitionBy("_m").orderBy("i")  # the lines of one message
+    begins = F.when(F.col("level") == F.lag("level").over(order), 0).otherwise(1)
+    runs = quoted.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order)).where("level > 0")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
+    passages = runs.groupBy("_m", "run").agg(F.max("level").alias("level"), texts.alias("text"))
+    passages = passages.groupBy("_m").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "level", "text"))), lambda x: F.struct(x["level"].alias("level"), x["text"].alias("text"))).alias("passages"))
     none = F.array().cast("array<struct<level:int,text:string>>")
-    zero = F.struct(F.lit(0).alias("level"), none.alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        """Adds a quoted line to the last passage if it goes on at the same level, else begins one."""
-        size = F.size(acc["done"])
-        last = F.try_element_at(acc["done"], F.lit(-1))
-        goes_on = (acc["level"] == x["level"]) & (size > 0)
-        longer = F.concat(F.slice(acc["done"], 1, F.greatest(size - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", last["text"], x["line"]).alias("text"))))
-        begun = F.concat(acc["done"], F.array(F.struct(x["level"].alias("level"), x["line"].alias("text"))))
-        quoted = (x["level"] > 0) & (F.trim(x["line"]) != "")
-        return F.struct(F.when(quoted, x["level"]).otherwise(F.lit(0)).alias("level"), F.when(~quoted, acc["done"]).when(goes_on, longer).otherwise(begun).alias("done"))
-
-    passages = F.when(F.exists("_lines", lambda x: x["level"] > 0), F.aggregate("_lines", zero, step, lambda acc: acc["done"])).otherwise(none)
-    return (
-        messages.withColumn("_lines", marked)
-        .withColumn("body", F.trim(F.concat_ws("\n", F.transform(kept, lambda x: x["line"]))))
-        .withColumn("passages", passages)
-        .drop("_lines")
-    )
+    out = rows.hint("merge").join(durable(passages).hint("merge"), "_m", "left")
+    return out.select(*messages.columns, "body", F.coalesce("passages", none).alias("passages"))
+
+
+def earlier(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, turn, earlier): for each point, the largest smaller turn with the same keys that is a `source`.
+
+    `points`: keys, turn, source; one row for each keys and turn. Turns are looked at in blocks of SPAN, then blocks among
+    themselves in the same way, so that neither a long conversation nor a passage that all quote is ever one group.
+    """
+    cut = durable(points.select(*keys, "turn", "source", F.floor(F.col("turn") / SPAN).cast("long").alias("block")))
+    of = lambda c: F.max(F.when(F.col("source"), F.col(c)))
+    inside = cut.withColumn("earlier", of("turn").over(W.partitionBy(*keys, "block").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)))
+    low, high = cut.agg(F.min("block"), F.max("block")).first()
+    if low == high:
+        return inside.select(*keys, "turn", "earlier")
+    blocks = durable(cut.groupBy(*keys, "block").agg(of("turn").alias("last")))
+    above = earlier(blocks.select(*keys, F.col("block").alias("turn"), F.col("last").isNotNull().alias("source")), keys)
+    above = above.where("earlier is not null").select(*keys, F.col("turn").alias("block"), F.col("earlier").alias("from"))
+    last = above.hint("merge").join(blocks.withColumnRenamed("block", "from").hint("merge"), [*keys, "from"]).select(*keys, "block", "last")
+    both = inside.hint("merge").join(durable(last).hint("merge"), [*keys, "block"], "left")
+    return both.select(*keys, "turn", F.coalesce("earlier", "last").alias("earlier"))
 
 
 def linked(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, level, pos, source): each quoted passage with the turn that it comes from."""
     quotes = rows.where("size(passages) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("passages").alias("pos", "p"))
     quotes = quotes.select("conv_id", "turn", "pos", "p.level", hashed(F.col("p.text")).alias("hash"), words(F.col("p.text")).alias("n_words"), F.size(worded(F.col("p.text"))).alias("n_lines"))
-    asked = durable(quotes.where("n_words > 0"))
-    lengths = asked.where(F.col("n_words") >= MIN_WORDS).groupBy("conv_id").agg(F.collect_set("n_lines").alias("lengths"))
-    lengths = asked.select("conv_id").distinct().hint("merge").join(lengths.hint("merge"), "conv_id", "left")
-    here = rows.hint("merge").join(lengths.hint("merge"), "conv_id").withColumn("lines", worded(F.col("body")))
-    fit = F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.size("lines"))
-    runs = F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.size("lines") - n + 1), lambda i: F.array_join(F.slice("lines", i, n), "\n"))))
-    units = F.array_distinct(F.concat(F.split("body", r"\n\s*\n"), F.split("body", "\n"), runs))
-    whole = hashed(F.col("body"))
-    parts = here.where("turn is not null").select("conv_id", F.col("turn").alias("at"), whole.alias("whole"), F.explode(F.array_distinct(F.concat(F.array(whole), F.transform(units, hashed)))).alias("hash"))
-    sources = parts.select("conv_id", F.col("at").alias("turn"), "hash", "at", F.when(F.col("hash") == F.col("whole"), F.col("at")).alias("whole_at"))
-    # Each passage looks back over the sources of its hash, so that a common one makes no pairs.
-    earlier = W.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    both = asked.select("conv_id", "turn", "hash", "level", "pos", "n_words").unionByName(sources, allowMissingColumns=True)
-    both = both.withColumn("source", F.when(F.col("n_words") >= MIN_WORDS, F.max("at").over(earlier)).otherwise(F.max("whole_at").over(earlier)))
-    return both.where("pos is not null and source is not null").groupBy("conv_id", "turn", "level", "pos").agg(F.max("source").alias("source"))
+    asked = durable(quotes.where("n_words > 0").withColumn("whole", F.col("n_words") < MIN_WORDS))
+    lengths = asked.where("not whole").groupBy("conv_id").agg(F.collect_set("n_lines").alias("lengths"))
+    lengths = durable(asked.select("conv_id").distinct().hint("merge").join(lengths.hint("merge"), "conv_id", "left"))
+    here = rows.where("turn is not null").hint("merge").join(lengths.hint("merge"), "conv_id").select("conv_id", "turn", "body", "lengths", worded(F.col("body")).alias("lines"))
+    runs = here.select("conv_id", "turn", "lines", F.explode("lengths").alias("n")).where("n <= size(lines)")
+    runs = runs.select("conv_id", "turn", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines") - F.col("n") + 1), lambda i: F.array_join(F.slice("lines", i, F.col("n")), "\n"))).alias("unit"))
+    parts = here.select("conv_id", "turn", F.explode(F.concat(F.array("body"), F.split("body", r"\n\s*\n"), F.split("body", "\n"))).alias("unit"))
+    sources = parts.unionByName(runs).select("conv_id", "turn", hashed(F.col("unit")).alias("hash"), F.lit(False).alias("whole"))
+    sources = sources.unionByName(here.select("conv_id", "turn", hashed(F.col("body")).alias("hash"), F.lit(True).alias("whole")))
+    keys = ["conv_id", "hash", "whole"]
+    points = sources.select(*keys, "turn", F.lit(True).alias("source")).unionByName(asked.select(*keys, "turn", F.lit(False).alias("source")))
+    points = earlier(points.groupBy(*keys, "turn").agg(F.max("source").alias("source")), keys).where("earlier is not null")
+    return asked.hint("merge").join(durable(points).hint("merge"), [*keys, "turn"]).groupBy("conv_id", "turn", "level", "pos").agg(F.max("earlier").alias("source"))
 
 
 def previous(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, earlier): the next smaller turn of the conversation.
-
-    Distinct turns are looked at in blocks of SPAN, then blocks among themselves, so that a conversation of any length is
-    never one group.
-    """
-    cut = turns.withColumn("block", F.floor(F.col("turn") / SPAN))
-    inside = cut.withColumn("earlier", F.lag("turn").over(W.partitionBy("conv_id", "block").orderBy("turn")))
-    last = cut.groupBy("conv_id", "block").agg(F.max("turn").alias("last"))
-    before = last.select("conv_id", "block", F.lag("last").over(W.partitionBy("conv_id").orderBy("block")).alias("last"))
-    both = inside.hint("merge").join(before.hint("merge"), ["conv_id", "block"], "left")
-    return both.select("conv_id", "turn", F.coalesce("earlier", "last").alias("earlier"))
+    """(conv_id, turn, earlier): the next smaller turn of the conversation."""
+    return earlier(turns.withColumn("source", F.lit(True)), ["conv_id"])
 
 
 def depths(parents: DataFrame) -> DataFrame:

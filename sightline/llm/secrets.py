@@ -30,6 +30,8 @@ ACCESS, HEX = r"(AKIA[A-Z0-9]{16,})", r"([0-9a-f]{24,})"
 KINDS = [("assign", ASSIGN, ASSIGN, 6), ("access", ACCESS, ACCESS, 20), ("hex", HEX, HEX, 24)]
 TOKEN_CHARS, LIMIT = 20, 0.35
 TOKEN = r"([A-Za-z0-9+/_=-]{20,})"
+#: Matches whose places are added up together.
+BLOCK = 256
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -40,15 +42,29 @@ def matches(text: Column, kind: int, pattern: str, enough: str, least: int) -> C
     found = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
     value = F.regexp_extract_all(text, F.lit(whole), F.lit(3))
     parts = F.arrays_zip(before.alias("b"), found.alias("f"), value.alias("v"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    return F.when(text.rlike(enough), placed(parts, kind, least)).otherwise(F.array().cast(SPAN))
+
+
+def placed(parts: Column, kind: int, least: int) -> Column:
+    """The spans of `parts` (text before a match, match, value), whose lengths add up to places.
+
+    Parts are added up in blocks of BLOCK and blocks among themselves, as an array that grows is copied at each step.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda k: F.slice(parts, k * BLOCK + 1, F.lit(BLOCK)))
+    length = lambda x: F.length(x["b"]) + F.length(x["f"])
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    begins = F.aggregate(blocks, begin, lambda acc, b: F.struct((acc["at"] + F.aggregate(b, F.lit(0), lambda n, x: n + length(x))).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["b"])
         end = start + F.length(x["f"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value")))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value"))
+        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    def spans(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
 
-    return F.when(text.rlike(enough), F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.flatten(F.zip_with(blocks, begins, spans))
 
 
 def base_spans(text: Column) -> Column:
