@@ -199,7 +199,7 @@ class Texts:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(node, set) of the nodes, each once."""
-        wanted = durable(self.same.select("node", "doc_id", "h1", "h2").hint("merge").join(nodes.hint("merge"), "node", "left_semi"))
+        wanted = self.same.select("node", "doc_id", "h1", "h2").hint("merge").join(nodes.hint("merge"), "node", "left_semi")
         key = ["doc_id", "h1", "h2"]
         return shingle_sets(self.text.join(wanted.hint("shuffle_hash"), key).select("node", "text"), self.size, self.weights)
 
@@ -221,7 +221,7 @@ class Texts:
         """The (a, b) of `pairs` whose shingle sets are as similar as the threshold says, or more."""
         threshold, weights = self.threshold, self.weights
         pairs = durable(self.likely(pairs))
-        sets = durable(self.sets(durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
+        sets = durable(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         left = pairs.hint("merge").join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}).hint("merge"), "a")
         both = left.hint("merge").join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}).hint("merge"), "b").select("a", "b", "set_a", "set_b")
 
@@ -282,7 +282,7 @@ class Texts:
 
         dealt = left.unionByName(right).repartition(*place).sortWithinPartitions(*place)
         likely = durable(dealt.mapInArrow(first, "key long, block int, chunk int, node long, component long, odd boolean"))
-        sets = durable(self.sets(durable(likely.select("node").distinct())))
+        sets = durable(self.sets(likely.select("node").distinct()))
         both = likely.hint("merge").join(sets.hint("merge"), "node").select(*place, "node", "component", "odd", "set")
         return both.repartition(*place).sortWithinPartitions(*place).mapInArrow(second, "a long, b long").distinct()
 
@@ -290,23 +290,19 @@ class Texts:
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links lead to, for every id in a link.
 
-    Alternates large-star and small-star steps: each is a group-by and a join, and the rounds are few (logarithmic in
-    practice), so no component gathers anywhere. What is grouped is written before it is joined, so that Spark can
-    split the edges of a hub over several tasks.
+    In each round an id takes the smallest label of its neighbours, and then that label's own label; rounds are few
+    (logarithmic in practice). Labels are least values, reduced before each shuffle, and both sides of the join are
+    tables as they were written, so that Spark can split the edges of a hub: no component gathers anywhere.
     """
-    edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = durable(links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v").distinct())
+    label = durable(edges.groupBy("u").agg(F.min("v").alias("l")).select("u", F.least("u", "l").alias("l")))
     before = None
-    while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = durable(both.where("v > u").hint("merge").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.hint("merge").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
+    while (now := label.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()) != before:
         before = now
+        near = edges.hint("merge").join(label.withColumnsRenamed({"u": "v"}).hint("merge"), "v").select("u", "l")
+        least = near.union(label).groupBy("u").agg(F.min("l").alias("at"))
+        label = durable(least.hint("merge").join(label.withColumnsRenamed({"u": "at"}).hint("merge"), "at").select("u", F.least("at", "l").alias("l")))
+    return label.withColumnsRenamed({"u": "id", "l": "component"})
 
 
 def unsettled(held: DataFrame, labels: DataFrame) -> DataFrame:
@@ -348,7 +344,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     if not odd.isEmpty():
         tried = odd.select("key", "node").hint("merge").join(bucket.select("key", F.array(*[f"l{i}" for i in range(LEADERS)]).alias("l")).hint("merge"), "key")
         tried = tried.select("node", F.explode(F.array_distinct("l")).alias("other")).where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
-        more = durable(durable(tried.distinct()).hint("merge").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+        more = durable(tried.distinct().hint("merge").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
         links = durable(links.union(texts.similar(more)))
         labels = components(links)
         # ... and what is still outside meets all others of its buckets, in blocks.
