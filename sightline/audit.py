@@ -4,7 +4,9 @@
     run = audit(pages, link_status=statuses, profile="strict", as_of="2025-06-01")
     run.table("score_every_site"), run.table("findings"), run.table("roadmap")
 
-`pages` has page_id, url and html. Side tables are optional and default to empty ones of the right columns. A rule of
+`pages` has page_id, url and html. Side tables are optional and default to empty ones of the right columns. Outside
+evidence (entities, corpus_index, the status of profiles) counts for the sites in `external_runs` only, those that it was
+gathered for; without it, no finding says that the outside knows nothing of a brand. A rule of
 your own is a DataFrame of (site, check_id, n) passed as `extra_hits`, with its row of the catalog in `extra_checks`.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import sightline.queries  # noqa: F401
 from sightline.plans.relations import RELATIONS, Settings, build
@@ -20,15 +23,17 @@ from sightline.plans.relations import RELATIONS, Settings, build
 SIDE_TABLES = {
     "responses": "url string, status int, elapsed_ms bigint, raw_len bigint, content_type string, x_robots string, error string",
     "robots": "site string, body string",
-    "sitemaps": "site string, body string",
+    "sitemaps": "site string, url string, body string",
     "link_status": "url string, status int",
     "entities": "label string, entity_id string, official_website string, hit_rank int",
     "corpus_index": "domain string, records bigint",
+    "external_runs": "site string",
     "audit_history": "id bigint, domain string, audited_at date, score int, total_findings bigint",
     "targets": "site string",
     "peers": "site string, peer string",
     "scenario": "site string, id string",
     "expected": "site string, category string",
+    "expected_limits": "site string, max_critical int, max_high int, absent_title string",
 }
 #: The rules of each check group (fixed values).
 SKILLS = {"crawl-render": "C", "structured-data": "D", "content-extractability": "E", "freshness-corroboration": "FR", "engagement": "G", "consistency": "H", "regions": "I", "external": "X", "input": "O"}
@@ -47,6 +52,24 @@ class Audit:
             raise ValueError(f"unknown table {name!r}")
         return build(self.spark, name, self.tables, self.settings, self.made)
 
+    def find_findings(self, text: str = "", dimension: list[str] | None = None, severity: list[str] | None = None, confidence: list[str] | None = None) -> DataFrame:
+        """The findings whose title, id or category holds `text`, of the values given; see finding_facets for those there are."""
+        out = self.table("findings")
+        for column, chosen in (("dimension", dimension), ("severity", severity), ("confidence", confidence)):
+            out = out.where(out[column].isin(chosen)) if chosen else out
+        return out.where(F.contains(F.lower(F.concat_ws(" ", "id", "title", "category")), F.lit(text.lower()))) if text else out
+
+    def find_pages(self, text: str = "", by: str = "score") -> DataFrame:
+        """The page records whose url or title holds `text`, by score (lowest first), findings (most first) or url."""
+        orders = {"score": ["score", "url"], "findings": [F.desc("findings"), "url"], "url": ["url"]}
+        if by not in orders:
+            raise ValueError(f"unknown order {by!r}; choose from {sorted(orders)}")
+        rows = self.table("page_records")
+        if text:
+            titles = self.table("page_signals").select("site", "url", F.col("title").alias("_title"))
+            rows = rows.join(titles, ["site", "url"]).where(F.contains(F.lower(F.concat_ws(" ", "url", "_title")), F.lit(text.lower()))).drop("_title")
+        return rows.orderBy(*orders[by])
+
 
 def audit(
     pages: DataFrame, *, profile: str = "balanced", max_pages: int = 12, scope: str = "host", as_of: str = "2025-06-01", skills: list[str] | None = None, thresholds: dict | None = None,
@@ -59,6 +82,8 @@ def audit(
     tables = {"crawl": pages.select("page_id", "url", "html").where("url is not null")}
     for name, schema in SIDE_TABLES.items():
         tables[name] = side[name] if name in side else spark.createDataFrame([], schema)
+    if "url" not in tables["sitemaps"].columns:  # each site's one map
+        tables["sitemaps"] = tables["sitemaps"].selectExpr("site", "concat('https://', site, '/sitemap.xml') url", "body")
     out = Audit(spark, tables, Settings(profile, max_pages, scope, as_of, thresholds or {}), {})
     if skills or extra_hits is not None:
         hits = out.table("check_hits")

@@ -12,9 +12,10 @@ ENTITIES = [("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"
 
 
 def decoded(x: str) -> str:
-    for name, char in ENTITIES:
-        x = rf"regexp_replace({x}, r'&{name};?', '{char}', /*all*/ 1)"
-    return x
+    """`x` with its references decoded, with or without their semicolon. Plain replacements: no regular expression runs."""
+    for name, char in ENTITIES[:-1]:
+        x = f"replace(replace({x}, '&{name};', '{char}'), '&{name}', '{char}')"
+    return f"replace(replace(replace({x}, '&amp;', chr(2)), '&amp', '&'), chr(2), '&')"
 
 
 def squeezed(x: str) -> str:
@@ -39,10 +40,18 @@ def has_attribute(tag: str, name: str) -> str:
     return rf"regexp_like({tag}, r'(?is)[\s\x22\x27]{name}\s*=')"
 
 
+META_KEYS = ["description", "viewport", "robots", "og:site_name"]
+
+
 def meta(key: str) -> str:
     """The content of the last <meta> with this name, property or http-equiv."""
-    key_of = "lower(coalesce(" + ", ".join(f"nullif({attribute('x', a)}, '')" for a in ("name", "property", "http-equiv")) + "))"
-    return f"coalesce({decoded(attribute(f'''try_element_at(filter(metas, x -> {key_of} = '{key}'), -1)''', 'content'))}, '')"
+    return f"coalesce(try_element_at(filter(transform(metas, x -> CASE WHEN startswith(x, '{key} ') THEN substring(x, {len(key) + 2}) END), x -> x IS NOT NULL), -1), '')"
+
+
+def meta_pair(x: str) -> str:
+    """`key content` of a <meta> tag, its key in lower case; keys hold no blank."""
+    key = "coalesce(" + ", ".join(f"nullif({attribute(x, a)}, '')" for a in ("name", "property", "http-equiv")) + ", '')"
+    return f"lower({key}) || ' ' || {attribute(x, 'content')}"
 
 
 relation("page_urls", f"""
@@ -51,24 +60,27 @@ SELECT page_id, url, {urls.host('url')} AS host, {urls.bare_host('url')} AS bare
 FROM {{crawl}}
 """)
 
+# pages whose response says that they are something else (L3)
+relation("not_html", "SELECT DISTINCT url FROM {responses} WHERE coalesce(content_type, '') <> '' AND NOT contains(lower(content_type), 'html')")
+
 relation("page_sample", """
 SELECT page_id, url, site, section, is_deep, row_number() OVER (PARTITION BY site ORDER BY at_root DESC, type_rank, url, page_id) AS page_ord
-FROM (SELECT u.*, u.$site$ AS site, CASE WHEN path IN ('', '/') THEN 1 ELSE 0 END AS at_root, row_number() OVER (PARTITION BY url ORDER BY page_id) AS copy FROM {page_urls} u WHERE NOT is_asset)
+FROM (SELECT u.*, u.$site$ AS site, CASE WHEN path IN ('', '/') THEN 1 ELSE 0 END AS at_root, row_number() OVER (PARTITION BY u.url ORDER BY page_id) AS copy FROM {page_urls} u LEFT JOIN {not_html} n ON u.url = n.url WHERE NOT is_asset AND n.url IS NULL)
 WHERE copy = 1
 """)
 
 relation("site_pages", "SELECT page_id, url, site, section, is_deep, page_ord, page_ord = 1 AS is_home FROM {page_sample} WHERE page_ord <= $max_pages$", stored=True)
 
 relation("page_tags", r"""
-SELECT s.page_id, s.url, s.site, s.section, s.is_deep, s.page_ord, s.is_home, c.html, length(c.html) AS html_len, octet_length(c.html) AS html_bytes, """ + text_of("c.html") + r""" AS visible_text,
+SELECT s.page_id, s.url, s.site, s.section, s.is_deep, s.page_ord, s.is_home, c.html, length(c.html) AS html_len, octet_length(c.html) AS html_bytes,
        """ + squeezed(decoded(r"regexp_extract(c.html, r'(?is)<title[^>]*>(.*?)</title>', 1)")) + r""" AS title,
        """ + attribute(r"regexp_extract(c.html, r'(?is)(<html\b[^>]*>)', 1)", "lang") + r""" AS lang,
-       regexp_extract_all(c.html, r'(?is)<meta\b[^>]*>', 0) AS metas, regexp_extract_all(c.html, r'(?is)<link\b[^>]*>', 0) AS link_tags, regexp_extract_all(c.html, r'(?is)<a\b[^>]*>.*?</a>', 0) AS anchors,
+       filter(transform(filter(regexp_extract_all(c.html, r'(?is)<meta\b[^>]*>', 0), x -> regexp_like(x, r'(?i)description|viewport|robots|og:site_name')), x -> """ + meta_pair("x") + r"""), x -> regexp_like(x, r'^(?:description|viewport|robots|og:site_name) ')) AS metas, regexp_extract_all(c.html, r'(?is)<link\b[^>]*>', 0) AS link_tags, regexp_extract_all(c.html, r'(?is)<a\b[^>]*>.*?</a>', 0) AS anchors,
        regexp_extract_all(c.html, r'(?is)<img\b[^>]*>', 0) AS image_tags, regexp_extract_all(c.html, r'(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>', 0) AS heading_tags, regexp_extract_all(c.html, r'(?is)<script\b[^>]*>.*?</script>', 0) AS script_tags,
        regexp_extract_all(c.html, r'(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>', 1) AS jsonld_blocks, regexp_extract_all(c.html, r'(?is)<(?:input|select|textarea)\b[^>]*>', 0) AS controls,
        regexp_extract_all(c.html, r'(?is)<label\b[^>]*\bfor=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1) AS label_ids, regexp_extract_all(c.html, r'(?is)<iframe\b[^>]*>', 0) AS iframes,
        CASE WHEN regexp_like(c.html, r'(?is)<head[^>]*>.*?</head>') THEN regexp_extract(c.html, r'(?is)<head[^>]*>(.*?)</head>', 1) ELSE substring(c.html, 1, 4000) END AS head
-FROM {site_pages} s JOIN {crawl} c ON s.page_id = c.page_id AND s.url = c.url
+FROM {site_pages} s JOIN {crawl} c ON s.page_id = c.page_id AND s.url = c.url WHERE s.page_ord <= $max_pages$
 """, stored=True)
 
 NO_LABEL = ["hidden", "submit", "button", "reset", "image"]
@@ -78,7 +90,7 @@ relation("page_signals", r"""
 SELECT page_id, url, site, section, is_deep, page_ord, is_home, html_len, html_bytes, visible_text, length(visible_text) AS text_len, title, lang,
        size(filter(split(regexp_replace(visible_text, r'""" + CJK + r"""', ' ', /*all*/ 1), r'\s+'), x -> x <> '')) + size(regexp_extract_all(visible_text, r'""" + CJK + r"""', 0)) AS word_count,
        CASE WHEN html_len = 0 THEN 0.0 ELSE bround(cast(length(visible_text) AS double) / html_len, 4) END AS text_ratio,
-       """ + meta("description") + r""" AS description, """ + meta("viewport") + r""" AS viewport, """ + meta("robots") + r""" AS meta_robots, """ + meta("og:site_name") + r""" AS site_name,
+       """ + decoded(meta("description")) + r""" AS description, """ + meta("viewport") + r""" AS viewport, """ + meta("robots") + r""" AS meta_robots, """ + decoded(meta("og:site_name")) + r""" AS site_name,
        coalesce(""" + attribute(r"try_element_at(filter(link_tags, x -> contains(lower(" + attribute("x", "rel") + r"), 'canonical')), -1)", "href") + r""", '') AS canonical,
        size(anchors) AS n_links, size(image_tags) AS n_images, size(filter(image_tags, x -> NOT """ + has_attribute("x", "alt") + r""")) AS n_images_no_alt,
        size(filter(heading_tags, x -> regexp_like(x, r'(?i)^<h1'))) AS n_h1, size(filter(heading_tags, x -> regexp_like(x, r'(?i)^<h2'))) AS n_h2, size(heading_tags) AS n_headings,
@@ -98,7 +110,7 @@ SELECT page_id, url, site, section, is_deep, page_ord, is_home, html_len, html_b
        regexp_like(html, r'(?i)(?:newsletter|subscribe|cookie).{0,40}(?:modal|popup|overlay|interstitial)|(?:modal|popup|overlay|interstitial).{0,40}(?:newsletter|subscribe)') AS has_popup,
        regexp_like(html, r'(?i)\bclass\s*=\s*[\x22\x27][^\x22\x27]*\b(?:cta|btn|button|add-to-cart|buy-now)\b') AS has_cta_class, regexp_like(html, r'(?i)add to (?:cart|bag|basket)|addtocart|data-add-to-cart') AS has_cart,
        regexp_like(html, r'(?i)type=[\x22\x27]search[\x22\x27]|role=[\x22\x27]search[\x22\x27]|action=[\x22\x27][^\x22\x27]*search') AS has_search, regexp_like(html, r'(?i)type=[\x22\x27]application/ld\+json[\x22\x27]') AS declares_jsonld
-FROM {page_tags}
+FROM (SELECT *, """ + text_of("html") + r""" AS visible_text FROM {page_tags})
 """, stored=True)
 
 relation("page_links", r"""
@@ -129,8 +141,12 @@ FROM (SELECT site, page_ord, url, pos, code, href, h, """ + urls.joined("h", "ur
                   WHERE regexp_like(t, r'(?i)\brel=[\x22\x27]?alternate[\x22\x27]?') AND regexp_like(t, r'(?i)hreflang=[\x22\x27][^\x22\x27]+[\x22\x27]') AND regexp_like(t, r'(?i)\shref=[\x22\x27][^\x22\x27]+[\x22\x27]'))))
 """)
 
+# Objects written one after the other are taken apart: a block that holds such is read part by part
 relation("jsonld_blocks", r"""
-SELECT site, page_ord, url, is_home, pos, b FROM (SELECT site, page_ord, url, is_home, posexplode(jsonld_blocks) AS (pos, b) FROM {page_tags}) WHERE try_parse_json(b) IS NOT NULL
+SELECT site, page_ord, url, is_home, pos * 1000 + k AS pos, b FROM (
+  SELECT site, page_ord, url, is_home, pos, posexplode(parts) AS (k, b) FROM (
+    SELECT site, page_ord, url, is_home, pos, split(regexp_replace(trim(b), r'\}\s*\{', '}' || chr(1) || '{', /*all*/ 1), chr(1)) AS parts FROM (SELECT site, page_ord, url, is_home, posexplode(jsonld_blocks) AS (pos, b) FROM {page_tags})))
+WHERE try_parse_json(b) IS NOT NULL AND (startswith(trim(b), '{') OR startswith(trim(b), '['))
 """)
 
 relation("jsonld_parts", r"""

@@ -169,8 +169,32 @@ SELECT domain, audited_at, score, score - lag(score) OVER (PARTITION BY domain O
 relation("latest_audit", r"""SELECT domain, audited_at, score, total_findings FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY audited_at DESC, id DESC) AS k FROM {audit_history}) WHERE k = 1""")
 relation("headline", r"""SELECT s.site, s.value AS visibility, c.score AS citation, r.score AS readiness, r.applicable, a.answerable_pct, a.citable_pct, k.risk FROM {site_scores} s LEFT JOIN {citation_scores} c ON s.site = c.site LEFT JOIN {readiness_scores} r ON s.site = r.site LEFT JOIN {answer_summary} a ON s.site = a.site LEFT JOIN {consistency} k ON s.site = k.site""")
 relation("expected", r"""SELECT 'brand' || s_suppkey || '.example.org' AS site, CASE s_suppkey % 4 WHEN 0 THEN 'extractability' WHEN 1 THEN 'crawlability' WHEN 2 THEN 'freshness' ELSE 'mobile' END AS category FROM {supplier}""")
-relation("evaluation", r"""SELECT count(*) AS expected, count_if(f.site IS NOT NULL) AS found, count_if(f.site IS NULL) AS missed FROM {expected} e LEFT JOIN (SELECT DISTINCT site, category FROM {findings}) f ON e.site = f.site AND e.category = f.category""")
+relation("expected_limits", r"""SELECT 'brand' || s_suppkey || '.example.org' AS site, cast(s_suppkey % 3 AS int) AS max_critical, cast(s_suppkey % 4 + 1 AS int) AS max_high, CASE s_suppkey % 5 WHEN 0 THEN 'hreflang' WHEN 1 THEN 'call-to-action' ELSE '' END AS absent_title FROM {supplier}""")
+# Of each labelled site: what was to be found and was missed, and what should not be there (A31)
+relation("evaluation_rows", r"""
+SELECT s.site, coalesce(e.expected, 0) AS expected, coalesce(e.found, 0) AS found, coalesce(e.missed, '') AS missed, coalesce(t.n, 0) AS findings, coalesce(l.absent, 0) + CASE WHEN c.critical > m.max_critical THEN 1 ELSE 0 END + CASE WHEN c.high > m.max_high THEN 1 ELSE 0 END AS false_positives,
+       coalesce(e.missed, '') = '' AND coalesce(l.absent, 0) = 0 AND NOT coalesce(c.critical > m.max_critical, false) AND NOT coalesce(c.high > m.max_high, false) AS passed
+FROM (SELECT site FROM {expected} UNION SELECT site FROM {expected_limits}) s
+LEFT JOIN (SELECT e.site, count(*) AS expected, count_if(f.site IS NOT NULL) AS found, listagg(missing, ',') WITHIN GROUP (ORDER BY missing) AS missed
+           FROM (SELECT e.site, e.category, CASE WHEN f.site IS NULL THEN e.category END AS missing FROM (SELECT DISTINCT site, category FROM {expected}) e LEFT JOIN (SELECT DISTINCT site, category FROM {findings}) f ON e.site = f.site AND e.category = f.category) e
+           LEFT JOIN (SELECT DISTINCT site, category FROM {findings}) f ON e.site = f.site AND e.category = f.category GROUP BY e.site) e ON s.site = e.site
+LEFT JOIN {expected_limits} m ON s.site = m.site LEFT JOIN {severity_counts} c ON s.site = c.site LEFT JOIN (SELECT site, count(*) AS n FROM {findings} GROUP BY site) t ON s.site = t.site
+LEFT JOIN (SELECT m.site, cast(1 AS bigint) AS absent FROM {expected_limits} m JOIN {findings} f ON m.site = f.site WHERE m.absent_title <> '' AND contains(lower(f.title), m.absent_title) GROUP BY m.site) l ON s.site = l.site
+""")
+relation("evaluation", r"""
+SELECT count(*) AS sites, count_if(passed) AS passed, sum(expected) AS expected, sum(found) AS found, CASE WHEN sum(expected) > 0 THEN bround(cast(sum(found) AS double) / sum(expected), 3) ELSE 1.0 END AS recall, sum(false_positives) AS false_positives, bool_and(passed) AS all_passed FROM {evaluation_rows}
+""")
+# Maps at the usual place or named there, five of a site at most, and the pages that they name (S4)
+relation("sitemap_locs", r"""
+SELECT site, url, loc FROM (SELECT DISTINCT site, url, trim(loc) AS loc FROM (SELECT site, url, explode(regexp_extract_all(body, r'(?i)<loc>([^<]*)</loc>', 1)) AS loc FROM {sitemaps})) WHERE loc <> ''
+""")
+relation("sitemap_maps", r"""
+SELECT site, url FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY level, url) AS k FROM (SELECT site, url, min(level) AS level FROM (
+  SELECT site, url, 0 AS level FROM {sitemaps} WHERE endswith(url, '/sitemap.xml')
+  UNION ALL SELECT DISTINCT m.site, m.url, 0 FROM {sitemaps} m JOIN {robots} r ON m.site = r.site WHERE contains(r.body, m.url)
+  UNION ALL SELECT site, loc, 1 FROM {sitemap_locs} WHERE endswith(url, '/sitemap.xml') AND endswith(loc, '.xml')) GROUP BY site, url)) WHERE k <= 5
+""")
 relation("sitemap_urls", r"""
-SELECT site, loc FROM (SELECT site, loc, row_number() OVER (PARTITION BY site ORDER BY loc) AS k FROM (SELECT DISTINCT site, trim(loc) AS loc FROM (SELECT site, explode(regexp_extract_all(body, r'<loc>([^<]*)</loc>', 1)) AS loc FROM {sitemaps})) WHERE contains(loc, '://' || site || '/')) WHERE k <= 50
+SELECT site, loc FROM (SELECT site, loc, row_number() OVER (PARTITION BY site ORDER BY loc) AS k FROM (SELECT DISTINCT l.site, l.loc FROM {sitemap_locs} l JOIN {sitemap_maps} m ON l.site = m.site AND l.url = m.url WHERE NOT endswith(l.loc, '.xml') AND contains(l.loc, '://' || l.site || '/'))) WHERE k <= 50
 """)
 relation("input_targets", "SELECT raw, " + cleaned_input("raw") + " AS url FROM (SELECT '[see](https://brand' || s_suppkey || '.example.org/)' AS raw FROM {supplier} UNION ALL SELECT ' <brand' || s_suppkey || '.example.org> ' FROM {supplier} UNION ALL SELECT '//' || s_name FROM {supplier})")

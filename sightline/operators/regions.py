@@ -1,12 +1,22 @@
 """Region variants and external evidence (survey I1-I4, X1e-X6e)."""
 
-from sightline.functions.urls import bare_host, locale
+from sightline.functions.urls import bare_host, domain, domain_of, locale
 from sightline.operators.checks import PROFILE_SITES, values
 from sightline.plans.relations import relation
 
 #: Country codes and names (fixed values).
-COUNTRIES = "us United States|gb United Kingdom|uk United Kingdom|in India|fr France|de Germany|es Spain|it Italy|jp Japan|cn China|br Brazil|ca Canada|au Australia|mx Mexico|nl Netherlands|se Sweden|kr South Korea|sg Singapore|ae United Arab Emirates|za South Africa"
-relation("countries", values([tuple(c.split(" ", 1)) for c in COUNTRIES.split("|")], "code, name"))
+COUNTRIES = [
+    ("in", "India"), ("gb", "United Kingdom"), ("uk", "United Kingdom"), ("us", "United States"),
+    ("ca", "Canada"), ("au", "Australia"), ("nz", "New Zealand"), ("ie", "Ireland"), ("sg", "Singapore"),
+    ("ae", "UAE"), ("sa", "Saudi Arabia"), ("za", "South Africa"), ("de", "Germany"), ("fr", "France"),
+    ("es", "Spain"), ("it", "Italy"), ("nl", "Netherlands"), ("se", "Sweden"), ("ch", "Switzerland"),
+    ("be", "Belgium"), ("at", "Austria"), ("pt", "Portugal"), ("br", "Brazil"), ("mx", "Mexico"),
+    ("ar", "Argentina"), ("jp", "Japan"), ("cn", "China"), ("hk", "Hong Kong"), ("tw", "Taiwan"),
+    ("kr", "South Korea"), ("ru", "Russia"), ("pl", "Poland"), ("tr", "Turkey"), ("id", "Indonesia"),
+    ("my", "Malaysia"), ("ph", "Philippines"), ("th", "Thailand"), ("vn", "Vietnam"), ("bd", "Bangladesh"),
+    ("pk", "Pakistan"), ("lk", "Sri Lanka"), ("ng", "Nigeria"), ("eg", "Egypt"), ("il", "Israel"),
+]
+relation("countries", values(COUNTRIES, "code, name"))
 
 relation("region_variants", r"""
 SELECT v.site, v.variant, v.code, v.via, v.region, coalesce(s.status, 0) AS status, coalesce(s.status IN (404, 410) OR s.status >= 500 AND s.status < 600, false) AS is_dead,
@@ -19,6 +29,10 @@ FROM (SELECT site, variant, code, via, CASE WHEN code = 'x-default' THEN '' ELSE
           LEFT JOIN (SELECT DISTINCT site FROM {page_hreflang}) h ON l.site = h.site WHERE h.site IS NULL AND l.code <> '' GROUP BY l.site, l.code)) WHERE via = 'hreflang' OR k <= 40) v
 LEFT JOIN {link_status} s ON v.variant = s.url LEFT JOIN {countries} c ON v.region = c.code LEFT JOIN {site_pages} p ON v.variant = p.url
 """)
+# the default first, then by region and address (I4)
+relation("region_places", r"""
+SELECT site, variant, code, label, is_dead, row_number() OVER (PARTITION BY site ORDER BY CASE WHEN code = 'x-default' THEN 0 ELSE 1 END, region, variant, code) AS place FROM {region_variants}
+""")
 relation("region_summary", r"""
 SELECT site, count(*) AS n_variants, count_if(is_dead) AS n_dead, count_if(in_sample) AS n_sampled, count_if(via = 'hreflang') >= 2 AS is_cluster, printf('%d region variant(s), %d unreachable', count(*), count_if(is_dead)) AS note FROM {region_variants} GROUP BY site
 """)
@@ -30,8 +44,10 @@ SELECT site, profile FROM (SELECT site, profile, row_number() OVER (PARTITION BY
     UNION ALL SELECT site, page_ord * 100000 + 50000 + pos, href FROM {page_links} WHERE startswith(href, 'http') AND regexp_like(href, r'""" + PROFILE_SITES + r"""'))
   GROUP BY site, profile)) WHERE k <= 8
 """)
+#: Hosts that are not public: names without a dot or of local use, and private, loopback and link-local addresses.
+PRIVATE = r"(?i)^[a-z]+://(?:[^/?#]*@)?(?:[^./?#:]+|[^/?#:]*\.(?:local|internal|localhost)|127\.[0-9.]+|10\.[0-9.]+|192\.168\.[0-9.]+|169\.254\.[0-9.]+|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9.]+|0\.0\.0\.0|\[[^\]]*\])(?:[:/?#]|$)"
 relation("profile_states", r"""
-SELECT u.site, u.profile, CASE WHEN s.url IS NULL OR s.status = 0 THEN 'unreachable' WHEN s.status BETWEEN 200 AND 399 OR s.status IN (403, 429, 999) THEN 'verified' ELSE 'unreachable' END AS state
+SELECT u.site, u.profile, CASE WHEN regexp_like(u.profile, r'""" + PRIVATE + r"""') THEN 'skipped' WHEN s.url IS NULL THEN 'unavailable' WHEN s.status BETWEEN 200 AND 399 OR s.status IN (403, 429, 999) THEN 'verified' ELSE 'unreachable' END AS state
 FROM {profile_urls} u LEFT JOIN {link_status} s ON u.profile = s.url
 """)
 relation("brand_names", r"""
@@ -39,18 +55,40 @@ SELECT t.site, coalesce(nullif(h.site_name, ''), nullif(n.name, ''), upper(left(
 FROM {site_totals} t JOIN (SELECT site, trim(site_name) AS site_name FROM {page_facts} WHERE is_home) h ON t.site = h.site
 LEFT JOIN (SELECT site, min_by(trim(get_json_object(node, '$.name')), page_ord * 1000 + node_ord) AS name FROM {page_jsonld} WHERE first_type IN ('organization', 'website', 'localbusiness') AND coalesce(get_json_object(node, '$.name'), '') <> '' GROUP BY site) n ON t.site = n.site
 """)
+# what a brand may be looked up by: its name, the name without an ending like .org, the first label of the host
+relation("brand_candidates", r"""
+SELECT site, name, row_number() OVER (PARTITION BY site ORDER BY ord) AS place FROM (SELECT site, lower(name) AS name, min(ord) AS ord FROM (
+  SELECT site, brand AS name, 1 AS ord FROM {brand_names} UNION ALL SELECT site, trim(regexp_replace(brand, r'\.\w{2,}$', '')), 2 FROM {brand_names} UNION ALL SELECT site, regexp_extract(site, r'^([^.]*)', 1), 3 FROM {brand_names})
+  WHERE name <> '' GROUP BY site, lower(name))
+""")
 relation("entity_matches", r"""
-SELECT b.site, min_by(e.entity_id, CASE WHEN """ + bare_host("e.official_website") + r""" = b.site THEN 0 ELSE 1000 END + e.hit_rank) AS entity_id, bool_or(""" + bare_host("e.official_website") + r""" = b.site) AS links_back
-FROM {brand_names} b JOIN {entities} e ON lower(b.brand) = lower(e.label) WHERE e.hit_rank <= 5 GROUP BY b.site
+SELECT site, min_by(entity_id, CASE WHEN is_own THEN 0 ELSE 1000000 END + k) AS entity_id, bool_or(is_own) AS links_back
+FROM (SELECT c.site, e.entity_id, coalesce(""" + domain("e.official_website") + " = " + domain_of("c.site") + r""", false) AS is_own, row_number() OVER (PARTITION BY c.site ORDER BY c.place, e.hit_rank, e.entity_id) AS k
+      FROM {brand_candidates} c JOIN {entities} e ON c.name = lower(e.label) WHERE e.hit_rank <= 5 AND c.place <= 3) WHERE k <= 8 GROUP BY site
 """)
+# Outside evidence counts only for the sites that it was gathered for (external_runs); what was not looked at is unavailable, not absent.
 relation("external_evidence", r"""
-SELECT t.site, e.entity_id, coalesce(e.links_back, false) AS links_back, coalesce(p.n_ok, 0) AS n_ok, coalesce(p.n_bad, 0) AS n_bad, coalesce(c.records, 0) AS corpus_records, coalesce(e.links_back, false) OR coalesce(p.n_ok, 0) > 0 AS verified
-FROM {site_totals} t LEFT JOIN {entity_matches} e ON t.site = e.site LEFT JOIN (SELECT site, count_if(state = 'verified') AS n_ok, count_if(state = 'unreachable') AS n_bad FROM {profile_states} GROUP BY site) p ON t.site = p.site
-LEFT JOIN {corpus_index} c ON regexp_extract(t.site, r'([^.]+\.[^.]+)$', 1) = c.domain
+SELECT t.site, x.site IS NOT NULL AS performed, e.entity_id, CASE WHEN x.site IS NULL THEN 'unavailable' WHEN e.entity_id IS NULL THEN 'absent' ELSE 'present' END AS entity, coalesce(e.links_back, false) AS links_back, coalesce(p.n_ok, 0) AS n_ok, coalesce(p.n_bad, 0) AS n_bad, coalesce(p.n_skipped, 0) AS n_skipped,
+       CASE WHEN c.records IS NULL THEN 'unavailable' WHEN c.records > 0 THEN 'present' ELSE 'absent' END AS corpus, CASE WHEN x.site IS NOT NULL THEN coalesce(e.links_back, false) OR coalesce(p.n_ok, 0) > 0 END AS verified
+FROM {site_totals} t LEFT JOIN {external_runs} x ON t.site = x.site LEFT JOIN {entity_matches} e ON t.site = e.site
+LEFT JOIN (SELECT site, count_if(state = 'verified') AS n_ok, count_if(state = 'unreachable') AS n_bad, count_if(state = 'skipped') AS n_skipped FROM {profile_states} GROUP BY site) p ON t.site = p.site LEFT JOIN {corpus_index} c ON """ + domain_of("t.site") + r""" = c.domain
 """)
 relation("external_hits", r"""
-SELECT site, 'X1e' AS check_id, cast(1 AS bigint) AS n FROM {external_evidence} WHERE entity_id IS NOT NULL AND NOT links_back
-UNION ALL SELECT site, 'X2e', cast(1 AS bigint) FROM {external_evidence} WHERE NOT verified
-UNION ALL SELECT site, 'X3e', n_bad FROM {external_evidence} WHERE n_bad > 0
-UNION ALL SELECT site, 'X4e', cast(1 AS bigint) FROM {external_evidence} WHERE corpus_records = 0
+SELECT site, 'X1e' AS check_id, cast(1 AS bigint) AS n FROM {external_evidence} WHERE performed AND entity = 'present' AND NOT links_back
+UNION ALL SELECT site, 'X2e', cast(1 AS bigint) FROM {external_evidence} WHERE performed AND entity = 'absent'
+UNION ALL SELECT site, 'X3e', n_bad FROM {external_evidence} WHERE performed AND n_bad > 0
+UNION ALL SELECT site, 'X4e', cast(1 AS bigint) FROM {external_evidence} WHERE performed AND corpus = 'absent'
+""")
+# Scores of a site and of up to three live variants of it that were audited too (A21)
+relation("region_scores", r"""
+SELECT r.site, r.url, r.region, r.is_primary, s.value AS score, s.grade, cast(bround(s.discoverability, 0) AS bigint) AS discoverability, cast(bround(s.engagement, 0) AS bigint) AS engagement, c.score AS citation, coalesce(f.total, 0) AS findings
+FROM (SELECT site, home_url AS url, 'Primary' AS region, site AS audited, true AS is_primary FROM {site_totals} WHERE site IN (SELECT site FROM {region_variants})
+      UNION ALL SELECT site, variant, label, audited, false FROM (SELECT v.site, v.variant, v.label, """ + bare_host("v.variant") + r""" AS audited, row_number() OVER (PARTITION BY v.site ORDER BY v.place) AS k FROM {region_places} v JOIN {site_totals} t ON v.site = t.site WHERE NOT v.is_dead AND regexp_replace(v.variant, r'/+$', '') <> regexp_replace(t.home_url, r'/+$', '')) WHERE k <= 3) r
+JOIN {site_scores} s ON r.audited = s.site LEFT JOIN {citation_scores} c ON r.audited = c.site LEFT JOIN {severity_counts} f ON r.audited = f.site
+""")
+relation("region_notes", r"""
+SELECT a.site, CASE WHEN w.n < 2 THEN 'Each region was audited.' WHEN w.score >= a.score THEN printf('%s scores highest; the other regions keep up.', a.region)
+       ELSE printf('%s (%d of 100, %s) trails %s (%d of 100) by %d point(s), most in %s.', w.region, w.score, w.grade, a.region, a.score, a.score - w.score, CASE WHEN w.discoverability <= w.citation AND w.discoverability <= w.engagement THEN 'discoverability' WHEN w.citation <= w.engagement THEN 'citation' ELSE 'engagement' END) END AS note
+FROM (SELECT site, region, score FROM {region_scores} WHERE is_primary) a
+JOIN (SELECT site, region, score, grade, discoverability, engagement, citation, n FROM (SELECT site, region, score, grade, discoverability, engagement, coalesce(citation, 0) AS citation, row_number() OVER (PARTITION BY site ORDER BY score, is_primary DESC, url) AS k, count(*) OVER (PARTITION BY site) AS n FROM {region_scores}) WHERE k = 1) w ON a.site = w.site
 """)

@@ -63,18 +63,31 @@ relation("gates", values(GATES, "gate, label, ord"))
 relation("areas", values(AREAS, "area, label, ord"))
 relation("named_checks", values([(a, c, k, r) for a, c, k, rules in NAMED_CHECKS for r in (rules.split() or [""])], "area, named, kind, check_id"))
 
-# findings of equal dimension, category and title are one: the strongest stays, pages are added up (A28)
+# findings of equal dimension, category and title are one: the strongest stays, the pages of all are merged (A28)
 relation("raw_findings", r"""
-SELECT h.site, c.check_id, c.title, c.severity, c.dimension, c.category, c.confidence, h.n, least(h.n_affected, 10) AS n_affected, h.example, h.affected, cast(s.points AS double) * cast(f.factor AS double) AS penalty, s.impact AS base_impact, s.sev_rank, f.conf_rank
+SELECT h.site, c.check_id, c.title, c.severity, c.dimension, c.category, c.confidence, h.n, least(h.n_affected, 10) AS n_affected, h.example, h.affected, cast(s.points AS double) * cast(f.factor AS double) AS penalty, s.impact AS base_impact, s.sev_rank, f.conf_rank,
+       lower(trim(c.category)) AS same_category, regexp_replace(lower(trim(c.title)), r'\s+', ' ', /*all*/ 1) AS same_title
 FROM {check_hits} h JOIN {check_catalog} c ON h.check_id = c.check_id JOIN {severities} s ON c.severity = s.severity JOIN {confidences} f ON c.confidence = f.confidence
 """)
+relation("ranked_findings", r"""
+SELECT *, row_number() OVER (PARTITION BY site, dimension, same_category, same_title ORDER BY sev_rank, conf_rank, check_id) AS same, count(*) OVER (PARTITION BY site, dimension, same_category, same_title) AS n_same FROM {raw_findings}
+""")
+relation("merged_pages", r"""
+SELECT site, dimension, same_category, same_title, count(*) AS n_affected, listagg(page, ' | ') WITHIN GROUP (ORDER BY place) AS affected
+FROM (SELECT *, row_number() OVER (PARTITION BY site, dimension, same_category, same_title ORDER BY first) AS place FROM (
+  SELECT site, dimension, same_category, same_title, page, min(same * 1000 + pos) AS first
+  FROM (SELECT site, dimension, same_category, same_title, same, posexplode(pages) AS (pos, page) FROM (SELECT site, dimension, same_category, same_title, same, split(affected, r' \| ') AS pages FROM {ranked_findings} WHERE n_same > 1 AND affected IS NOT NULL))
+  GROUP BY site, dimension, same_category, same_title, page))
+WHERE place <= 20 GROUP BY site, dimension, same_category, same_title
+""")
 relation("findings", r"""
 SELECT r.*, 'F-' || lpad(cast(priority AS string), 3, '0') AS id FROM (
   SELECT r.site, r.check_id, r.title, r.severity, r.dimension, r.category, r.confidence, r.n, r.n_affected, r.example, r.affected, r.penalty, r.sev_rank, CASE WHEN r.confidence = 'low' AND r.base_impact > 1 THEN r.base_impact - 1 ELSE r.base_impact END AS impact,
-         row_number() OVER (PARTITION BY r.site ORDER BY r.penalty DESC, r.dimension, lower(r.title), r.check_id) AS priority, k.reason,
+         row_number() OVER (PARTITION BY r.site ORDER BY r.penalty DESC, r.dimension, lower(r.title), r.check_id) AS priority, coalesce(k.reason, CASE r.dimension WHEN 'engagement' THEN 'Visitors who are put off leave.' ELSE 'What cannot be found and read cannot be cited.' END) AS reason,
          CASE WHEN t.n_pages IS NOT NULL THEN printf('%d of %d page(s) (%d%%)', r.n_affected, t.n_pages, cast(bround(100.0 * r.n_affected / t.n_pages, 0) AS bigint)) END AS scope
-  FROM (SELECT *, row_number() OVER (PARTITION BY site, dimension, lower(category), lower(trim(title)) ORDER BY sev_rank, conf_rank, check_id) AS same FROM {raw_findings}) r
-  JOIN {categories} k ON r.category = k.category LEFT JOIN {site_totals} t ON r.site = t.site WHERE same = 1) r
+  FROM (SELECT f.site, f.check_id, f.title, f.severity, f.dimension, f.category, f.confidence, f.n, coalesce(m.n_affected, f.n_affected) AS n_affected, f.example, coalesce(m.affected, f.affected) AS affected, f.penalty, f.base_impact, f.sev_rank
+        FROM {ranked_findings} f LEFT JOIN {merged_pages} m ON f.site = m.site AND f.dimension = m.dimension AND f.same_category = m.same_category AND f.same_title = m.same_title WHERE f.same = 1) r
+  LEFT JOIN {categories} k ON r.category = k.category LEFT JOIN {site_totals} t ON r.site = t.site) r
 """, stored=True)
 
 relation("dimension_penalties", r"""SELECT site, coalesce(sum(CASE WHEN dimension = 'discoverability' THEN penalty END), 0.0) AS disc, coalesce(sum(CASE WHEN dimension = 'engagement' THEN penalty END), 0.0) AS eng FROM {findings} GROUP BY site""")
@@ -125,13 +138,8 @@ relation("roadmap", r"""
 SELECT site, id, title, bucket, row_number() OVER (PARTITION BY site, bucket ORDER BY priority) AS place, row_number() OVER (PARTITION BY site ORDER BY bucket_ord, priority) AS step
 FROM (SELECT *, CASE bucket WHEN 'now' THEN 1 WHEN 'next' THEN 2 ELSE 3 END AS bucket_ord FROM (SELECT *, CASE WHEN severity IN ('critical', 'high') OR quadrant = 'quick_win' THEN 'now' WHEN severity = 'medium' THEN 'next' ELSE 'later' END AS bucket FROM {matrix}))
 """)
-relation("fix_plan", r"""
-SELECT r.site, r.step, r.id, r.bucket, f.title, k.reason AS why, f.scope, CASE f.category WHEN 'structured-data' THEN 'add-markup' WHEN 'extractability' THEN 'edit-template' WHEN 'crawlability' THEN 'edit-robots' WHEN 'indexability' THEN 'edit-template' ELSE 'review' END AS action, f.category IN ('structured-data', 'entity-identity', 'mobile', 'extractability') AS has_snippet,
-       CASE f.category WHEN 'structured-data' THEN '{"@type":"WebSite","url":"https://' || f.site || '/"}' WHEN 'entity-identity' THEN '{"@type":"Organization","name":"' || b.brand || '","url":"https://' || f.site || '/"}' WHEN 'mobile' THEN '<meta name="viewport" content="width=device-width, initial-scale=1">' WHEN 'extractability' THEN '<title>' || b.brand || '</title>' END AS snippet
-FROM {roadmap} r JOIN {findings} f ON r.site = f.site AND r.id = f.id JOIN {categories} k ON f.category = k.category JOIN {brand_names} b ON r.site = b.site
-""")
 relation("coverage_checks", r"""
-SELECT t.site, n.area, n.named, CASE WHEN n.area = 'freshness' AND t.n_dated = 0 AND coalesce(a.n, 0) = 0 THEN 'not_verified' WHEN n.hit THEN 'fail' WHEN n.kind = 'browser' THEN 'not_verified' WHEN n.kind = 'external' THEN CASE WHEN e.verified THEN 'pass' ELSE 'fail' END ELSE 'pass' END AS state
+SELECT t.site, n.area, n.named, CASE WHEN n.area = 'freshness' AND t.n_dated = 0 AND coalesce(a.n, 0) = 0 THEN 'not_verified' WHEN n.hit THEN 'fail' WHEN n.kind = 'browser' THEN 'not_verified' WHEN n.kind = 'external' THEN CASE WHEN e.verified THEN 'pass' WHEN NOT e.verified THEN 'fail' ELSE 'partial' END ELSE 'pass' END AS state
 FROM (SELECT s.site, n.area, n.named, n.kind, bool_or(f.check_id IS NOT NULL) AS hit FROM (SELECT site, area, named, kind, check_id FROM {site_named_checks}) n JOIN {site_totals} s ON n.site = s.site LEFT JOIN {findings} f ON n.site = f.site AND n.check_id = f.check_id GROUP BY s.site, n.area, n.named, n.kind) n
 JOIN {site_totals} t ON n.site = t.site JOIN {external_evidence} e ON t.site = e.site LEFT JOIN {area_findings} a ON n.site = a.site AND n.area = a.area
 """)
@@ -139,9 +147,9 @@ ALL_CHECKS = ", ".join(f"'{a}|{c}|{k}|{r}'" for a, c, k, rules in NAMED_CHECKS f
 relation("site_named_checks", r"""SELECT site, try_element_at(p, 1) AS area, try_element_at(p, 2) AS named, try_element_at(p, 3) AS kind, try_element_at(p, 4) AS check_id FROM (SELECT site, split(x, r'\|') AS p FROM (SELECT site, explode(array(""" + ALL_CHECKS + r""")) AS x FROM {site_totals}))""")
 relation("area_findings", r"""SELECT f.site, c.area, count(*) AS n, max(CASE f.confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS weakest FROM {findings} f JOIN {categories} c ON f.category = c.category WHERE c.area <> '' GROUP BY f.site, c.area""")
 relation("coverage", r"""
-SELECT c.site, c.area, a.label, CASE WHEN c.not_assessed THEN 'not_assessed' WHEN n > 0 THEN 'issues' WHEN n_open > 0 THEN 'partial' ELSE 'healthy' END AS status, checks_total, passed, failed, n_open, n AS findings,
-       CASE WHEN n > 0 THEN CASE weakest WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END WHEN n_open > 0 THEN 'medium' ELSE 'high' END AS confidence
-FROM (SELECT k.site, k.area, count(*) AS checks_total, count_if(k.state = 'pass') AS passed, count_if(k.state = 'fail') AS failed, count_if(k.state = 'not_verified') AS n_open, max(coalesce(f.n, 0)) AS n, max(f.weakest) AS weakest, k.area = 'freshness' AND bool_and(k.state = 'not_verified') AS not_assessed
+SELECT c.site, c.area, a.label, CASE WHEN c.not_assessed THEN 'not_assessed' WHEN n > 0 THEN 'issues' WHEN n_open + n_partial > 0 THEN 'partial' ELSE 'healthy' END AS status, checks_total, passed, failed, n_open, n_partial, n AS findings,
+       CASE WHEN n > 0 THEN CASE weakest WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END WHEN n_open + n_partial > 0 THEN 'medium' ELSE 'high' END AS confidence
+FROM (SELECT k.site, k.area, count(*) AS checks_total, count_if(k.state = 'pass') AS passed, count_if(k.state = 'fail') AS failed, count_if(k.state = 'not_verified') AS n_open, count_if(k.state = 'partial') AS n_partial, max(coalesce(f.n, 0)) AS n, max(f.weakest) AS weakest, k.area = 'freshness' AND bool_and(k.state = 'not_verified') AS not_assessed
       FROM {coverage_checks} k LEFT JOIN {area_findings} f ON k.site = f.site AND k.area = f.area GROUP BY k.site, k.area) c JOIN {areas} a ON c.area = a.area
 """)
 PILLAR_AREAS = "crawl_render:crawlability crawl_render:rendering structured_data:structured_data structured_data:entity_identity extractability:extractability freshness:freshness corroboration:corroboration engagement:engagement"
@@ -160,16 +168,13 @@ SELECT site, gate, label, ord, n AS findings, score, {band('score')} AS status,
 """)
 relation("funnel_notes", r"""
 SELECT w.site, w.label AS weakest, w.score, coalesce(d.labels, '') AS downstream FROM {funnel} w LEFT JOIN (SELECT a.site, listagg(b.label, ', ') WITHIN GROUP (ORDER BY b.ord) AS labels FROM {funnel} a JOIN {funnel} b ON a.site = b.site AND b.ord > a.ord WHERE a.is_weakest GROUP BY a.site) d ON w.site = d.site WHERE w.is_weakest
-""".replace("listagg(b.label, ', ') WITHIN GROUP (ORDER BY b.ord)", "listagg(b.label, ', ') WITHIN GROUP (ORDER BY b.ord)"))
+""")
 relation("kpis", r"""
 SELECT s.site, s.value, s.grade, coalesce(c.total, 0) AS total, coalesce(c.critical + c.high, 0) AS critical_high, coalesce(q.quick_win, 0) AS quick_wins, p.after_quick_wins, p.quick_win_gain, m.effort, CASE WHEN coalesce(m.effort, 0) <= 4 THEN 'Small' WHEN m.effort <= 12 THEN 'Moderate' ELSE 'Substantial' END AS effort_band, w.weakest, w.strongest, v.assessed
 FROM {site_scores} s LEFT JOIN {severity_counts} c ON s.site = c.site LEFT JOIN {quadrant_counts} q ON s.site = q.site JOIN {projection} p ON s.site = p.site LEFT JOIN (SELECT site, sum(effort) AS effort FROM {matrix} GROUP BY site) m ON s.site = m.site
 LEFT JOIN (SELECT site, min_by(label, score * 10 + ord) AS weakest, max_by(label, score * 10 - ord) AS strongest FROM {pillar_scores} WHERE status <> 'not_assessed' GROUP BY site) w ON s.site = w.site
 LEFT JOIN (SELECT site, count_if(status <> 'not_assessed') AS assessed FROM {coverage} GROUP BY site) v ON s.site = v.site
 """)
-relation("narratives", r"""
-SELECT site, CASE WHEN value >= 90 THEN 'Excellent' WHEN value >= 80 THEN 'Strong' WHEN value >= 70 THEN 'Fair' WHEN value >= 60 THEN 'Weak' ELSE 'At risk' END AS verdict, printf('%s scores %d of 100 (%s): %d finding(s), %d of them critical or high; the weakest area is %s.', site, value, grade, total, critical_high, coalesce(weakest, 'none')) AS line FROM {kpis}
-""")
 relation("page_records", r"""
 SELECT p.site, p.url, p.page_ord, p.is_home, p.section, coalesce(f.n, 0) AS findings, cast(greatest(0.0, least(100.0, bround(100 - coalesce(f.penalty, 0), 0))) AS bigint) AS score, f.top_severity, coalesce(f.confidence, 'high') AS confidence, f.ids, length(trim(p.title)) AS title_len, p.n_h1, p.n_h2, p.n_internal, p.n_external, p.n_pdf,
        p.cta_text OR p.cta_href AS cta, p.n_images_no_alt, NOT (contains(lower(p.meta_robots), 'noindex') OR contains(lower(p.x_robots), 'noindex')) AS indexable, p.word_count, CASE WHEN p.word_count < 60 THEN 'high' WHEN p.word_count < 120 THEN 'medium' ELSE 'low' END AS render_risk,
@@ -183,14 +188,27 @@ SELECT site, section, pages, score, findings, top_severity FROM (
   LEFT JOIN (SELECT g.site, p.section, count(DISTINCT g.id) AS n, min_by(g.severity, g.sev_rank) AS top_severity FROM {finding_pages} g JOIN {site_pages} p ON g.site = p.site AND g.url = p.url GROUP BY g.site, p.section) f ON p.site = f.site AND p.section = f.section)
 WHERE n_sections >= 2
 """)
-relation("key_pages", r"""
-SELECT site, note, url FROM (SELECT site, note, url, row_number() OVER (PARTITION BY site ORDER BY page_ord) AS k FROM (SELECT site, section AS note, min_by(url, page_ord) AS url, min(page_ord) AS page_ord FROM {site_pages} GROUP BY site, section)) WHERE k <= 8
+#: note, pattern of a path (fixed values).
+SECTION_NOTES = [
+    ("About the organization", r"(?i)/(?:about|company|who-we-are)(?:/|$)"), ("Products", r"(?i)/(?:product|products|shop|store)(?:/|$)"), ("Services", r"(?i)/(?:service|services|solutions)(?:/|$)"),
+    ("Pricing", r"(?i)/(?:pricing|plans)(?:/|$)"), ("Contact", r"(?i)/contact(?:/|$)"), ("Articles / blog", r"(?i)/(?:blog|articles|news)(?:/|$)"), ("Documentation / help", r"(?i)/(?:docs|documentation|help|support)(?:/|$)"), ("FAQ", r"(?i)/faq(?:/|$)"),
+]
+NOTE = "CASE WHEN is_home THEN 'Home' " + " ".join(f"WHEN regexp_like(url, r'{p}') THEN '{n}'" for n, p in SECTION_NOTES) + " END"
+relation("key_pages", f"""
+SELECT site, note, url, place FROM (SELECT site, note, url, row_number() OVER (PARTITION BY site ORDER BY page_ord) AS place FROM (SELECT site, note, min_by(url, page_ord) AS url, min(page_ord) AS page_ord FROM (SELECT site, url, page_ord, {NOTE} AS note FROM {{site_pages}}) WHERE note IS NOT NULL GROUP BY site, note)) WHERE place <= 8
 """)
-relation("llms_text", r"""
-SELECT k.site, '# ' || max(b.brand) || chr(10) || listagg(line, '; ') WITHIN GROUP (ORDER BY line) AS text FROM (SELECT site, '- ' || note || ': ' || url AS line FROM {key_pages}) k JOIN {brand_names} b ON k.site = b.site GROUP BY k.site
+relation("llms_status", r"""
+SELECT t.site, coalesce(r.status = 200 AND coalesce(r.raw_len, 0) > 0 AND (r.content_type = '' OR contains(lower(r.content_type), 'text') OR contains(lower(r.content_type), 'markdown')), false) AS present, r.status
+FROM {site_totals} t LEFT JOIN {responses} r ON r.url = 'https://' || t.site || '/llms.txt'
 """)
-relation("exported_findings", r"""
-SELECT f.site, f.id, m.priority, f.title, f.severity, f.dimension, f.category, f.confidence, f.impact, m.effort_label, m.quadrant, m.points_at_stake, f.scope, f.reason AS why, f.example, f.n_affected, f.affected AS affected_pages FROM {findings} f JOIN {matrix} m ON f.site = m.site AND f.id = m.id
+relation("llms_text", r"""
+SELECT site, listagg(line, chr(10)) WITHIN GROUP (ORDER BY ord) AS text FROM (
+  SELECT site, 0 AS ord, '# ' || brand AS line FROM {brand_names}
+  UNION ALL SELECT site, 1, chr(10) || '> ' || trim(description) FROM {page_facts} WHERE is_home AND trim(description) <> ''
+  UNION ALL SELECT site, 2, chr(10) || '## Key pages' FROM {brand_names}
+  UNION ALL SELECT site, 2 + place, '- [' || note || '](' || url || ')' FROM {key_pages}
+  UNION ALL SELECT site, 20, chr(10) || '## Optional' FROM {brand_names}
+  UNION ALL SELECT site, 21, '- [Sitemap](https://' || site || '/sitemap.xml)' FROM {brand_names}) GROUP BY site
 """)
 relation("report_violations", r"""
 SELECT site, id, CASE WHEN title IS NULL OR title = '' THEN 'title missing' WHEN severity NOT IN ('critical', 'high', 'medium', 'low', 'info') THEN 'unknown severity' WHEN n IS NULL THEN 'no evidence' ELSE 'reason missing' END AS problem FROM {findings}
@@ -200,10 +218,29 @@ relation("scoring_model", r"""
 SELECT 'severity' AS part, severity AS key, cast(points AS double) AS value FROM {severities} UNION ALL SELECT 'confidence', confidence, cast(factor AS double) FROM {confidences} UNION ALL SELECT 'weight', dimension, CASE dimension WHEN 'discoverability' THEN 0.6 ELSE 0.4 END FROM (SELECT DISTINCT dimension FROM {findings})
 """)
 relation("finding_search", r"""SELECT site, id, title, severity, priority, n_affected FROM {findings} WHERE dimension = 'discoverability' AND severity IN ('high', 'medium') AND confidence <> 'low' AND contains(lower(title), 'page')""")
+relation("finding_facets", r"""
+SELECT site, facet, value, count(*) AS n FROM (SELECT site, 'dimension' AS facet, dimension AS value FROM {findings} UNION ALL SELECT site, 'severity', severity FROM {findings} UNION ALL SELECT site, 'confidence', confidence FROM {findings} UNION ALL SELECT site, 'category', category FROM {findings}) GROUP BY site, facet, value
+""")
 relation("page_search", r"""SELECT r.site, r.url, r.score, r.findings FROM {page_records} r JOIN {page_signals} s ON r.site = s.site AND r.url = s.url WHERE contains(lower(r.url), 'product') OR contains(lower(s.title), 'story')""")
 relation("top_findings", r"""SELECT site, id, title, points_at_stake FROM (SELECT site, id, title, points_at_stake, row_number() OVER (PARTITION BY site ORDER BY points_at_stake DESC, priority) AS k FROM {matrix}) WHERE k <= 6""")
 relation("keyword_matches", r"""
-SELECT f.site, f.check_id, w.area, w.named FROM {findings} f JOIN {keywords} w ON contains(lower(f.title), w.word)
-""")
-KEYWORDS = [("crawlability", "sitemap", "no xml sitemap"), ("crawlability", "hreflang", "hreflang"), ("extractability", "h1", "missing an h1"), ("extractability", "h1", "multiple h1"), ("engagement", "readability", "subheadings"), ("engagement", "readability", "wall"), ("engagement", "barriers", "login or registration"), ("freshness", "current", "stale copyright"), ("engagement", "mobile", "viewport")]
+SELECT f.site, f.check_id, w.area, w.named FROM {findings} f JOIN {categories} c ON f.category = c.category JOIN {keywords} w ON c.area = w.area AND contains(lower(f.title), w.word)
+""")
+#: area, named check, words of a title that fail it (fixed values).
+KEYWORDS = [
+    ("crawlability", "robots_ai", "retrieval crawlers are blocked"), ("crawlability", "robots_ai", "disallows all crawlers"), ("crawlability", "robots_pages", "disallowed by robots"),
+    ("crawlability", "reachability", "server errors"), ("crawlability", "sitemap", "no xml sitemap"), ("crawlability", "canonical", "canonical tags point"), ("crawlability", "hreflang", "hreflang"),
+    ("crawlability", "internal_links", "broken internal links"), ("crawlability", "nofollow", "marked rel=nofollow"),
+    ("rendering", "ssr_content", "require client-side javascript"), ("rendering", "ssr_content", "thin server-rendered"), ("rendering", "noscript_notice", "tell users to enable javascript"),
+    ("structured_data", "present", "no structured data anywhere"), ("structured_data", "valid", "invalid json-ld"), ("structured_data", "complete", "missing recommended properties"),
+    ("structured_data", "complete", "properties present but empty"), ("structured_data", "product", "product-like pages missing"), ("structured_data", "article", "article/blog pages missing"),
+    ("extractability", "title", "missing a <title>"), ("extractability", "title_quality", "title tags outside"), ("extractability", "meta_desc", "missing a meta description"), ("extractability", "h1", "missing an h1"),
+    ("extractability", "h1", "multiple h1"), ("extractability", "hierarchy", "hierarchy skips"), ("extractability", "alt", "images lack alt"), ("extractability", "alt", "embedded in images"), ("extractability", "lang", "language is not declared"),
+    ("entity_identity", "homepage_identity", "lacks organization"), ("entity_identity", "name_consistency", "inconsistent brand name"), ("entity_identity", "name_consistency", "identity signals disagree"), ("entity_identity", "name_consistency", "conflicting organization"),
+    ("freshness", "dated", "without a visible date"), ("freshness", "current", "stale copyright"), ("freshness", "current", "more than two years old"),
+    ("corroboration", "sameas", "no sameas"), ("corroboration", "external_presence", "no links to external"),
+    ("engagement", "mobile", "viewport"), ("engagement", "cta", "call-to-action"), ("engagement", "navigation", "navigation region"), ("engagement", "navigation", "dead-end"), ("engagement", "performance", "heavy pages"),
+    ("engagement", "performance", "slow server"), ("engagement", "performance", "render-blocking"), ("engagement", "readability", "subheadings"), ("engagement", "readability", "wall"), ("engagement", "orientation", "breadcrumbs"),
+    ("engagement", "accessibility", "label"), ("engagement", "accessibility", "iframe"), ("engagement", "accessibility", "non-descriptive"), ("engagement", "barriers", "login or registration"), ("engagement", "barriers", "interstitial"),
+]
 relation("keywords", values(KEYWORDS, "area, named, word"))

@@ -113,19 +113,27 @@ SPELLING = [
     (r"\bstartswith\(", "starts_with("), (r"\bendswith\(", "ends_with("), (r"\bbround\(", "round_even("), (r"\bjson_object_keys\(", "json_keys("), (r"\bget_json_object\(", "json_extract_string("),
     (r"\btry_parse_json\((\w+)\) IS NOT NULL", r"json_valid(\1)"), (r"\bfrom_json\((\w+), 'array<string>'\)", r"json_extract_string(\1, '$[*]')"), (r"\bdatediff\(([^(),]+), ([^(),]+)\)", r"date_diff('day', \2, \1)"),
     (r"\bposexplode\((\w+)\) AS \((\w+), (\w+)\)", r"generate_subscripts(\1, 1) - 1 AS \2, unnest(\1) AS \3"), (r"\bexplode\(", "unnest("), (r"\bcast\(NULL AS string\)", "NULL::varchar"),
-    (r"\blistagg\(([^()]+), ('[^']*')\) WITHIN GROUP \(ORDER BY ([^()]+)\)", r"string_agg(\1, \2 ORDER BY \3)"), (r"\bsequence\(([^(),]+), ([^()]+)\)", r"generate_series(\1, \2)"), (r"\bto_date\(", "date("), (r"\bsha2\((.+?), 256\)", r"sha256(\1)"),
-    (r"\barray_sort\(", "list_sort("), (r"\barray_max\(", "list_max("), (r"\barray_min\(", "list_min("), (r"\barray_distinct\(", "list_distinct("), (r"\bformat_string\(", "printf("),
+    (r"\blistagg\(([^()]+), ('[^']*'|chr\(10\))\) WITHIN GROUP \(ORDER BY ([^()]+)\)", r"string_agg(\1, \2 ORDER BY \3)"), (r"\bsequence\(([^(),]+), ([^()]+)\)", r"generate_series(\1, \2)"), (r"\bto_date\(", "date("), (r"\bsha2\((.+?), 256\)", r"sha256(\1)"),
+    (r"\bslice\(", "list_slice("), (r"\barray_sort\(", "list_sort("), (r"\barray_max\(", "list_max("), (r"\barray_min\(", "list_min("), (r"\barray_distinct\(", "list_distinct("), (r"\bformat_string\(", "printf("),
 ]
 
 
-def duckdb_sql(name: str, settings: Settings | None = None) -> str:
+def chain(names: list[str], sql: str, settings: Settings | None = None) -> str:
+    """DuckDB's SQL with the named relations, and all they need, as r_<name> before `sql`, which is in DuckDB's own words."""
     values = (settings or Settings()).values()
+    done: list[str] = []
+    for n in names:
+        order(n, done)
     parts = []
-    for n in order(name):
+    for n in done:
         text = SETTING.sub(lambda m: values[m[1]], NAMED.sub(lambda m: m[1] if m[1] in BASE else f"r_{m[1]}", RELATIONS[n].sql))
         text = GROUP_NUMBER.sub(r"\\\1", text)
         for pattern, to in SPELLING:
             text = re.sub(pattern, to, text)
         kind = " AS MATERIALIZED" if RELATIONS[n].stored else " AS"
         parts.append(f"r_{n}{kind} (\n{text}\n)")
-    return "WITH " + ",\n".join(parts) + f"\nSELECT * FROM r_{name}"
+    return "WITH " + ",\n".join(parts) + "\n" + SETTING.sub(lambda m: values[m[1]], f"SELECT * FROM (\n{sql}\n)")
+
+
+def duckdb_sql(name: str, settings: Settings | None = None) -> str:
+    return chain([name], f"SELECT * FROM r_{name}", settings)

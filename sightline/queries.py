@@ -13,22 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 import sightline.operators.checks  # noqa: F401
 import sightline.operators.extract  # noqa: F401
 import sightline.operators.facts  # noqa: F401
+import sightline.operators.guidance  # noqa: F401
 import sightline.operators.regions  # noqa: F401
 import sightline.operators.scoring  # noqa: F401
 import sightline.sources.corpus  # noqa: F401
+from sightline.plans.oracle import by_hand
 from sightline.plans.relations import BASE, RELATIONS, build, duckdb_sql
 
 #: Relations that are queries of their own, by area.
-SOURCES = "crawl responses robots sitemaps sitemap_urls link_status entities corpus_index latest_audit input_targets"
+SOURCES = "crawl responses robots sitemaps sitemap_urls link_status entities corpus_index external_runs llms_status sitemap_maps latest_audit input_targets"
 PAGES = "page_urls page_sample site_pages page_signals page_links page_headings page_images page_hreflang page_jsonld page_link_counts page_types"
 RULES = "page_rule_hits page_count_hits hreflang_hits node_hits broken_links robots_lines robots_rules site_rule_hits check_hits identity_facts social_handles fact_conflicts superlatives like_names home_schema_name"
-OUTSIDE = "region_variants region_summary profile_urls profile_states brand_names entity_matches external_evidence external_hits"
+OUTSIDE = "region_variants region_places region_summary region_scores region_notes profile_urls profile_states brand_names brand_candidates entity_matches external_evidence external_hits"
 SCORES = (
-    "findings site_scores severity_counts score_every_site matrix quick_wins quadrant_counts projection scenario_scores distribution finding_pages hotspots roadmap fix_plan coverage_checks coverage pillar_scores funnel funnel_notes "
-    "kpis narratives page_records sections key_pages llms_text exported_findings report_violations scoring_model finding_search page_search top_findings keyword_matches"
+    "findings site_scores severity_counts score_every_site matrix quick_wins quadrant_counts projection scenario_scores distribution finding_pages hotspots roadmap fix_snippets fix_plan action_plan coverage_checks coverage pillar_scores funnel funnel_notes "
+    "kpis narratives brief_lines page_records sections key_pages llms_text exported_findings report_violations scoring_model finding_search finding_facets page_search top_findings keyword_matches"
 )
 FACTS = (
-    "consistency claims claim_summary citation_components citation_scores simulated_answers answer_summary answer_readiness readiness_scores prompts graph_nodes graph_edges graph_missing opportunities peer_gaps peer_rows history_deltas headline evaluation"
+    "consistency claims claim_summary citation_components citation_scores simulated_answers answer_summary answer_readiness readiness_scores prompts graph_nodes graph_edges graph_missing opportunities peer_gaps peer_rows history_deltas headline evaluation_rows evaluation"
 )
 NAMES = " ".join([SOURCES, PAGES, RULES, OUTSIDE, SCORES, FACTS]).split()
 
@@ -59,4 +61,4 @@ QUERIES = {n: query(n) for n in NAMES}
 
 
 def oracle() -> dict[str, str]:
-    return {n: duckdb_sql(n) for n in NAMES}
+    return {n: duckdb_sql(n) for n in NAMES} | by_hand()

@@ -67,6 +67,8 @@ relation("responses", r"""
 SELECT 'https://brand' || event_id || '.example.org/' AS url, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, cast(floor(value * 50) AS bigint) AS elapsed_ms,
        cast(1000 + floor(value * 20000) AS bigint) AS raw_len, 'text/html; charset=utf-8' AS content_type, CASE WHEN event_id % 23 = 5 THEN 'noindex' ELSE '' END AS x_robots, CASE WHEN event_id % 29 = 6 THEN 'blocked_by_robots' ELSE '' END AS error
 FROM {events} WHERE event_id IN (SELECT s_suppkey FROM {supplier})
+UNION ALL SELECT 'https://brand' || s_suppkey || '.example.org/llms.txt', CASE WHEN s_suppkey % 3 = 2 THEN 404 ELSE 200 END, cast(5 AS bigint), cast(s_suppkey % 4 AS bigint), CASE s_suppkey % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN '' WHEN 2 THEN 'text/markdown' ELSE 'image/png' END, '', '' FROM {supplier}
+UNION ALL SELECT 'https://brand' || s_suppkey || '.example.org/contact', 200, cast(5 AS bigint), cast(900 AS bigint), CASE WHEN s_suppkey % 11 = 3 THEN 'application/json' ELSE 'text/html' END, '', '' FROM {supplier}
 """)
 
 relation("robots", r"""
@@ -81,8 +83,10 @@ FROM {supplier} WHERE s_suppkey % 7 <> 6
 """)
 
 relation("sitemaps", r"""
-SELECT 'brand' || s_suppkey || '.example.org' AS site, '<urlset><url><loc>https://brand' || s_suppkey || '.example.org/about</loc></url><url><loc> https://brand' || s_suppkey || '.example.org/product/' || (s_suppkey * 20) || ' </loc></url><url><loc>https://other.example.net/</loc></url></urlset>' AS body
+SELECT 'brand' || s_suppkey || '.example.org' AS site, 'https://brand' || s_suppkey || '.example.org/sitemap.xml' AS url, '<urlset><url><loc>https://brand' || s_suppkey || '.example.org/about</loc></url><url><loc> https://brand' || s_suppkey || '.example.org/product/' || (s_suppkey * 20) || ' </loc></url><url><loc>https://other.example.net/</loc></url>'
+       || CASE WHEN s_suppkey % 8 = 0 THEN '<sitemap><loc>https://brand' || s_suppkey || '.example.org/maps/one.xml</loc></sitemap>' ELSE '' END || '</urlset>' AS body
 FROM {supplier} WHERE s_suppkey % 4 = 0
+UNION ALL SELECT 'brand' || s_suppkey || '.example.org', 'https://brand' || s_suppkey || '.example.org/maps/' || CASE s_suppkey % 16 WHEN 0 THEN 'one' ELSE 'unnamed' END || '.xml', '<urlset><url><loc>https://brand' || s_suppkey || '.example.org/deep/page</loc></url></urlset>' FROM {supplier} WHERE s_suppkey % 8 = 0
 """)
 
 relation("link_status", r"""
@@ -95,7 +99,9 @@ relation("entities", r"""
 SELECT s_name AS label, 'Q' || s_suppkey AS entity_id, CASE WHEN s_suppkey % 3 = 0 THEN 'https://brand' || s_suppkey || '.example.org/' ELSE 'https://fan' || s_suppkey || '.example.net/' END AS official_website, cast(1 AS int) AS hit_rank FROM {supplier} WHERE s_suppkey % 2 = 0
 """)
 
-relation("corpus_index", r"""SELECT 'example.org' AS domain, count(*) AS records FROM {nation} UNION ALL SELECT 'example.com' AS domain, count(*) AS records FROM {region}""")
+relation("corpus_index", r"""SELECT 'example.org' AS domain, count(*) AS records FROM {nation} UNION ALL SELECT 'example.com' AS domain, cast(0 AS bigint) AS records FROM (SELECT count(*) FROM {region})""")
+
+relation("external_runs", r"""SELECT 'brand' || s_suppkey || '.example.org' AS site FROM {supplier} WHERE s_suppkey % 5 <> 4 UNION ALL SELECT DISTINCT regexp_extract(lower(url), r'^[a-z]+://([^/?#:]*)', 1) AS site FROM {pages}""")
 
 relation("audit_history", r"""
 SELECT min(event_id) AS id, 'brand' || user_id || '.example.org' AS domain, to_date(ts) AS audited_at, cast(least(100, 40 + count(*)) AS int) AS score, count_if(event_type = 'error') AS total_findings

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The columns of the CSV export, in order (fixed values).
-CSV_COLUMNS = "id priority title severity dimension category confidence impact effort_label quadrant points_at_stake scope why example n_affected affected_pages".split()
+CSV_COLUMNS = ["id", "priority", "severity", "dimension", "category", "confidence", "impact", "effort", "effort_label", "quadrant", "points_at_stake", "title", "evidence", "why", "suggested_action", "action_priority", "affected_pages"]
 
 
 def write_csv(exported_findings: DataFrame, path: str) -> None:
@@ -34,9 +34,12 @@ def append_history(scores: DataFrame, path: str, audited_at: str) -> None:
     rows.write.mode("append").partitionBy("audit_date").parquet(path)
 
 
-def brief_text(narratives: DataFrame, top_findings: DataFrame) -> DataFrame:
-    """(site, text): the verdict and the findings that cost most, as lines in order."""
-    lines = narratives.select("site", F.lit(0).alias("ord"), F.concat_ws(": ", "verdict", "line").alias("line")).unionByName(
-        top_findings.select("site", (F.col("points_at_stake") * -1 + 1000).cast("int").alias("ord"), F.concat_ws(" ", F.lit("-"), "id", "title").alias("line"))
-    )
-    return lines.groupBy("site").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])).alias("text"))
+#: The sections of a brief, in order.
+SECTIONS = ["Summary", "Pillars", "Quick wins", "Findings", "Action plan", "Funnel"]
+
+
+def brief_text(brief_lines: DataFrame) -> DataFrame:
+    """(site, text): the sections of a brief that have lines, each under its heading."""
+    heads = brief_lines.select("site", "section").distinct().select("site", "section", F.lit(-1).cast("long").alias("ord"), F.concat(F.lit("\n## "), F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("section"))).alias("line"))
+    lines = heads.unionByName(brief_lines.select("site", "section", "ord", F.concat(F.lit("- "), "line").alias("line")))
+    return lines.groupBy("site").agg(F.concat(F.lit("# "), "site", F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "line"))), lambda x: x["line"]), "\n")).alias("text"))

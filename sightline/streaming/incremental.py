@@ -14,19 +14,24 @@ from sightline.audit import audit
 from sightline.functions.urls import bare_host
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
+#: Folders that a batch's pages are dealt to by site, so that a later batch reads those of its own sites alone.
+PARTS = 256
 
 
 def follow(spark: SparkSession, landing: str, pages_path: str, scores_path: str, checkpoint: str, **options):
     """A query that reads JSON page files from `landing`; use `.processAllAvailable()` or `.awaitTermination()` on it."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select("page_id", "url", "html")
-        new.write.mode("overwrite").parquet(f"{pages_path}/batch={batch_id}")
-        every = spark.read.schema(f"{PAGE_SCHEMA}, batch bigint").option("basePath", pages_path).parquet(f"{pages_path}/batch=*")
-        latest = every.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "batch").alias("p")).select("p.page_id", "url", "p.html")
         site = F.expr(bare_host("url"))
-        touched = new.select(site.alias("site")).distinct()
-        pages = latest.withColumn("site", site).join(touched, "site", "left_semi")
+        new = batch.select("page_id", "url", "html", site.alias("site")).withColumn("part", F.pmod(F.xxhash64("site"), F.lit(PARTS)).cast("int"))
+        new.write.mode("overwrite").partitionBy("part").parquet(f"{pages_path}/batch={batch_id}")
+        every = spark.read.schema(f"{PAGE_SCHEMA}, site string, batch bigint, part int").option("basePath", pages_path).parquet(pages_path)
+        mine = every.where(F.col("batch") == batch_id)
+        parts = [r["part"] for r in mine.select("part").distinct().collect()]  # PARTS at most
+        touched = mine.select("site").distinct()
+        # A batch that is run again sees no later one.
+        rows = every.where((F.col("batch") <= batch_id) & F.col("part").isin(parts)).join(touched, "site", "left_semi")
+        pages = rows.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "batch").alias("p")).select("p.page_id", "url", "p.html")
         audit(pages, **options).table("score_every_site").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{scores_path}/run={batch_id}")
 
     return spark.readStream.schema(PAGE_SCHEMA).json(landing).writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).start()

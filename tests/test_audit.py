@@ -141,8 +141,10 @@ def test_exports(spark, run, tmp_path):
     for day in ("2025-01-01", "2025-01-02"):
         sinks.append_history(run.table("site_scores"), str(tmp_path / "history"), day)
     assert spark.read.parquet(str(tmp_path / "history")).count() == 2 * len(SITES)
-    briefs = sinks.brief_text(run.table("narratives"), run.table("top_findings")).collect()
-    assert len(briefs) == len(SITES) and all(b.text.count("\n") for b in briefs if b.site == "spa.example")
+    briefs = {b.site: b.text for b in sinks.brief_text(run.table("brief_lines")).collect()}
+    assert set(briefs) == set(SITES)
+    heads = [x for x in briefs["spa.example"].split("\n") if x.startswith("#")]
+    assert heads[0] == "# spa.example" and [h[3:] for h in heads[1:]] == [h for h in sinks.SECTIONS if h in briefs["spa.example"]] and "## Action plan" in briefs["spa.example"]
 
 
 def test_stream_scores_the_sites_that_files_touch(spark, tmp_path):
@@ -184,3 +186,112 @@ def test_every_hreflang_code_is_a_variant_and_paths_alone_are_capped(spark):
     summary = {r.site: r for r in run.table("region_summary").collect()}
     assert (summary["many.example"].n_variants, summary["many.example"].n_dead) == (60, 1)
     assert summary["paths.example"].n_variants == 40
+
+
+def external(spark, pages, **side):
+    runs = spark.createDataFrame([(s,) for s in ("clean.example", "shop.example", "stale.example", "blocked.example")], "site string")
+    return {r.site: r for r in audit(pages, external_runs=runs, **side).table("external_evidence").collect()}, audit(pages, external_runs=runs, **side)
+
+
+def test_outside_evidence_counts_where_it_was_gathered(spark, run):
+    """No outside data, no finding about the outside; with it, present, absent and unavailable are told apart."""
+    pages = run.tables["crawl"]
+    assert run.table("findings").where("check_id like 'X%'").count() == 0
+    assert {r.state for r in run.table("coverage_checks").where("named = 'external_verification'").collect()} == {"partial"}
+    assert {r.corpus for r in run.table("external_evidence").collect()} == {"unavailable"}
+
+    entities = spark.createDataFrame([("Acme Tools", "Q1", "https://www.clean.example/", 2), ("acme tools", "Q2", "https://other.example/", 1), ("Shop", "Q3", None, 1)], "label string, entity_id string, official_website string, hit_rank int")
+    corpus = spark.createDataFrame([("shop.example", 0), ("clean.example", 3)], "domain string, records bigint")
+    status = spark.createDataFrame([("https://www.linkedin.com/company/acme", 999)], "url string, status int")
+    rows, seen = external(spark, pages, entities=entities, corpus_index=corpus, link_status=status)
+    clean, shop, stale, spa = (rows[s] for s in ("clean.example", "shop.example", "stale.example", "spa.example"))
+    assert (clean.entity_id, clean.links_back, clean.corpus, clean.verified) == ("Q1", True, "present", True)
+    assert (shop.entity, shop.links_back, shop.corpus) == ("present", False, "absent")
+    assert (stale.entity, stale.corpus, stale.verified) == ("absent", "unavailable", True)  # its profile answers
+    assert (spa.performed, spa.verified) == (False, None)
+    hits = {(r.site, r.check_id) for r in seen.table("findings").where("check_id like 'X%'").collect()}
+    assert hits == {("shop.example", "X1e"), ("shop.example", "X4e"), ("stale.example", "X2e"), ("blocked.example", "X1e")}
+    states = {r.site: r.state for r in seen.table("coverage_checks").where("named = 'external_verification'").collect()}
+    assert states["clean.example"] == "pass" and states["spa.example"] == "partial"
+
+
+def test_private_and_unknown_profiles(spark):
+    links = "".join(f'<a href="{u}">p</a>' for u in ("http://10.0.0.8/github.com/a", "https://twitter.com/acme", "https://github.com/acme", "http://intranet/github.com/x", "https://twitter.com/gone"))
+    pages = spark.createDataFrame([(1, "https://p.example/", page("Profiles of the brand", WORDS + links))], "page_id long, url string, html string")
+    status = spark.createDataFrame([("https://twitter.com/acme", 200), ("https://twitter.com/gone", 0)], "url string, status int")
+    got = {r.profile: r.state for r in audit(pages, link_status=status).table("profile_states").collect()}
+    assert got["https://twitter.com/acme"] == "verified" and got["https://github.com/acme"] == "unavailable" and got["https://twitter.com/gone"] == "unreachable"
+    assert got["http://10.0.0.8/github.com/a"] == "skipped" and got["http://intranet/github.com/x"] == "skipped"
+
+
+def test_structured_data_written_one_after_the_other(spark):
+    def types(block):
+        rows = spark.createDataFrame([(1, "https://j.example/", page("Structured data of all kinds", WORDS, f'<script type="application/ld+json">{block}</script>'))], "page_id long, url string, html string")
+        return sorted(r.first_type for r in audit(rows).table("page_jsonld").collect())
+
+    assert types('{"@type":"Organization"} {"@type":"WebSite"}') == ["organization", "website"]
+    assert types('{"@type":"Organization"}{"@type":"WebSite"}\n{broken') == ["organization", "website"]
+    assert types('[{"@type":"A"},{"@type":"B"}]') == ["a", "b"] and types('{"@graph":[{"@type":"A"},{"@type":"B"}]}') == ["a", "b"]
+    assert types("{broken") == [] and types("") == [] and types('"text"') == []
+
+
+def test_what_is_no_html_is_not_sampled(spark):
+    pages = spark.createDataFrame([(i, f"https://h.example/{p}", page("A page of the site here", WORDS)) for i, p in enumerate(["", "data", "about"])], "page_id long, url string, html string")
+    responses = spark.createDataFrame([("https://h.example/data", 200, 1, 9, "application/json", "", ""), ("https://h.example/about", 200, 1, 9, "text/HTML; charset=x", "", ""), ("https://h.example/llms.txt", 200, 1, 9, "text/plain", "", "")], "url string, status int, elapsed_ms bigint, raw_len bigint, content_type string, x_robots string, error string")
+    run = audit(pages, responses=responses)
+    assert {r.url for r in run.table("site_pages").collect()} == {"https://h.example/", "https://h.example/about"}
+    assert [(r.site, r.present) for r in run.table("llms_status").collect()] == [("h.example", True)]
+
+
+def test_equal_findings_are_merged_with_their_pages(spark, run):
+    """The stronger one stays, with the pages of both."""
+    pages = run.tables["crawl"]
+    hits = spark.createDataFrame([("clean.example", "Z1", 1, 2, "u1", "u1 | u2"), ("clean.example", "Z2", 1, 2, "u3", "u3 | u1")], "site string, check_id string, n bigint, n_affected bigint, example string, affected string")
+    checks = spark.createDataFrame([("Z1", "low", "high", "engagement", "mobile", "Same  thing"), ("Z2", "high", "high", "engagement", "Mobile", " same Thing")], "check_id string, severity string, confidence string, dimension string, category string, title string")
+    own = audit(pages)
+    own.tables["check_hits"], own.tables["check_catalog"] = hits, checks
+    got = own.table("findings").collect()
+    assert [(r.check_id, r.severity, r.affected, r.n_affected) for r in got] == [("Z2", "high", "u3 | u1 | u2", 3)]
+
+
+def test_nested_sitemaps_regions_and_evaluation(spark):
+    links = '<link rel="alternate" hreflang="x-default" href="https://one.example/"><link rel="alternate" hreflang="en-nz" href="https://nz.example/"><link rel="alternate" hreflang="de-ch" href="https://ch.example/">'
+    pages = spark.createDataFrame([(1, "https://one.example/", page("The main site of the brand", WORDS, links + ORG)), (2, "https://nz.example/", "<p>poor"), (3, "https://ch.example/", page("Die Seite in der Schweiz", WORDS))], "page_id long, url string, html string")
+    loc = lambda *us: "".join(f"<loc> {u} </loc>" for u in us)
+    maps = spark.createDataFrame([("one.example", "https://one.example/sitemap.xml", loc("https://one.example/a", "https://one.example/m/b.xml")), ("one.example", "https://one.example/m/b.xml", loc("https://one.example/c")), ("one.example", "https://one.example/m/never-named.xml", loc("https://one.example/d"))], "site string, url string, body string")
+    expected = spark.createDataFrame([("nz.example", "extractability"), ("nz.example", "mobile"), ("one.example", "js-render-gap")], "site string, category string")
+    limits = spark.createDataFrame([("one.example", 0, 9, "viewport"), ("nz.example", 0, 1, "viewport")], "site string, max_critical int, max_high int, absent_title string")
+    run = audit(pages, sitemaps=maps, expected=expected, expected_limits=limits)
+    assert {r.loc for r in run.table("sitemap_urls").collect()} == {"https://one.example/a", "https://one.example/c"}
+    labels = [r.label for r in run.table("region_places").orderBy("place").collect()]
+    assert labels == ["Global", "Switzerland", "New Zealand"]
+    regions = {r.url: r for r in run.table("region_scores").collect()}
+    assert regions["https://one.example/"].is_primary and regions["https://nz.example/"].score < regions["https://one.example/"].score
+    assert run.table("region_notes").first().note.startswith("New Zealand (")
+    rows = {r.site: r for r in run.table("evaluation_rows").collect()}
+    assert (rows["one.example"].missed, rows["one.example"].found) == ("js-render-gap", 0) and rows["nz.example"].found == 2 and rows["nz.example"].false_positives == 2 and not rows["nz.example"].passed
+    total = run.table("evaluation").first()
+    assert (total.sites, total.passed, total.recall, total.false_positives) == (2, 0, 0.667, 2)
+
+
+def test_search_plans_and_texts(run):
+    found_ = run.find_findings("viewport", severity=["high"]).collect()
+    assert {r.site for r in found_} == {"spa.example"} and run.find_findings("no such thing").count() == 0
+    facets = {r.value for r in run.table("finding_facets").where("facet = 'dimension'").collect()}
+    assert facets == {"discoverability", "engagement"}
+    pages = run.find_pages("clean.example/", by="url").collect()
+    assert [r.url for r in pages] == sorted(r.url for r in pages) and len(pages) == 4
+    with pytest.raises(ValueError):
+        run.find_pages(by="luck")
+    plan = {(r.finding_id): r for r in run.table("action_plan").where("site = 'spa.example'").collect()}
+    fixes = {r.id: r for r in run.table("fix_plan").where("site = 'spa.example'").collect()}
+    ids = {r.id: r.check_id for r in run.table("findings").where("site = 'spa.example'").collect()}
+    assert set(plan) == set(fixes) == set(ids) and all(p.how for p in plan.values())
+    viewport = next(i for i, k in ids.items() if k == "G1")
+    assert "width=device-width" in fixes[viewport].snippet and fixes[viewport].action == "add_responsive_layout"
+    d1 = next(i for i, k in ids.items() if k == "D1")
+    assert '"name":"Spa"' in fixes[d1].snippet and "https://spa.example/" in fixes[d1].snippet
+    lines = [r.line for r in run.table("narratives").where("site = 'spa.example'").orderBy("ord").collect()]
+    assert lines[0].startswith("spa.example scores ") and any("quick win" in x for x in lines)
+    text = run.table("llms_text").where("site = 'clean.example'").first().text
+    assert text.startswith("# Acme Tools\n\n> What Acme makes") and "- [Home](https://clean.example/)" in text and "- [Contact](https://clean.example/contact)" in text

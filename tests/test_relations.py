@@ -6,6 +6,7 @@ import math
 import duckdb
 import pytest
 
+from sightline.plans.oracle import by_hand
 from sightline.plans.relations import BASE, RELATIONS, Settings, build, duckdb_sql
 from sightline.queries import NAMES, base_tables
 
@@ -38,6 +39,15 @@ def test_same_rows(spark, duck, sf, name):
     assert sorted(normal(list(r)) for r in out.collect()) == sorted(normal(list(r)) for r in other.fetchall())
 
 
+@pytest.mark.parametrize("settings", [Settings(), Settings("strict", 6)])
+def test_sql_written_by_hand_gives_the_same_rows(spark, duck, sf, settings):
+    made = MADE if settings == Settings() else {}
+    for name, sql in by_hand(settings).items():
+        out, other = build(spark, name, base_tables(spark, sf), settings, made), duck.sql(sql)
+        assert sorted(out.columns) == sorted(other.columns), name
+        assert sorted(normal([r[c] for c in sorted(out.columns)]) for r in out.collect()) == sorted(normal([dict(zip(other.columns, r))[c] for c in sorted(out.columns)]) for r in other.fetchall()), name
+
+
 @pytest.mark.parametrize("settings", [Settings("strict", 6, "domain"), Settings("lenient", 3)])
 def test_settings_reach_both_engines(spark, duck, sf, settings):
     out = build(spark, "score_every_site", base_tables(spark, sf), settings)
