@@ -2,16 +2,17 @@
 
 Each tree hashes a vector to a string of BITS random-hyperplane bits and keeps the strings of all vectors in a sorted
 array, so that a prefix is a range. A query descends each tree to its longest matching prefix and then ascends all trees
-together, one bit at a time, until the union of their ranges holds enough candidates: SHARE of the rows, and LEAST at
-least. A range is taken whole, so equal vectors are never cut apart. Candidates are ranked by the exact Euclidean
-distance in double precision, ties by the smaller id.
+together, one bit at a time; a range is taken whole, so equal vectors are never cut apart. Candidates are ranked by the
+exact Euclidean distance in double precision, ties by the smaller id.
 
-Rows are dealt by a hash of their id to shards of about SHARD_ROWS, each with a forest of its own; the shards are written as
-a table that can be searched again. Queries are packed into blocks of QUERY_ROWS, sent to every shard of their
-dimension, and the shards' nearest are merged by query.
+Each query stops for itself: two vectors at an angle a share a prefix of d bits in a tree with probability (1 - a/pi)^d,
+so once the chance that a vector at the angle of the k-th nearest so far is in none of the ranges is at most MISS,
+ascending ends. Where vectors lie in clusters this is after a small part of the rows; of evenly spread directions the
+ten nearest of ten thousand are hardly nearer than the rest, and about half of the rows are looked at (see README).
 
-The share is high because nothing is assumed about the data: of evenly spread directions, the ten nearest of ten
-thousand are hardly nearer than the rest, and a smaller share loses recall (see README).
+Rows are dealt by a hash of their id to shards of about SHARD_ROWS, each with a forest of its own; the shards are written as
+a table that can be searched again. Queries are packed into blocks of QUERY_ROWS and sent to every shard of their
+dimension, where they stream by the shard's forest, which is read once; the shards' nearest are merged by query.
 
 Defined cases: rows whose id or vector is null, whose vector is zero or empty or holds null or non-finite components
 take no part; vectors of other lengths than the query's are no candidates; rows that repeat an id and a vector count
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, only
+from .common import durable, freed, only
 
-TREES, BITS, SHARE, LEAST = 64, 64, 0.45, 512
-SHARD_ROWS, QUERY_ROWS = 4_096, 256
+#: Trees of a shard, bits of a hash string, candidates at least, the chance of a miss at which a query stops.
+TREES, BITS, LEAST, MISS = 64, 64, 64, 0.1
+SHARD_ROWS, QUERY_ROWS = 8_192, 256
 SHARD_SCHEMA = "dim int, shard int, ids binary, vectors binary, hashes binary, places binary"
 
 
@@ -58,9 +60,9 @@ def index(vectors: DataFrame, trees: int = TREES) -> DataFrame:
     """The forest as a table, one row a shard: ids, vectors, and each tree's sorted hashes with their places."""
     rows = durable(usable(vectors).distinct())
     shards = rows.groupBy("dim").agg(F.ceil(F.count("*") / float(SHARD_ROWS)).cast("int").alias("shards"))
-    dealt = rows.join(F.broadcast(shards), "dim") if shards.count() <= 10_000 else rows.join(shards.hint("merge"), "dim")
+    dealt = rows.hint("merge").join(durable(shards).hint("merge"), "dim")
 
-    def build(pdf):
+    def build(pdf):  # about SHARD_ROWS rows, whatever the size of the table
         import pandas as pd
 
         pdf = pdf.sort_values("vec_id")
@@ -75,34 +77,67 @@ def index(vectors: DataFrame, trees: int = TREES) -> DataFrame:
     return dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).groupBy("dim", "shard").applyInPandas(build, SHARD_SCHEMA)
 
 
-def candidates(sorted_hashes: np.ndarray, places: np.ndarray, q: np.ndarray, enough: int) -> list[np.ndarray]:
-    """For each query (column of the (trees, queries) hashes), the places of its candidates."""
-    trees, n = sorted_hashes.shape
-    out: list[np.ndarray | None] = [None] * q.shape[1]
-    live = np.arange(q.shape[1])
-    for depth in range(BITS, -1, -1):
+class Shard:
+    """A forest that is searched."""
+
+    def __init__(self, dim: int, ids: pa.Buffer, vectors: pa.Buffer, hashes: pa.Buffer, places: pa.Buffer, trees: int):
+        self.ids = np.frombuffer(ids, np.int64)
+        self.x = np.frombuffer(vectors, np.float64).reshape(len(self.ids), dim)
+        self.hashes, self.places = np.frombuffer(hashes, np.uint64).reshape(trees, -1), np.frombuffer(places, np.int32).reshape(trees, -1)
+        self.length = np.sqrt((self.x * self.x).sum(1))
+        self.repeated = len(np.unique(self.ids)) < len(self.ids)
+
+    def ranges(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(trees, queries) ends of the ranges that share `depth` bits with each query."""
         rest = BITS - depth
-        low = q[:, live] >> np.uint64(rest) << np.uint64(rest) if depth else np.zeros((trees, len(live)), np.uint64)
+        low = q >> np.uint64(rest) << np.uint64(rest) if depth else np.zeros_like(q)
         high = low | np.uint64((1 << rest) - 1)
-        lo = np.stack([np.searchsorted(sorted_hashes[t], low[t], "left") for t in range(trees)])
-        hi = np.stack([np.searchsorted(sorted_hashes[t], high[t], "right") for t in range(trees)])
-        wait = []
-        for i, k in enumerate(live.tolist()):
-            if depth and (hi[:, i] - lo[:, i]).sum() < enough:
-                wait.append(k)
-                continue
-            seen = np.zeros(n, bool)
-            for t, (a, b) in enumerate(zip(lo[:, i].tolist(), hi[:, i].tolist())):
-                seen[places[t, a:b]] = True
-            found = np.flatnonzero(seen)
-            if depth and len(found) < enough:
-                wait.append(k)
-            else:
-                out[k] = found
-        live = np.array(wait, np.int64)
-        if not len(live):
-            break
-    return out
+        side = lambda x, s: np.stack([np.searchsorted(h, k, s) for h, k in zip(self.hashes, x)])
+        return side(low, "left"), side(high, "right")
+
+    def nearest(self, own: list[int], v: np.ndarray, k: int, trees: int) -> Iterator[tuple[int, int, float]]:
+        """(query id, id, distance) of the k nearest found for each query, and all that tie with the last."""
+        q = hashes_of(v, trees)
+        live = list(range(len(own)))
+        reached = np.zeros(len(own), np.int64)  # how many rows the ranges held when last looked at
+        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(own)
+        for depth in range(BITS, -1, -1):
+            if not live:
+                break
+            lo, hi = self.ranges(q[:, live], depth)
+            size = (hi - lo).sum(0)
+            wait = []
+            for i, (n, query) in enumerate(zip(size.tolist(), live)):
+                if depth and n < max(LEAST, 2 * reached[query]):  # looked at again when it has doubled
+                    wait.append(query)
+                    continue
+                reached[query] = n
+                seen = np.zeros(len(self.ids), bool)
+                for t, (a, b) in enumerate(zip(lo[:, i].tolist(), hi[:, i].tolist())):
+                    seen[self.places[t, a:b]] = True
+                c = np.flatnonzero(seen & (self.ids != own[query]))
+                c, d = self.ranked(c, v[query])
+                best[query] = c[:k], d[:k]
+                if depth and (len(c) < k or self.missing(c[k - 1], v[query], depth, trees) > MISS):
+                    wait.append(query)
+            live = wait
+        for query, (c, d) in zip(own, best):
+            yield from ((query, int(self.ids[i]), float(x)) for i, x in zip(c.tolist(), d.tolist()))
+
+    def ranked(self, c: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates by distance, then id; each id once."""
+        d = np.sqrt(((self.x[c] - v) ** 2).sum(1))
+        order = np.lexsort((self.ids[c], d))
+        c, d = c[order], d[order]
+        if self.repeated:
+            first = np.sort(np.unique(self.ids[c], return_index=True)[1])
+            c, d = c[first], d[first]
+        return c, d
+
+    def missing(self, row: int, v: np.ndarray, depth: int, trees: int) -> float:
+        """The chance that a vector at the angle of this row shares `depth` bits with the query in no tree."""
+        cosine = (self.x[row] @ v) / (self.length[row] * np.sqrt(v @ v))
+        return float((1 - (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** depth) ** trees)
 
 
 def search(forest: DataFrame, queries: DataFrame, k: int, trees: int = TREES) -> DataFrame:
@@ -110,35 +145,20 @@ def search(forest: DataFrame, queries: DataFrame, k: int, trees: int = TREES) ->
     asked = usable(queries).select(F.col("vec_id").alias("query_id"), "v", "dim")
     number = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // QUERY_ROWS))))
     blocks = asked.groupBy("dim", number.alias("block")).agg(F.collect_list(F.struct("query_id", "v")).alias("asked"))  # QUERY_ROWS or so
-    shards = forest.select("dim", "shard")
-    sent = durable(blocks).join(F.broadcast(shards.groupBy("dim").agg(F.collect_list("shard").alias("shards"))), "dim").select("dim", F.explode("shards").alias("shard"), "asked")
-    both = sent.hint("merge").join(forest.hint("merge"), ["dim", "shard"]).select("asked", "dim", "ids", "vectors", "hashes", "places")
+    sent = durable(blocks).hint("merge").join(forest.select("dim", "shard").hint("merge"), "dim").select("dim", "shard", F.lit(1).alias("turn"), "asked")
+    both = forest.withColumn("turn", F.lit(0)).unionByName(sent, allowMissingColumns=True)
+    both = both.select("dim", "shard", "turn", "ids", "vectors", "hashes", "places", "asked").repartition("dim", "shard").sortWithinPartitions("dim", "shard", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asked, dim, *raw in zip(*batch.columns):
-                asked = asked.as_py()
-                ids, x, h, places = (np.frombuffer(b.as_buffer(), t) for b, t in zip(raw, (np.int64, np.float64, np.uint64, np.int32)))
-                x, h, places = x.reshape(len(ids), dim.as_py()), h.reshape(trees, -1), places.reshape(trees, -1)
-                q = np.array([a["v"] for a in asked], np.float64)
-                repeated = len(np.unique(ids)) < len(ids)
-                enough = min(len(ids), max(LEAST, int(np.ceil(SHARE * len(ids)))))
-                rows = []
-                for a, v, c in zip(asked, q, candidates(h, places, hashes_of(q, trees), enough)):
-                    c = c[ids[c] != a["query_id"]]
-                    if repeated and len(np.unique(ids[c])) < k:  # a few ids fill the candidates
-                        c = np.flatnonzero(ids != a["query_id"])
-                    d = np.sqrt(((x[c] - v) ** 2).sum(1))
-                    if repeated:  # the nearest row of each id
-                        order = np.lexsort((d, ids[c]))
-                        order = order[np.unique(ids[c][order], return_index=True)[1]]
-                        c, d = c[order], d[order]
-                    if len(c) > k:  # all that tie with the k-th stay
-                        near = d <= np.partition(d, k - 1)[k - 1]
-                        c, d = c[near], d[near]
-                    best = np.lexsort((ids[c], d))[:k]
-                    rows += [(a["query_id"], int(ids[c[i]]), float(d[i])) for i in best]
-                cols = list(zip(*rows)) or [(), (), ()]
+        here: Shard | None = None
+        for batch in freed(batches):
+            for i, turn in enumerate(batch.column(2).to_pylist()):
+                if turn == 0:
+                    here = Shard(batch.column(0)[i].as_py(), *(batch.column(c)[i].as_buffer() for c in (3, 4, 5, 6)), trees)
+                    continue
+                rows = batch.column(7)[i].as_py()
+                found = list(here.nearest([a["query_id"] for a in rows], np.array([a["v"] for a in rows], np.float64), k, trees))
+                cols = list(zip(*found)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     found = both.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
