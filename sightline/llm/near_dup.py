@@ -221,6 +221,8 @@ class Texts:
         """The (a, b) of `pairs` whose shingle sets are as similar as the threshold says, or more."""
         threshold, weights = self.threshold, self.weights
         pairs = durable(self.likely(pairs))
+        if pairs.isEmpty():
+            return pairs
         sets = durable(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         left = pairs.hint("merge").join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}).hint("merge"), "a")
         both = left.hint("merge").join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}).hint("merge"), "b").select("a", "b", "set_a", "set_b")
@@ -230,7 +232,7 @@ class Texts:
                 keep = [alike(read_set(x, weights), read_set(y, weights), threshold) for x, y in zip(batch.column(2), batch.column(3))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return both.mapInArrow(run, "a long, b long")
+        return durable(both.mapInArrow(run, "a long, b long"))
 
     def across(self, rest: DataFrame) -> DataFrame:
         """Links (a, b) between members outside the main component of a bucket and all others of other components.
@@ -282,9 +284,11 @@ class Texts:
 
         dealt = left.unionByName(right).repartition(*place).sortWithinPartitions(*place)
         likely = durable(dealt.mapInArrow(first, "key long, block int, chunk int, node long, component long, odd boolean"))
+        if likely.isEmpty():
+            return likely.select(F.col("node").alias("a"), F.col("node").alias("b"))
         sets = durable(self.sets(likely.select("node").distinct()))
         both = likely.hint("merge").join(sets.hint("merge"), "node").select(*place, "node", "component", "odd", "set")
-        return both.repartition(*place).sortWithinPartitions(*place).mapInArrow(second, "a long, b long").distinct()
+        return both.repartition(*place).sortWithinPartitions(*place).mapInArrow(second, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,21 +340,25 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     held = durable(member.hint("merge").join(bucket.select("key", "least").hint("merge"), "key"))
     pairs = durable(held.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     links = texts.similar(pairs)
-    links = durable(links.union(joined) if repeats else links)
+    links = links.union(joined) if repeats else links
     labels = components(links)
 
     # Buckets that still hold several components: those outside the first one's meet more leaders, ...
-    odd = unsettled(held, labels).where("component <> main")
+    rest = unsettled(held, labels)
+    odd = rest.where("component <> main")
     if not odd.isEmpty():
         tried = odd.select("key", "node").hint("merge").join(bucket.select("key", F.array(*[f"l{i}" for i in range(LEADERS)]).alias("l")).hint("merge"), "key")
         tried = tried.select("node", F.explode(F.array_distinct("l")).alias("other")).where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
-        more = durable(tried.distinct().hint("merge").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-        links = durable(links.union(texts.similar(more)))
-        labels = components(links)
+        more = texts.similar(tried.distinct().hint("merge").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+            rest = unsettled(held, labels)
         # ... and what is still outside meets all others of its buckets, in blocks.
-        rest = unsettled(held, labels)
         if not rest.isEmpty():
-            labels = components(links.union(texts.across(rest)))
+            more = durable(texts.across(rest))
+            if not more.isEmpty():
+                labels = components(links.union(more))
     placed = durable(same.select("c1", "c2", "node", "doc_id").hint("merge").join(labels.withColumnRenamed("id", "node").hint("merge"), "node", "left").select("c1", "c2", "doc_id", F.coalesce("component", "node").alias("component")))
     smallest = durable(placed.groupBy("component").agg(F.min("doc_id").alias("class_id")))
     classes = durable(placed.hint("merge").join(smallest.hint("merge"), "component").select("c1", "c2", "class_id"))
