@@ -174,7 +174,7 @@ SELECT p.*, coalesce(t.n_nodes, 0) AS n_nodes, coalesce(t.t_product, false) AS t
        array_max(filter(transform(date_texts, x -> try_cast(x AS date)), x -> x IS NOT NULL)) AS newest_date,
        array_max(transform(regexp_extract_all(array_join(copyright_spans, ' '), r'\b((?:19|20)\d\d)\b', 1), x -> cast(x AS int))) AS copyright_year, """ + path("p.url") + r""" AS path, """ + domain("p.canonical") + r""" AS canonical_domain, """ + domain("p.url") + r""" AS own_domain
 FROM {page_signals} p LEFT JOIN {page_types} t ON p.site = t.site AND p.page_ord = t.page_ord LEFT JOIN {page_link_counts} l ON p.site = l.site AND p.page_ord = l.page_ord
-LEFT JOIN {page_jumps} j ON p.site = j.site AND p.page_ord = j.page_ord LEFT JOIN {responses} r ON p.url = r.url
+LEFT JOIN {page_jumps} j ON p.site = j.site AND p.page_ord = j.page_ord LEFT JOIN {response_of} r ON p.url = r.url
 """, stored=True)
 
 RECENT = "(contains(visible_text, cast(year($as_of$) AS string)) OR contains(visible_text, cast(year($as_of$) - 1 AS string)) OR coalesce(datediff($as_of$, newest_date) < $recent_signal_days$, false))"

@@ -61,7 +61,7 @@ FROM {{crawl}}
 """)
 
 # pages whose response says that they are something else (L3)
-relation("not_html", "SELECT DISTINCT url FROM {responses} WHERE coalesce(content_type, '') <> '' AND NOT contains(lower(content_type), 'html')")
+relation("not_html", "SELECT url FROM {response_of} WHERE coalesce(content_type, '') <> '' AND NOT contains(lower(content_type), 'html')")
 
 relation("page_sample", """
 SELECT page_id, url, site, section, is_deep, row_number() OVER (PARTITION BY site ORDER BY at_root DESC, type_rank, url, page_id) AS page_ord

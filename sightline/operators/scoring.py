@@ -199,7 +199,7 @@ SELECT site, note, url, place FROM (SELECT site, note, url, row_number() OVER (P
 """)
 relation("llms_status", r"""
 SELECT t.site, coalesce(r.status = 200 AND coalesce(r.raw_len, 0) > 0 AND (r.content_type = '' OR contains(lower(r.content_type), 'text') OR contains(lower(r.content_type), 'markdown')), false) AS present, r.status
-FROM {site_totals} t LEFT JOIN {responses} r ON r.url = 'https://' || t.site || '/llms.txt'
+FROM {site_totals} t LEFT JOIN {response_of} r ON r.url = 'https://' || t.site || '/llms.txt'
 """)
 relation("llms_text", r"""
 SELECT site, listagg(line, chr(10)) WITHIN GROUP (ORDER BY ord) AS text FROM (

@@ -21,7 +21,7 @@ from sightline.plans.oracle import by_hand
 from sightline.plans.relations import BASE, RELATIONS, build, duckdb_sql
 
 #: Relations that are queries of their own, by area.
-SOURCES = "crawl responses robots sitemaps sitemap_urls link_status entities corpus_index external_runs llms_status sitemap_maps latest_audit input_targets"
+SOURCES = "crawl responses response_of robots sitemaps sitemap_urls link_status entities corpus_index external_runs llms_status sitemap_maps latest_audit input_targets"
 PAGES = "page_urls page_sample site_pages page_signals page_links page_headings page_images page_hreflang page_jsonld page_link_counts page_types"
 RULES = "page_rule_hits page_count_hits hreflang_hits node_hits broken_links robots_lines robots_rules site_rule_hits check_hits identity_facts social_handles fact_conflicts superlatives like_names home_schema_name"
 OUTSIDE = "region_variants region_places region_summary region_scores region_notes profile_urls profile_states brand_names brand_candidates entity_matches external_evidence external_hits"
@@ -34,7 +34,17 @@ FACTS = (
 )
 NAMES = " ".join([SOURCES, PAGES, RULES, OUTSIDE, SCORES, FACTS]).split()
 
-_stored: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_stored: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the tables of a folder were last written."""
+    out = []
+    for t in BASE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((status.getModificationTime(), status.getLen()))
+    return tuple(out)
 
 
 def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -43,7 +53,7 @@ def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        kept = _stored.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+        kept = _stored.setdefault((spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir)), {})
         made = dict(kept)
         out = build(spark, name, base_tables(spark, sf_dir), None, made)
         kept.update({k: v for k, v in made.items() if RELATIONS[k].stored})
