@@ -205,6 +205,28 @@ def test_neighbours_recall_order_and_ties(spark, sf_small):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_a_query_among_clusters_looks_at_a_small_part():
+    from sightline.llm import neighbours as module
+
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((400, 48))
+    x = (centers[rng.integers(0, 400, 8_000)] + 0.15 * rng.standard_normal((8_000, 48))).astype(np.float64)
+    h = module.hashes_of(x, 64)
+    order = np.argsort(h, axis=1, kind="stable")
+    shard = module.Shard(48, np.arange(8_000).tobytes(), x.tobytes(), np.take_along_axis(h, order, 1).tobytes(), order.astype(np.int32).tobytes(), 64)
+    looked, ranked = {}, shard.ranked
+    shard.ranked = lambda c, v: looked.update({v.tobytes(): len(c)}) or ranked(c, v)
+    found = {}
+    for q, i, _ in shard.nearest(list(range(200)), x[:200], 10, 64):
+        found.setdefault(q, set()).add(i)
+    hits = 0
+    for q in range(200):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.95 * 2_000 and np.mean(list(looked.values())) < 0.1 * 8_000
+
+
 def test_keys_of_letters_alone_are_random_and_long_identifiers_are_not(spark, sf_small):
     import random
     import string
