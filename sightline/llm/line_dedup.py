@@ -33,7 +33,7 @@ from .common import durable, freed, groups, only, slices
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
 #: References of a shard, about; a store with more than twice so many is dealt to more shards.
-SHARD_KEYS = 50_000
+SHARD_KEYS = 5_000
 #: Parts that the references may consist of before they are written anew as one.
 PARTS = 8
 
