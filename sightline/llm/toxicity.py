@@ -272,7 +272,7 @@ class Bag:
 
 
 def fit(bags: list[Bag], held: np.ndarray, table: np.ndarray) -> ToxicityModel | None:
-    """The bags that are `held` calibrate the scores; the others are learned from."""
+    """The bags that are `held` calibrate the scores; the others are learned from. Empties `bags`."""
     y = np.array([b.toxic for b in bags])
     if len(set(y[~held].tolist())) < 2:
         return None
@@ -282,12 +282,13 @@ def fit(bags: list[Bag], held: np.ndarray, table: np.ndarray) -> ToxicityModel |
     epochs = max(EPOCHS, -(-UPDATES * BATCH // (len(learn) * 4)))
     odds, slots, mask = (np.concatenate([getattr(b, name) for b in bags]) for name in ("odds", "slots", "mask"))  # of all windows
     first = np.concatenate([[0], np.cumsum([len(b.mask) for b in bags])])
+    bags.clear()  # the driver holds the windows once
 
     def inputs(at: np.ndarray) -> np.ndarray:
         return np.concatenate([odds[at], vectors.of(slots[at])], 2) * mask[at][:, :, None]
 
     def logits() -> np.ndarray:
-        return np.concatenate([network.forward(inputs(at), mask[at]) for at in np.array_split(np.arange(len(mask)), -(-len(mask) // ROWS_AT_ONCE))])
+        return np.concatenate([network.forward(inputs(at), mask[at]) for at in np.array_split(np.arange(len(mask)), -(-len(mask) // 512))])
 
     for epoch in range(epochs):
         z = logits() if epoch else (odds[:, :, :2].max(2) * mask).max(1)
@@ -309,7 +310,7 @@ def fit(bags: list[Bag], held: np.ndarray, table: np.ndarray) -> ToxicityModel |
             vectors.learn(slots[at][live > 0], grads.pop("x")[live > 0][:, ODDS:], rate)
             adam(network, grads, rate, state)
     best = np.maximum.reduceat(logits(), first[:-1])
-    use = np.flatnonzero(held) if len(set(y[held].tolist())) == 2 else np.arange(len(bags))
+    use = np.flatnonzero(held) if len(set(y[held].tolist())) == 2 else np.arange(len(y))
     a, b = platt(best[use], y[use])
     return ToxicityModel(table, vectors, network.to_float32(), a, b)
 
@@ -374,7 +375,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count.reshape(-1)[at], pa.int64())], ["at", "n"])
 
     found = rows.select("fold", "toxic", "text").mapInArrow(held, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    count, docs_of = np.zeros(FOLDS * 2 << BITS), np.array([[n.get((f, y), 0) for y in (0, 1)] for f in range(FOLDS)])
+    count, docs_of = np.zeros(FOLDS * 2 << BITS, np.float32), np.array([[n.get((f, y), 0) for y in (0, 1)] for f in range(FOLDS)])
     count[found["at"].to_numpy()] = found["n"].to_numpy()
     count = count.reshape(FOLDS, 2, 1 << BITS)
     tables = np.stack([log_odds(count.sum(0) - count[f], docs_of.sum(0) - docs_of[f]) for f in range(FOLDS)])
@@ -406,8 +407,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
         return None
     got = got.sort_values(["h", "toxic", "slots"], kind="stable")
     shape = lambda raw, kind, width: np.frombuffer(raw, kind).reshape(-1, WINDOW, width)
-    bags = [Bag(int(r.toxic), shape(r.odds, np.float32, ODDS), shape(r.slots, np.int32, 1 + AFFIXES), shape(r.mask, bool, 1)[:, :, 0].astype(np.float64)) for r in got.itertuples()]
-    return fit(bags, got["fold"].to_numpy() == FOLDS - 1, log_odds(count.sum(0), docs_of.sum(0)))
+    bags = [Bag(int(r.toxic), shape(r.odds, np.float32, ODDS), shape(r.slots, np.int32, 1 + AFFIXES), shape(r.mask, bool, 1)[:, :, 0].astype(np.float32)) for r in got.itertuples()]
+    kept, table = got["fold"].to_numpy() == FOLDS - 1, log_odds(count.sum(0), docs_of.sum(0))
+    del got, count, found, tables
+    return fit(bags, kept, table)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
