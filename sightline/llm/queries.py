@@ -74,6 +74,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import corpus_scores
+
+    return corpus_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
     "op2_language": op2_language,
@@ -85,6 +91,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_kneser_ney": op11_kneser_ney,
 }
 
 LLM_ORACLE_SQL: dict[str, str] = {

@@ -87,12 +87,16 @@ class Words:
 
 
 def words_of(column: pa.Array, chunk: int = CHUNK) -> Iterator[Words]:
-    raw, offsets = text_buffer(column)
+    return words_in(*text_buffer(column), chunk)
+
+
+def words_in(raw: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK, fold: np.ndarray = FOLD, separator: int = SEPARATOR) -> Iterator[Words]:
+    """The words of texts that lie one after the other in `raw`: maximal runs of bytes that `fold` doesn't map to the separator."""
     for lo, hi in spans_of(offsets, chunk):
-        a = FOLD[raw[offsets[lo] : offsets[hi]]]
+        a = fold[raw[offsets[lo] : offsets[hi]]]
         n, off = len(a), offsets[lo : hi + 1] - offsets[lo]
         inside = np.zeros(n + 2, np.int8)
-        inside[1:-1] = a != SEPARATOR
+        inside[1:-1] = a != separator
         step = np.diff(inside)
         cuts = off[1:-1]
         cuts = np.unique(cuts[(cuts > 0) & (cuts < n)])
