@@ -44,8 +44,8 @@ from .wordhash import mix, words_in
 #: Words of an n-gram. The production query takes 2: with 3 the counts of the check tables take more disk than its budget (README).
 ORDER = 2
 START, END, PAD = np.uint64(0x5354415254000001), np.uint64(0x454E440000000003), np.uint64(0)
-#: Bytes of text read at once; tokens counted before they are handed on.
-CHUNK, HELD = 400_000, 1_000_000
+#: Bytes of text read at once; tokens, and rows for the next lower order, that a task sums before it hands them on.
+CHUNK, HELD, HANDED = 400_000, 4_000_000, 1_500_000
 #: A word is frequent if it is one of so many tokens.
 FREQUENT = 2_000
 #: Bits of the number of parts at least, and tokens a part beyond that.
@@ -221,10 +221,12 @@ def level(rows: DataFrame, order: int, top: bool, hot: np.ndarray, bits: int, fo
     lower = names(order - 1)
 
     def summed(words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not words.shape[1]:
+            return words, values
         first = np.flatnonzero(np.append(True, (words[:, 1:] != words[:, :-1]).any(0)))
         return words[:, first], np.add.reduceat(values, first, axis=1)
 
-    def handed_on(words: np.ndarray, raw: np.ndarray, adjusted: np.ndarray) -> pa.RecordBatch:
+    def needs(words: np.ndarray, raw: np.ndarray, adjusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins = words[0] == PAD
         seen = begins | (adjusted > 0)
         w, n, begins = words[:, seen], adjusted[seen], begins[seen]
@@ -233,34 +235,41 @@ def level(rows: DataFrame, order: int, top: bool, hot: np.ndarray, bits: int, fo
         inner = ~begins
         ahead = np.zeros((len(LOW), inner.sum()), np.int64)
         ahead[2], ahead[3], ahead[4], ahead[5] = n[inner], n[inner] == 1, n[inner] == 2, n[inner] > 2
-        both, values = np.concatenate([w[1:], w[:-1, inner]], axis=1), np.concatenate([follows, ahead], axis=1)
-        order_ = np.lexsort(both[::-1])
-        both, values = summed(both[:, order_], values[:, order_])
+        return np.concatenate([w[1:], w[:-1, inner]], axis=1), np.concatenate([follows, ahead], axis=1)
+
+    def handed_on(rows_: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        both, values = (np.concatenate(x, axis=1) for x in zip(*rows_))
+        place = np.lexsort(both[::-1])
+        both, values = summed(both[:, place], values[:, place])
         return pa.RecordBatch.from_arrays([pa.array(part_of(hash_of(list(both), hot, bits), bits)), *map(as_long, both), *map(pa.array, values)], ["part", *lower, *LOW])
 
-    def finish(part: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(part: int, held: list[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray]]:
         table = pa.Table.from_batches(held).combine_chunks()
         words = np.stack([table[w].to_numpy().view(np.uint64) for w in names(order)])
         words, values = summed(words, np.stack([table[c].to_numpy() for c in cols]))
         raw, adjusted = (values[0], values[0]) if top else (values[0], values[1])
         entry = words[0] != PAD
         write(folder, order, part, hash_of(list(words[:, entry]), hot, bits), raw[entry], adjusted[entry], None if top else values[2:, entry])
-        if order > 1:
-            yield handed_on(words, raw, adjusted)
+        return [needs(words, raw, adjusted)] if order > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = -1, []
+        part, held, below = -1, [], []
         for batch in freed(batches):
             p = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)] if len(p) else [0]
             for lo, hi in zip(cuts, cuts[1:]):
                 if p[lo] != part and held:
-                    yield from finish(part, held)
+                    below += finish(part, held)
                     held = []
+                    if sum(w.shape[1] for w, _ in below) > HANDED:
+                        yield handed_on(below)
+                        below = []
                 part = int(p[lo])
                 held.append(batch.slice(lo, hi - lo))
         if held:
-            yield from finish(part, held)
+            below += finish(part, held)
+        if below:
+            yield handed_on(below)
 
     dealt = rows.select("part", *names(order), *cols).repartition("part").sortWithinPartitions("part", *names(order))
     return dealt.mapInArrow(run, ", ".join(["part int", *(f"{w} long" for w in lower), *(f"{c} long" for c in LOW)]))

@@ -80,6 +80,18 @@ def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import corpus_variants
+
+    return corpus_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
     "op2_language": op2_language,
@@ -92,6 +104,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_kneser_ney": op11_kneser_ney,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_whitening": op13_whitening,
 }
 
 LLM_ORACLE_SQL: dict[str, str] = {
