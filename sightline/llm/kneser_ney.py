@@ -45,7 +45,7 @@ from .wordhash import mix, words_in
 ORDER = 2
 START, END, PAD = np.uint64(0x5354415254000001), np.uint64(0x454E440000000003), np.uint64(0)
 #: Bytes of text read at once; tokens, and rows for the next lower order, that a task sums before it hands them on.
-CHUNK, HELD, HANDED = 400_000, 4_000_000, 1_500_000
+CHUNK, HELD, HANDED = 1_200_000, 4_000_000, 1_500_000
 #: A word is frequent if it is one of so many tokens.
 FREQUENT = 2_000
 #: Bits of the number of parts at least, and tokens a part beyond that.
@@ -55,7 +55,7 @@ SPACE = 0x20
 TOP, LOW = ["n"], ["raw", "adjusted", "total", "once", "twice", "more"]
 LOW_TYPE = np.dtype([("raw", "<i8"), ("total", "<f8"), ("adjusted", "<f4"), ("once", "<f4"), ("twice", "<f4"), ("more", "<f4")])
 TOP_TYPE = np.dtype([("adjusted", "<f4")])
-HEADER = ["entries", "raw", "adjusted", "n1", "n2", "n3", "n4", "known"]
+HEADER = ["entries", "raw", "adjusted", "n1", "n2", "n3", "n4", "known", "seen"]
 
 
 def _fold() -> np.ndarray:
@@ -280,22 +280,37 @@ def path_of(folder: str, order: int, part: int) -> str:
 
 
 def write(folder: str, order: int, part: int, h: np.ndarray, raw: np.ndarray, adjusted: np.ndarray, context: np.ndarray | None) -> None:
-    """One part's file: HEADER, sorted hashes, values. A task that runs again writes the same file; renaming puts it in place whole."""
+    """One part's file: HEADER, sorted hashes, their values; of the highest order those seen more than once, then the sorted hashes of those seen once.
+
+    A task that runs again writes the same file; renaming puts it in place whole.
+    """
     place = np.argsort(h)
-    values = np.zeros(len(h), TOP_TYPE if context is None else LOW_TYPE)
+    single = h[:0]
+    if context is None:
+        single, place = h[place[adjusted[place] == 1]], place[adjusted[place] != 1]
+    values = np.zeros(len(place), TOP_TYPE if context is None else LOW_TYPE)
     values["adjusted"] = adjusted[place]
     if context is not None:
         values["raw"] = raw[place]
         for name, c in zip(LOW[2:], context):
             values[name] = c[place]
-    head = np.array([len(h), raw.sum(), adjusted.sum(), *((adjusted == k).sum() for k in (1, 2, 3, 4)), (raw > 0).sum()], np.int64)
+    head = np.array([len(h), raw.sum(), adjusted.sum(), *((adjusted == k).sum() for k in (1, 2, 3, 4)), (raw > 0).sum(), (adjusted > 0).sum()], np.int64)
     own = f"{folder}/.{uuid.uuid4().hex}"
     with open(own, "wb") as f:
-        for x in (head, h[place], values):
+        for x in (head, h[place], values, single):
             f.write(x.tobytes())
     os.replace(own, path_of(folder, order, part))
 
 
+def mapped(name: str, top: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, values, hashes of what was seen once) of a part's file, in place."""
+    head = np.fromfile(name, np.int64, len(HEADER)).tolist()
+    n, kind = head[0] - (head[3] if top else 0), TOP_TYPE if top else LOW_TYPE
+    data = np.memmap(name, np.uint8, "r")[8 * len(HEADER) :]
+    after = n * (8 + kind.itemsize)
+    return data[: 8 * n].view(np.uint64), data[8 * n : after].view(kind), data[after : len(data)].view(np.uint64)
+
+
 @dataclass
 class Discounts:
     of: tuple[float, float, float]
@@ -331,32 +346,31 @@ class KneserNey:
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def part(self, order: int, part: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def part(self, order: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         key = (order, part)
         if key not in self._open:
             if len(self._open) >= 16_384:  # maps that a process may hold
                 self._open.clear()
             self._open[key] = None
             if os.path.exists(name := path_of(self.folder, order, part)):
-                kind = TOP_TYPE if order == self.order and order > 1 else LOW_TYPE
-                n = int(np.fromfile(name, np.int64, 1)[0])
-                if n:
-                    mapped = np.memmap(name, np.uint8, "r")
-                    at = 8 * len(HEADER)
-                    self._open[key] = mapped[at : at + 8 * n].view(np.uint64), mapped[at + 8 * n :].view(kind)
+                self._open[key] = mapped(name, order == self.order)
         return self._open[key]
 
     def found(self, order: int, h: np.ndarray) -> np.ndarray:
         """The values of these n-grams, zeros where there are none; distinct hashes are looked up in order, part by part."""
         keys, back = np.unique(h, return_inverse=True)
-        out = np.zeros(len(keys), TOP_TYPE if order == self.order and order > 1 else LOW_TYPE)
+        out = np.zeros(len(keys), TOP_TYPE if order == self.order else LOW_TYPE)
         part = part_of(keys, self.bits)
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
         for lo, hi in zip(cuts, cuts[1:]):
             if there := self.part(order, int(part[lo])):
-                at = np.minimum(np.searchsorted(there[0], keys[lo:hi]), len(there[0]) - 1)
-                hit = np.flatnonzero(there[0][at] == keys[lo:hi])
-                out[lo + hit] = there[1][at[hit]]
+                many, values, single = there
+                if len(many):
+                    at = np.minimum(np.searchsorted(many, keys[lo:hi]), len(many) - 1)
+                    hit = np.flatnonzero(many[at] == keys[lo:hi])
+                    out[lo + hit] = values[at[hit]]
+                if len(single):
+                    out["adjusted"][lo:hi][among(keys[lo:hi], single)] = 1
         return out[back]
 
     def scored(self, s: Stretch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -414,19 +428,16 @@ def headers(spark, folder: str, order: int, bits: int) -> dict[int, dict[str, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"level": [], **{c: [] for c in HEADER}, "seen": []}
+            out = {"level": [], **{c: [] for c in HEADER}}
             for part in batch.column(0).to_pylist():
                 for k in range(1, order + 1):
                     if os.path.exists(name := path_of(folder, k, part)):
                         head = np.fromfile(name, np.int64, len(HEADER))
-                        n = int(head[0])
-                        kind = TOP_TYPE if k == order else LOW_TYPE
-                        values = np.memmap(name, np.uint8, "r")[8 * (len(HEADER) + n) :].view(kind)["adjusted"] if n else np.zeros(0)
-                        for c, x in zip(["level", *HEADER, "seen"], [k, *head.tolist(), int((values > 0).sum())]):
+                        for c, x in zip(["level", *HEADER], [k, *head.tolist()]):
                             out[c].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out.values()], list(out))
 
-    cols = ["level", *HEADER, "seen"]
+    cols = ["level", *HEADER]
     read = spark.range(0, 1 << bits, 1, min(1 << bits, 64)).mapInArrow(run, ", ".join(f"{c} long" for c in cols))
     found = {r["level"]: r.asDict() for r in read.groupBy("level").agg(*(F.sum(c).alias(c) for c in cols[1:])).collect()}
     none = dict.fromkeys(cols[1:], 0)
