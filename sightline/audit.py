@@ -21,7 +21,7 @@ import sightline.queries  # noqa: F401
 from sightline.plans.relations import RELATIONS, Settings, build
 
 SIDE_TABLES = {
-    "responses": "url string, status int, elapsed_ms bigint, raw_len bigint, content_type string, x_robots string, error string, final_url string",
+    "responses": "url string, status int, elapsed_ms bigint, raw_len bigint, content_type string, x_robots string, error string, final_url string, headers string",
     "robots": "site string, body string",
     "sitemaps": "site string, url string, body string",
     "link_status": "url string, status int",
@@ -84,6 +84,8 @@ def audit(
         tables[name] = side[name] if name in side else spark.createDataFrame([], schema)
     if "final_url" not in tables["responses"].columns:
         tables["responses"] = tables["responses"].withColumn("final_url", F.col("url"))
+    if "headers" not in tables["responses"].columns:
+        tables["responses"] = tables["responses"].withColumn("headers", F.lit(None).cast("string"))
     if "url" not in tables["sitemaps"].columns:  # each site's one map
         tables["sitemaps"] = tables["sitemaps"].selectExpr("site", "concat('https://', site, '/sitemap.xml') url", "body")
     out = Audit(spark, tables, Settings(profile, max_pages, scope, as_of, thresholds or {}), {})

@@ -68,7 +68,7 @@ CATALOG = [
     ("G13", "low", "medium", "engagement", "accessibility", "Form controls without an associated label"),
     ("G14", "low", "medium", "engagement", "accessibility", "Iframes without a title attribute"),
     ("H1", "medium", "medium", "discoverability", "entity-identity", "Conflicting founding year across the site"),
-    ("H2", "low", "medium", "discoverability", "entity-identity", "Conflicting handle across the site"),
+    *[(f"H2_{p}", "low", "medium", "discoverability", "entity-identity", f"Conflicting {p} handle across the site") for p in ("twitter", "instagram", "facebook", "linkedin", "youtube", "tiktok", "github")],
     ("H3", "low", "low", "discoverability", "trust-signals", "Unverifiable superlative claims that an AI may repeat as fact"),
     ("I1", "high", "high", "discoverability", "i18n", "Declared region variants are unreachable"),
     ("X1e", "low", "medium", "discoverability", "corroboration", "Knowledge-base entity does not link back to this site"),
@@ -118,17 +118,8 @@ PROFILE_SITES = rf"(?i)(?:{'|'.join(PROFILE_NAMES)})\."
 HANDLE = rf"(?i)(?:^|[/.])({'|'.join(PLATFORMS)})\.com/(?:company/|@)?([A-Za-z0-9_.-]{{2,40}})"
 IDENTITY_URL = r"(?i)/(?:about|company|who-we-are)"
 FOUNDED = r"(?i)\b(?:founded|established|est\.?|incorporated)\b[^.\d]{0,15}((?:19|20)\d\d)"
-#: What a boast is made of (fixed values).
-FIRST_PLACES = [r"#\s?1", r"no\.?\s?1", r"number\s+one"]
-WORLD_RANKS = ["best", "leading", "largest", "first", "foremost", "top", "biggest"]
-RANKS = ["best", "leading", "largest", "top", "biggest"]
-RANKED = ["company", "brand", "provider", "platform", "solution", "manufacturer", "retailer", "marketplace", "agency"]
-BOASTS = [r"(?:market|industry|global)\s+leader", r"most\s+trusted"]
-SUPERLATIVE = (
-    rf"(?i)\b(?:world\x27?s?\s+)?(?:{'|'.join(FIRST_PLACES)})\b|\bworld\x27?s?\s+(?:{'|'.join(WORLD_RANKS)})\b|\b(?:the\s+)?(?:{'|'.join(RANKS)})\s+(?:\w+\s+){{0,2}}(?:{'|'.join(RANKED)})\b|"
-    + "|".join(rf"\b{b}\b" for b in BOASTS)
-    + r"|\bfastest[-\s]growing\b"
-)
+#: What a boast looks like (fixed value).
+SUPERLATIVE = r"(?i)\b(?:world\x27?s?\s+)?(?:#\s?1|no\.?\s?1|number\s+one)\b|\bworld\x27?s?\s+(?:best|leading|largest|first|foremost|top|biggest)\b|\b(?:the\s+)?(?:best|leading|largest|top|biggest)\s+(?:\w+\s+){0,2}(?:company|brand|provider|platform|solution|manufacturer|retailer|marketplace|agency)\b|\b(?:market|industry|global)\s+leader\b|\bmost\s+trusted\b|\bfastest[-\s]growing\b"
 
 
 def values(rows, columns: str) -> str:
@@ -140,6 +131,9 @@ def quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
+#: 30 characters on either side of a boast.
+SQUEEZED_CONTEXT = r"trim(regexp_replace(substring(visible_text, greatest(1, place - 30), place - greatest(1, place - 30) + length(claim) + 30), r'\s+', ' ', /*all*/ 1))"
+
 relation("check_catalog", values(CATALOG, "check_id, severity, confidence, dimension, category, title"))
 relation("bots", values([(b.lower(), "C1") for b in RETRIEVAL_BOTS] + [(b.lower(), "C2") for b in OTHER_BOTS] + [("*", "C3")], "agent, check_id"))
 relation("recommended", values([(t, p) for t, ps in RECOMMENDED.items() for p in ps], "type, property"))
@@ -266,13 +260,14 @@ SELECT site, count(*) AS n_pages, min_by(url, page_ord) AS home_url, sum(n_image
 FROM {page_facts} GROUP BY site
 """)
 
-relation("identity_facts", r"""
-SELECT site, kind, value, min_by(url, page_ord) AS example, count(*) AS n FROM (
-  SELECT site, page_ord, url, 'year' AS kind, explode(regexp_extract_all(visible_text, r'""" + FOUNDED + r"""', 1)) AS value FROM {page_facts} WHERE is_home OR regexp_like(url, r'""" + IDENTITY_URL + r"""')
-  UNION ALL SELECT site, page_ord, url, 'year', regexp_extract(get_json_object(node, '$.foundingDate'), r'^((?:19|20)\d\d)', 1) FROM {page_jsonld} WHERE regexp_like(coalesce(get_json_object(node, '$.foundingDate'), ''), r'^(?:19|20)\d\d')
-  UNION ALL SELECT site, page_ord, url, platform, handle FROM {social_handles})
-GROUP BY site, kind, value
+# where each value of a fact about the brand stands: in texts of identity pages first, then in structured data
+relation("fact_sources", r"""
+SELECT site, kind, value, page_ord, url, row_number() OVER (PARTITION BY site, kind, value ORDER BY part, page_ord, pos) AS k FROM (
+  SELECT site, kind, value, 0 AS part, page_ord, pos, url FROM (SELECT site, page_ord, url, 'year' AS kind, posexplode(years) AS (pos, value) FROM (SELECT site, page_ord, url, regexp_extract_all(visible_text, r'""" + FOUNDED + r"""', 1) AS years FROM {page_facts} WHERE is_home OR regexp_like(url, r'""" + IDENTITY_URL + r"""')))
+  UNION ALL SELECT site, 'year', regexp_extract(get_json_object(node, '$.foundingDate'), r'^((?:19|20)\d\d)', 1), 1, page_ord, node_ord, url FROM {page_jsonld} WHERE regexp_like(coalesce(get_json_object(node, '$.foundingDate'), ''), r'^(?:19|20)\d\d')
+  UNION ALL SELECT site, platform, handle, 0, page_ord, pos, url FROM {social_handles})
 """)
+relation("identity_facts", "SELECT site, kind, value, min_by(url, page_ord) AS example, count(*) AS n FROM {fact_sources} GROUP BY site, kind, value")
 relation("social_handles", r"""
 SELECT site, page_ord, url, pos, CASE WHEN p = 'x' THEN 'twitter' ELSE p END AS platform, handle
 FROM (SELECT site, page_ord, url, pos, lower(regexp_extract(href, r'""" + HANDLE + r"""', 1)) AS p, lower(regexp_extract(href, r'""" + HANDLE + r"""', 2)) AS handle FROM {page_links})
@@ -282,14 +277,21 @@ relation("fact_conflicts", r"""
 SELECT site, CASE WHEN kind = 'year' THEN 'founding_year' ELSE 'social_' || kind END AS fact, CASE WHEN kind = 'year' THEN 'medium' ELSE 'low' END AS severity, count(*) AS n_values, min(value) AS first_value, max(value) AS last_value
 FROM {identity_facts} GROUP BY site, kind HAVING count(*) > 1
 """)
+# a finding for each fact that has several values; its pages are the first three of each value, in the order of values (H1, H2)
+relation("conflict_hits", r"""
+SELECT f.site, CASE WHEN f.kind = 'year' THEN 'H1' ELSE 'H2_' || f.kind END AS check_id, max(c.n_values) AS n, count(*) AS n_affected, min_by(f.url, f.place) AS example, listagg(url, ' | ') WITHIN GROUP (ORDER BY place) AS affected
+FROM (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY value, k) AS place FROM {fact_sources} WHERE k <= 3) f
+JOIN (SELECT site, CASE WHEN fact = 'founding_year' THEN 'year' ELSE substring(fact, 8) END AS kind, n_values FROM {fact_conflicts}) c ON f.site = c.site AND f.kind = c.kind WHERE f.place <= 10 GROUP BY f.site, f.kind
+""")
 relation("superlatives", r"""
-SELECT site, page_ord, url, claim FROM (
-  SELECT site, page_ord, url, claim, row_number() OVER (PARTITION BY site ORDER BY page_ord, pos) AS k FROM (
-    SELECT site, page_ord, url, pos, claim, row_number() OVER (PARTITION BY site, lower(claim) ORDER BY page_ord, pos) AS seen FROM (
-      SELECT site, page_ord, url, posexplode(claims) AS (pos, claim) FROM (SELECT site, page_ord, url, regexp_extract_all(visible_text, r'""" + SUPERLATIVE + r"""', 0) AS claims FROM {page_facts} WHERE is_home OR regexp_like(url, r'(?i)/(?:about|company|who-we-are|our-story)'))))
+SELECT site, page_ord, url, k, claim, """ + SQUEEZED_CONTEXT + r""" AS context FROM (
+  SELECT site, page_ord, url, claim, visible_text, instr(visible_text, claim) AS place, row_number() OVER (PARTITION BY site ORDER BY page_ord, pos) AS k FROM (
+    SELECT site, page_ord, url, pos, claim, visible_text, row_number() OVER (PARTITION BY site, lower(claim) ORDER BY page_ord, pos) AS seen FROM (
+      SELECT site, page_ord, url, visible_text, posexplode(claims) AS (pos, claim) FROM (SELECT site, page_ord, url, visible_text, regexp_extract_all(visible_text, r'""" + SUPERLATIVE + r"""', 0) AS claims FROM {page_facts} WHERE is_home OR regexp_like(url, r'(?i)/(?:about|company|who-we-are|our-story)'))))
   WHERE seen = 1)
 WHERE k <= 6
 """)
+relation("boast_hits", r"""SELECT site, 'H3' AS check_id, count(*) AS n, count(*) AS n_affected, min_by(url, k) AS example, listagg(url, ' | ') WITHIN GROUP (ORDER BY k) AS affected FROM {superlatives} GROUP BY site""")
 
 relation("site_names", r"""
 SELECT site, page_ord, is_home, lower(trim(site_name)) AS name, lang FROM {page_facts} WHERE trim(site_name) <> ''
@@ -327,8 +329,6 @@ UNION ALL SELECT a.site, 'R4', cast(1 AS bigint) FROM {site_names} a JOIN {home_
 UNION ALL SELECT site, 'G2', cast(n_links AS bigint) FROM {page_facts} WHERE is_home AND NOT (cta_text OR cta_href OR has_cta_class OR regexp_like(button_text, r'""" + CTA + r"""'))
 UNION ALL SELECT site, 'G3', count(*) FROM {page_facts} GROUP BY site HAVING NOT bool_or(has_nav)
 UNION ALL SELECT site, 'G9', count(*) FROM {page_facts} WHERE is_deep GROUP BY site HAVING count(*) >= $deep_min_pages$ AND NOT bool_or(has_breadcrumb)
-UNION ALL SELECT site, CASE WHEN fact = 'founding_year' THEN 'H1' ELSE 'H2' END, sum(n_values) FROM {fact_conflicts} GROUP BY site, CASE WHEN fact = 'founding_year' THEN 'H1' ELSE 'H2' END
-UNION ALL SELECT site, 'H3', count(*) FROM {superlatives} GROUP BY site
 UNION ALL SELECT site, 'I1', count(*) FROM {region_variants} WHERE is_dead GROUP BY site
 UNION ALL SELECT site, check_id, n FROM {external_hits}
 UNION ALL SELECT t.site, 'O1', cast(1 AS bigint) FROM {targets} t LEFT JOIN {site_totals} p ON t.site = p.site WHERE p.site IS NULL
@@ -345,4 +345,5 @@ SELECT h.site, h.check_id, h.n, h.n_affected, h.example, h.affected FROM (
 WHERE CASE h.check_id WHEN 'G1' THEN h.n >= greatest(1, floor(t.n_pages * $viewport_min_fraction$)) WHEN 'G11' THEN h.n >= $login_wall_min_pages$ WHEN 'G12' THEN h.n >= $generic_link_min$ WHEN 'G13' THEN h.n >= $unlabeled_controls_min$
       WHEN 'E9' THEN h.n >= $alt_missing_min$ AND cast(h.n AS double) / t.n_images > $alt_missing_ratio$ ELSE true END
 UNION ALL SELECT site, check_id, n, cast(0 AS bigint), cast(NULL AS string), cast(NULL AS string) FROM {site_rule_hits}
+UNION ALL SELECT * FROM {conflict_hits} UNION ALL SELECT * FROM {boast_hits}
 """, stored=True)

@@ -5,6 +5,7 @@ structured-data nodes and language links are child tables of it.
 """
 
 from sightline.functions import urls
+from sightline.plans import stream
 from sightline.plans.relations import relation
 
 #: Named and numeric references that pages use, in the order in which they are decoded (`&amp;` last; fixed values).
@@ -13,22 +14,25 @@ ENTITIES = [("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"
 
 def decoded(x: str) -> str:
     """`x` with its references decoded, with or without their semicolon. Plain replacements: no regular expression runs."""
+    out = x
     for name, char in ENTITIES[:-1]:
-        x = f"replace(replace({x}, '&{name};', '{char}'), '&{name}', '{char}')"
-    return f"replace(replace(replace({x}, '&amp;', chr(2)), '&amp', '&'), chr(2), '&')"
+        out = f"replace(replace({out}, '&{name};', '{char}'), '&{name}', '{char}')"
+    return f"CASE WHEN contains({x}, '&') THEN replace(replace(replace({out}, '&amp;', chr(2)), '&amp', '&'), chr(2), '&') ELSE {x} END"
 
 
 def squeezed(x: str) -> str:
     return rf"trim(regexp_replace({x}, r'[\s\x{{00a0}}]+', ' ', /*all*/ 1))"
 
 
-def text_of(html: str) -> str:
-    gone = "|".join([r"<!--.*?-->", *(rf"<{t}\b.*?</{t}>" for t in ("head", "script", "style", "noscript", "template", "svg"))])
-    return squeezed(decoded(rf"regexp_replace(regexp_replace({html}, r'(?is){gone}', ' ', /*all*/ 1), r'(?s)<[^>]*>', ' ', /*all*/ 1)"))
+#: A page as a stream: comments, scripts and styles whole, tags, stretches of text. What is never closed reaches to the end.
+TOKEN = r"(?is)<!--.*?(?:-->|\z)|" + "".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)|" for t in ("script", "style")) + r"</?[a-z][^>]*>|<![^>]*>|[^<]+|<"
+#: All that is not visible text: tags, and elements whose text isn't copy.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|" + "".join(rf"<{t}\b(?:[^>]*[^/>])?>.*?(?:</{t}\s*>|\z)|" for t in ("head", "script", "style", "noscript", "template", "svg")) + r"</?[a-z][^>]*>|<![^>]*>"
 
 
-def inline_text(html: str) -> str:
-    return squeezed(decoded(rf"regexp_replace({html}, r'(?s)<[^>]*>', ' ', /*all*/ 1)"))
+def unmarked(html: str) -> str:
+    """What is left of html when all that isn't visible is a blank."""
+    return f"regexp_replace({html}, r'{UNSEEN}', ' ', /*all*/ 1)"
 
 
 def attribute(tag: str, name: str) -> str:
@@ -40,7 +44,8 @@ def has_attribute(tag: str, name: str) -> str:
     return rf"regexp_like({tag}, r'(?is)[\s\x22\x27]{name}\s*=')"
 
 
-META_KEYS = ["description", "viewport", "robots", "og:site_name"]
+def has_value(tag: str, name: str) -> str:
+    return rf"regexp_like({tag}, r'(?is)[\s\x22\x27]{name}\s*=\s*(?:\x22[^\x22]|\x27[^\x27]|[^\s\x22\x27>])')"
 
 
 def meta(key: str) -> str:
@@ -48,6 +53,10 @@ def meta(key: str) -> str:
     return f"coalesce(try_element_at(filter(transform(metas, x -> CASE WHEN startswith(x, '{key} ') THEN substring(x, {len(key) + 2}) END), x -> x IS NOT NULL), -1), '')"
 
 
+#: Whether the script tag x holds structured data.
+IS_JSONLD = "lower(" + attribute(r"regexp_extract(x, r'^(<[^>]*>)', 1)", "type") + r") = 'application/ld+json' AND regexp_like(x, r'(?i)</script\s*>$')"
+
+
 def meta_pair(x: str) -> str:
     """`key content` of a <meta> tag, its key in lower case; keys hold no blank."""
     key = "coalesce(" + ", ".join(f"nullif({attribute(x, a)}, '')" for a in ("name", "property", "http-equiv")) + ", '')"
@@ -71,60 +80,88 @@ WHERE copy = 1
 
 relation("site_pages", "SELECT page_id, url, site, section, is_deep, page_ord, page_ord = 1 AS is_home FROM {page_sample} WHERE page_ord <= $max_pages$", stored=True)
 
+# One pass over the html of the sample: every tag and stretch of text with its place. All that follows but the visible text is picked from it.
+relation("page_stream", r"""
+SELECT page_id, url, site, section, is_deep, page_ord, is_home, html, transform(regexp_extract_all(html, r'""" + TOKEN + r"""', 0), (x, i) -> named_struct('i', i, 'name', lower(regexp_extract(x, r'^</?([A-Za-z][A-Za-z0-9]*)', 1)), 'x', x)) AS stream
+FROM (SELECT s.page_id, s.url, s.site, s.section, s.is_deep, s.page_ord, s.is_home, coalesce(c.html, '') AS html FROM {site_pages} s JOIN {crawl} c ON s.page_id = c.page_id AND s.url = c.url WHERE s.page_ord <= $max_pages$)
+""", duck=stream.STREAM.replace("<TOKEN>", TOKEN))
+
+relation("page_tokens", "SELECT site, page_ord, url, t.i AS pos, t.name, startswith(t.x, '</') AS ends, t.x AS token FROM (SELECT site, page_ord, url, explode(stream) AS t FROM {page_stream})")
+
+
+def between(marks: str, picked: str) -> str:
+    """Elements of a kind: an opening tag of `marks` whose next one there closes, as (tag, the `picked` of the tokens between)."""
+    after = f"try_element_at({marks}, k + 2)"
+    spans = f"filter(transform({marks}, (t, k) -> named_struct('tag', t.x, 'a', t.i, 'b', CASE WHEN NOT startswith(t.x, '</') AND startswith({after}.x, '</') THEN {after}.i END)), p -> p.b IS NOT NULL)"
+    return f"transform({spans}, p -> named_struct('tag', p.tag, 'body', array_join(transform(filter(slice(stream, p.a + 2, p.b - p.a - 1), s -> {picked}), s -> s.x), '')))"
+
+
+def tags(*names: str) -> str:
+    return f"transform(filter(opens, t -> t.name IN ({', '.join(repr(n) for n in names)})), t -> t.x)"
+
+
 relation("page_tags", r"""
-SELECT s.page_id, s.url, s.site, s.section, s.is_deep, s.page_ord, s.is_home, c.html, length(c.html) AS html_len, octet_length(c.html) AS html_bytes,
-       """ + squeezed(decoded(r"regexp_extract(c.html, r'(?is)<title[^>]*>(.*?)</title>', 1)")) + r""" AS title,
-       """ + attribute(r"regexp_extract(c.html, r'(?is)(<html\b[^>]*>)', 1)", "lang") + r""" AS lang,
-       filter(transform(filter(regexp_extract_all(c.html, r'(?is)<meta\b[^>]*>', 0), x -> regexp_like(x, r'(?i)description|viewport|robots|og:site_name')), x -> """ + meta_pair("x") + r"""), x -> regexp_like(x, r'^(?:description|viewport|robots|og:site_name) ')) AS metas, regexp_extract_all(c.html, r'(?is)<link\b[^>]*>', 0) AS link_tags, regexp_extract_all(c.html, r'(?is)<a\b[^>]*>.*?</a>', 0) AS anchors,
-       regexp_extract_all(c.html, r'(?is)<img\b[^>]*>', 0) AS image_tags, regexp_extract_all(c.html, r'(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>', 0) AS heading_tags, regexp_extract_all(c.html, r'(?is)<script\b[^>]*>.*?</script>', 0) AS script_tags,
-       regexp_extract_all(c.html, r'(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>', 1) AS jsonld_blocks, regexp_extract_all(c.html, r'(?is)<(?:input|select|textarea)\b[^>]*>', 0) AS controls,
-       regexp_extract_all(c.html, r'(?is)<label\b[^>]*\bfor=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1) AS label_ids, regexp_extract_all(c.html, r'(?is)<iframe\b[^>]*>', 0) AS iframes,
-       CASE WHEN regexp_like(c.html, r'(?is)<head[^>]*>.*?</head>') THEN regexp_extract(c.html, r'(?is)<head[^>]*>(.*?)</head>', 1) ELSE substring(c.html, 1, 4000) END AS head
-FROM {site_pages} s JOIN {crawl} c ON s.page_id = c.page_id AND s.url = c.url WHERE s.page_ord <= $max_pages$
-""", stored=True)
+SELECT page_id, url, site, section, is_deep, page_ord, is_home, html, length(html) AS html_len, octet_length(html) AS html_bytes, """ + between("titles", "s.name = '' AND NOT startswith(s.x, '<!')") + r""" AS titles,
+       coalesce(""" + attribute("try_element_at(filter(opens, t -> t.name = 'html' AND " + has_value("t.x", "lang") + "), -1).x", "lang") + r""", '') AS lang,
+       filter(transform(""" + tags("meta") + ", x -> " + meta_pair("x") + r"""), x -> regexp_like(x, r'^(?:description|viewport|robots|og:site_name) ')) AS metas, """ + tags("link") + r""" AS link_tags,
+       """ + between("links", "true") + r""" AS anchors, """ + tags("img") + r""" AS image_tags, """ + between("heads", "true") + r""" AS headings, """ + tags("script") + r""" AS script_tags, """ + tags("input", "select", "textarea") + r""" AS controls,
+       """ + tags("label") + r""" AS labels, """ + tags("iframe") + r""" AS iframes,
+       exists(opens, t -> regexp_like(t.x, r'(?i)^<[^>]*[\s\x22\x27]item(?:scope|type|prop)\b')) AS has_microdata, exists(opens, t -> t.name <> 'meta' AND regexp_like(t.x, r'(?i)^<[^>]*[\s\x22\x27](?:typeof|property|vocab)\s*=')) AS has_rdfa,
+       CASE WHEN regexp_like(html, r'(?is)<head[^>]*>.*?</head>') THEN regexp_extract(html, r'(?is)<head[^>]*>(.*?)</head>', 1) ELSE substring(html, 1, 4000) END AS head
+FROM (SELECT *, filter(stream, t -> t.name <> '' AND NOT startswith(t.x, '</')) AS opens, filter(stream, t -> t.name = 'a' AND (startswith(t.x, '</') OR """ + has_value("t.x", "href") + r""")) AS links,
+             filter(stream, t -> t.name IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6')) AS heads, filter(stream, t -> t.name = 'title') AS titles FROM {page_stream})
+""", stored=True, duck=stream.TAGS)
 
 NO_LABEL = ["hidden", "submit", "button", "reset", "image"]
 CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{0e00}-\x{0e7f}]"
 
+
+def holds(*words: str) -> str:
+    """Whether the page's source holds one of the words: a plain search that spares most pages a regular expression."""
+    return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+
+
+# Texts are squeezed, so words are counted by blanks; where letters stand for words, each of them is one.
 relation("page_signals", r"""
-SELECT page_id, url, site, section, is_deep, page_ord, is_home, html_len, html_bytes, visible_text, length(visible_text) AS text_len, title, lang,
-       size(filter(split(regexp_replace(visible_text, r'""" + CJK + r"""', ' ', /*all*/ 1), r'\s+'), x -> x <> '')) + size(regexp_extract_all(visible_text, r'""" + CJK + r"""', 0)) AS word_count,
+SELECT page_id, url, site, section, is_deep, page_ord, is_home, html_len, html_bytes, visible_text, length(visible_text) AS text_len, """ + squeezed("title") + r""" AS title, lang,
+       CASE WHEN visible_text = '' THEN 0 WHEN regexp_like(visible_text, r'""" + CJK + r"""') THEN size(filter(split(regexp_replace(visible_text, r'""" + CJK + r"""', ' ', /*all*/ 1), r'\s+'), x -> x <> '')) + size(regexp_extract_all(visible_text, r'""" + CJK + r"""', 0))
+            ELSE length(visible_text) - length(replace(visible_text, ' ', '')) + 1 END AS word_count,
        CASE WHEN html_len = 0 THEN 0.0 ELSE bround(cast(length(visible_text) AS double) / html_len, 4) END AS text_ratio,
        """ + decoded(meta("description")) + r""" AS description, """ + meta("viewport") + r""" AS viewport, """ + meta("robots") + r""" AS meta_robots, """ + decoded(meta("og:site_name")) + r""" AS site_name,
-       coalesce(""" + attribute(r"try_element_at(filter(link_tags, x -> contains(lower(" + attribute("x", "rel") + r"), 'canonical')), -1)", "href") + r""", '') AS canonical,
+       coalesce(""" + attribute(r"try_element_at(filter(link_tags, x -> contains(lower(" + attribute("x", "rel") + r"), 'canonical') AND " + has_value("x", "href") + r"), -1)", "href") + r""", '') AS canonical,
        size(anchors) AS n_links, size(image_tags) AS n_images, size(filter(image_tags, x -> NOT """ + has_attribute("x", "alt") + r""")) AS n_images_no_alt,
-       size(filter(heading_tags, x -> regexp_like(x, r'(?i)^<h1'))) AS n_h1, size(filter(heading_tags, x -> regexp_like(x, r'(?i)^<h2'))) AS n_h2, size(heading_tags) AS n_headings,
+       size(filter(headings, x -> startswith(lower(x.tag), '<h1'))) AS n_h1, size(filter(headings, x -> startswith(lower(x.tag), '<h2'))) AS n_h2, size(headings) AS n_headings,
        size(filter(script_tags, x -> regexp_like(x, r'(?is)^<script\b[^>]*\bsrc\s*='))) AS n_scripts,
-       length(array_join(transform(filter(script_tags, x -> NOT regexp_like(x, r'(?is)^<script\b[^>]*\bsrc\s*=')), x -> regexp_extract(x, r'(?is)^<script\b[^>]*>(.*?)</script>$', 1)), '')) AS inline_script_len,
-       size(jsonld_blocks) AS n_jsonld_blocks, regexp_like(html, r'(?i)<[^>]*\bitem(?:scope|type|prop)\b') AS has_microdata, size(filter(regexp_extract_all(html, r'(?is)<[a-z][^>]*\b(?:typeof|property|vocab)\s*=[^>]*>', 0), x -> NOT regexp_like(x, r'(?i)^<meta'))) > 0 AS has_rdfa,
+       length(array_join(transform(filter(script_tags, x -> NOT regexp_like(x, r'(?is)^<script\b[^>]*\bsrc\s*=')), x -> regexp_extract(x, r'(?is)^<script\b[^>]*>(.*?)</script\s*>$', 1)), '')) AS inline_script_len,
+       size(filter(script_tags, x -> """ + IS_JSONLD + r""")) AS n_jsonld_blocks, has_microdata, has_rdfa,
        regexp_extract_all(html, r'\b(20\d\d-\d\d-\d\d)\b', 1) AS date_texts, regexp_extract_all(right(visible_text, 800), r'(?i)(?:©|copyright)[^\n<]{0,40}', 0) AS copyright_spans,
        size(regexp_extract_all(head, r'(?i)<link[^>]+rel=[\x22\x27]stylesheet[\x22\x27]', 0)) AS head_css,
        size(filter(regexp_extract_all(head, r'(?i)<script\b[^>]*>', 0), x -> contains(lower(x), 'src=') AND NOT contains(lower(x), 'async') AND NOT contains(lower(x), 'defer'))) AS head_js,
        size(filter(controls, x -> NOT (regexp_like(x, r'(?i)^<input') AND lower(coalesce(nullif(regexp_extract(x, r'(?i)\btype=[\x22\x27]?([a-z]+)', 1), ''), 'text')) IN (""" + ", ".join(f"'{t}'" for t in NO_LABEL) + r"""))
          AND NOT regexp_like(lower(x), r'aria-label|title=|placeholder=') AND NOT coalesce(array_contains(label_ids, nullif(regexp_extract(x, r'\bid=[\x22\x27]([^\x22\x27]+)', 1), '')), false))) AS n_unlabeled,
        size(filter(iframes, x -> NOT regexp_like(lower(x), r'title=|aria-hidden'))) AS n_untitled_iframes,
-       left(array_join(regexp_extract_all(html, r'(?is)<button[^>]*>(.*?)</button>', 1), ' '), 2000) AS button_text,
-       CASE WHEN regexp_like(html, r'(?i)<div[^>]+id=[\x22\x27](?:root|app|__next|__nuxt)[\x22\x27][^>]*>\s*</div>') THEN 'empty app-root div' WHEN contains(lower(html), 'window.__nuxt__') THEN 'Nuxt hydration payload' WHEN contains(lower(html), '__next_data__') THEN 'Next.js data island'
-            WHEN contains(lower(html), 'ng-version=') THEN 'Angular app shell' WHEN contains(lower(html), 'data-reactroot') THEN 'React root without server markup' END AS spa_marker,
-       regexp_like(html, r'(?i)<noscript[^>]*>\s*(?:you|enable|requires)?\s*javascript') AS asks_for_js, regexp_like(html, r'(?i)<nav[\s>]|role=[\x22\x27]navigation[\x22\x27]') AS has_nav, regexp_like(html, r'(?i)breadcrumb') AS has_breadcrumb,
-       regexp_like(html, r'(?i)(?:newsletter|subscribe|cookie).{0,40}(?:modal|popup|overlay|interstitial)|(?:modal|popup|overlay|interstitial).{0,40}(?:newsletter|subscribe)') AS has_popup,
-       regexp_like(html, r'(?i)\bclass\s*=\s*[\x22\x27][^\x22\x27]*\b(?:cta|btn|button|add-to-cart|buy-now)\b') AS has_cta_class, regexp_like(html, r'(?i)add to (?:cart|bag|basket)|addtocart|data-add-to-cart') AS has_cart,
-       regexp_like(html, r'(?i)type=[\x22\x27]search[\x22\x27]|role=[\x22\x27]search[\x22\x27]|action=[\x22\x27][^\x22\x27]*search') AS has_search, regexp_like(html, r'(?i)type=[\x22\x27]application/ld\+json[\x22\x27]') AS declares_jsonld
-FROM (SELECT *, """ + text_of("html") + r""" AS visible_text FROM {page_tags})
+       CASE WHEN """ + holds("<button") + r""" THEN left(array_join(regexp_extract_all(html, r'(?is)<button[^>]*>(.*?)</button>', 1), ' '), 2000) ELSE '' END AS button_text,
+       CASE WHEN regexp_like(html, r'(?i)<div[^>]+id=[\x22\x27](?:root|app|__next|__nuxt)[\x22\x27][^>]*>\s*</div>') THEN 'empty app-root div' WHEN contains(low, 'window.__nuxt__') THEN 'Nuxt hydration payload' WHEN contains(low, '__next_data__') THEN 'Next.js data island'
+            WHEN contains(low, 'ng-version=') THEN 'Angular app shell' WHEN contains(low, 'data-reactroot') THEN 'React root without server markup' END AS spa_marker,
+       """ + holds("<noscript") + r""" AND regexp_like(html, r'(?i)<noscript[^>]*>\s*(?:you|enable|requires)?\s*javascript') AS asks_for_js, """ + holds("<nav", "navigation") + r""" AND regexp_like(html, r'(?i)<nav[\s>]|role=[\x22\x27]navigation[\x22\x27]') AS has_nav, contains(low, 'breadcrumb') AS has_breadcrumb,
+       """ + holds("modal", "popup", "overlay", "interstitial") + r""" AND regexp_like(html, r'(?i)(?:newsletter|subscribe|cookie).{0,40}(?:modal|popup|overlay|interstitial)|(?:modal|popup|overlay|interstitial).{0,40}(?:newsletter|subscribe)') AS has_popup,
+       """ + holds("cta", "btn", "button", "add-to-cart", "buy-now") + r""" AND regexp_like(html, r'(?i)\bclass\s*=\s*[\x22\x27][^\x22\x27]*\b(?:cta|btn|button|add-to-cart|buy-now)\b') AS has_cta_class, """ + holds("add to cart", "add to bag", "add to basket", "addtocart", "data-add-to-cart") + r""" AS has_cart,
+       """ + holds("search") + r""" AND regexp_like(html, r'(?i)type=[\x22\x27]search[\x22\x27]|role=[\x22\x27]search[\x22\x27]|action=[\x22\x27][^\x22\x27]*search') AS has_search, """ + holds("application/ld+json") + r""" AND regexp_like(html, r'(?i)type=[\x22\x27]application/ld\+json[\x22\x27]') AS declares_jsonld
+FROM (SELECT *, """ + squeezed("seen") + r""" AS visible_text, """ + decoded("raw_title") + r""" AS title, transform(labels, x -> regexp_extract(x, r'(?is)\bfor=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1)) AS label_ids FROM (
+  SELECT *, """ + decoded("bare") + r""" AS seen FROM (SELECT *, lower(html) AS low, array_join(transform(titles, t -> t.body), '') AS raw_title, """ + unmarked("html") + r""" AS bare FROM {page_tags})))
 """, stored=True)
 
 relation("page_links", r"""
-SELECT site, page_ord, url, is_home, pos, href, rel, text, """ + urls.folded("whole", "h") + r""" AS target, startswith(href, '/') OR startswith(href, '#') OR """ + urls.domain_of("there") + " = " + urls.domain_of("here") + r""" AS is_internal
-FROM (SELECT site, page_ord, url, is_home, pos, href, rel, text, h, """ + urls.joined("h", "url") + r""" AS whole, """ + urls.bare_host("href") + r""" AS there, """ + urls.bare_host("url") + r""" AS here
-      FROM (SELECT site, page_ord, url, is_home, pos, href, rel, text, """ + urls.clean_href("href") + r""" AS h
-            FROM (SELECT site, page_ord, url, is_home, pos, """ + decoded(attribute("tag", "href")) + r""" AS href, """ + attribute("tag", "rel") + r""" AS rel, """ + inline_text("body") + r""" AS text
-                  FROM (SELECT site, page_ord, url, is_home, pos, regexp_extract(a, r'(?is)^(<a\b[^>]*>)', 1) AS tag, a AS body FROM (SELECT site, page_ord, url, is_home, posexplode(anchors) AS (pos, a) FROM {page_tags}))
-                  WHERE """ + has_attribute("tag", "href") + r""")))
+SELECT site, page_ord, url, is_home, pos, href, rel, """ + squeezed("said") + r""" AS text, """ + urls.folded("whole", "h") + r""" AS target, startswith(href, '/') OR startswith(href, '#') OR """ + urls.domain_of("there") + " = " + urls.domain_of("here") + r""" AS is_internal
+FROM (SELECT site, page_ord, url, is_home, pos, href, rel, """ + decoded("bare") + r""" AS said, h, """ + urls.joined("h", "url") + r""" AS whole, """ + urls.bare_host("href") + r""" AS there, """ + urls.bare_host("url") + r""" AS here
+      FROM (SELECT site, page_ord, url, is_home, pos, href, rel, bare, """ + urls.clean_href("href") + r""" AS h
+            FROM (SELECT site, page_ord, url, is_home, pos, """ + decoded("address") + r""" AS href, rel, bare
+                  FROM (SELECT site, page_ord, url, is_home, pos, """ + attribute("a.tag", "href") + r""" AS address, """ + attribute("a.tag", "rel") + r""" AS rel, """ + unmarked("a.body") + r""" AS bare FROM (SELECT site, page_ord, url, is_home, posexplode(anchors) AS (pos, a) FROM {page_tags})))))
 """, stored=True)
 
 relation("page_headings", r"""
-SELECT site, page_ord, url, pos, cast(regexp_extract(h, r'(?i)^<h([1-6])', 1) AS int) AS level, """ + inline_text("h") + r""" AS text
-FROM (SELECT site, page_ord, url, posexplode(heading_tags) AS (pos, h) FROM {page_tags})
+SELECT site, page_ord, url, pos, level, """ + squeezed("said") + r""" AS text
+FROM (SELECT site, page_ord, url, pos, level, """ + decoded("bare") + r""" AS said FROM (SELECT site, page_ord, url, pos, cast(regexp_extract(h.tag, r'(?i)^<h([1-6])', 1) AS int) AS level, """ + unmarked("h.body") + r""" AS bare FROM (SELECT site, page_ord, url, posexplode(headings) AS (pos, h) FROM {page_tags})))
 """)
 
 relation("page_images", r"""
@@ -141,22 +178,27 @@ FROM (SELECT site, page_ord, url, pos, code, href, h, """ + urls.joined("h", "ur
                   WHERE regexp_like(t, r'(?i)\brel=[\x22\x27]?alternate[\x22\x27]?') AND regexp_like(t, r'(?i)hreflang=[\x22\x27][^\x22\x27]+[\x22\x27]') AND regexp_like(t, r'(?i)\shref=[\x22\x27][^\x22\x27]+[\x22\x27]'))))
 """)
 
-# Objects written one after the other are taken apart: a block that holds such is read part by part
+#: Whether the whole of b is one JSON document: Spark's parser itself stops behind the first one.
+ONE_DOCUMENT = "coalesce(json_array_length('[' || b || ']') = 1, false)"
+
+# A block that parses is one document. Of one that doesn't, what stands between `}` and `{` or `[` outside of strings is taken apart, and the parts that parse are objects.
 relation("jsonld_blocks", r"""
-SELECT site, page_ord, url, is_home, pos * 1000 + k AS pos, b FROM (
+SELECT site, page_ord, url, is_home, pos, k, b FROM (
   SELECT site, page_ord, url, is_home, pos, posexplode(parts) AS (k, b) FROM (
-    SELECT site, page_ord, url, is_home, pos, split(regexp_replace(trim(b), r'\}\s*\{', '}' || chr(1) || '{', /*all*/ 1), chr(1)) AS parts FROM (SELECT site, page_ord, url, is_home, posexplode(jsonld_blocks) AS (pos, b) FROM {page_tags})))
-WHERE try_parse_json(b) IS NOT NULL AND (startswith(trim(b), '{') OR startswith(trim(b), '['))
-""")
+    SELECT site, page_ord, url, is_home, pos, CASE WHEN """ + ONE_DOCUMENT + r""" THEN array(b)
+             ELSE transform(split(replace(replace(array_join(transform(split(replace(replace(b, r'\\', chr(2)), r'\"', chr(3)), '"'), (p, i) -> CASE WHEN i % 2 = 0 THEN regexp_replace(p, r'\}\s*([{\[])', '}' || chr(1) || '$back1$', /*all*/ 1) ELSE p END), '"'), chr(3), r'\"'), chr(2), r'\\'), chr(1)), x -> trim(regexp_extract(x, r'(?s)(\{.*)$', 1))) END AS parts
+    FROM (SELECT site, page_ord, url, is_home, pos, trim(regexp_extract(x, r'(?is)^<script\b[^>]*>(.*?)</script\s*>$', 1)) AS b FROM (SELECT site, page_ord, url, is_home, posexplode(script_tags) AS (pos, x) FROM {page_tags}) WHERE """ + IS_JSONLD + r""")))
+WHERE """ + ONE_DOCUMENT + r""" AND (startswith(b, '{') AND endswith(b, '}') OR startswith(b, '[') AND endswith(b, ']'))
+""", duck=stream.BLOCKS)
 
 relation("jsonld_parts", r"""
-SELECT site, page_ord, url, is_home, pos, CASE WHEN startswith(trim(b), '[') THEN from_json(b, 'array<string>') WHEN g IS NOT NULL THEN from_json(g, 'array<string>') ELSE array(b) END AS items
-FROM (SELECT site, page_ord, url, is_home, pos, b, CASE WHEN startswith(trim(b), '{') THEN get_json_object(b, '$.@graph') END AS g FROM {jsonld_blocks})
+SELECT site, page_ord, url, is_home, pos, k, CASE WHEN startswith(trim(b), '[') THEN from_json(b, 'array<string>') WHEN g IS NOT NULL THEN from_json(g, 'array<string>') ELSE array(b) END AS items
+FROM (SELECT site, page_ord, url, is_home, pos, k, b, CASE WHEN startswith(trim(b), '{') THEN get_json_object(b, '$.@graph') END AS g FROM {jsonld_blocks})
 """)
 
 relation("page_jsonld", r"""
-SELECT site, page_ord, url, is_home, row_number() OVER (PARTITION BY site, page_ord ORDER BY pos, i) AS node_ord, n AS node, json_object_keys(n) AS keys, lower(coalesce(CASE WHEN startswith(t, '[') THEN get_json_object(n, '$.@type[0]') ELSE t END, '')) AS first_type,
+SELECT site, page_ord, url, is_home, row_number() OVER (PARTITION BY site, page_ord ORDER BY pos, k, i) AS node_ord, n AS node, json_object_keys(n) AS keys, lower(coalesce(CASE WHEN startswith(t, '[') THEN get_json_object(n, '$.@type[0]') ELSE t END, '')) AS first_type,
        CASE WHEN t IS NULL THEN array() WHEN startswith(t, '[') THEN from_json(lowered, 'array<string>') ELSE array(lowered) END AS types
-FROM (SELECT site, page_ord, url, is_home, pos, i, n, get_json_object(n, '$.@type') AS t, lower(get_json_object(n, '$.@type')) AS lowered
-      FROM (SELECT site, page_ord, url, is_home, pos, posexplode(items) AS (i, n) FROM {jsonld_parts}) WHERE startswith(trim(n), '{'))
+FROM (SELECT site, page_ord, url, is_home, pos, k, i, n, get_json_object(n, '$.@type') AS t, lower(get_json_object(n, '$.@type')) AS lowered
+      FROM (SELECT site, page_ord, url, is_home, pos, k, posexplode(items) AS (i, n) FROM {jsonld_parts}) WHERE startswith(trim(n), '{'))
 """, stored=True)

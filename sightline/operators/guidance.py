@@ -64,7 +64,7 @@ HOW = [
     ("G13", "Give each form control a label."),
     ("G14", "Give each iframe a title."),
     ("H1", "State one founding year everywhere."),
-    ("H2", "Link to one handle on each platform."),
+    *[(f"H2_{p}", f"Link to one {p} handle everywhere.") for p in ("twitter", "instagram", "facebook", "linkedin", "youtube", "tiktok", "github")],
     ("H3", "Back claims of rank with a source, or tone them down."),
     ("H4", "State each fact about the brand in one way."),
     ("I1", "Make each regional address answer, or drop it from hreflang and menus."),
@@ -143,7 +143,7 @@ SELECT site, ord, line FROM (
   UNION ALL SELECT s.site, 5, printf('Discoverability (%d) and engagement (%d) are %d points apart; %s pulls the score down.', cast(bround(s.discoverability, 0) AS bigint), cast(bround(s.engagement, 0) AS bigint), cast(bround(abs(s.discoverability - s.engagement), 0) AS bigint), CASE WHEN s.discoverability < s.engagement THEN 'discoverability' ELSE 'engagement' END)
     FROM {site_scores} s JOIN {kpis} k ON s.site = k.site WHERE k.total > 0 AND abs(s.discoverability - s.engagement) >= 10
   UNION ALL SELECT c.site, 6, printf('%d of %d areas were assessed%s.', c.n - c.n_open, c.n, CASE WHEN c.n_open > 0 THEN '; not assessed and not claimed to be healthy: ' || c.labels ELSE '' END)
-    FROM (SELECT site, count(*) AS n, count_if(status = 'not_assessed') AS n_open, coalesce(listagg(open_label, ', ') WITHIN GROUP (ORDER BY open_label), '') AS labels FROM (SELECT site, status, CASE WHEN status = 'not_assessed' THEN label END AS open_label FROM {coverage}) GROUP BY site) c JOIN {kpis} k ON c.site = k.site WHERE k.total > 0)
+    FROM (SELECT site, count(*) AS n, count_if(status = 'not_assessed') AS n_open, coalesce(listagg(open_label, ', ') WITHIN GROUP (ORDER BY open_label), '') AS labels FROM (SELECT site, status, CASE WHEN status = 'not_assessed' THEN label END AS open_label FROM {area_coverage}) GROUP BY site) c JOIN {kpis} k ON c.site = k.site WHERE k.total > 0)
 """)
 relation("brief_lines", r"""
 SELECT site, section, ord, line FROM (

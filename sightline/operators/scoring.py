@@ -146,17 +146,27 @@ JOIN {site_totals} t ON n.site = t.site JOIN {external_evidence} e ON t.site = e
 ALL_CHECKS = ", ".join(f"'{a}|{c}|{k}|{r}'" for a, c, k, rules in NAMED_CHECKS for r in (rules.split() or [""]))
 relation("site_named_checks", r"""SELECT site, try_element_at(p, 1) AS area, try_element_at(p, 2) AS named, try_element_at(p, 3) AS kind, try_element_at(p, 4) AS check_id FROM (SELECT site, split(x, r'\|') AS p FROM (SELECT site, explode(array(""" + ALL_CHECKS + r""")) AS x FROM {site_totals}))""")
 relation("area_findings", r"""SELECT f.site, c.area, count(*) AS n, max(CASE f.confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS weakest FROM {findings} f JOIN {categories} c ON f.category = c.category WHERE c.area <> '' GROUP BY f.site, c.area""")
-relation("coverage", r"""
+relation("area_coverage", r"""
 SELECT c.site, c.area, a.label, CASE WHEN c.not_assessed THEN 'not_assessed' WHEN n > 0 THEN 'issues' WHEN n_open + n_partial > 0 THEN 'partial' ELSE 'healthy' END AS status, checks_total, passed, failed, n_open, n_partial, n AS findings,
        CASE WHEN n > 0 THEN CASE weakest WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END WHEN n_open + n_partial > 0 THEN 'medium' ELSE 'high' END AS confidence
 FROM (SELECT k.site, k.area, count(*) AS checks_total, count_if(k.state = 'pass') AS passed, count_if(k.state = 'fail') AS failed, count_if(k.state = 'not_verified') AS n_open, count_if(k.state = 'partial') AS n_partial, max(coalesce(f.n, 0)) AS n, max(f.weakest) AS weakest, k.area = 'freshness' AND bool_and(k.state = 'not_verified') AS not_assessed
       FROM {coverage_checks} k LEFT JOIN {area_findings} f ON k.site = f.site AND k.area = f.area GROUP BY k.site, k.area) c JOIN {areas} a ON c.area = a.area
 """)
+# the areas, and a row for what could be done beyond mending (A13)
+relation("coverage", r"""
+SELECT * FROM {area_coverage}
+UNION ALL SELECT t.site, 'proactive', 'Proactive Opportunities', CASE WHEN o.n IS NULL THEN 'healthy' ELSE 'opportunities' END, cast(0 AS bigint), cast(0 AS bigint), cast(0 AS bigint), cast(0 AS bigint), cast(0 AS bigint), coalesce(o.n, 0), 'medium'
+FROM {site_totals} t LEFT JOIN (SELECT site, count(*) AS n FROM {opportunities} GROUP BY site) o ON t.site = o.site
+""")
+relation("coverage_summary", r"""
+SELECT c.site, count(*) AS areas_total, count_if(status IN ('healthy', 'issues')) AS areas_fully_assessed, count_if(status = 'partial') AS areas_partial, count_if(status = 'not_assessed') AS areas_not_assessed, count_if(status <> 'not_assessed') AS areas_assessed, max(t.n_pages) AS pages_crawled
+FROM {area_coverage} c JOIN {site_totals} t ON c.site = t.site GROUP BY c.site
+""")
 PILLAR_AREAS = "crawl_render:crawlability crawl_render:rendering structured_data:structured_data structured_data:entity_identity extractability:extractability freshness:freshness corroboration:corroboration engagement:engagement"
 relation("pillar_areas", values([tuple(x.split(":")) for x in PILLAR_AREAS.split()], "pillar, area"))
 relation("pillar_scores", f"""
 SELECT a.site, a.pillar, p.label, p.ord, coalesce(f.n, 0) AS findings, {clamped('f.penalty')} AS score, CASE WHEN f.n > 0 THEN {band(clamped('f.penalty'))} WHEN a.none THEN 'not_assessed' WHEN a.some THEN 'partial' ELSE 'healthy' END AS status
-FROM (SELECT c.site, m.pillar, bool_and(c.status = 'not_assessed') AS none, bool_or(c.status IN ('not_assessed', 'partial')) AS some FROM {{coverage}} c JOIN {{pillar_areas}} m ON c.area = m.area GROUP BY c.site, m.pillar) a
+FROM (SELECT c.site, m.pillar, bool_and(c.status = 'not_assessed') AS none, bool_or(c.status IN ('not_assessed', 'partial')) AS some FROM {{area_coverage}} c JOIN {{pillar_areas}} m ON c.area = m.area GROUP BY c.site, m.pillar) a
 JOIN {{pillars}} p ON a.pillar = p.pillar LEFT JOIN (SELECT f.site, c.pillar, count(*) AS n, sum(f.penalty) AS penalty FROM {{findings}} f JOIN {{categories}} c ON f.category = c.category GROUP BY f.site, c.pillar) f ON a.site = f.site AND a.pillar = f.pillar
 """)
 relation("funnel", f"""
@@ -173,7 +183,7 @@ relation("kpis", r"""
 SELECT s.site, s.value, s.grade, coalesce(c.total, 0) AS total, coalesce(c.critical + c.high, 0) AS critical_high, coalesce(q.quick_win, 0) AS quick_wins, p.after_quick_wins, p.quick_win_gain, m.effort, CASE WHEN coalesce(m.effort, 0) <= 4 THEN 'Small' WHEN m.effort <= 12 THEN 'Moderate' ELSE 'Substantial' END AS effort_band, w.weakest, w.strongest, v.assessed
 FROM {site_scores} s LEFT JOIN {severity_counts} c ON s.site = c.site LEFT JOIN {quadrant_counts} q ON s.site = q.site JOIN {projection} p ON s.site = p.site LEFT JOIN (SELECT site, sum(effort) AS effort FROM {matrix} GROUP BY site) m ON s.site = m.site
 LEFT JOIN (SELECT site, min_by(label, score * 10 + ord) AS weakest, max_by(label, score * 10 - ord) AS strongest FROM {pillar_scores} WHERE status <> 'not_assessed' GROUP BY site) w ON s.site = w.site
-LEFT JOIN (SELECT site, count_if(status <> 'not_assessed') AS assessed FROM {coverage} GROUP BY site) v ON s.site = v.site
+LEFT JOIN (SELECT site, count_if(status <> 'not_assessed') AS assessed FROM {area_coverage} GROUP BY site) v ON s.site = v.site
 """)
 relation("page_records", r"""
 SELECT p.site, p.url, p.page_ord, p.is_home, p.section, coalesce(f.n, 0) AS findings, cast(greatest(0.0, least(100.0, bround(100 - coalesce(f.penalty, 0), 0))) AS bigint) AS score, f.top_severity, coalesce(f.confidence, 'high') AS confidence, f.ids, length(trim(p.title)) AS title_len, p.n_h1, p.n_h2, p.n_internal, p.n_external, p.n_pdf,

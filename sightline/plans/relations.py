@@ -59,6 +59,7 @@ class Relation:
     name: str
     sql: str
     stored: bool = False
+    duck: str = ""
 
     @property
     def inputs(self) -> list[str]:
@@ -71,8 +72,9 @@ GROUP_NUMBER = re.compile(r"\$back(\d)\$")  # a group of the match, in a replace
 RELATIONS: dict[str, Relation] = {}
 
 
-def relation(name: str, sql: str, stored: bool = False) -> None:
-    RELATIONS[name] = Relation(name, sql.strip(), stored)
+def relation(name: str, sql: str, stored: bool = False, duck: str = "") -> None:
+    """`duck` is the relation in DuckDB's own words, written apart from `sql`; without it, `sql` is respelled."""
+    RELATIONS[name] = Relation(name, sql.strip(), stored, duck.strip())
 
 
 def build(spark: SparkSession, name: str, tables: dict[str, DataFrame], settings: Settings | None = None, made: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -126,9 +128,10 @@ def chain(names: list[str], sql: str, settings: Settings | None = None) -> str:
         order(n, done)
     parts = []
     for n in done:
-        text = SETTING.sub(lambda m: values[m[1]], NAMED.sub(lambda m: m[1] if m[1] in BASE else f"r_{m[1]}", RELATIONS[n].sql))
+        own = RELATIONS[n].duck
+        text = SETTING.sub(lambda m: values[m[1]], NAMED.sub(lambda m: m[1] if m[1] in BASE else f"r_{m[1]}", own or RELATIONS[n].sql))
         text = GROUP_NUMBER.sub(r"\\\1", text)
-        for pattern, to in SPELLING:
+        for pattern, to in SPELLING if not own else ():
             text = re.sub(pattern, to, text)
         kind = " AS MATERIALIZED" if RELATIONS[n].stored else " AS"
         parts.append(f"r_{n}{kind} (\n{text}\n)")

@@ -65,19 +65,25 @@ FROM {orders}
 
 relation("responses", r"""
 SELECT 'https://brand' || event_id || '.example.org/' AS url, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, cast(floor(value * 50) AS bigint) AS elapsed_ms,
-       cast(1000 + floor(value * 20000) AS bigint) AS raw_len, 'text/html; charset=utf-8' AS content_type, CASE WHEN event_id % 23 = 5 THEN 'noindex' ELSE '' END AS x_robots, CASE WHEN event_id % 29 = 6 THEN 'blocked_by_robots' ELSE '' END AS error,
-       'https://brand' || event_id || '.example.org/' AS final_url
+       cast(1000 + floor(value * 20000) AS bigint) AS raw_len, '' AS content_type, '' AS x_robots, CASE WHEN event_id % 29 = 6 THEN 'blocked_by_robots' ELSE '' END AS error,
+       'https://brand' || event_id || '.example.org/' AS final_url, '{"Content-Type": "text/html; charset=utf-8"' || CASE WHEN event_id % 23 = 5 THEN ', "X-Robots-Tag": "noindex"' ELSE '' END || ', "server": "nginx"}' AS headers
 FROM {events} WHERE event_id IN (SELECT s_suppkey FROM {supplier})
-UNION ALL SELECT 'https://brand' || s_suppkey || '.example.org/llms.txt', CASE WHEN s_suppkey % 3 = 2 THEN 404 ELSE 200 END, cast(5 AS bigint), cast(s_suppkey % 4 AS bigint), CASE s_suppkey % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN '' WHEN 2 THEN 'text/markdown' ELSE 'image/png' END, '', '', 'https://brand' || s_suppkey || '.example.org/llms.txt' FROM {supplier}
-UNION ALL SELECT 'https://brand' || s_suppkey || '.example.org/contact' || CASE WHEN s_suppkey % 13 = 1 THEN '-us' ELSE '' END, 200, cast(CASE WHEN s_suppkey % 13 = 1 THEN 4000 ELSE 5 END AS bigint), cast(900 AS bigint), CASE WHEN s_suppkey % 11 = 3 THEN 'application/json' ELSE 'text/html' END, '', '', 'https://brand' || s_suppkey || '.example.org/contact' FROM {supplier}
+UNION ALL SELECT 'https://brand' || s_suppkey || '.example.org/llms.txt', CASE WHEN s_suppkey % 3 = 2 THEN 404 ELSE 200 END, cast(5 AS bigint), cast(s_suppkey % 4 AS bigint), CASE s_suppkey % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN '' WHEN 2 THEN 'text/markdown' ELSE 'image/png' END, '', '', 'https://brand' || s_suppkey || '.example.org/llms.txt', '{}' FROM {supplier}
+UNION ALL SELECT 'https://brand' || s_suppkey || '.example.org/contact' || CASE WHEN s_suppkey % 13 = 1 THEN '-us' ELSE '' END, 200, cast(CASE WHEN s_suppkey % 13 = 1 THEN 4000 ELSE 5 END AS bigint), cast(900 AS bigint), CASE WHEN s_suppkey % 11 = 3 THEN 'application/json' ELSE 'text/html' END, '', '', 'https://brand' || s_suppkey || '.example.org/contact', '{}' FROM {supplier}
 """)
 
-# the response of an address: that which ended there, else that which was asked for there (J1)
+# one row for each header, its name in lower case
+relation("response_headers", r"""
+SELECT url, final_url, lower(name) AS name, value FROM (SELECT url, final_url, name, get_json_object(headers, '$.' || name) AS value FROM (SELECT url, final_url, headers, explode(json_object_keys(headers)) AS name FROM {responses} WHERE headers IS NOT NULL)) WHERE value IS NOT NULL
+""")
+
+# the response of an address: that which ended there, else that which was asked for there (J1). What a table says apart goes before its headers.
 relation("response_of", r"""
-SELECT url, status, elapsed_ms, raw_len, content_type, x_robots, error FROM (
+SELECT r.url, r.status, r.elapsed_ms, r.raw_len, coalesce(nullif(r.content_type, ''), h.content_type, '') AS content_type, coalesce(nullif(r.x_robots, ''), h.x_robots, '') AS x_robots, r.error FROM (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY place, asked) AS k FROM (
     SELECT final_url AS url, 0 AS place, url AS asked, status, elapsed_ms, raw_len, content_type, x_robots, error FROM {responses} WHERE final_url IS NOT NULL
-    UNION ALL SELECT url, 1, url, status, elapsed_ms, raw_len, content_type, x_robots, error FROM {responses} WHERE url IS NOT NULL)) WHERE k = 1
+    UNION ALL SELECT url, 1, url, status, elapsed_ms, raw_len, content_type, x_robots, error FROM {responses} WHERE url IS NOT NULL)) r
+LEFT JOIN (SELECT url, max(CASE WHEN name = 'content-type' THEN value END) AS content_type, max(CASE WHEN name = 'x-robots-tag' THEN value END) AS x_robots FROM {response_headers} GROUP BY url) h ON r.asked = h.url WHERE r.k = 1
 """)
 
 relation("robots", r"""
