@@ -33,7 +33,7 @@ EPOCHS, ALPHA, BETA, L1, L2 = 5, 0.5, 1.0, 2e-3, 1e-3
 #: Code points handled at once.
 CHUNK = 200_000
 SCALE = 30.0
-LETTER = re.compile(r"[^\W\d_]").search
+
 
 
 @dataclass
@@ -225,7 +225,7 @@ def identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         m = sent.value
         for batch in slices(freed(batches)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            ok = [m is not None and LETTER(t) is not None for t in texts]
+            ok = [m is not None and any(map(str.isalpha, t)) for t in texts]
             names, score = ["und"] * len(texts), [0.0] * len(texts)
             if any(ok):
                 p = m.probabilities([t if k else "" for t, k in zip(texts, ok)])

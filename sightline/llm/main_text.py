@@ -8,9 +8,13 @@ and the blocks under the winning path are its text, from the outermost article a
 where no article is; elsewhere from the outermost container that has sentences of its own beside it. A page without the path uses its own best container.
 
 A page's containers are a tree with one node for each path; a path goes by a 64-bit hash made of its parent's and its
-own step, so time and votes grow with the page alone, however deep it nests. Only (host, path) sums are shuffled, after
-partial sums in each task; the page itself is never moved as long as there are at most WINNERS hosts: their winners, 20
-bytes each, are broadcast. Beyond, pages are joined in a shuffle.
+own step, so time and votes grow with the page alone, however deep it nests. Votes are (host, path) sums, shuffled after
+partial sums in each task. Pages meet the winner of their host in a shuffle whose large partitions Spark splits, as one host may have most pages.
+
+What is not the article: elements such as nav and aside, hidden ones, and those whose class, id or role says so. A class says so of a whole layout
+too (`has-sidebar`, `post-comments-open`), so an element so named counts as part of the page where it holds the main element,
+or more than half of the page's text, and unless its name speaks of comments, notices and the like, which a page may have more of than
+of its article; of these, those with an article of another name in them.
 
 A block ends where a block element begins or ends. White space in a block becomes one space; empty blocks are dropped;
 blocks are joined by a line feed in page order. What is in a form is dropped, unless forms hold most of the page's text, with
@@ -35,8 +39,6 @@ from pyspark.sql import functions as F
 
 from .common import durable, freed, only, slices
 
-#: Hosts whose winning paths may be sent to every executor.
-WINNERS = 200_000
 #: Element names: without end tag; whose text is never shown; that are not the article; that bound a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object textarea title select canvas audio video".split())
@@ -57,10 +59,13 @@ NOISE = re.compile(
     r"cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|comments?|disqus|replies|respond|"
     r"pagination|pager|widget|toolbar|skip|hidden|copyright|legal|search)(?:$|[\s_-])"
 )
+#: Words that mark a part which may be longer than the article.
+OTHERS = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|disqus|replies|respond|related|recommend(?:ed|ations?)?|cookies?|consent|gdpr|notice|newsletter|popup|modal|hidden)(?:$|[\s_-])")
 UNSEEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<({'|'.join(sorted(RAW))})\b(?:[^>]*+(?<=/)>|[^>]*+(?:>.*?(?:</\1\b[^>]*+(?:>|\Z)|\Z)|\Z))", re.S | re.I)
 #: A tag ends at the first `>` outside a quoted value; a quote opens a value only after `=`. Possessive, so that time is linear.
 TAG = re.compile(r"<(/?[a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>]++)))?")
+READ = frozenset("class id role hidden aria-hidden style".split())
 SENTENCE = re.compile(r"[.!?。！？…](?:\s|$)")
 DIGITS = re.compile(r"\d+")
 
@@ -136,17 +141,28 @@ class Page:
 
 
 def attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
+    """The attributes that matter, the first of each name. Names are read between values, never in them."""
+    out: dict[str, str] = {}
+    if raw and not raw.isspace():
+        for m in ATTRIBUTE.finditer(raw):
+            if (name := m[1].lower()) in READ:
+                out.setdefault(name, m[2] or m[3] or m[4] or "")
+    return out
 
 
 def is_noise(tag: str, at: dict[str, str]) -> bool:
+    """Whether the element is certainly not the article, whatever it holds."""
     if tag in ASIDE or "hidden" in at or at.get("aria-hidden") == "true":
         return True
     if not at or tag in ("body", "html", "article", "main"):
         return False
     if at.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"):
         return True
-    return bool(NOISE.search(at.get("class", "")) or NOISE.search(at.get("id", "")) or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.I))
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.I))
+
+
+def named(pattern: re.Pattern, at: dict[str, str]) -> bool:
+    return bool(pattern.search(at.get("class", "")) or pattern.search(at.get("id", "")))
 
 
 def general(tag: str, at: dict[str, str]) -> str:
@@ -158,7 +174,7 @@ class Stack:
     """Open elements, with the places of each tag and of the tags that bound others, so that no search is needed."""
 
     def __init__(self):
-        self.open: list[tuple[str, bool, str]] = []  # tag, noise, step
+        self.open: list[tuple[str, bool, str, int]] = []  # tag, noise, step, the named part around it
         self.at: dict[str, list[int]] = {}
         self.bounds: dict[str, list[int]] = {"keeps": [], "block": [], "list": []}
 
@@ -168,12 +184,12 @@ class Stack:
             if tag in names:
                 yield self.bounds[kind]
 
-    def push(self, tag: str, noise: bool, step: str) -> None:
+    def push(self, tag: str, noise: bool, step: str, around: int) -> None:
         for places in self.kinds(tag):
             places.append(len(self.open))
-        self.open.append((tag, noise, step))
+        self.open.append((tag, noise, step, around))
 
-    def pop(self) -> tuple[str, bool, str]:
+    def pop(self) -> tuple[str, bool, str, int]:
         top = self.open.pop()
         for places in self.kinds(top[0]):
             places.pop()
@@ -187,23 +203,46 @@ class Stack:
         return places[-1]
 
 
+class Named:
+    """Elements whose class or id says that they are not the article; 0 is the page. `others`: see OTHERS."""
+
+    def __init__(self):
+        self.parent, self.others, self.main, self.article, self.weight = [0], [False], [False], [False], [0]
+
+    def add(self, around: int, others: bool) -> int:
+        for of, x in ((self.parent, around), (self.others, others), (self.main, False), (self.article, False), (self.weight, 0)):
+            of.append(x)
+        return len(self.parent) - 1
+
+    def dropped(self) -> list[bool]:
+        for k in range(len(self.parent) - 1, 0, -1):  # what lies in an element lies in those around it
+            up = self.parent[k]
+            self.weight[up] += self.weight[k]
+            self.main[up] |= self.main[k]
+            self.article[up] |= self.article[k]
+        out = [False]
+        for k in range(1, len(self.parent)):
+            most = 2 * self.weight[k] > self.weight[0]
+            out.append(out[self.parent[k]] or not (self.main[k] or most and (self.article[k] or not self.others[k])))
+        return out
+
+
 def read(html: str | None) -> Page:
-    page, stack, parts = Page(), Stack(), []
-    links, noisy, in_link, heading, forms, node = 0, 0, 0, 0, 0, 0
+    page, stack, names = Page(), Stack(), Named()
+    rows: list[tuple[list[tuple[str, int, bool]], int, bool, bool]] = []  # parts (text, named part around it, in a link), node, heading, form
+    parts: list[tuple[str, int, bool]] = []
+    noisy, in_link, heading, forms, node, around = 0, 0, 0, 0, 0, 0
 
     def flush():
-        nonlocal parts, links
+        nonlocal parts
         if parts:
-            text = "".join(parts)
-            text = " ".join((entities.unescape(text) if "&" in text else text).split())
-            if text:
-                page.blocks.append(Block(text, links, node, heading > 0, forms > 0))
-            parts, links = [], 0
+            rows.append((parts, node, heading > 0, forms > 0))
+            parts = []
 
     def close_to(depth: int):
-        nonlocal noisy, in_link, heading, forms, node
+        nonlocal noisy, in_link, heading, forms, node, around
         while 0 <= depth < len(stack.open):
-            tag, noise, step = stack.pop()
+            tag, noise, step, around = stack.pop()
             noisy -= noise
             in_link -= tag == "a"
             heading -= tag in HEADINGS
@@ -213,7 +252,7 @@ def read(html: str | None) -> Page:
 
     cut = TAG.split(UNSEEN.sub("", html or ""))  # text, tag name, attributes, text, ...
     if cut[0]:
-        parts.append(cut[0])
+        parts.append((cut[0], 0, False))
     for k in range(1, len(cut), 3):
         name, raw, after = cut[k].lower(), cut[k + 1], cut[k + 2]
         if name[0] == "/":
@@ -229,23 +268,37 @@ def read(html: str | None) -> Page:
                 if name in ITEMS:
                     close_to(stack.last(name, "list"))
             elif name == "br" and not noisy:
-                parts.append(" ")
+                parts.append((" ", around, False))
             if name not in VOID and raw[-1:] != "/":
                 own = attributes(raw) if raw else {}
                 step = general(name, own) if name in CONTAINER else ""
                 noise = is_noise(name, own)
-                stack.push(name, noise, step)
+                stack.push(name, noise, step, around)
                 noisy += noise
                 in_link += name == "a"
                 heading += name in HEADINGS
                 forms += name == "form"
                 if step:
                     node = page.below(node, step)
+                if name == "main" or own.get("role", "").lower() == "main":
+                    names.main[around] = True
+                elif name == "article" and not named(NOISE, own):
+                    names.article[around] = True
+                elif own and name not in ("body", "html", "article") and named(NOISE, own):
+                    around = names.add(around, named(OTHERS, own))
         if after and not noisy:
-            parts.append(after)
-            if in_link:
-                links += len(after)
+            parts.append((after, around, in_link > 0))
     flush()
+    for own_parts, *_ in rows:
+        for text, a, link in own_parts:
+            if not link and (n := len(text.strip())):
+                names.weight[a] += n + 20 * len(SENTENCE.findall(text))
+    gone = names.dropped()
+    for own_parts, at, head, form in rows:
+        text = "".join(t for t, a, _ in own_parts if not gone[a])
+        text = " ".join((entities.unescape(text) if "&" in text else text).split())
+        if text:
+            page.blocks.append(Block(text, sum(len(t) for t, a, link in own_parts if link and not gone[a]), at, head, form))
     formed = [b for b in page.blocks if b.form]
     if formed and not (2 * sum(len(b.text) for b in formed) > sum(len(b.text) for b in page.blocks) and any(SENTENCE.search(b.text) for b in formed)):
         page.blocks = [b for b in page.blocks if not b.form]
@@ -290,8 +343,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each page row."""
     pages = only(pages, "page_id", "url", "html")
     won = durable(host_paths(pages))
-    won = F.broadcast(won) if won.count() <= WINNERS else won.hint("shuffle_hash")
-    joined = pages.select("page_id", "url", "html", *host()).join(won, ["_h1", "_h2"], "left").select("page_id", "url", "html", "path")
+    joined = pages.select("page_id", "url", "html", *host()).join(won.hint("shuffle_hash"), ["_h1", "_h2"], "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(freed(batches)):
