@@ -3,8 +3,10 @@
 A line that begins with `>` marks is quoted, as deep as it has marks (`> > x` and `>> x` are level 2). A passage is a run of
 quoted lines of one level; blank quoted lines end it. Passages and messages are normalised (lower case, letters and
 digits only, one space between) and hashed; a passage of MIN_WORDS words or more links to the latest earlier turn of the
-same conversation whose whole body, or one of whose paragraphs, lines or runs of as many lines as the passage has, has
-the same hash; a shorter passage links to whole bodies alone. Lines without words don't count in a run. The parent of a turn is
+same conversation whose whole body, or one of whose paragraphs or lines, has the same hash, or that holds the passage's lines
+one after the other; a shorter passage links to whole bodies alone. Lines without words don't count in a run. Runs go by rolling
+hashes: of a text's lines, all runs of 1, 2, 4, ... lines are hashed, each from two of half its length, and a run of any length
+is the two of the largest such size that cover it; so time grows with lines and lengths, not with their text. Hashes have 128 bits. The parent of a turn is
 the source of its shallowest linked passage, the first of equals; without one, it is the next smaller turn. Depth
 and root follow from the parents by doubling joins.
 
@@ -91,20 +93,56 @@ def earlier(points: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, "turn", F.coalesce("earlier", "last").alias("earlier"))
 
 
+def doubled(hashes: Column, half: int, salt: int):
+    """Of the run that begins at a place, the hash made from its own half's and the next half's."""
+    return lambda x, i: F.xxhash64(F.lit(salt), x, F.try_element_at(hashes, i + half + 1))
+
+
+def with_runs(rows: DataFrame, levels: int) -> DataFrame:
+    """`rows` with h and g, arrays by size of arrays by place, of the column `lines`. Each size is a column made from the one before."""
+    names = {"h": "_h", "g": "_g"}
+    out = rows.withColumns({"_h0": F.transform("lines", lambda x: F.xxhash64(x)), "_g0": F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long"))})
+    for k in range(levels):
+        half, new = 1 << k, {}
+        for salt, c in enumerate(names.values()):
+            a = F.col(f"{c}{k}")
+            new[f"{c}{k + 1}"] = F.transform(F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - half)), doubled(a, half, salt))
+        out = out.withColumns(new)
+    made = [f"{c}{k}" for c in names.values() for k in range(levels + 1)]
+    return out.withColumns({name: F.array(*[F.col(f"{c}{k}") for k in range(levels + 1)]) for name, c in names.items()}).drop(*made)
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """`rows` with h and g of the largest size that two runs of cover `n` lines, and that size as `half`."""
+    k = F.floor(F.log2(F.col("n") + 0.5)).cast("int")
+    return rows.withColumns({"h": F.element_at("h", k + 1), "g": F.element_at("g", k + 1), "half": F.pow(F.lit(2), k).cast("int")})
+
+
+def run_key(i: Column) -> Column:
+    """What stands for the run of `n` lines that begins at the i-th."""
+    at = [F.element_at(F.col(c), j.cast("int")) for c in ("h", "g") for j in (i, i + F.col("n") - F.col("half"))]
+    return F.concat_ws(" ", F.lit("run"), F.col("n").cast("string"), *[x.cast("string") for x in at])
+
+
 def linked(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, level, pos, source): each quoted passage with the turn that it comes from."""
     quotes = rows.where("size(passages) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("passages").alias("pos", "p"))
-    quotes = quotes.select("conv_id", "turn", "pos", "p.level", hashed(F.col("p.text")).alias("hash"), words(F.col("p.text")).alias("n_words"), F.size(worded(F.col("p.text"))).alias("n_lines"))
-    asked = durable(quotes.where("n_words > 0").withColumn("whole", F.col("n_words") < MIN_WORDS))
-    lengths = asked.where("not whole").groupBy("conv_id").agg(F.collect_set("n_lines").alias("lengths"))
+    quotes = quotes.select("conv_id", "turn", "pos", "p.level", hashed(F.col("p.text")).alias("hash"), words(F.col("p.text")).alias("n_words"), worded(F.col("p.text")).alias("lines"))
+    asked = durable(quotes.where("n_words > 0").withColumns({"whole": F.col("n_words") < MIN_WORDS, "n": F.size("lines")}))
+    most = asked.where("not whole").agg(F.max("n")).first()[0] or 1
+    levels = most.bit_length() - 1
+    lengths = asked.where("not whole").groupBy("conv_id").agg(F.collect_set("n").alias("lengths"))
     lengths = durable(asked.select("conv_id").distinct().hint("merge").join(lengths.hint("merge"), "conv_id", "left"))
     here = rows.where("turn is not null").hint("merge").join(lengths.hint("merge"), "conv_id").select("conv_id", "turn", "body", "lengths", worded(F.col("body")).alias("lines"))
-    runs = here.select("conv_id", "turn", "lines", F.explode("lengths").alias("n")).where("n <= size(lines)")
-    runs = runs.select("conv_id", "turn", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines") - F.col("n") + 1), lambda i: F.array_join(F.slice("lines", i, F.col("n")), "\n"))).alias("unit"))
+    each = with_runs(here.where("size(lengths) > 0").drop("body"), levels).select("conv_id", "turn", F.size("lines").alias("size"), "h", "g", F.explode("lengths").alias("n")).where("n <= size")
+    runs = sized(each).select("conv_id", "turn", F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1), run_key)).alias("hash"))
     parts = here.select("conv_id", "turn", F.explode(F.concat(F.array("body"), F.split("body", r"\n\s*\n"), F.split("body", "\n"))).alias("unit"))
-    sources = parts.unionByName(runs).select("conv_id", "turn", hashed(F.col("unit")).alias("hash"), F.lit(False).alias("whole"))
+    sources = parts.select("conv_id", "turn", hashed(F.col("unit")).alias("hash")).unionByName(runs).withColumn("whole", F.lit(False))
     sources = sources.unionByName(here.select("conv_id", "turn", hashed(F.col("body")).alias("hash"), F.lit(True).alias("whole")))
     keys = ["conv_id", "hash", "whole"]
+    # a passage asks by its text, and by its lines
+    by_lines = sized(with_runs(asked.where("not whole"), levels)).select("conv_id", "turn", "level", "pos", "whole", run_key(F.lit(1)).alias("hash"))
+    asked = durable(asked.select("conv_id", "turn", "level", "pos", "whole", "hash").unionByName(by_lines))
     points = sources.select(*keys, "turn", F.lit(True).alias("source")).unionByName(asked.select(*keys, "turn", F.lit(False).alias("source")))
     points = earlier(points.groupBy(*keys, "turn").agg(F.max("source").alias("source")), keys).where("earlier is not null")
     return asked.hint("merge").join(durable(points).hint("merge"), [*keys, "turn"]).groupBy("conv_id", "turn", "level", "pos").agg(F.max("earlier").alias("source"))

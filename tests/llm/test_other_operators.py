@@ -128,6 +128,45 @@ def test_quotes_link_to_their_source(spark):
     assert [p.level for p in levels] == [2, 1]
 
 
+def test_long_passages_link_in_linear_time(spark):
+    """20,000 quoted lines of a message of 40,000, and passages of many lengths."""
+    import time
+
+    lines = [f"line {i * 7919 % 10007} of {i % 13} tales" for i in range(40_000)]
+    quote = lambda a, b: "\n".join("> " + x for x in lines[a:b])
+    rows = [("c", 1, "u", "\n".join(lines)), ("c", 2, "u", "other words here"), ("c", 3, "a", quote(10_000, 30_000) + "\nI see"), ("c", 4, "u", quote(5, 12) + "\nand\n" + quote(777, 1500)), ("c", 5, "u", quote(30, 33).replace("tales", "sagas"))]
+    began = time.time()
+    got = {r.turn: r for r in reply_ordered(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()}
+    assert [(got[t].parent_turn, got[t].n_linked) for t in (3, 4, 5)] == [(1, 1), (1, 2), (4, 0)]
+    assert time.time() - began < 60
+
+
+def test_runs_of_all_lengths_against_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    rows, want = [], {}
+    for c in range(30):
+        said = []
+        for t in range(1, 7):
+            body = [f"w{rng.randrange(3)} w{rng.randrange(2)} w{rng.randrange(2)}" for _ in range(rng.randrange(1, 9))]
+            quoted = []
+            if said and rng.random() < 0.8:
+                source = rng.choice(said)
+                a = rng.randrange(len(source))
+                quoted = source[a : a + rng.randrange(1, 9)]
+                if rng.random() < 0.2:
+                    quoted = [*quoted, "w9 w9 w9"]
+            here = [k + 1 for k, s in enumerate(said) if any(s[i : i + len(quoted)] == quoted for i in range(len(s))) or " ".join(s) == " ".join(quoted)]
+            if quoted:
+                want[c, t] = max(here, default=None)
+            rows.append((c, t, "u", "\n".join([*("> " + q for q in quoted), *body])))
+            said.append(body)
+    got = {(r.conv_id, r.turn): r for r in reply_ordered(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()}
+    for k, source in want.items():
+        assert got[k].n_linked == (source is not None) and (source is None or got[k].parent_turn == source), k
+
+
 def test_long_conversation_is_followed_by_doubling(spark):
     df = spark.range(5000).selectExpr("cast(7 as bigint) conv_id", "id * 3 turn", "'user' role", "concat('message number ', id) text")
     out = reply_ordered(df).agg(F.max("depth"), F.min("root_turn"), F.max("root_turn"), F.count("*")).first()
