@@ -9,9 +9,8 @@ windows are learned as a bag: the likeliest window of the bag counts as toxic, t
 text is the calibrated logit of its likeliest window, over all windows of the whole text.
 
 Learned from: rows with a label whose `crc32(doc_id as text) mod 5` is not 0, SAMPLE of each label value with the
-smallest hashes of doc_id (and of text, for rows that share one). Tasks read all windows of their whole texts; to the
-driver go, of each row, the TOP windows with the largest log-odds and, of rows that are not toxic, PLAIN further ones chosen by a hash. Words
-are sent as numbers of fixed size. Scores use text alone.
+smallest hashes of doc_id (and of text, for rows that share one), of the labels whose documents are there. Tasks read their whole texts; to the driver go
+the inputs of all their words, some 40 bytes each, and the fit looks at all windows of them. Rows alone are bounded. Scores use text alone.
 
 Defined cases: a text without words (null, empty) scores 0; if nothing can be learned from (no labels, or one value
 only), all score 0; a null doc_id counts as not held out and has no label; null labels are left out; a doc_id with
@@ -28,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, freed, only
+from .common import durable, freed, only, spans_of
 from .wordhash import Words, mix, words_of
 
 WINDOW, STRIDE = 32, 16
-SAMPLE, TOP, PLAIN, FOLDS = 1_200, 8, 4, 4
+SAMPLE, FOLDS = 1_200, 4
+#: Further windows of a row that is not toxic that an epoch learns from, beside its likeliest.
+OTHERS = 4
+#: Looks at all windows at most, however often a small sample is read.
+LOOKS = 12
 BITS, LEARNED_BITS, LEARNED, HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 17, 13, 4, 8, 8, 6, 128, 0.01
 PREFIXES, SUFFIXES, RUN = (3, 4, 5, 6), (3, 4, 5), 5
 ODDS, AFFIXES = 5, 7
@@ -42,6 +45,8 @@ PRIOR = 1.0
 #: Gradient steps at least; small samples are read more often.
 UPDATES = 300
 ROWS_AT_ONCE = 2_048
+#: The learned vector of what is not there.
+NONE = 1 << LEARNED_BITS
 
 
 def slot(h: np.ndarray, salt: int) -> np.ndarray:
@@ -188,27 +193,26 @@ class Network:
         return g
 
 
+def learned_rows(slots: np.ndarray) -> np.ndarray:
+    """Which learned vectors stand for the slots of `affixes`."""
+    return np.where(slots >= 0, slots >> (BITS - LEARNED_BITS), NONE).astype(np.uint16)
+
+
 class Vectors:
-    """Learned vectors of words and of affixes, by slot. They begin at zero, so what was never seen says nothing."""
+    """Learned vectors of words and of affixes. They begin at zero, so what was never seen says nothing."""
 
     def __init__(self):
-        self.word, self.affix = (np.zeros(((1 << LEARNED_BITS) + 1, LEARNED), np.float32) for _ in range(2))
+        self.word, self.affix = (np.zeros((NONE + 1, LEARNED), np.float32) for _ in range(2))
         self.seen = [np.full(len(t), 1e-3) for t in (self.word, self.affix)]
 
-    @staticmethod
-    def rows(slots: np.ndarray) -> np.ndarray:
-        return np.where(slots >= 0, slots >> (BITS - LEARNED_BITS), 1 << LEARNED_BITS)
-
-    def of(self, slots: np.ndarray) -> np.ndarray:
-        """(..., 2 * LEARNED) inputs from the slots of `affixes`."""
-        at = self.rows(slots)
-        n = np.maximum(1, (slots[..., 1:] >= 0).sum(-1))[..., None]
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """(..., 2 * LEARNED) inputs from `learned_rows`."""
+        n = np.maximum(1, (at[..., 1:] < NONE).sum(-1))[..., None]
         return np.concatenate([self.word[at[..., 0]], self.affix[at[..., 1:]].sum(-2) / n.astype(np.float32)], -1)
 
-    def learn(self, slots: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    def learn(self, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
         """A step of Adagrad, with one sum of squares for each vector."""
-        at = self.rows(slots)
-        some = (slots[..., 1:] >= 0)[..., None]
+        some = (at[..., 1:] < NONE)[..., None]
         share = np.where(some, grad[..., None, LEARNED:] / np.maximum(1, some.sum(-2, keepdims=True)), 0)
         for k, (table, i, g) in enumerate([(self.word, at[..., 0], grad[..., :LEARNED]), (self.affix, at[..., 1:], share)]):
             rows, whose = np.unique(i, return_inverse=True)
@@ -231,7 +235,7 @@ class ToxicityModel:
         """The largest window logit of each row; -inf for a row without words."""
         out = np.full(w.hi - w.lo, -np.inf)
         slots = affixes(w)
-        x = np.concatenate([odds_of(w, slots, self.table), self.vectors.of(slots)], 1)
+        x = np.concatenate([odds_of(w, slots, self.table), self.vectors.of(learned_rows(slots))], 1)
         forth, back = self.network.gates(x, "f"), self.network.gates(x, "b")  # of each word once, whatever windows it is in
         row, start, end = windows_of(w.first)
         for lo in range(0, len(row), ROWS_AT_ONCE):
@@ -262,41 +266,62 @@ def log_odds(count: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Bag:
-    """Windows of a labelled row: log-odds inputs (windows, WINDOW, ODDS), slots and mask."""
+class Row:
+    """A labelled row's words: log-odds inputs (words, ODDS) and learned_rows (words, 1 + AFFIXES)."""
 
     toxic: int
     odds: np.ndarray
-    slots: np.ndarray
-    mask: np.ndarray
+    at: np.ndarray
 
 
-def fit(bags: list[Bag], held: np.ndarray, table: np.ndarray) -> ToxicityModel | None:
-    """The bags that are `held` calibrate the scores; the others are learned from. Empties `bags`."""
-    y = np.array([b.toxic for b in bags])
+def fit(rows: list[Row], held: np.ndarray, table: np.ndarray) -> ToxicityModel | None:
+    """The rows that are `held` calibrate the scores; the others are learned from. Each has a word at least. Empties `rows`."""
+    y = np.array([r.toxic for r in rows])
     if len(set(y[~held].tolist())) < 2:
         return None
     rng = np.random.default_rng(5)
     network, vectors, state = Network(rng), Vectors(), {}
     learn = np.flatnonzero(~held)
     epochs = max(EPOCHS, -(-UPDATES * BATCH // (len(learn) * 4)))
-    odds, slots, mask = (np.concatenate([getattr(b, name) for b in bags]) for name in ("odds", "slots", "mask"))  # of all windows
-    first = np.concatenate([[0], np.cumsum([len(b.mask) for b in bags])])
-    bags.clear()  # the driver holds the windows once
+    again = max(1, epochs // LOOKS)  # epochs from one look at all windows to the next
+    word = np.concatenate([[0], np.cumsum([len(r.odds) for r in rows])])  # each row's first word
+    odds, at = (np.concatenate([getattr(r, name) for r in rows]) for name in ("odds", "at"))
+    rows.clear()  # the driver holds the words once
+    row, start, end = windows_of(word)
+    first = np.searchsorted(row, np.arange(len(y) + 1))  # each row's first window
+
+    def inputs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, mask, numbers of the words) of windows."""
+        i, mask = places(start[k], end[k], len(odds))
+        return np.concatenate([odds[i], vectors.of(at[i])], 2) * mask[:, :, None], mask.astype(np.float32), i
+
+    def looked_at(of_words) -> np.ndarray:
+        """A value of every window: of_words(lo, hi) gives that of places and masks among the words lo..hi-1."""
+        out = np.empty(len(row))
+        for a, b in spans_of(word, 40_000):
+            value = of_words(int(word[a]), int(word[b]))
+            for lo in range(first[a], first[b], ROWS_AT_ONCE):
+                hi = min(lo + ROWS_AT_ONCE, first[b])
+                out[lo:hi] = value(*places(start[lo:hi] - word[a], end[lo:hi] - word[a], int(word[b] - word[a])))
+        return out
 
-    def inputs(at: np.ndarray) -> np.ndarray:
-        return np.concatenate([odds[at], vectors.of(slots[at])], 2) * mask[at][:, :, None]
+    def likelihoods(lo: int, hi: int):
+        x = np.concatenate([odds[lo:hi], vectors.of(at[lo:hi])], 1)
+        forth, back = network.gates(x, "f"), network.gates(x, "b")
+        return lambda i, mask: network.pooled(forth[i], back[i], mask.astype(np.float32))[0]
 
-    def logits() -> np.ndarray:
-        return np.concatenate([network.forward(inputs(at), mask[at]) for at in np.array_split(np.arange(len(mask)), -(-len(mask) // 512))])
+    def largest_odds(lo: int, hi: int):
+        most = odds[lo:hi, :2].max(1)
+        return lambda i, mask: np.where(mask, most[i], -np.inf).max(1)
 
     for epoch in range(epochs):
-        z = logits() if epoch else (odds[:, :, :2].max(2) * mask).max(1)
+        if epoch % again == 0:
+            z = looked_at(likelihoods if epoch else largest_odds)
         pick, t = [], []
         for d in learn.tolist():
             own = np.arange(first[d], first[d + 1])
             best = int(own[np.argmax(z[own])])  # the likeliest window; at first, the one with the largest log-odds
-            now = [best] if y[d] else [best, *(i for i in rng.permutation(own)[:4].tolist() if i != best)]
+            now = [best] if y[d] else [best, *(i for i in rng.permutation(own)[:OTHERS].tolist() if i != best)]
             pick += now
             t += [y[d]] * len(now)
         order = rng.permutation(len(pick))
@@ -304,12 +329,12 @@ def fit(bags: list[Bag], held: np.ndarray, table: np.ndarray) -> ToxicityModel |
         weight = np.where(t > 0, (t == 0).sum() / max(1, (t > 0).sum()), 1.0) ** 0.5
         rate = RATE * (0.5 if epoch >= epochs - 2 else 1)
         for part in np.array_split(np.arange(len(pick)), max(1, len(pick) // BATCH)):
-            at, live = pick[part], mask[pick[part]]
-            logit, cache = network.forward(inputs(at), live, keep=True)
+            x, live, i = inputs(pick[part])
+            logit, cache = network.forward(x, live, keep=True)
             grads = network.backward(cache, weight[part] * (sigmoid(logit) - t[part]) / weight[part].sum())
-            vectors.learn(slots[at][live > 0], grads.pop("x")[live > 0][:, ODDS:], rate)
+            vectors.learn(at[i][live > 0], grads.pop("x")[live > 0][:, ODDS:], rate)
             adam(network, grads, rate, state)
-    best = np.maximum.reduceat(logits(), first[:-1])
+    best = np.maximum.reduceat(looked_at(likelihoods), first[:-1])
     use = np.flatnonzero(held) if len(set(y[held].tolist())) == 2 else np.arange(len(y))
     a, b = platt(best[use], y[use])
     return ToxicityModel(table, vectors, network.to_float32(), a, b)
@@ -345,8 +370,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(h, x, fold, toxic, text) of the rows to learn from, each once."""
     named = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select(F.col("doc_id").alias("_id"), "toxic", F.xxhash64(F.lit(3), "doc_id").alias("h"))
+    named = durable(named.hint("merge").join(only(docs, "doc_id").hint("merge"), F.col("_id") == F.col("doc_id"), "left_semi"))
     few = durable(named.where("toxic = 0").orderBy("h").limit(sample).union(named.where("toxic = 1").orderBy("h").limit(sample)))
-    rows = only(docs, "doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id"))  # 2 * sample rows at most
+    rows = only(docs, "doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id"))  # of ids, 2 * sample at most
     rows = rows.select("h", F.xxhash64("text").alias("x"), F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "toxic", "text")
     keys = rows.select("toxic", "h", "x").distinct()
     chosen = durable(keys.where("toxic = 0").orderBy("h", "x").limit(sample).union(keys.where("toxic = 1").orderBy("h", "x").limit(sample)))
@@ -381,36 +407,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     tables = np.stack([log_odds(count.sum(0) - count[f], docs_of.sum(0) - docs_of[f]) for f in range(FOLDS)])
     sent = spark.sparkContext.broadcast(tables)
 
-    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in freed(batches):
-            fold, toxic, h = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            fold = batch.column(0).to_numpy()
             for w in words_of(batch.column(3), 1):  # a row at a time
-                row, start, end = windows_of(w.first)
-                if not len(row):
-                    continue
-                slots = affixes(w)
-                odds = odds_of(w, slots, sent.value[fold[w.lo]])
-                at, mask = places(start, end, len(slots))
-                worst = np.where(mask, odds[at][:, :, :2].max(2), -np.inf).max(1)
-                pick = np.argsort(-worst, kind="stable")
-                if not toxic[w.lo]:
-                    rest = pick[TOP:]
-                    pick = np.concatenate([pick[:TOP], rest[np.argsort(mix(rest.astype(np.uint64) ^ np.uint64(int(h[w.lo]) & 2**64 - 1)))[:PLAIN]]])
-                else:
-                    pick = pick[:TOP]
-                at, mask, pad = at[pick], mask[pick], ((0, 0), (0, WINDOW - at.shape[1]))
-                value = [np.pad(odds[at] * mask[:, :, None], (*pad, (0, 0))).astype(np.float32), np.pad(np.where(mask[:, :, None], slots[at], -1), (*pad, (0, 0)), constant_values=-1), np.pad(mask, pad)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(w.lo, 1) for i in range(3)), *(pa.array([v.tobytes()], pa.binary()) for v in value)], ["fold", "toxic", "h", "odds", "slots", "mask"])
-
-    got = rows.select("fold", "toxic", "h", "text").mapInArrow(bagged, "fold int, toxic int, h long, odds binary, slots binary, mask binary").toPandas()
+                if len(w.start):
+                    slots = affixes(w)
+                    value = [odds_of(w, slots, sent.value[fold[w.lo]]), learned_rows(slots)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(w.lo, 1) for i in range(3)), *(pa.array([v.tobytes()], pa.binary()) for v in value)], ["fold", "toxic", "h", "odds", "at"])
+
+    got = rows.select("fold", "toxic", "h", "text").mapInArrow(read, "fold int, toxic int, h long, odds binary, at binary").toPandas()
     if not len(got):
         return None
-    got = got.sort_values(["h", "toxic", "slots"], kind="stable")
-    shape = lambda raw, kind, width: np.frombuffer(raw, kind).reshape(-1, WINDOW, width)
-    bags = [Bag(int(r.toxic), shape(r.odds, np.float32, ODDS), shape(r.slots, np.int32, 1 + AFFIXES), shape(r.mask, bool, 1)[:, :, 0].astype(np.float32)) for r in got.itertuples()]
+    got = got.sort_values(["h", "toxic", "at"], kind="stable")
+    words = [Row(int(r.toxic), np.frombuffer(r.odds, np.float32).reshape(-1, ODDS), np.frombuffer(r.at, np.uint16).reshape(-1, 1 + AFFIXES)) for r in got.itertuples()]
     kept, table = got["fold"].to_numpy() == FOLDS - 1, log_odds(count.sum(0), docs_of.sum(0))
     del got, count, found, tables
-    return fit(bags, kept, table)
+    return fit(words, kept, table)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -171,3 +171,17 @@ def test_toxicity_held_out_and_defined_cases(spark):
     assert recall > 0.8 and false < 0.06
     empty = labels.limit(0)
     assert {r.score for r in toxicity(odd, empty).collect()} == {0.0}
+
+
+def test_all_windows_of_a_long_text_are_learned_from(spark):
+    """What makes a text toxic stands once in 190 windows, after others that look worse at first: no window is left out of the fit."""
+    from sightline.llm import toxicity as module
+
+    rng = np.random.default_rng(3)
+    w = lambda n: " ".join(rng.choice(["calm", "plain", "words", "that", "say", "little"], n))
+    docs = [(i, w(1500) + (" vile foul curse " * 3 if i % 2 else " ") + w(1500)) for i in range(40)]
+    docs += [(i + 1000, docs[i][1]) for i in range(3)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(5000 + i, 1, 0) for i in range(3000)], "doc_id long, toxic int, quality int")
+    rows = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels, 40).collect()
+    assert len(rows) == 43 and all(r.predicted == r.doc_id % 2 for r in rows), "labels without documents take no place in the sample"
+    assert module.OTHERS == 4
