@@ -5,7 +5,7 @@ Hits are then summed per site and held against the rules' thresholds. Rules that
 the same shape.
 """
 
-from sightline.functions.urls import domain, path
+from sightline.functions.urls import bare_host, domain, path
 from sightline.plans.relations import relation
 
 #: id, severity, confidence, dimension, category, title. Titles decide the order of equal penalties.
@@ -237,8 +237,8 @@ WHERE v IS NULL OR lower(trim(v)) IN ('', 'n/a', 'tbd', 'todo', '-', '[]', '{}')
 
 relation("broken_links", r"""
 SELECT c.site, c.target, s.status FROM (
-  SELECT l.site, l.target, row_number() OVER (PARTITION BY l.site ORDER BY l.target) AS k FROM (SELECT DISTINCT site, target FROM {page_links} WHERE is_home AND target IS NOT NULL AND NOT regexp_like(lower(target), r'\.(?:png|jpe?g|gif|svg|webp|ico|css|js|json|xml|pdf|zip|gz|mp4|mp3|woff2?|ttf|eot)$')
-    AND """ + "regexp_replace(regexp_replace(lower(regexp_extract(target, r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), r':.*$', ''), r'^www\\.', '')" + r""" = site) l
+  SELECT l.site, l.target, row_number() OVER (PARTITION BY l.site ORDER BY l.target) AS k FROM (SELECT DISTINCT site, target FROM (SELECT site, target, is_home, """ + bare_host("url") + r""" AS own_host FROM {page_links}) WHERE is_home AND target IS NOT NULL AND NOT regexp_like(lower(target), r'\.(?:png|jpe?g|gif|svg|webp|ico|css|js|json|xml|pdf|zip|gz|mp4|mp3|woff2?|ttf|eot)$')
+    AND """ + "regexp_replace(regexp_replace(lower(regexp_extract(target, r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), r':.*$', ''), r'^www\\.', '')" + r""" = own_host) l
   LEFT JOIN (SELECT DISTINCT url FROM {site_pages}) p ON l.target = p.url WHERE p.url IS NULL) c
 JOIN {link_status} s ON c.target = s.url WHERE c.k <= 6 AND (s.status IN (404, 410) OR s.status >= 500) AND s.status < 600
 """)

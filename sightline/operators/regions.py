@@ -50,15 +50,17 @@ relation("profile_states", r"""
 SELECT u.site, u.profile, CASE WHEN regexp_like(u.profile, r'""" + PRIVATE + r"""') THEN 'skipped' WHEN s.url IS NULL THEN 'unavailable' WHEN s.status BETWEEN 200 AND 399 OR s.status IN (403, 429, 999) THEN 'verified' ELSE 'unreachable' END AS state
 FROM {profile_urls} u LEFT JOIN {link_status} s ON u.profile = s.url
 """)
+#: The first label of a host; the mark of a region (see region_audits) is none.
+LABEL = r"regexp_extract({}, r'^(?:~[0-9]+\.)?([^.]*)', 1)"
 relation("brand_names", r"""
-SELECT t.site, coalesce(nullif(h.site_name, ''), nullif(n.name, ''), upper(left(t.site, 1)) || substring(regexp_extract(t.site, r'^([^.]*)', 1), 2)) AS brand
+SELECT t.site, coalesce(nullif(h.site_name, ''), nullif(n.name, ''), upper(left(""" + LABEL.format('t.site') + r""", 1)) || substring(""" + LABEL.format('t.site') + r""", 2)) AS brand
 FROM {site_totals} t JOIN (SELECT site, trim(site_name) AS site_name FROM {page_facts} WHERE is_home) h ON t.site = h.site
 LEFT JOIN (SELECT site, min_by(trim(get_json_object(node, '$.name')), page_ord * 1000 + node_ord) AS name FROM {page_jsonld} WHERE first_type IN ('organization', 'website', 'localbusiness') AND coalesce(get_json_object(node, '$.name'), '') <> '' GROUP BY site) n ON t.site = n.site
 """)
 # what a brand may be looked up by: its name, the name without an ending like .org, the first label of the host
 relation("brand_candidates", r"""
 SELECT site, name, row_number() OVER (PARTITION BY site ORDER BY ord) AS place FROM (SELECT site, lower(name) AS name, min(ord) AS ord FROM (
-  SELECT site, brand AS name, 1 AS ord FROM {brand_names} UNION ALL SELECT site, trim(regexp_replace(brand, r'\.\w{2,}$', '')), 2 FROM {brand_names} UNION ALL SELECT site, regexp_extract(site, r'^([^.]*)', 1), 3 FROM {brand_names})
+  SELECT site, brand AS name, 1 AS ord FROM {brand_names} UNION ALL SELECT site, trim(regexp_replace(brand, r'\.\w{2,}$', '')), 2 FROM {brand_names} UNION ALL SELECT site, """ + LABEL.format('site') + r""", 3 FROM {brand_names})
   WHERE name <> '' GROUP BY site, lower(name))
 """)
 relation("entity_matches", r"""
@@ -79,13 +81,6 @@ UNION ALL SELECT site, 'X2e', cast(1 AS bigint) FROM {external_evidence} WHERE p
 UNION ALL SELECT site, 'X3e', n_bad FROM {external_evidence} WHERE performed AND n_bad > 0
 UNION ALL SELECT site, 'X4e', cast(1 AS bigint) FROM {external_evidence} WHERE performed AND corpus = 'absent'
 """)
-# Scores of a site and of up to three live variants of it that were audited too (A21)
-relation("region_scores", r"""
-SELECT r.site, r.url, r.region, r.is_primary, s.value AS score, s.grade, cast(bround(s.discoverability, 0) AS bigint) AS discoverability, cast(bround(s.engagement, 0) AS bigint) AS engagement, c.score AS citation, coalesce(f.total, 0) AS findings
-FROM (SELECT site, home_url AS url, 'Primary' AS region, site AS audited, true AS is_primary FROM {site_totals} WHERE site IN (SELECT site FROM {region_variants})
-      UNION ALL SELECT site, variant, label, audited, false FROM (SELECT v.site, v.variant, v.label, """ + bare_host("v.variant") + r""" AS audited, row_number() OVER (PARTITION BY v.site ORDER BY v.place) AS k FROM {region_places} v JOIN {site_totals} t ON v.site = t.site WHERE NOT v.is_dead AND regexp_replace(v.variant, r'/+$', '') <> regexp_replace(t.home_url, r'/+$', '')) WHERE k <= 3) r
-JOIN {site_scores} s ON r.audited = s.site LEFT JOIN {citation_scores} c ON r.audited = c.site LEFT JOIN {severity_counts} f ON r.audited = f.site
-""")
 relation("region_notes", r"""
 SELECT a.site, CASE WHEN w.n < 2 THEN 'Each region was audited.' WHEN w.score >= a.score THEN printf('%s scores highest; the other regions keep up.', a.region)
        ELSE printf('%s (%d of 100, %s) trails %s (%d of 100) by %d point(s), most in %s.', w.region, w.score, w.grade, a.region, a.score, a.score - w.score, CASE WHEN w.discoverability <= w.citation AND w.discoverability <= w.engagement THEN 'discoverability' WHEN w.citation <= w.engagement THEN 'citation' ELSE 'engagement' END) END AS note

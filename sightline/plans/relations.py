@@ -107,6 +107,25 @@ def order(name: str, done: list[str] | None = None) -> list[str]:
     return done
 
 
+def scoped(names: list[str], prefix: str, instead: dict[str, str]) -> None:
+    """Registers the relations `names`, and all that they need, again as <prefix><name>, reading the relations `instead` names for some."""
+    moved: dict[str, bool] = {}
+
+    def reaches(name: str) -> bool:
+        if name not in moved:
+            moved[name] = name in instead or name in RELATIONS and any([reaches(i) for i in RELATIONS[name].inputs])
+        return moved[name]
+
+    def named(sql: str) -> str:
+        return NAMED.sub(lambda m: "{" + (instead.get(m[1]) or (prefix + m[1] if reaches(m[1]) else m[1])) + "}", sql)
+
+    for n in names:
+        reaches(n)
+    for n in [n for n, x in moved.items() if x and n not in instead]:
+        r = RELATIONS[n]
+        relation(prefix + n, named(r.sql), r.stored, named(r.duck))
+
+
 #: Spark's spelling and DuckDB's.
 SPELLING = [
     (r"\br'", "'"), (r"/\*all\*/ 1\)", "'g')"), (r"\bregexp_like\(", "regexp_matches("), (r"\bsplit\(", "regexp_split_to_array("), (r"\btransform\(", "list_transform("),

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The columns of the CSV export, in order (fixed values).
@@ -28,10 +32,38 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def append_history(scores: DataFrame, path: str, audited_at: str) -> None:
-    """Adds a run's scores to the history, one folder a day; a second run of a day replaces none of the first."""
-    rows = scores.select(F.col("site").alias("domain"), F.lit(audited_at).cast("timestamp").alias("audited_at"), F.col("value").cast("int").alias("score"), "grade", F.lit(audited_at).cast("date").alias("audit_date"))
-    rows.write.mode("append").partitionBy("audit_date").parquet(path)
+def committed(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match and whose writing came to its end: Spark's writers leave _SUCCESS last."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
+def append_history(scores: DataFrame, path: str, audited_at: str, run: str | None = None) -> None:
+    """Adds a run's scores to the history. A run that is written again, whole or after a failure, adds what it lacks alone.
+
+    `run` names the run; by default the time of the audit does, so audits of other times stand beside each other. Rows go to
+    path/audit_date=<day>/run=<run>/attempt=<own>; sites that a committed attempt of the run holds are left out by an anti join.
+    """
+    spark, run = scores.sparkSession, run or audited_at
+    rows = scores.select(F.col("site").alias("domain"), F.lit(audited_at).cast("timestamp").alias("audited_at"), F.col("value").cast("int").alias("score"), "grade", F.lit(run).alias("run_key"))
+    folder = f"{path}/audit_date={audited_at[:10]}/run={hashlib.sha256(run.encode()).hexdigest()[:16]}"
+    if done := committed(spark, f"{folder}/attempt=*"):
+        rows = rows.join(spark.read.parquet(*done).select("domain").hint("merge"), "domain", "left_anti")
+    rows.write.parquet(f"{folder}/attempt={uuid.uuid4().hex}")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """(domain, audited_at, score, grade, run_key, audit_date) of all committed runs, one row for each run and site.
+
+    Two attempts of a run that raced may both hold a site; the one whose name is smaller counts.
+    """
+    done = committed(spark, f"{path}/audit_date=*/run=*/attempt=*")
+    if not done:
+        return spark.createDataFrame([], "domain string, audited_at timestamp, score int, grade string, run_key string, audit_date date")
+    rows = spark.read.option("basePath", path).parquet(*done)
+    first = F.row_number().over(W.partitionBy("audit_date", "run_key", "domain").orderBy("attempt"))
+    return rows.withColumn("_first", first).where("_first = 1").select("domain", "audited_at", "score", "grade", "run_key", "audit_date")
 
 
 #: The sections of a brief, in order.
