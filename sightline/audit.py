@@ -60,13 +60,20 @@ class Audit:
         return out.where(F.contains(F.lower(F.concat_ws(" ", "id", "title", "category")), F.lit(text.lower()))) if text else out
 
     def find_pages(self, text: str = "", by: str = "score") -> DataFrame:
-        """The page records whose url or title holds `text`, by score (lowest first), findings (most first) or url."""
+        """The page records whose url or title holds `text`, by score (lowest first), findings (most first) or url.
+
+        A text of three characters or more is looked up in the stored postings of its grams; only pages that have all of them are compared.
+        """
         orders = {"score": ["score", "url"], "findings": [F.desc("findings"), "url"], "url": ["url"]}
         if by not in orders:
             raise ValueError(f"unknown order {by!r}; choose from {sorted(orders)}")
         rows = self.table("page_records")
         if text:
             titles = self.table("page_signals").select("site", "url", F.col("title").alias("_title"))
+            if len(text) > 2:
+                grams = {text.lower()[i : i + 3] for i in range(len(text.lower()) - 2)}
+                met = self.table("page_grams").where(F.col("gram").isin(sorted(grams))).groupBy("site", "url").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+                titles = titles.join(met.drop("n"), ["site", "url"], "left_semi")
             rows = rows.join(titles, ["site", "url"]).where(F.contains(F.lower(F.concat_ws(" ", "url", "_title")), F.lit(text.lower()))).drop("_title")
         return rows.orderBy(*orders[by])
 

@@ -63,10 +63,12 @@ def meta_pair(x: str) -> str:
     return f"lower({key}) || ' ' || {attribute(x, 'content')}"
 
 
-relation("page_urls", f"""
-SELECT page_id, url, {urls.host('url')} AS host, {urls.bare_host('url')} AS bare_host, {urls.domain('url')} AS domain, {urls.path('url')} AS path, {urls.section('url')} AS section,
-       {urls.page_type_rank('url')} AS type_rank, {urls.is_deep('url')} AS is_deep, {urls.locale('url')} AS locale, {urls.locale_root('url')} AS locale_root, regexp_like(lower({urls.path('url')}), r'{urls.ASSET}') AS is_asset
-FROM {{crawl}}
+# host and path are taken from an address once; the rest is made from them
+relation("page_urls", rf"""
+SELECT page_id, url, regexp_replace(n, r'^www\.', '') AS host, bare_host, {urls.domain_of('bare_host')} AS domain, path, '/' || regexp_extract(path, r'^/*([^/]*)', 1) AS section,
+       {urls.page_type_rank('url')} AS type_rank, {urls.is_deep('url')} AS is_deep, locale, CASE WHEN locale = '' THEN url ELSE regexp_extract(url, r'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/[^/?#]*)', 1) || '/' END AS locale_root, regexp_like(lower(path), r'{urls.ASSET}') AS is_asset
+FROM (SELECT page_id, url, n, path, regexp_replace(regexp_replace(n, r':.*$', ''), r'^www\.', '') AS bare_host, lower(regexp_extract(path, r'^/([A-Za-z][A-Za-z](?:[-_][A-Za-z][A-Za-z])?)(?:/|$)', 1)) AS locale
+      FROM (SELECT page_id, url, {urls.netloc('url')} AS n, {urls.path('url')} AS path FROM {{crawl}}))
 """)
 
 # pages whose response says that they are something else (L3)
@@ -151,6 +153,12 @@ FROM (SELECT *, """ + squeezed("seen") + r""" AS visible_text, """ + decoded("ra
   SELECT *, """ + decoded("bare") + r""" AS seen FROM (SELECT *, lower(html) AS low, array_join(transform(titles, t -> t.body), '') AS raw_title, """ + unmarked("html") + r""" AS bare FROM {page_tags})))
 """, stored=True)
 
+# where three characters in a row of a page's address and title stand, for searches (P6)
+relation("page_grams", """
+SELECT DISTINCT site, url, gram FROM (SELECT site, url, explode(transform(sequence(1, n), i -> substring(t, i, 3))) AS gram FROM (SELECT site, url, t, greatest(1, length(t) - 2) AS n FROM (SELECT site, url, lower(url || ' ' || title) AS t FROM {page_signals})))
+DISTRIBUTE BY gram SORT BY gram
+""", stored=True)
+
 relation("page_links", r"""
 SELECT site, page_ord, url, is_home, pos, href, rel, """ + squeezed("said") + r""" AS text, """ + urls.folded("whole", "h") + r""" AS target, startswith(href, '/') OR startswith(href, '#') OR """ + urls.domain_of("there") + " = " + urls.domain_of("here") + r""" AS is_internal
 FROM (SELECT site, page_ord, url, is_home, pos, href, rel, """ + decoded("bare") + r""" AS said, h, """ + urls.joined("h", "url") + r""" AS whole, """ + urls.bare_host("href") + r""" AS there, """ + urls.bare_host("url") + r""" AS here

@@ -233,9 +233,11 @@ SELECT site, facet, value, count(*) AS n FROM (SELECT site, 'dimension' AS facet
 """)
 relation("page_search", r"""SELECT r.site, r.url, r.score, r.findings FROM {page_records} r JOIN {page_signals} s ON r.site = s.site AND r.url = s.url WHERE contains(lower(r.url), 'product') OR contains(lower(s.title), 'story')""")
 relation("top_findings", r"""SELECT site, id, title, points_at_stake FROM (SELECT site, id, title, points_at_stake, row_number() OVER (PARTITION BY site ORDER BY points_at_stake DESC, priority) AS k FROM {matrix}) WHERE k <= 6""")
-relation("keyword_matches", r"""
-SELECT f.site, f.check_id, w.area, w.named FROM {findings} f JOIN {categories} c ON f.category = c.category JOIN {keywords} w ON c.area = w.area AND contains(lower(f.title), w.word)
+# words are looked for in the catalog's titles, of which there are as many as rules; findings then join by title
+relation("keyword_titles", r"""
+SELECT t.title, t.category, w.area, w.named FROM {check_catalog} t JOIN {categories} c ON t.category = c.category JOIN {keywords} w ON c.area = w.area AND contains(lower(t.title), w.word)
 """)
+relation("keyword_matches", r"""SELECT f.site, f.check_id, w.area, w.named FROM {findings} f JOIN {keyword_titles} w ON f.title = w.title AND f.category = w.category""")
 #: area, named check, words of a title that fail it (fixed values).
 KEYWORDS = [
     ("crawlability", "robots_ai", "retrieval crawlers are blocked"), ("crawlability", "robots_ai", "disallows all crawlers"), ("crawlability", "robots_pages", "disallowed by robots"),

@@ -135,7 +135,7 @@ SPELLING = [
     (r"\btry_parse_json\((\w+)\) IS NOT NULL", r"json_valid(\1)"), (r"\bfrom_json\((\w+), 'array<string>'\)", r"json_extract_string(\1, '$[*]')"), (r"\bdatediff\(([^(),]+), ([^(),]+)\)", r"date_diff('day', \2, \1)"),
     (r"\bposexplode\((\w+)\) AS \((\w+), (\w+)\)", r"generate_subscripts(\1, 1) - 1 AS \2, unnest(\1) AS \3"), (r"\bexplode\(", "unnest("), (r"\bcast\(NULL AS string\)", "NULL::varchar"),
     (r"\blistagg\(([^()]+), ('[^']*'|chr\(10\))\) WITHIN GROUP \(ORDER BY ([^()]+)\)", r"string_agg(\1, \2 ORDER BY \3)"), (r"\bsequence\(([^(),]+), ([^()]+)\)", r"generate_series(\1, \2)"), (r"\bto_date\(", "date("), (r"\bsha2\((.+?), 256\)", r"sha256(\1)"),
-    (r"\bslice\(", "list_slice("), (r"\barray_sort\(", "list_sort("), (r"\barray_max\(", "list_max("), (r"\barray_min\(", "list_min("), (r"\barray_distinct\(", "list_distinct("), (r"\bformat_string\(", "printf("),
+    (r"\bDISTRIBUTE BY \w+ SORT BY \w+", ""), (r"\bslice\(", "list_slice("), (r"\barray_sort\(", "list_sort("), (r"\barray_max\(", "list_max("), (r"\barray_min\(", "list_min("), (r"\barray_distinct\(", "list_distinct("), (r"\bformat_string\(", "printf("),
 ]
 
 

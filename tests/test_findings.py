@@ -86,6 +86,14 @@ def test_regions_are_scored_from_their_own_pages(spark, run):
     assert "Germany" in run[0].table("region_notes").where("site = 'wide.example'").first().note
 
 
+def test_pages_are_found_by_their_grams(run):
+    every = run[0].table("page_records").count()
+    for text in ("about", "ABOUT", "de/at", "Acme Tools", "ü", "fr", "zzz", "e/a", "tools for all"):
+        titles = {r.url: (r.url + " " + r.title).lower() for r in run[0].table("page_signals").collect()}
+        assert {r.url for r in run[0].find_pages(text).collect()} == {u for u, t in titles.items() if text.lower() in t}, text
+    assert run[0].find_pages().count() == every
+
+
 def test_headers_tell_what_a_page_is(run):
     of = {r.url: r for r in run[1].table("response_of").collect()}
     assert (of["https://acme.example/"].content_type, of["https://acme.example/"].x_robots) == ("text/html", "noindex")
