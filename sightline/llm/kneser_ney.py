@@ -189,6 +189,7 @@ def counted(texts: DataFrame, order: int, hot: np.ndarray, bits: int) -> DataFra
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         words = np.concatenate(held, axis=1)
+        held.clear()
         words = words[:, np.lexsort(words[::-1])]
         first = np.flatnonzero(np.append(True, (words[:, 1:] != words[:, :-1]).any(0)))
         n = np.diff(np.append(first, words.shape[1])).astype(np.int64)
