@@ -253,7 +253,7 @@ FROM (SELECT site, pos, field, value, lag(field) OVER (PARTITION BY site ORDER B
       FROM (SELECT site, pos, lower(trim(regexp_extract(line, r'^([^:]*):', 1))) AS field, trim(regexp_extract(line, r'^[^:]*:(.*)$', 1)) AS value
             FROM (SELECT site, pos, trim(regexp_replace(line, r'#.*$', '')) AS line FROM (SELECT site, posexplode(lines) AS (pos, line) FROM (SELECT site, split(body, '\n') AS lines FROM {robots}))) WHERE contains(line, ':'))
       WHERE field IN ('user-agent', 'allow', 'disallow'))
-""")
+""", stored=True)
 
 relation("site_totals", r"""
 SELECT site, count(*) AS n_pages, min_by(url, page_ord) AS home_url, sum(n_images) AS n_images, count_if(newest_date IS NOT NULL OR copyright_year IS NOT NULL OR dated OR regexp_like(visible_text, r'(?i)(?:last\s+updated|updated on|last\s+modified)[:\s]+[A-Za-z0-9 ,/-]{6,20}')) AS n_dated
@@ -266,7 +266,7 @@ SELECT site, kind, value, page_ord, url, row_number() OVER (PARTITION BY site, k
   SELECT site, kind, value, 0 AS part, page_ord, pos, url FROM (SELECT site, page_ord, url, 'year' AS kind, posexplode(years) AS (pos, value) FROM (SELECT site, page_ord, url, regexp_extract_all(visible_text, r'""" + FOUNDED + r"""', 1) AS years FROM {page_facts} WHERE is_home OR regexp_like(url, r'""" + IDENTITY_URL + r"""')))
   UNION ALL SELECT site, 'year', regexp_extract(get_json_object(node, '$.foundingDate'), r'^((?:19|20)\d\d)', 1), 1, page_ord, node_ord, url FROM {page_jsonld} WHERE regexp_like(coalesce(get_json_object(node, '$.foundingDate'), ''), r'^(?:19|20)\d\d')
   UNION ALL SELECT site, platform, handle, 0, page_ord, pos, url FROM {social_handles})
-""")
+""", stored=True)
 relation("identity_facts", "SELECT site, kind, value, min_by(url, page_ord) AS example, count(*) AS n FROM {fact_sources} GROUP BY site, kind, value")
 relation("social_handles", r"""
 SELECT site, page_ord, url, pos, CASE WHEN p = 'x' THEN 'twitter' ELSE p END AS platform, handle
@@ -298,7 +298,7 @@ SELECT site, page_ord, is_home, lower(trim(site_name)) AS name, lang FROM {page_
 """)
 relation("name_tokens", r"""
 SELECT DISTINCT n.site, n.name, t FROM (SELECT site, name, explode(filter(split(name, r'[^\p{L}\p{N}_]+'), x -> length(x) >= 3)) AS t FROM {like_names}) n
-""")
+""", stored=True)
 relation("like_names", r"""
 SELECT DISTINCT n.site, n.name FROM {site_names} n JOIN (SELECT site, lower(regexp_replace(lang, r'-.*$', '')) AS base FROM {page_facts} WHERE is_home) h ON n.site = h.site
 WHERE (h.base = '' OR n.lang = '' OR lower(regexp_replace(n.lang, r'-.*$', '')) = h.base) AND regexp_like(n.name, r'^[\x00-\x7F]*$')

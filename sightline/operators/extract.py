@@ -184,7 +184,7 @@ FROM (SELECT site, page_ord, url, pos, code, href, h, """ + urls.joined("h", "ur
             FROM (SELECT site, page_ord, url, pos, trim(regexp_extract(t, r'(?i)hreflang=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1)) AS code, trim(regexp_extract(t, r'(?i)\shref=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1)) AS href
                   FROM (SELECT site, page_ord, url, posexplode(link_tags) AS (pos, t) FROM {page_tags})
                   WHERE regexp_like(t, r'(?i)\brel=[\x22\x27]?alternate[\x22\x27]?') AND regexp_like(t, r'(?i)hreflang=[\x22\x27][^\x22\x27]+[\x22\x27]') AND regexp_like(t, r'(?i)\shref=[\x22\x27][^\x22\x27]+[\x22\x27]'))))
-""")
+""", stored=True)
 
 #: Whether the whole of b is one JSON document: Spark's parser itself stops behind the first one.
 ONE_DOCUMENT = "coalesce(json_array_length('[' || b || ']') = 1, false)"

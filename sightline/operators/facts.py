@@ -85,7 +85,7 @@ SELECT s.site, s.q, printf(s.question, b.brand) AS question, CASE WHEN k = 0 THE
 FROM (SELECT t.site, t.q, t.question, count(c.id) AS k, coalesce(bool_or(c.status = 'contradicted'), false) AS contradicted, coalesce(bool_or(c.in_sd), false) AS structured, coalesce(bool_or(c.in_text), false) AS textual, min(CASE c.confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 END) AS best
       FROM {site_questions} t LEFT JOIN {claims} c ON t.site = c.site AND t.type = c.type GROUP BY t.site, t.q, t.question) s JOIN {brand_names} b ON s.site = b.site
 """)
-relation("site_questions", r"""SELECT b.site, t.q, t.question, t.type FROM (SELECT DISTINCT site, explode(array(1, 2, 3, 4, 5, 6, 7)) AS q FROM {claims}) b JOIN {question_types} t ON b.q = t.q""")
+relation("site_questions", r"""SELECT b.site, t.q, t.question, t.type FROM (SELECT DISTINCT site, explode(array(1, 2, 3, 4, 5, 6, 7)) AS q FROM {claims}) b JOIN {question_types} t ON b.q = t.q""", stored=True)
 relation("answer_summary", r"""SELECT site, count(*) AS questions, cast(bround(100.0 * count_if(answerable IN ('yes', 'partial')) / count(*), 0) AS bigint) AS answerable_pct, cast(bround(100.0 * count_if(would_cite) / count(*), 0) AS bigint) AS citable_pct FROM {simulated_answers} GROUP BY site""")
 
 relation("node_keys", r"""
@@ -155,7 +155,7 @@ SELECT site, 'OP-' || lpad(cast(row_number() OVER (PARTITION BY site ORDER BY ru
   UNION ALL SELECT h.site, 7, 'extractability' FROM {page_facts} h JOIN (SELECT site FROM {page_facts} GROUP BY site HAVING NOT bool_or(t_faq)) n ON h.site = n.site WHERE h.is_home AND h.word_count BETWEEN 30 AND 90)
 """)
 
-relation("peers", r"""SELECT 'brand' || s_suppkey || '.example.org' AS site, 'brand' || (s_suppkey + k) || '.example.org' AS peer FROM (SELECT s_suppkey, explode(array(1, 2, 3)) AS k FROM {supplier})""")
+relation("peers", r"""SELECT 'brand' || s_suppkey || '.example.org' AS site, 'brand' || (s_suppkey + k) || '.example.org' AS peer FROM (SELECT s_suppkey, explode(array(1, 2, 3)) AS k FROM {supplier})""", stored=True)
 relation("peer_gaps", r"""
 SELECT site, pillar, peer AS leader, theirs AS leader_score, own AS own_score FROM (
   SELECT p.site, a.pillar, p.peer, b.score AS theirs, a.score AS own, row_number() OVER (PARTITION BY p.site, a.pillar ORDER BY b.score DESC, p.peer) AS k
@@ -187,7 +187,7 @@ SELECT count(*) AS sites, count_if(passed) AS passed, sum(expected) AS expected,
 # Maps at the usual place or named there, five of a site at most, and the pages that they name (S4)
 relation("sitemap_locs", r"""
 SELECT site, url, loc FROM (SELECT DISTINCT site, url, trim(loc) AS loc FROM (SELECT site, url, explode(regexp_extract_all(body, r'(?i)<loc>([^<]*)</loc>', 1)) AS loc FROM {sitemaps})) WHERE loc <> ''
-""")
+""", stored=True)
 relation("sitemap_maps", r"""
 SELECT site, url FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY level, url) AS k FROM (SELECT site, url, min(level) AS level FROM (
   SELECT site, url, 0 AS level FROM {sitemaps} WHERE endswith(url, '/sitemap.xml')

@@ -43,7 +43,7 @@ SELECT site, profile FROM (SELECT site, profile, row_number() OVER (PARTITION BY
     SELECT site, page_ord * 100000 AS o, explode(CASE WHEN startswith(s, '[') THEN from_json(s, 'array<string>') ELSE array(s) END) AS profile FROM (SELECT site, page_ord, get_json_object(node, '$.sameAs') AS s FROM {page_jsonld}) WHERE s IS NOT NULL
     UNION ALL SELECT site, page_ord * 100000 + 50000 + pos, href FROM {page_links} WHERE startswith(href, 'http') AND regexp_like(href, r'""" + PROFILE_SITES + r"""'))
   GROUP BY site, profile)) WHERE k <= 8
-""")
+""", stored=True)
 #: Hosts that are not public: names without a dot or of local use, and private, loopback and link-local addresses.
 PRIVATE = r"(?i)^[a-z]+://(?:[^/?#]*@)?(?:[^./?#:]+|[^/?#:]*\.(?:local|internal|localhost)|127\.[0-9.]+|10\.[0-9.]+|192\.168\.[0-9.]+|169\.254\.[0-9.]+|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9.]+|0\.0\.0\.0|\[[^\]]*\])(?:[:/?#]|$)"
 relation("profile_states", r"""

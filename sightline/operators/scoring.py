@@ -79,7 +79,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY site, dimension, same_category,
   FROM (SELECT site, dimension, same_category, same_title, same, posexplode(pages) AS (pos, page) FROM (SELECT site, dimension, same_category, same_title, same, split(affected, r' \| ') AS pages FROM {ranked_findings} WHERE n_same > 1 AND affected IS NOT NULL))
   GROUP BY site, dimension, same_category, same_title, page))
 WHERE place <= 20 GROUP BY site, dimension, same_category, same_title
-""")
+""", stored=True)
 relation("findings", r"""
 SELECT r.*, 'F-' || lpad(cast(priority AS string), 3, '0') AS id FROM (
   SELECT r.site, r.check_id, r.title, r.severity, r.dimension, r.category, r.confidence, r.n, r.n_affected, r.example, r.affected, r.penalty, r.sev_rank, CASE WHEN r.confidence = 'low' AND r.base_impact > 1 THEN r.base_impact - 1 ELSE r.base_impact END AS impact,
@@ -129,7 +129,7 @@ SELECT site, field, key, n, cast(bround(100.0 * n / sum(n) OVER (PARTITION BY si
 relation("finding_pages", r"""
 SELECT site, id, severity, sev_rank, dimension, confidence, penalty, impact, explode(CASE WHEN affected IS NULL THEN array(home_url) ELSE split(affected, r' \| ') END) AS url, affected IS NULL AS site_wide
 FROM (SELECT f.*, t.home_url FROM {findings} f JOIN {site_totals} t ON f.site = t.site)
-""")
+""", stored=True)
 relation("hotspots", r"""
 SELECT site, url, findings, impact, top_severity FROM (SELECT h.*, row_number() OVER (PARTITION BY site ORDER BY impact DESC, findings DESC, url) AS k FROM (
   SELECT site, url, count(*) AS findings, sum(impact) AS impact, min_by(severity, sev_rank) AS top_severity FROM {finding_pages} WHERE NOT site_wide GROUP BY site, url) h) WHERE k <= 8
@@ -144,7 +144,7 @@ FROM (SELECT s.site, n.area, n.named, n.kind, bool_or(f.check_id IS NOT NULL) AS
 JOIN {site_totals} t ON n.site = t.site JOIN {external_evidence} e ON t.site = e.site LEFT JOIN {area_findings} a ON n.site = a.site AND n.area = a.area
 """)
 ALL_CHECKS = ", ".join(f"'{a}|{c}|{k}|{r}'" for a, c, k, rules in NAMED_CHECKS for r in (rules.split() or [""]))
-relation("site_named_checks", r"""SELECT site, try_element_at(p, 1) AS area, try_element_at(p, 2) AS named, try_element_at(p, 3) AS kind, try_element_at(p, 4) AS check_id FROM (SELECT site, split(x, r'\|') AS p FROM (SELECT site, explode(array(""" + ALL_CHECKS + r""")) AS x FROM {site_totals}))""")
+relation("site_named_checks", r"""SELECT site, try_element_at(p, 1) AS area, try_element_at(p, 2) AS named, try_element_at(p, 3) AS kind, try_element_at(p, 4) AS check_id FROM (SELECT site, split(x, r'\|') AS p FROM (SELECT site, explode(array(""" + ALL_CHECKS + r""")) AS x FROM {site_totals}))""", stored=True)
 relation("area_findings", r"""SELECT f.site, c.area, count(*) AS n, max(CASE f.confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS weakest FROM {findings} f JOIN {categories} c ON f.category = c.category WHERE c.area <> '' GROUP BY f.site, c.area""")
 relation("area_coverage", r"""
 SELECT c.site, c.area, a.label, CASE WHEN c.not_assessed THEN 'not_assessed' WHEN n > 0 THEN 'issues' WHEN n_open + n_partial > 0 THEN 'partial' ELSE 'healthy' END AS status, checks_total, passed, failed, n_open, n_partial, n AS findings,

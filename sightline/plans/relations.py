@@ -1,7 +1,8 @@
 """Named relations: each is one SELECT over others, in Spark SQL.
 
 An analysis is a graph of relations; `build` makes the DataFrame of one, with all it needs. Relations marked `stored`
-feed many others and are written once to the shared folder, so that regular expressions over html run once a page. Catalyst plans each
+feed many others, or come from a generator (whose size Spark can't tell) and are joined; they are written once to the shared folder, so that
+regular expressions over html run once a page and joins know their sides. Catalyst plans each
 SELECT together with what it reads.
 
 `duckdb_sql` gives the same relation as one ANSI query with common table expressions, spelled for DuckDB.
