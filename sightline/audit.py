@@ -4,7 +4,8 @@
     run = audit(pages, link_status=statuses, profile="strict", as_of="2025-06-01")
     run.table("score_every_site"), run.table("findings"), run.table("roadmap")
 
-`pages` has page_id, url and html. Side tables are optional and default to empty ones of the right columns. Outside
+`pages` has page_id, url and html; where it is a table made by `sources.pages.bucketed`, html isn't shuffled. `html`, a table of
+page_id, url and html, stands in for the html of `pages`, which then needs page_id and url alone; its other rows are not read. Side tables are optional and default to empty ones of the right columns. Outside
 evidence (entities, corpus_index, the status of profiles) counts for the sites in `external_runs` only, those that it was
 gathered for; without it, no finding says that the outside knows nothing of a brand. A rule of
 your own is a DataFrame of (site, check_id, n) passed as `extra_hits`, with its row of the catalog in `extra_checks`.
@@ -80,13 +81,15 @@ class Audit:
 
 def audit(
     pages: DataFrame, *, profile: str = "balanced", max_pages: int = 12, scope: str = "host", as_of: str = "2025-06-01", skills: list[str] | None = None, thresholds: dict | None = None,
-    extra_hits: DataFrame | None = None, extra_checks: DataFrame | None = None, **side: DataFrame,
+    extra_hits: DataFrame | None = None, extra_checks: DataFrame | None = None, html: DataFrame | None = None, **side: DataFrame,
 ) -> Audit:
     spark = pages.sparkSession
     unknown = set(side) - set(SIDE_TABLES)
     if unknown:
         raise ValueError(f"unknown side tables: {sorted(unknown)}")
-    tables = {"crawl": pages.select("page_id", "url", "html").where("url is not null")}
+    tables = {"crawl": pages.select("page_id", "url", *(["html"] if html is None else [])).where("url is not null")}
+    if html is not None:
+        tables["page_html"] = html.select("page_id", "url", "html")
     for name, schema in SIDE_TABLES.items():
         tables[name] = side[name] if name in side else spark.createDataFrame([], schema)
     if "final_url" not in tables["responses"].columns:

@@ -82,10 +82,13 @@ WHERE copy = 1
 
 relation("site_pages", "SELECT page_id, url, site, section, is_deep, page_ord, page_ord = 1 AS is_home FROM {page_sample} WHERE page_ord <= $max_pages$", stored=True)
 
+# where html is fetched from, for the sample alone
+relation("page_html", "SELECT page_id, url, html FROM {crawl}")
+
 # One pass over the html of the sample: every tag and stretch of text with its place. All that follows but the visible text is picked from it.
 relation("page_stream", r"""
 SELECT page_id, url, site, section, is_deep, page_ord, is_home, html, transform(regexp_extract_all(html, r'""" + TOKEN + r"""', 0), (x, i) -> named_struct('i', i, 'name', lower(regexp_extract(x, r'^</?([A-Za-z][A-Za-z0-9]*)', 1)), 'x', x)) AS stream
-FROM (SELECT s.page_id, s.url, s.site, s.section, s.is_deep, s.page_ord, s.is_home, coalesce(c.html, '') AS html FROM {site_pages} s JOIN {crawl} c ON s.page_id = c.page_id AND s.url = c.url WHERE s.page_ord <= $max_pages$)
+FROM (SELECT s.page_id, s.url, s.site, s.section, s.is_deep, s.page_ord, s.is_home, coalesce(c.html, '') AS html FROM {site_pages} s JOIN {page_html} c ON s.page_id = c.page_id AND s.url = c.url WHERE s.page_ord <= $max_pages$)
 """, duck=stream.STREAM.replace("<TOKEN>", TOKEN))
 
 relation("page_tokens", "SELECT site, page_ord, url, t.i AS pos, t.name, startswith(t.x, '</') AS ends, t.x AS token FROM (SELECT site, page_ord, url, explode(stream) AS t FROM {page_stream})")

@@ -13,7 +13,7 @@ def attr(x: str, name: str) -> str:
 
 STREAM = """
 SELECT page_id, url, site, section, is_deep, page_ord, is_home, html, [{'i': i - 1, 'name': lower(regexp_extract(x[i], '^</?([A-Za-z][A-Za-z0-9]*)', 1)), 'x': x[i]} for i in range(1, len(x) + 1)] AS stream
-FROM (SELECT s.*, ifnull(c.html, '') AS html, regexp_extract_all(ifnull(c.html, ''), '<TOKEN>', 0) AS x FROM {site_pages} s JOIN {crawl} c USING (page_id, url) WHERE s.page_ord <= $max_pages$)
+FROM (SELECT s.*, ifnull(c.html, '') AS html, regexp_extract_all(ifnull(c.html, ''), '<TOKEN>', 0) AS x FROM {site_pages} s JOIN {page_html} c USING (page_id, url) WHERE s.page_ord <= $max_pages$)
 """
 
 TAGS = (
