@@ -24,7 +24,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -32,8 +32,10 @@ from .common import durable, freed, groups, only, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
-#: References of a shard, about; a store with more than twice so many is dealt to more shards.
-SHARD_KEYS = 5_000
+#: References of a shard at most, about: its filter then has some 4 MB, 8 before the store is dealt to more shards.
+SHARD_KEYS = 1_000_000
+#: Below that, references go to as many shards as Spark has shuffle partitions, but for shards of fewer than these.
+LEAST_KEYS = 1_000
 #: Parts that the references may consist of before they are written anew as one.
 PARTS = 8
 
@@ -150,13 +152,19 @@ def shard_of(shards: int) -> F.Column:
     return F.pmod(F.shiftrightunsigned("k1", 8), F.lit(shards)).cast("int")
 
 
+def shards_for(spark: SparkSession, size: int) -> int:
+    """How many shards `size` references are dealt to: enough to bound a shard, and for all tasks to have work."""
+    wide = min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST_KEYS)
+    return max(1, wide, -(-size // SHARD_KEYS))
+
+
 def counted(references: DataFrame, shards: int) -> DataFrame:
     """(shard, k1, k2, n, smallest) of each key. Partial aggregates reduce a line in a third of all documents before the shuffle."""
     return references.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("smallest")).select(shard_of(shards).alias("shard"), "k1", "k2", "n", "smallest")
 
 
 def filters_of(counts: DataFrame) -> DataFrame:
-    """(shard, n_keys, data): a cuckoo filter of each shard's shared keys; shards hold about as many keys each, at any size of the input."""
+    """(shard, n_keys, data): a cuckoo filter of each shard's shared keys; a shard's keys are bounded (SHARD_KEYS), at any size of the input."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in groups(freed(batches), 1):
@@ -214,7 +222,7 @@ class LineStore:
     def of(cls, references: DataFrame, min_chars: int) -> LineStore:
         """A store of references that are written already."""
         size = references.count()
-        shards = max(1, -(-size // SHARD_KEYS))
+        shards = shards_for(references.sparkSession, size)
         counts = durable(counted(references, shards))
         return cls(references, counts, durable(filters_of(counts)), shards, size, min_chars)
 
@@ -233,9 +241,10 @@ class LineStore:
     def _changed(self, references: DataFrame, touched: DataFrame, size: int) -> LineStore:
         """Counts follow the keys that were touched, filters those of them whose count crossed two."""
         parts = self.parts + 1
-        if parts > PARTS or size > 2 * SHARD_KEYS * self.shards:
+        crowded = shards_for(references.sparkSession, size) > 2 * self.shards
+        if parts > PARTS or crowded:
             references, parts = durable(references), 1
-        if size > 2 * SHARD_KEYS * self.shards:
+        if crowded:
             return LineStore.of(references, self.min_chars)
         keys = durable(touched.select("k1", "k2").distinct())
         here = lambda df, how: df.hint("merge").join(keys.hint("merge"), ["k1", "k2"], how)
