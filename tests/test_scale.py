@@ -24,3 +24,31 @@ def test_words_for_spark_leave_the_sql_alone():
         r = relations.RELATIONS[name]
         assert r.spark and r.spark != r.sql
     assert "REPARTITION" not in relations.duckdb_sql("region_notes") and "rg_page_html" not in relations.duckdb_sql("region_notes")
+
+
+def above(plan, mark):
+    """The nodes above the first scan whose line holds `mark`, in a plan as Spark prints it."""
+    lines = [(len(x) - len(x.lstrip(" :+-*()0123456789")), x) for x in plan.splitlines()]
+    at = next(i for i, (_, x) in enumerate(lines) if "FileScan" in x and mark in x)
+    depth, out = lines[at][0], []
+    for d, x in reversed(lines[:at]):
+        if d < depth:
+            depth = d
+            out.append(x.lstrip(" :+-*()0123456789"))
+    return out
+
+
+def test_texts_of_pages_are_moved_once_for_their_facts(spark, sf, monkeypatch):
+    made = {}
+    whole = build(spark, "page_facts", base_tables(spark, sf), None, made)
+    del made["page_facts"]
+    monkeypatch.setattr(relations, "durable", lambda df: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts = build(spark, "page_facts", base_tables(spark, sf), None, made)
+        moves = [x for x in above(facts._jdf.queryExecution().executedPlan().toString(), "visible_text") if x.startswith("Exchange")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(moves) == 1, moves
+    assert whole.exceptAll(facts).isEmpty() and facts.exceptAll(whole).isEmpty()
