@@ -1,5 +1,6 @@
 """Work is dealt out by rows, so that tasks stay short as tables grow."""
 
+from sightline.audit import audit
 from sightline.plans import relations
 from sightline.plans.relations import build
 from sightline.queries import base_tables
@@ -52,3 +53,25 @@ def test_texts_of_pages_are_moved_once_for_their_facts(spark, sf, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(moves) == 1, moves
     assert whole.exceptAll(facts).isEmpty() and facts.exceptAll(whole).isEmpty()
+
+
+ODD = [
+    "<a href='a/../b'>x</a><a href='./c/.'>y</a><a href='../../../up'>z</a><a href='https://o.example/p/../q'>w</a><a href='/d/..'>v</a><a href='.hidden'>u</a><a href='?q=/../r'>t</a><a href=''>s</a>",
+    "<a href='/k'>one <b>two</b> < three</a><a href='/l'>1 <!-- c -->2</a><a href='/m'>&lt;i&gt;</a><h1>a <i>b</i></h1><h2>plain</h2><h2></h2>",
+    "<p>plain words</p>", "",
+    "<link rel='alternate' hreflang='fr' href='../fr/./x'><link rel='alternate' hreflang='de' href='/de'><link rel='alternate' hreflang='en' href='//h.example/./y'>",
+]
+
+
+def test_spared_regular_expressions_leave_the_rows_as_they_are(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"https://s.example/{i}/deep/page", h) for i, h in enumerate(ODD)], "page_id bigint, url string, html string")
+    names, rows = ("page_links", "page_headings", "page_hreflang"), {}
+    for words in ("spark", "sql"):
+        for n in names:
+            r = relations.RELATIONS[n]
+            assert r.spark and r.spark != r.sql
+            monkeypatch.setitem(relations.RELATIONS, n, relations.Relation(n, r.sql, r.stored, r.duck, getattr(r, words)))
+        run = audit(pages)
+        rows[words] = {n: sorted(map(str, run.table(n).collect())) for n in names}
+        monkeypatch.undo()
+    assert rows["spark"] == rows["sql"] and all(rows["sql"].values())
