@@ -1,6 +1,6 @@
 """Registered queries: each builds one relation over the tables of a folder; SQL for DuckDB comes from the same relation.
 
-Relations marked `stored` (sample, signals, links, nodes, hits, findings, claims) are written once for each session and
+Relations marked `stored` or `kept` (sample, signals, links, nodes, totals, hits, findings, claims) are written once for each session and
 folder and shared by the queries that read them.
 """
 
@@ -57,7 +57,7 @@ def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
         kept = _stored.setdefault((spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir)), {})
         made = dict(kept)
         out = build(spark, name, base_tables(spark, sf_dir), None, made)
-        kept.update({k: v for k, v in made.items() if RELATIONS[k].stored})
+        kept.update({k: v for k, v in made.items() if RELATIONS[k].stored or RELATIONS[k].kept})
         return out
 
     return run

@@ -75,3 +75,29 @@ def test_spared_regular_expressions_leave_the_rows_as_they_are(spark, monkeypatc
         rows[words] = {n: sorted(map(str, run.table(n).collect())) for n in names}
         monkeypatch.undo()
     assert rows["spark"] == rows["sql"] and all(rows["sql"].values())
+
+
+def test_sites_and_entities_of_one_name_do_not_all_meet(spark):
+    n = 60
+    sites = spark.createDataFrame([(f"s{i}.example.org", "Same Name", 1) for i in range(n)] + [("s1.example.org", "s1", 2), ("lone.example.net", "lone", 1)], "site string, name string, place int")
+    sites = sites.selectExpr("site", "lower(name) AS name", "place")
+    rows = [("same NAME", f"Q{i:03d}", f"https://s{i}.example.org/" if i % 3 else "https://fan.example.net/", i % 7) for i in range(n)] + [("S1", "Q900", "https://example.org/", 1), ("lone", None, None, 2), (None, "Q901", None, 1)]
+    entities = spark.createDataFrame(rows, "label string, entity_id string, official_website string, hit_rank int")
+    tables, r = {"brand_candidates": sites, "entities": entities}, relations.RELATIONS["entity_matches"]
+    got = build(spark, "entity_matches", tables)
+    views = {"brand_candidates": "scale_candidates", "entities": "scale_entities"}
+    for k, v in views.items():
+        tables[k].createOrReplaceTempView(v)
+    plain = spark.sql(relations.NAMED.sub(lambda m: views[m[1]], r.sql))
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() == n + 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.index("Join Inner")
+    assert "nth" in plan[joined:] and "<= 8" in plan[joined:], plan
+
+
+def test_what_many_relations_read_is_written_once(spark, sf):
+    made = {}
+    build(spark, "check_hits", base_tables(spark, sf), None, made)
+    for n in ("site_totals", "external_evidence", "brand_names"):
+        assert made[n].inputFiles() and all("/tables/" in f for f in made[n].inputFiles()), n
+        assert "MATERIALIZED" not in relations.duckdb_sql(n).split(f"r_{n} AS")[1][:14]
