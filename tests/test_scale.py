@@ -101,3 +101,25 @@ def test_what_many_relations_read_is_written_once(spark, sf):
     for n in ("site_totals", "external_evidence", "brand_names"):
         assert made[n].inputFiles() and all("/tables/" in f for f in made[n].inputFiles()), n
         assert "MATERIALIZED" not in relations.duckdb_sql(n).split(f"r_{n} AS")[1][:14]
+
+
+UNSEEN_PAGES = [
+    "a<!-- x > y -->b<!--never closed <p>c", "<head/>d<head>e</head>f<header>g</header>", "<script a='>'>h</script >i<SCRIPT>j</ScRiPt\n>k<style>l", "1 < 2 <3 <é> <!x> </> </p  > <", "<svg width=1/>m<svg>n</svg><template>o<noscript>p</template>q</noscript>r",
+    "<!doctype html>s|t<br/>u", "", "plain", "<noscript", "<!-", "<p\n>v</p", "<headline>w</headline><styles>x",
+]
+
+
+def test_the_fast_pattern_of_unseen_text_is_the_same(spark, monkeypatch):
+    from sightline.operators import extract
+
+    df = spark.createDataFrame([(h,) for h in UNSEEN_PAGES + ODD], "html string")
+    fast = extract.unmarked("html").replace(extract.UNSEEN, extract.UNSEEN_FAST)
+    assert df.where(f"NOT ({extract.unmarked('html')} <=> {fast})").isEmpty()
+    r = relations.RELATIONS["page_signals"]
+    assert fast in r.spark and fast not in r.sql
+    pages = spark.createDataFrame([(i, f"https://s.example/{i}", h) for i, h in enumerate(UNSEEN_PAGES + ODD)], "page_id bigint, url string, html string")
+    rows = []
+    for words in (r.spark, r.sql):
+        monkeypatch.setitem(relations.RELATIONS, "page_signals", relations.Relation(r.name, r.sql, r.stored, r.duck, words))
+        rows.append(sorted(map(str, audit(pages).table("page_signals").collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 12
