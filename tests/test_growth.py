@@ -24,3 +24,29 @@ def test_long_texts_of_pages_are_gone_over_few_times_with_the_same_signals(spark
         monkeypatch.setitem(relations.RELATIONS, "page_signals", relations.Relation(r.name, r.sql, r.stored, r.duck, words))
         rows.append(sorted(map(str, audit(pages, max_pages=50).table("page_signals").collect())))
     assert rows[0] == rows[1] and len(rows[0]) == len(REFERENCES)
+
+
+URLS = [
+    "https://www.a.example.co.uk:8080/About/?x=/y.png", "https://a.example.co.uk", "HTTPS://A.example.co.uk/x", "http://a.example.co.uk?q=1", "https://a.example.co.uk#f/about", "https://a.example.co.uk/i.PNG", "https://a.example.co.uk/i.png?v=1",
+    "https://a.example.co.uk/i.png/", "https://a.example.co.uk/i.pngs", "https://a.example.co.uk/?i.png", "https://a.example.co.uk/shop", "https://a.example.co.uk/p/FAQS?", "https://a.example.co.uk/catalogue/x", "https://a.example.co.uk/prices",
+    "ftp://f.example/about", "//n.example/x", "mailto:x@y.example", "", "https://", "https:///x", "https://u:p@b.example:1/é.js", "https://www.www.c.example/a.b/contact", "https://c.example/a.js#x", "https://d.example/bad", "https://d.example/good", "https://1.2/", "http://x.example/a\nb.css\n", "http://x.example/c.css\nd",
+]
+
+
+def test_addresses_are_dealt_out_before_anything_is_made_of_them(spark, monkeypatch):
+    r = relations.RELATIONS["page_sample"]
+    rows = [(i, u) for i, u in enumerate(URLS)] + [(100 + i, u) for i, u in enumerate(URLS[::3])] + [(None, URLS[3]), (None, "https://d.example/null"), (-5, URLS[1])]
+    pages = spark.createDataFrame([(i, u, "<p>x</p>") for i, u in rows], "page_id bigint, url string, html string")
+    responses = spark.createDataFrame([("https://d.example/bad", 200, 5, 5, "image/png", "", "", None), ("https://d.example/unseen", 200, 5, 5, "image/png", "", "", None), ("https://d.example/good", 200, 5, 5, "Text/HTML", "", "", None)],
+                                      "url string, status int, elapsed_ms bigint, raw_len bigint, content_type string, x_robots string, error string, headers string")
+    for scope in ("host", "domain"):
+        got = []
+        for words in (r.spark, ""):
+            monkeypatch.setitem(relations.RELATIONS, "page_sample", relations.Relation(r.name, r.sql, r.stored, r.duck, words, r.replaces))
+            sample = audit(pages, scope=scope, responses=responses).table("page_sample")
+            got.append(sorted(map(str, sample.collect())))
+            if words:
+                below = sample._jdf.queryExecution().optimizedPlan().toString().lower().split("repartitionbyexpression")[1]
+                assert "scan" in below or "localrelation" in below or "logicalrdd" in below
+                assert "rlike" not in below and "regexp" not in below and "substring_index" not in below
+        assert got[0] == got[1] and len(got[0]) == 23
